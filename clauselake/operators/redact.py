@@ -134,12 +134,18 @@ def redacted(texts: DataFrame, strict_phone: bool = False) -> DataFrame:
     return texts.withColumn("redaction", cascade(start, strict_phone))
 
 
+def _rows(entries: Column | str) -> Column:
+    """Explode with the outer form: for the plain one the planner adds a size test on its
+    input, and pushing that test down would run the whole cascade again."""
+    return F.posexplode_outer(entries).alias("_pos", "_m")
+
+
 def detect_pii(texts: DataFrame, strict_phone: bool = False) -> DataFrame:
-    """One row per match, in cascade order: type, sequence within the type, original, token."""
-    rows = redacted(texts, strict_phone).select(
-        "version_id", F.posexplode("redaction.found").alias("_pos", "_m")
+    """One row per match, in cascade order: type, original, token."""
+    rows = redacted(texts, strict_phone).select("version_id", _rows("redaction.found"))
+    return rows.filter("_pos is not null").select(
+        "version_id", (F.col("_pos") + 1).alias("match_no"), "_m.*"
     )
-    return rows.select("version_id", (F.col("_pos") + 1).alias("match_no"), "_m.*")
 
 
 def redact(texts: DataFrame, strict_phone: bool = False) -> DataFrame:
@@ -150,11 +156,9 @@ def redact(texts: DataFrame, strict_phone: bool = False) -> DataFrame:
 
 def assign_tokens(texts: DataFrame, strict_phone: bool = False) -> DataFrame:
     """The mapping a text gives rise to, long form, in order of creation."""
-    rows = redacted(texts, strict_phone).select(
-        "version_id",
-        F.posexplode(F.arrays_zip("redaction.tokens", "redaction.originals")).alias("_pos", "_m"),
-    )
-    return rows.select(
+    pairs = F.arrays_zip("redaction.tokens", "redaction.originals")
+    rows = redacted(texts, strict_phone).select("version_id", _rows(pairs))
+    return rows.filter("_pos is not null").select(
         "version_id",
         (F.col("_pos") + 1).alias("token_no"),
         F.col("_m.tokens").alias("token"),

@@ -14,6 +14,18 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts, spread over the cores where a small file gives fewer splits than cores.
+
+    On a large table the scan already has more splits and this changes nothing.
+    """
+    docs = read(spark, sf_dir, "documents")
+    cores = spark.sparkContext.defaultParallelism
+    if docs.rdd.getNumPartitions() < cores:
+        return docs.repartition(2 * cores, "doc_id")
+    return docs
+
+
 def distinct_lines(text: Column) -> Column:
     """Trimmed non-blank lines, the first of equal ones, in order."""
     trimmed = F.transform(F.split(text, "\n", -1), F.trim)
@@ -21,7 +33,7 @@ def distinct_lines(text: Column) -> Column:
 
 
 def line_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     rows = docs.select("doc_id", F.posexplode(distinct_lines(F.col("text"))).alias("p", "line"))
     return rows.select("doc_id", (F.col("p") + 1).alias("pos"), "line")
 
@@ -37,7 +49,7 @@ lines AS MATERIALIZED (
 
 def contract_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's lines given one of seven contract shapes."""
-    docs = read(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     rows = docs.select(
         F.col("doc_id").alias("version_id"),
         F.col("doc_id").alias("_id"),

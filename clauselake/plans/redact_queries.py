@@ -58,12 +58,12 @@ SECOND = _expression(
 
 
 def pii_texts(spark, sf_dir):
-    docs = X.read(spark, sf_dir, "documents")
+    docs = X.documents(spark, sf_dir)
     return docs.select(F.col("doc_id").alias("version_id"), F.expr(f"text || {PLANTED}").alias("text"))
 
 
 def second_texts(spark, sf_dir):
-    docs = X.read(spark, sf_dir, "documents")
+    docs = X.documents(spark, sf_dir)
     return docs.select(F.col("doc_id").alias("version_id"), F.expr(SECOND).alias("text"))
 
 
