@@ -145,3 +145,12 @@ MISSING_CLASS = "Model tidak memberikan klasifikasi"
 OUT_OF_VOCABULARY = "Jawaban model di luar vokabulari"
 UNPARSABLE_BATCH = "Respons model tidak dapat diurai"
 NO_REASON = "Tidak ada alasan diberikan"
+
+# --- fixed values: job messages (format templates) -------------------------------
+PARTIAL_HEADER = "Analisis selesai: %d/%d domain berhasil, %d domain gagal:\n"
+MAJORITY_FAILED = "Analisis gagal: %d dari %d pemeriksaan tidak dapat diselesaikan. "
+QUOTA_RETURNED = "Kuota analisis Anda telah dikembalikan. "
+RETRY_HINT = (
+    "Silakan coba lagi — pemeriksaan yang sudah berhasil tidak akan diulang. "
+    "Jika masalah berlanjut, unggah ulang dokumen dan pastikan formatnya .docx dan terstruktur."
+)
