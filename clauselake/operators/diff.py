@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clauselake import constants as K
+from clauselake.functions.running import running_total
 from clauselake.functions.text import strip
 from clauselake.operators.segment import reference
 
@@ -142,18 +143,10 @@ def diff_rows(pairs: DataFrame, clauses: DataFrame) -> DataFrame:
 
 
 def number_changes(diffs: DataFrame) -> DataFrame:
-    """``seq`` of each change within its pair, from block and place.
-
-    The places of one pair are gathered as two integers each (a pair is two
-    contracts), so the texts take no part in the ordering.
-    """
-    places = diffs.groupBy("pair_id").agg(
-        F.array_sort(F.collect_list(F.struct("block_no", "place"))).alias("_p")
-    )
-    seq = places.select("pair_id", F.posexplode("_p").alias("_pos", "_at")).select(
-        "pair_id", "_at.*", (F.col("_pos") + 1).alias("seq")
-    )
-    return diffs.join(seq, ["pair_id", "block_no", "place"])
+    """``seq`` of each change within its pair, from block and place; texts take no part."""
+    keys = ["pair_id", "block_no", "place"]
+    seq = running_total(diffs.select(*keys), keys[:1], keys[1:], F.lit(1), "seq")
+    return diffs.join(seq.withColumn("seq", F.col("seq").cast("int")), keys)
 
 
 def revision_texts(runs: DataFrame) -> DataFrame:

@@ -87,11 +87,11 @@ def _gaps(spark, sf_dir):
 
 
 def _route(spark, sf_dir):
-    return D.route_clauses(G.clauses(spark, sf_dir), LEXICON)
+    return D.route_clauses(G.clause_table(spark, sf_dir), LEXICON)
 
 
 def _context(spark, sf_dir):
-    clauses = G.clauses(spark, sf_dir)
+    clauses = G.clause_table(spark, sf_dir)
     return D.pack_context(D.route_clauses(clauses, LEXICON), clauses)
 
 
@@ -103,21 +103,14 @@ def _comments(spark, sf_dir):
     return D.pack_comments(comments(spark, sf_dir))
 
 
-def _plain_comments(spark, sf_dir):
-    return (
-        _comments(spark, sf_dir)
-        .select("version_id", "comments")
-    )
-
-
 def requests(spark, sf_dir):
+    clauses = G.clause_table(spark, sf_dir)
     versions = X.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("version_id"))
-    summaries = _sample(spark, sf_dir).select(
+    summaries = D.summary_sample(clauses).select(
         "version_id", F.when(F.col("version_id") % 3 != 0, F.col("sample")).alias("summary")
     )
-    return D.build_requests(
-        versions, LEXICON, _context(spark, sf_dir), summaries, _plain_comments(spark, sf_dir)
-    )
+    contexts = D.pack_context(D.route_clauses(clauses, LEXICON), clauses)
+    return D.build_requests(versions, LEXICON, contexts, summaries, _comments(spark, sf_dir))
 
 
 def _budget(spark, sf_dir):

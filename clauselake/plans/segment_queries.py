@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from clauselake.constants import BLANKS
 from clauselake.operators import segment as S
 from clauselake.plans import fixtures as X
-
-from pyspark.sql import functions as F
+from clauselake.session import stored
 
 HEAD = r"(?m)^((?:PASAL|Pasal|ARTICLE|Article)\s+\d+[A-Z]?\b)"
 DOT = r"(?m)^(\d+\.\d+(?:\.\d+)*\s+)"
@@ -72,6 +73,11 @@ def clauses(spark, sf_dir):
     return S.segment(X.contract_texts(spark, sf_dir))
 
 
+def clause_table(spark, sf_dir):
+    """The clauses as a written table, for queries that read them several times."""
+    return stored(clauses(spark, sf_dir), "clauses")
+
+
 def _one_strategy(name, fn):
     def run(spark, sf_dir):
         return fn(X.contract_texts(spark, sf_dir))
@@ -119,7 +125,7 @@ def _subitems(spark, sf_dir):
 
 
 def _numbered_rows(spark, sf_dir):
-    rows = clauses(spark, sf_dir).drop("ordinal")
+    rows = clause_table(spark, sf_dir).drop("ordinal")
     return S.number_clauses(rows).select("version_id", "ordinal", "char_start", "char_end")
 
 
