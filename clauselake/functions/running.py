@@ -38,10 +38,13 @@ def running_total(
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
+    # null-safe: a missing key is a key like any other
+    bases = bases.select("_base", *[F.col(c).alias(f"_b_{c}") for c in ["_part", *keys]])
+    same = [F.col(c).eqNullSafe(F.col(f"_b_{c}")) for c in ["_part", *keys]]
     return (
-        ranged.join(bases, ["_part", *keys])
+        ranged.join(bases, same)
         .withColumn(name, F.col("_base") + F.sum("_amount").over(inside))
-        .drop("_part", "_base", "_amount")
+        .select(*df.columns, name)
     )
 
 

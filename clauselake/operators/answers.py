@@ -46,15 +46,23 @@ def _is_object(v: Column) -> Column:
 
 def answer_value(content: Column) -> Column:
     """Whole string, else a fenced block, else from the first to the last brace."""
-    clean = strip(content)
-    fenced = F.nullif(F.regexp_extract(clean, FENCE, 1), F.lit(""))
-    braced = F.nullif(F.regexp_extract(clean, BRACES, 0), F.lit(""))
-    return F.coalesce(parse_strict(clean), parse_strict(fenced), parse_strict(braced))
+
+    def first_parsable(clean: Column) -> Column:
+        fenced = F.nullif(F.regexp_extract(clean, FENCE, 1), F.lit(""))
+        braced = F.nullif(F.regexp_extract(clean, BRACES, 0), F.lit(""))
+        return F.coalesce(parse_strict(clean), parse_strict(fenced), parse_strict(braced))
+
+    return let(strip(content), first_parsable)
 
 
 def extract_json(responses: DataFrame) -> DataFrame:
-    """Adds ``answer`` (variant, null when nothing parses) and ``parse_status``."""
-    parsed = responses.withColumn("answer", answer_value(F.col("content")))
+    """Adds ``answer`` (variant, null when nothing parses) and ``parse_status``.
+
+    The value goes through a one-element generator. Filters on parsed fields then
+    stay above it; pushed below a plain projection they would parse a second time.
+    """
+    value = F.array(answer_value(F.col("content")))
+    parsed = responses.select("*", F.explode(value).alias("answer"))
     return parsed.withColumn("parse_status", _status(F.col("answer").isNotNull()))
 
 
@@ -166,7 +174,7 @@ def parse_materiality(batches: DataFrame) -> DataFrame:
     unparsable answer (or one with entries that are no objects) fails the batch.
     Input: ``batch_id, content, expected``.
     """
-    parsed = batches.withColumn("_v", answer_value(F.col("content")))
+    parsed = batches.select("*", F.explode(F.array(answer_value(F.col("content")))).alias("_v"))
     wrapped = F.coalesce(
         *[
             F.when(F.size(_items(F.col("_v"), f"$.{key}")) > 0, _items(F.col("_v"), f"$.{key}"))

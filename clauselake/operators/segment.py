@@ -27,10 +27,6 @@ from clauselake.functions.text import (
     strip,
 )
 
-CLAUSE = "struct<heading_path:string,text:string,char_start:bigint,char_end:bigint>"
-CLAUSES = f"array<{CLAUSE}>"
-
-
 def _clause(heading: Column, text: Column, start: Column, end: Column) -> Column:
     return F.struct(
         heading.cast("string").alias("heading_path"),
@@ -50,17 +46,14 @@ def _located(pieces: Column) -> Column:
     )
 
 
-def _marked(text: Column, pattern: str) -> Column:
-    """Located pieces that begin with the marker; text before the first one belongs to none."""
-    return F.filter(
-        _located(split_before(text, pattern)),
-        lambda p, i: (i > 0) | starts_with(p["piece"], pattern),
-    )
+def _marked(located: Column, pattern: str) -> Column:
+    """Pieces that begin with the marker; text before the first one belongs to none."""
+    return F.filter(located, lambda p, i: (i > 0) | starts_with(p["piece"], pattern))
 
 
-def _by_marker(text: Column, pattern: str, label) -> Column:
+def _by_marker(located: Column, pattern: str, label) -> Column:
     return F.transform(
-        _marked(text, pattern),
+        _marked(located, pattern),
         lambda p: _clause(
             label(p["piece"]), strip(p["piece"]), p["start"], p["start"] + F.length(p["piece"])
         ),
@@ -77,56 +70,63 @@ def _heading_label(piece: Column) -> Column:
 
 
 def subitem_clauses(section: Column, heading: Column, start: Column) -> Column:
-    """Clauses of one stripped section: numbered sub-items, else lettered, else the section."""
-
-    def items(pattern: str) -> Column:
-        inner = _first_group(pattern)
-        return F.transform(
-            _marked(section, pattern),
-            lambda p: _clause(
-                F.concat(heading, F.lit(f" > {K.SUBITEM_LABEL} ("), inner(p["piece"]), F.lit(")")),
-                strip(p["piece"]),
-                start + p["start"],
-                start + p["start"] + F.length(p["piece"]),
-            ),
-        )
-
-    return F.when(count_matches(section, K.PARENTHESISED) >= 2, items(K.PARENTHESISED)).when(
-        count_matches(section, K.LETTERED) >= 2, items(K.LETTERED)
+    """Clauses of one stripped section: numbered sub-items, else lettered; null without either."""
+    numbered = count_matches(section, K.PARENTHESISED) >= 2
+    lettered = count_matches(section, K.LETTERED) >= 2
+    pieces = F.when(numbered, split_before(section, K.PARENTHESISED)).when(
+        lettered, split_before(section, K.LETTERED)
+    )
+    # a piece of either kind begins with its marker; the text before the first one does not
+    items = F.filter(
+        _located(pieces),
+        lambda p, i: (i > 0)
+        | starts_with(p["piece"], K.PARENTHESISED)
+        | (starts_with(p["piece"], K.LETTERED) & ~numbered),
+    )
+    label = lambda piece: F.regexp_extract(piece, r"^(\([^)]*\))", 1)
+    return F.transform(
+        items,
+        lambda p: _clause(
+            F.concat(heading, F.lit(f" > {K.SUBITEM_LABEL} "), label(p["piece"])),
+            strip(p["piece"]),
+            start + p["start"],
+            start + p["start"] + F.length(p["piece"]),
+        ),
     )
 
 
-def heading_clauses(text: Column) -> Column:
+def _heading_clauses(located: Column) -> Column:
     def section_clauses(piece: Column, start: Column) -> Column:
-        whole = lambda: F.array(
+        whole = F.array(
             _clause(_heading_label(piece), strip(piece), start, start + F.length(piece))
         )
         nested = let(strip(piece), lambda s: subitem_clauses(s, _heading_label(piece), start))
-        return F.coalesce(nested, whole())
+        return F.coalesce(nested, whole)
 
     return F.flatten(
-        F.transform(_marked(text, K.HEADING), lambda p: section_clauses(p["piece"], p["start"]))
+        F.transform(
+            _marked(located, K.HEADING), lambda p: section_clauses(p["piece"], p["start"])
+        )
     )
 
 
-def dotted_clauses(text: Column) -> Column:
-    return _by_marker(text, K.DOTTED, _first_group(K.DOTTED))
+def _dotted_clauses(located: Column) -> Column:
+    return _by_marker(located, K.DOTTED, _first_group(K.DOTTED))
 
 
-def numbered_clauses(text: Column) -> Column:
+def _numbered_clauses(located: Column) -> Column:
     number = _first_group(K.NUMBERED)
-    return _by_marker(text, K.NUMBERED, lambda piece: F.concat(number(piece), F.lit(".")))
+    return _by_marker(located, K.NUMBERED, lambda piece: F.concat(number(piece), F.lit(".")))
 
 
-def parenthesised_clauses(text: Column) -> Column:
+def _parenthesised_clauses(located: Column) -> Column:
     number = _first_group(K.PARENTHESISED)
     return _by_marker(
-        text, K.PARENTHESISED, lambda piece: F.concat(F.lit("("), number(piece), F.lit(")"))
+        located, K.PARENTHESISED, lambda piece: F.concat(F.lit("("), number(piece), F.lit(")"))
     )
 
 
-def paragraph_clauses(text: Column) -> Column:
-    located = _located(F.split(text, r"(?<=\n\n)(?!\n)", -1))
+def _paragraph_clauses(located: Column) -> Column:
     stripped = F.transform(
         located,
         lambda p: let(
@@ -151,18 +151,47 @@ def strategy(text: Column) -> Column:
     )
 
 
+# name: (marker or None, clauses from the located pieces)
 _BRANCHES = {
-    "heading": heading_clauses,
-    "dotted": dotted_clauses,
-    "numbered": numbered_clauses,
-    "parenthesised": parenthesised_clauses,
-    "paragraphs": paragraph_clauses,
+    "heading": (K.HEADING, _heading_clauses),
+    "dotted": (K.DOTTED, _dotted_clauses),
+    "numbered": (K.NUMBERED, _numbered_clauses),
+    "parenthesised": (K.PARENTHESISED, _parenthesised_clauses),
+    "paragraphs": (None, _paragraph_clauses),
 }
 
 
-def _number(df: DataFrame, clauses: Column) -> DataFrame:
+def _pieces(text: Column, marker: str | None) -> Column:
+    return split_before(text, marker) if marker else F.split(text, r"(?<=\n\n)(?!\n)", -1)
+
+
+def _choose(name: Column, values: dict[str, Column]) -> Column:
+    chain = F
+    for key, value in values.items():
+        chain = chain.when(name == key, value)
+    return chain
+
+
+def _cut(texts: DataFrame) -> DataFrame:
+    """``strategy`` and the located pieces of each text; both null for a blank one.
+
+    There is no filter on the strategy: pushed below, it would compute the text twice.
+    """
+    named = texts.withColumn("strategy", strategy(F.col("text")))
+    pieces = _choose(
+        F.col("strategy"), {k: _pieces(F.col("text"), m) for k, (m, _) in _BRANCHES.items()}
+    )
+    return named.withColumn("_located", _located(pieces))
+
+
+def _clauses() -> Column:
+    return _choose(
+        F.col("strategy"), {k: build(F.col("_located")) for k, (_, build) in _BRANCHES.items()}
+    )
+
+
+def _number(df: DataFrame, clauses: Column, keep: list[str]) -> DataFrame:
     """Reading order across the version, after sub-items are flattened."""
-    keep = [c for c in df.columns if c != "text"]
     rows = df.select(*keep, F.posexplode(clauses).alias("_pos", "_c"))
     return rows.select(
         *keep, (F.col("_pos") + 1).cast("int").alias("ordinal"), F.col("_c.*")
@@ -171,12 +200,7 @@ def _number(df: DataFrame, clauses: Column) -> DataFrame:
 
 def segment(texts: DataFrame) -> DataFrame:
     """Cut every text by its own strategy. Blank text yields nothing, other text at least one."""
-    text = F.col("text")
-    clauses = F.lit(None).cast(CLAUSES)
-    for name, branch in reversed(_BRANCHES.items()):
-        clauses = F.when(F.col("strategy") == name, branch(text)).otherwise(clauses)
-    cut = texts.withColumn("strategy", strategy(text))
-    return _number(cut.select(*texts.columns, "strategy"), clauses).drop("strategy")
+    return _number(_cut(texts), _clauses(), [c for c in texts.columns if c != "text"])
 
 
 def segment_strategy(texts: DataFrame) -> DataFrame:
@@ -185,16 +209,12 @@ def segment_strategy(texts: DataFrame) -> DataFrame:
 
 def segment_by(texts: DataFrame, name: str, minimum: int = 1) -> DataFrame:
     """One strategy on its own; texts with fewer than its minimum of markers yield nothing."""
-    pattern = {
-        "heading": K.HEADING,
-        "dotted": K.DOTTED,
-        "numbered": K.NUMBERED,
-        "parenthesised": K.PARENTHESISED,
-    }.get(name)
+    marker, build = _BRANCHES[name]
     text = F.col("text")
-    if pattern:
-        texts = texts.filter(count_matches(text, pattern) >= minimum)
-    return _number(texts, _BRANCHES[name](text))
+    clauses = build(_located(_pieces(text, marker)))
+    if marker:
+        clauses = F.when(count_matches(text, marker) >= minimum, clauses)
+    return _number(texts, clauses, [c for c in texts.columns if c != "text"])
 
 
 def segment_headings(texts: DataFrame) -> DataFrame:
@@ -217,6 +237,17 @@ def segment_paragraphs(texts: DataFrame) -> DataFrame:
     return segment_by(texts, "paragraphs")
 
 
+def heading_sections(texts: DataFrame) -> DataFrame:
+    """Whole sections as cut by their headings: ``version_id, heading_path, text, char_start``."""
+    located = _located(_pieces(F.col("text"), K.HEADING))
+    rows = texts.select(
+        "version_id", F.inline(_marked(located, K.HEADING)).alias("text", "char_start")
+    )
+    return rows.select(
+        "version_id", _heading_label(F.col("text")).alias("heading_path"), "text", "char_start"
+    )
+
+
 def segment_subitems(sections: DataFrame) -> DataFrame:
     """Sub-items of given sections (``version_id``, ``heading_path``, ``text``, ``char_start``)."""
     items = let(
@@ -240,24 +271,16 @@ def number_clauses(pieces: DataFrame) -> DataFrame:
 
 def uncovered_text(texts: DataFrame) -> DataFrame:
     """Spans of each text that no clause covers (preambles, text before a first sub-item)."""
-    text = F.col("text")
-    spans = F.lit(None).cast("array<struct<s:bigint,e:bigint>>")
-    for name, branch in reversed(_BRANCHES.items()):
-        found = F.transform(
-            branch(text), lambda c: F.struct(c["char_start"].alias("s"), c["char_end"].alias("e"))
-        )
-        spans = F.when(F.col("strategy") == name, found).otherwise(spans)
-    size = F.length(text).cast("bigint")
+    size = F.length("text").cast("bigint")
     gaps = let(
-        spans,
+        _clauses(),
         lambda a: F.zip_with(
-            F.concat(F.array(F.lit(0).cast("bigint")), F.transform(a, lambda x: x["e"])),
-            F.concat(F.transform(a, lambda x: x["s"]), F.array(size)),
+            F.concat(F.array(F.lit(0).cast("bigint")), F.transform(a, lambda x: x["char_end"])),
+            F.concat(F.transform(a, lambda x: x["char_start"]), F.array(size)),
             lambda s, e: F.struct(s.alias("gap_start"), e.alias("gap_end")),
         ),
     )
-    cut = texts.select("version_id", "text", strategy(text).alias("strategy"))
-    rows = cut.filter("strategy is not null").select("version_id", F.inline(gaps))
+    rows = _cut(texts).select("version_id", F.inline(gaps))
     return rows.filter("gap_end > gap_start")
 
 

@@ -22,7 +22,6 @@ _RESPONSE = f"""SELECT CAST((event_id - event_id % 2) / 2 AS BIGINT) AS request_
  CASE WHEN event_id % 9 = 0 THEN NULL ELSE {_CONTENT} END AS content, CASE WHEN event_id % 9 = 0 THEN 'timeout' END AS error,
  CAST(floor(value * 100) AS BIGINT) AS input_tokens, CAST(floor(value * 10) AS BIGINT) AS output_tokens, 'model-' || (user_id % 3) AS model,
  'domain_' || (event_id % 18) AS domain, CAST(event_id % 1000 AS BIGINT) AS version_id, user_id, event_type, ts FROM events"""
-_SPARK_RESPONSE = _RESPONSE.replace("'timeout' END", "'timeout' END")
 
 _BATCH = """SELECT event_id AS batch_id, CAST(event_id % 4 AS INTEGER) AS expected, CASE event_id % 7
  WHEN 0 THEN 'garbage' WHEN 1 THEN '[' || item || ', ' || item2 || ']' WHEN 2 THEN '{"items": [' || item2 || ']}'
@@ -37,7 +36,7 @@ _SUMMARY = """SELECT event_id AS version_id, CAST(user_id % 4 AS INTEGER) AS n_c
 
 
 def _events(spark, sf_dir, sql):
-    X.read(spark, sf_dir, "events").createOrReplaceTempView("events_in")
+    X.spread(X.read(spark, sf_dir, "events"), "event_id").createOrReplaceTempView("events_in")
     return spark.sql(sql.replace("FROM events", "FROM events_in").replace("user_id % 250", "CAST(user_id % 250 AS INT)"))
 
 

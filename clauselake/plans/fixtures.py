@@ -14,16 +14,17 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts, spread over the cores where a small file gives fewer splits than cores.
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Spread rows over the cores where a small file gives fewer splits than cores.
 
     On a large table the scan already has more splits and this changes nothing.
     """
-    docs = read(spark, sf_dir, "documents")
-    cores = spark.sparkContext.defaultParallelism
-    if docs.rdd.getNumPartitions() < cores:
-        return docs.repartition(2 * cores, "doc_id")
-    return docs
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(read(spark, sf_dir, "documents"), "doc_id")
 
 
 def distinct_lines(text: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from clauselake.operators import redact as R
 from clauselake.plans import fixtures as X
+from clauselake.session import stored
 
 # planted values follow from the document number; the whole text stays in front
 _PLANTED = [
@@ -161,7 +162,8 @@ def _tokens(spark, sf_dir):
 
 
 def _mapping(spark, sf_dir):
-    return _tokens(spark, sf_dir).drop("token_no")
+    """The mapping table as written by the first pass."""
+    return stored(_tokens(spark, sf_dir).drop("token_no"), "mapping")
 
 
 def _second(spark, sf_dir):
@@ -169,9 +171,9 @@ def _second(spark, sf_dir):
     return out.select("version_id", "redacted_text")
 
 
-def _second_mapping(spark, sf_dir):
-    out = R.redact_with_mapping(second_texts(spark, sf_dir), _mapping(spark, sf_dir))
-    rows = out.select("version_id", F.inline("mapping"))
+def _second_mapping(spark, sf_dir, base):
+    out = R.redact_with_mapping(second_texts(spark, sf_dir), base)
+    rows = out.select("version_id", F.inline_outer("mapping")).filter("tokens is not null")
     return rows.toDF("version_id", "token", "original")
 
 
@@ -180,7 +182,8 @@ def _round_trip(spark, sf_dir):
 
 
 def _merge(spark, sf_dir):
-    return R.merge_mapping(_mapping(spark, sf_dir), _second_mapping(spark, sf_dir))
+    base = _mapping(spark, sf_dir)
+    return R.merge_mapping(base, _second_mapping(spark, sf_dir, base))
 
 
 def _residual(spark, sf_dir):

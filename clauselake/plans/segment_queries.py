@@ -108,16 +108,7 @@ def _strategy(spark, sf_dir):
 
 def _sections(spark, sf_dir):
     """Sections as cut by their headings, before sub-items are looked for."""
-    text = F.col("text")
-    rows = X.contract_texts(spark, sf_dir).select(
-        "version_id", F.inline(S._marked(text, S.K.HEADING)).alias("piece", "char_start")
-    )
-    return rows.select(
-        "version_id",
-        S._heading_label(F.col("piece")).alias("heading_path"),
-        F.col("piece").alias("text"),
-        "char_start",
-    )
+    return S.heading_sections(X.contract_texts(spark, sf_dir))
 
 
 def _subitems(spark, sf_dir):
