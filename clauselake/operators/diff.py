@@ -12,13 +12,17 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from clauselake import constants as K
 from clauselake.functions.running import running_total
 from clauselake.functions.text import strip
 from clauselake.operators.segment import reference
 
-BLOCKS = "array<struct<kind:string,i1:int,i2:int,j1:int,j2:int>>"
+BLOCK = T.StructType(
+    [T.StructField("kind", T.StringType())]
+    + [T.StructField(name, T.IntegerType()) for name in ("i1", "i2", "j1", "j2")]
+)
 
 
 def prior_version(versions: DataFrame) -> DataFrame:
@@ -31,15 +35,21 @@ def prior_version(versions: DataFrame) -> DataFrame:
     return versions.join(prior, ["document_id", "version_no"], "left")
 
 
-@F.pandas_udf(BLOCKS)
-def _matching_blocks(old: pd.Series, new: pd.Series) -> pd.Series:
-    """Longest matching block first, then both sides of it; nothing counts as junk."""
+def _matching_blocks(old: Column, new: Column) -> Column:
+    """Longest matching block first, then both sides of it; nothing counts as junk.
 
-    def changed(a, b):
-        codes = difflib.SequenceMatcher(None, list(a), list(b), autojunk=False).get_opcodes()
-        return [dict(zip(("kind", "i1", "i2", "j1", "j2"), c)) for c in codes if c[0] != "equal"]
+    The function is built here so that it travels to the workers by value.
+    """
+
+    def changed(a: pd.Series, b: pd.Series) -> pd.Series:
+        names = ("kind", "i1", "i2", "j1", "j2")
+        out = []
+        for x, y in zip(a, b):
+            codes = difflib.SequenceMatcher(None, list(x), list(y), autojunk=False).get_opcodes()
+            out.append([dict(zip(names, c)) for c in codes if c[0] != "equal"])
+        return pd.Series(out)
 
-    return pd.Series([changed(a, b) for a, b in zip(old, new)])
+    return F.pandas_udf(changed, T.ArrayType(BLOCK))(old, new)
 
 
 def clause_keys(clauses: DataFrame) -> DataFrame:
@@ -67,7 +77,7 @@ def align_clauses(pairs: DataFrame, clauses: DataFrame) -> DataFrame:
     old = keys.toDF("from_version", "_old", "_old_ord")
     new = keys.toDF("to_version", "_new", "_new_ord")
     both = pairs.join(old, "from_version").join(new, "to_version").filter("_old <> _new")
-    blocks = both.withColumn("_blocks", _matching_blocks("_old", "_new"))
+    blocks = both.withColumn("_blocks", _matching_blocks(F.col("_old"), F.col("_new")))
     rows = blocks.select(
         "pair_id",
         "from_version",

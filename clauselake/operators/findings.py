@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from clauselake import constants as K
 from clauselake.functions.running import latest
 
-_ACCEPTED = F.col("accepted").eqNullSafe(True)
-_REJECTED = F.col("accepted").eqNullSafe(False)
+def _accepted(value: bool) -> Column:
+    return F.col("accepted").eqNullSafe(value)
 
 
 def severity_rank(c: str = "severity") -> Column:
@@ -79,15 +79,15 @@ def edit_tally(edits: DataFrame, keys: list[str]) -> DataFrame:
     """Totals by decision, each one counted."""
     return edits.groupBy(*keys).agg(
         F.count("*").alias("total"),
-        F.count_if(_ACCEPTED).alias("accepted"),
-        F.count_if(_REJECTED).alias("rejected"),
+        F.count_if(_accepted(True)).alias("accepted"),
+        F.count_if(_accepted(False)).alias("rejected"),
         F.count_if(F.col("accepted").isNull()).alias("undecided"),
     )
 
 
 def exportable_edits(edits: DataFrame, accepted_only: bool = False) -> DataFrame:
     """Accepted or undecided edits; rejected ones never leave."""
-    return edits.filter(_ACCEPTED if accepted_only else ~_REJECTED)
+    return edits.filter(_accepted(True) if accepted_only else ~_accepted(False))
 
 
 def actionable_asks(findings: DataFrame, limit: int = K.MAX_ASKS) -> DataFrame:

@@ -9,13 +9,14 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clauselake import constants as K
 from clauselake.functions.running import latest, running_total
 
-_FAILED = F.col("status") == "failed"
+def _failed() -> Column:
+    return F.col("status") == "failed"
 
 
 def domain_runs(outcomes: DataFrame, order: list[str]) -> DataFrame:
@@ -25,7 +26,7 @@ def domain_runs(outcomes: DataFrame, order: list[str]) -> DataFrame:
 
 def _totals(runs: DataFrame) -> DataFrame:
     return runs.groupBy("job_id").agg(
-        F.count("*").alias("domains_total"), F.count_if(_FAILED).alias("domains_failed")
+        F.count("*").alias("domains_total"), F.count_if(_failed()).alias("domains_failed")
     )
 
 
@@ -45,7 +46,7 @@ def error_digest(runs: DataFrame) -> DataFrame:
     )
     line = F.concat_ws(": ", "domain_key", F.coalesce("error", F.lit("")))
     first = (
-        runs.filter(_FAILED)
+        runs.filter(_failed())
         .select("job_id", "domain_key", line.alias("_line"), place.alias("_place"))
         .withColumn("_rank", F.row_number().over(order))
         .filter(F.col("_rank") <= K.MAX_ERROR_LINES)
@@ -71,7 +72,7 @@ def failure_message(outcomes: DataFrame, jobs: DataFrame) -> DataFrame:
     return failed.select(
         "job_id",
         F.concat(
-            F.format_string(K.MAJORITY_FAILED, "domains_failed", "domains_total"),
+            F.format_string(K.MAJORITY_failed(), "domains_failed", "domains_total"),
             returned,
             F.lit(K.RETRY_HINT),
         ).alias("error_message"),
@@ -171,8 +172,8 @@ def failed_domains(runs: DataFrame) -> DataFrame:
     """Totals and the sorted failed keys per job; keys come from the domain vocabulary."""
     return runs.groupBy("job_id").agg(
         F.count("*").alias("domains_total"),
-        F.count_if(_FAILED).alias("domains_failed"),
-        F.sort_array(F.collect_set(F.when(_FAILED, F.col("domain_key")))).alias("failed_domains"),
+        F.count_if(_failed()).alias("domains_failed"),
+        F.sort_array(F.collect_set(F.when(_failed(), F.col("domain_key")))).alias("failed_domains"),
     )
 
 
