@@ -8,7 +8,7 @@ unless the session allows duplicate keys (then the last one wins).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clauselake import constants as K
@@ -224,35 +224,45 @@ def _attempt_state(responses: DataFrame) -> DataFrame:
     )
 
 
+def _first_state() -> Column:
+    return F.max(F.when(F.col("attempt") == 1, F.col("state")))
+
+
 def _performed(responses: DataFrame) -> DataFrame:
     """Round-trips that the retry rule allows: the second only after a parse failure.
 
-    The first attempt's state reaches the second through one small aggregate per
-    request, which holds at most ``MAX_ATTEMPTS`` rows.
+    A request has at most ``MAX_ATTEMPTS`` rows here, and only the small columns
+    are moved to bring them together; contents and parsed answers stay behind.
     """
     tried = _attempt_state(responses).filter(F.col("attempt") <= K.MAX_ATTEMPTS)
-    first = tried.filter(F.col("attempt") == 1).select(
-        "request_id", F.col("state").alias("_first")
+    small = tried.select(
+        "request_id", "attempt", "domain", "state", "input_tokens", "output_tokens", "model"
     )
-    return tried.join(first, "request_id", "left").filter(
+    first = _first_state().over(Window.partitionBy("request_id"))
+    return small.withColumn("_first", first).filter(
         (F.col("attempt") == 1) | (F.col("_first") == "parse")
     )
 
 
 def resolve_attempts(responses: DataFrame) -> DataFrame:
-    """Outcome per request: a call error fails at once, a parse error retries once."""
-    done = _performed(responses)
-    per_request = done.groupBy("request_id").agg(
-        F.max("attempt").alias("attempts"),
-        F.min(F.when(F.col("state") == "ok", F.col("attempt"))).alias("winner"),
-        F.max_by("state", "attempt").alias("_last"),
+    """Outcome per request: a call error fails at once, a parse error retries once.
+
+    One aggregate over the states; answers are parsed once.
+    """
+    states = _attempt_state(responses).filter(F.col("attempt") <= K.MAX_ATTEMPTS)
+    second = F.max(F.when(F.col("attempt") == 2, F.col("state")))
+    both = states.groupBy("request_id").agg(
+        _first_state().alias("_first"), second.alias("_second")
     )
-    return per_request.select(
+    retried = (F.col("_first") == "parse") & F.col("_second").isNotNull()
+    last = F.when(retried, F.col("_second")).otherwise(F.col("_first"))
+    attempts = F.when(retried, 2).otherwise(1)
+    return both.filter("_first is not null").select(
         "request_id",
-        "attempts",
-        "winner",
-        F.when(F.col("winner").isNotNull(), "ok").otherwise("failed").alias("status"),
-        F.when(F.col("winner").isNull(), F.col("_last")).alias("failure"),
+        attempts.alias("attempts"),
+        F.when(last == "ok", attempts).alias("winner"),
+        F.when(last == "ok", "ok").otherwise("failed").alias("status"),
+        F.when(last != "ok", last).alias("failure"),
     )
 
 

@@ -230,23 +230,30 @@ def anchor_comments(ranges: DataFrame, runs: DataFrame, bucket: int = 64) -> Dat
     """Text inside each comment's range; an open or empty range stays unresolved.
 
     ``ranges``: ``doc_id, comment_id, start_pos, end_pos``. The interval join is an
-    equi-join on blocks of positions: a range lists the blocks it touches, a run
-    has one block, so work follows the text that is really covered. Deleted runs
-    carry no visible text.
+    equi-join on blocks of positions: runs are packed into blocks of at most
+    ``bucket`` of them, a range lists the blocks it touches and takes its part of
+    each one in the row. The join then moves blocks, not single runs, and a long
+    document is spread over its blocks. Deleted runs carry no visible text.
     """
     closed = ranges.filter("end_pos is not null and end_pos >= start_pos")
     first, last = F.floor(F.col("start_pos") / bucket), F.floor(F.col("end_pos") / bucket)
     touched = closed.select(
         "doc_id", "comment_id", "start_pos", "end_pos", F.explode(F.sequence(first, last)).alias("_b")
     )
-    placed = runs.filter(~F.col("kind").eqNullSafe("del")).select(
-        "doc_id", "pos", "text", F.floor(F.col("pos") / bucket).alias("_b")
+    blocks = (
+        runs.filter(~F.col("kind").eqNullSafe("del"))
+        .groupBy("doc_id", F.floor(F.col("pos") / bucket).alias("_b"))
+        .agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("_r"))
     )
-    inside = touched.join(placed, ["doc_id", "_b"]).filter("pos between start_pos and end_pos")
-    anchors = inside.groupBy("doc_id", "comment_id").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("_t")
+    inside = F.filter("_r", lambda r: r["pos"].between(F.col("start_pos"), F.col("end_pos")))
+    part = F.array_join(F.transform(inside, lambda r: r["text"]), "")
+    parts = touched.join(blocks, ["doc_id", "_b"]).select(
+        "doc_id", "comment_id", F.struct("_b", part.alias("part")).alias("_p")
     )
-    text = strip(F.array_join(F.transform("_t", lambda t: t["text"]), ""))
+    anchors = parts.groupBy("doc_id", "comment_id").agg(
+        F.array_sort(F.collect_list("_p")).alias("_t")
+    )
+    text = strip(F.array_join(F.transform("_t", lambda t: t["part"]), ""))
     resolved = closed.select("doc_id", "comment_id").join(anchors, ["doc_id", "comment_id"], "left")
     resolved = resolved.select(
         "doc_id", "comment_id", F.coalesce(text, F.lit("")).alias("anchor_text")

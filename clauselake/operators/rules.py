@@ -66,8 +66,7 @@ def rubric_eval(docs: DataFrame, rubric: list[Check]) -> DataFrame:
             for c in rubric
         ]
     )
-    ready = _with_lines(docs).select("doc_id", results.alias("_r"))
-    return ready.select("doc_id", F.inline("_r"))
+    return _with_lines(docs).select("doc_id", F.inline(results))
 
 
 def rubric_verdict(docs: DataFrame, rubric: list[Check]) -> DataFrame:
@@ -105,8 +104,7 @@ def rule_scan(docs: DataFrame, rules: list[ScanRule], exemptions: DataFrame) ->
             ]
         )
     )
-    found = _with_lines(docs).select("doc_id", hits.alias("_h")).select("doc_id", F.explode("_h").alias("_r"))
-    found = found.select("doc_id", "_r.*")
+    found = _with_lines(docs).select("doc_id", F.inline(hits))
     exempt = exemptions.select("doc_id", "rule_id").distinct().withColumn("exempt", F.lit(True))
     joined = found.join(exempt, ["doc_id", "rule_id"], "left")
     level = F.when(F.col("exempt"), "WARN").otherwise(F.col("level"))
@@ -127,8 +125,8 @@ def denylist_hits(pages: DataFrame, hosts: list[str]) -> DataFrame:
         )
 
     listed = F.array(*[verdicts(h) for h in hosts])
-    rows = pages.withColumn("_host", host).select("page_id", listed.alias("_v"))
-    return rows.select("page_id", F.inline("_v")).filter("from_host or mentions")
+    rows = pages.withColumn("_host", host).select("page_id", F.inline(listed))
+    return rows.filter("from_host or mentions")
 
 
 def page_links(pages: DataFrame) -> DataFrame:

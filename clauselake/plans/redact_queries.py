@@ -178,7 +178,15 @@ def _second_mapping(spark, sf_dir, base):
 
 
 def _round_trip(spark, sf_dir):
-    return R.expand(_redact(spark, sf_dir), _mapping(spark, sf_dir)).select("version_id", "text")
+    """Text and mapping of one pass, stored, then put together again."""
+    done = R.redacted(pii_texts(spark, sf_dir)).select(
+        "version_id",
+        F.col("redaction.text").alias("redacted_text"),
+        F.arrays_zip("redaction.tokens", "redaction.originals").alias("pairs"),
+    )
+    done = stored(done, "redacted")
+    pairs = done.select("version_id", F.inline("pairs")).toDF("version_id", "token", "original")
+    return R.expand(done.drop("pairs"), pairs).select("version_id", "text")
 
 
 def _merge(spark, sf_dir):
