@@ -75,8 +75,9 @@ BLANKS = (
 )
 
 # --- fixed values: clause markers (anchored at a line start) -----------------
+# the possessive group matches the same text and needs no stack for long numbers
 HEADING = r"^(PASAL|Pasal|ARTICLE|Article)\s+(\d+[A-Z]?)\b"
-DOTTED = r"^(\d+\.\d+(?:\.\d+)*)\s+"
+DOTTED = r"^(\d+\.\d+(?:\.\d+)*+)\s+"
 NUMBERED = r"^(\d+)\.\s+"
 PARENTHESISED = r"^\((\d+)\)\s+"
 LETTERED = r"^\(([a-z])\)\s+"

@@ -218,6 +218,30 @@ def redact_parts(parts: Column, originals: Column, tokens: Column) -> Column:
     return F.aggregate(parts, start, step)
 
 
+def redact_clauses(clauses: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Clause texts redacted in reading order with the version's mapping, which they extend.
+
+    A personal datum that only shows up inside a clause gets a token that no other
+    clause of the version uses. The clauses of one version are one text again for
+    this, so they fit its row.
+    """
+    none = F.array().cast("array<string>")
+    packed = clauses.groupBy("version_id").agg(
+        F.array_sort(F.collect_list(F.struct("ordinal", F.coalesce("text", F.lit("")).alias("text")))).alias("_c")
+    )
+    known = packed.join(mapping_arrays(mapping), "version_id", "left").withColumns(
+        {c: F.coalesce(F.col(c), none) for c in ("tokens", "originals")}
+    )
+    folded = redact_parts(F.col("_c.text"), F.col("originals"), F.col("tokens"))
+    both = known.select("version_id", "_c", folded.alias("_r"))
+    clean = F.zip_with(
+        F.col("_c.ordinal"),
+        F.col("_r.texts"),
+        lambda n, t: F.struct(n.alias("ordinal"), t.alias("redacted_text")),
+    )
+    return both.select("version_id", F.inline(clean))
+
+
 def expand(redacted_texts: DataFrame, mapping: DataFrame, creation_order: bool = False) -> DataFrame:
     """Put the originals back.
 

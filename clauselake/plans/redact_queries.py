@@ -87,6 +87,15 @@ _CASCADE = [
 ]
 
 
+def _regex(pattern: str, digits: bool | None) -> str:
+    """Text before the first match, and the match; see ``_CASCADE`` for the neighbours."""
+    if digits:
+        return rf"(?s)^(.*?[^0-9])({pattern})(?:[^0-9].*)?$"
+    if digits is None:
+        return rf"(?s)^(.+?)({pattern})(?:[\n,.].*)?$"
+    return rf"(?s)^(.+?)({pattern})"
+
+
 def cascade_sql(tag: str, start: str, known: str | None = None) -> str:
     """CTEs that end in ``{tag}6`` (text) and ``{tag}map6`` (mapping), and ``{tag}hits``."""
     ctes = [
@@ -100,12 +109,7 @@ def cascade_sql(tag: str, start: str, known: str | None = None) -> str:
         + ")",
     ]
     for k, (kind, pattern, digits) in enumerate(_CASCADE, 1):
-        if digits:
-            regex = rf"(?s)^(.*?[^0-9])({pattern})(?:[^0-9].*)?$"
-        elif digits is None:
-            regex = rf"(?s)^(.+?)({pattern})(?:[\n,.].*)?$"
-        else:
-            regex = rf"(?s)^(.+?)({pattern})"
+        regex = _regex(pattern, digits)
         f, m, t = f"{tag}f{k}", f"{tag}map{k}", f"{tag}{k}"
         hit = f"regexp_extract(rest, '{regex}', ['pre', 'hit'])"
         ctes += [
@@ -194,6 +198,14 @@ def _merge(spark, sf_dir):
     return R.merge_mapping(base, _second_mapping(spark, sf_dir, base))
 
 
+def _clauses(spark, sf_dir):
+    """Two planted texts of a version as its two clauses, without a mapping so far."""
+    first, second = pii_texts(spark, sf_dir), second_texts(spark, sf_dir)
+    rows = first.withColumn("ordinal", F.lit(1)).unionByName(second.withColumn("ordinal", F.lit(2)))
+    none = spark.createDataFrame([], "version_id long, token string, original string")
+    return R.redact_clauses(rows, none)
+
+
 def _residual(spark, sf_dir):
     """Half-redacted outbound texts: the stored mapping applied to a text that grew since."""
     texts = _redact(spark, sf_dir).join(second_texts(spark, sf_dir), "version_id")
@@ -223,12 +235,31 @@ QUERIES = {
     "assign_tokens": _tokens,
     "redact": _redact,
     "redact_with_mapping": _second,
+    "redact_clauses": _clauses,
     "expand": _round_trip,
     "merge_mapping": _merge,
     "residual_pii_audit": _residual,
     "pii_profile": _profile,
 }
 
+
+
+def _residual_sql() -> str:
+    """Each pattern counted on its own in the grown text with its placeholders blanked."""
+    ctes, counts = [], []
+    for k, (kind, pattern, digits) in enumerate(_CASCADE, 1):
+        ctes.append(
+            f"r{k} AS MATERIALIZED (SELECT version_id, 0 AS i, ' ' || text AS rest FROM grown UNION ALL"
+            f" SELECT version_id, i + 1, substr(x.hit, length(x.hit)) || substr(rest, length(x.pre) + length(x.hit) + 1)"
+            f" FROM (SELECT *, regexp_extract(rest, '{_regex(pattern, digits)}', ['pre', 'hit']) AS x FROM r{k}) WHERE x.hit <> '')"
+        )
+        counts.append(f"SELECT version_id, '{kind}' AS type, max(i) AS matches FROM r{k} GROUP BY version_id HAVING max(i) > 0")
+    return (
+        f"{_BASE}, grown AS MATERIALIZED (SELECT version_id, regexp_replace(t.text || chr(10) || s.text, '\\[[A-Z]+_\\d+\\]', '[]', 'g') AS text"
+        f" FROM t6 t JOIN {SECOND_TEXTS} s USING (version_id)), {', '.join(ctes)} {' UNION ALL '.join(counts)}"
+    )
+
+
 _TWICE = f"{_BASE}, {cascade_sql('u', SECOND_TEXTS, 'tmap6')}"
 
 ORACLES = {
@@ -241,6 +272,8 @@ ORACLES = {
     " AS INTEGER) AS token_no, token, original FROM tmap6",
     "redact": f"{_BASE} SELECT version_id, text AS redacted_text FROM t6",
     "redact_with_mapping": f"{_TWICE} SELECT version_id, text AS redacted_text FROM u6",
+    "redact_clauses": f"{_TWICE} SELECT version_id, 1 AS ordinal, text AS redacted_text FROM t6 UNION ALL SELECT version_id, 2, text FROM u6",
+    "residual_pii_audit": _residual_sql(),
     "expand": f"WITH {PII} SELECT version_id, text FROM t0",
     "merge_mapping": f"{_TWICE} SELECT version_id, token, original FROM umap6",
     "pii_profile": f"{_BASE} SELECT source, lang, type, count(*) AS matches, count(DISTINCT original) AS distinct_originals"

@@ -59,6 +59,14 @@ def test_residual_audit_counts_what_is_left(spark):
     assert [tuple(r) for r in R.residual_pii_audit(df).collect()] == [(2, "EMAIL", 2)]
 
 
+def test_clauses_of_a_version_share_tokens(spark):
+    rows = [(1, 1, "a@x.org b@x.org"), (1, 2, "c@x.org a@x.org"), (2, 1, "c@x.org")]
+    clauses = spark.createDataFrame(rows, "version_id int, ordinal int, text string")
+    known = spark.createDataFrame([(1, "[EMAIL_1]", "b@x.org")], "version_id int, token string, original string")
+    got = {(r.version_id, r.ordinal): r.redacted_text for r in R.redact_clauses(clauses, known).collect()}
+    assert got == {(1, 1): "[EMAIL_2] [EMAIL_1]", (1, 2): "[EMAIL_3] [EMAIL_2]", (2, 1): "[EMAIL_1]"}
+
+
 def _sequential(text):
     """The cascade, one replacement after the other, for comparison on small texts."""
     known, count = {}, {}
