@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from clauselake.session import ensure_checkpoint_dir
 
@@ -53,3 +56,23 @@ def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     rest = [c for c in df.columns if c not in keys]
     best = F.max_by(F.struct(*rest), F.struct(*order)).alias("_row")
     return df.groupBy(*keys).agg(best).select(*keys, "_row.*").select(*df.columns)
+
+
+def moment(value: datetime) -> Column:
+    """A literal time without zone, whatever the session's zone."""
+    return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
+def epoch_micros(df: DataFrame, name: str) -> Column:
+    """Microseconds since 1970 of a time column; a time without zone is taken as it stands,
+    so the session's zone and its clock changes play no part."""
+    if isinstance(df.schema[name].dataType, T.TimestampType):
+        return F.unix_micros(name)
+    since = F.col(name) - F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'")
+    seconds = F.extract(F.lit("SECOND"), since) * 1_000_000
+    return (
+        F.extract(F.lit("DAY"), since).cast("bigint") * 86_400_000_000
+        + F.extract(F.lit("HOUR"), since).cast("bigint") * 3_600_000_000
+        + F.extract(F.lit("MINUTE"), since).cast("bigint") * 60_000_000
+        + seconds.cast("bigint")
+    )

@@ -8,11 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clauselake import constants as K
-from clauselake.functions.running import running_total
-
-
-def _now(now: datetime) -> Column:
-    return F.lit(now).cast("timestamp_ntz")
+from clauselake.functions.running import epoch_micros, moment, running_total
 
 
 def live_documents(documents: DataFrame) -> DataFrame:
@@ -45,7 +41,7 @@ def cross_tenant_audit(child: DataFrame, parent: DataFrame, key: str) -> DataFra
 
 def valid_sessions(sessions: DataFrame, users: DataFrame, now: datetime) -> DataFrame:
     """Sessions that are not revoked and not expired, of active users."""
-    open_sessions = sessions.filter(~F.col("revoked") & (F.col("expires_at") > _now(now)))
+    open_sessions = sessions.filter(~F.col("revoked") & (F.col("expires_at") > moment(now)))
     return open_sessions.join(users.filter("is_active").select("user_id"), "user_id", "left_semi")
 
 
@@ -64,7 +60,7 @@ def failed_attempts_window(
     and two such readings per key; one distributed running total serves them all,
     so neither a busy address nor a busy quarter of an hour meets in one task.
     """
-    micros = F.unix_micros(F.col("created_at").cast("timestamp"))
+    micros = epoch_micros(attempts, "created_at")
     failure = F.when(F.col("success"), 0).otherwise(1)
     width = F.lit(seconds * 1_000_000).cast("bigint")
     last = F.lit(1 << 62).cast("bigint")

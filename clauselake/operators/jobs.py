@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clauselake import constants as K
-from clauselake.functions.running import latest, running_total
+from clauselake.functions.running import epoch_micros, latest, running_total
 
 def _failed() -> Column:
     return F.col("status") == "failed"
@@ -204,8 +204,10 @@ def latest_job(jobs: DataFrame, variant: str = "created") -> DataFrame:
 
 
 def inflight_jobs(jobs: DataFrame, now: datetime) -> DataFrame:
-    """Queued or running jobs with their age; running ones are requeued after a restart."""
-    age = F.timestamp_diff("SECOND", "created_at", F.lit(now).cast("timestamp_ntz"))
+    """Queued or running jobs with their age at ``now`` (same clock as the table); running
+    ones are requeued after a restart."""
+    at = int((now - datetime(1970, 1, 1)).total_seconds() * 1_000_000)
+    age = ((F.lit(at) - epoch_micros(jobs, "created_at")) / 1_000_000).cast("bigint")
     return jobs.filter(F.col("state").isin("queued", "running")).select(
         "job_id",
         "version_id",

@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clauselake import constants as K
+from clauselake.functions.running import moment
 
 
 def expired_documents(
     documents: DataFrame, now: datetime, days: int = K.RETENTION_DAYS
 ) -> DataFrame:
-    cutoff = F.lit(now - timedelta(days=days)).cast("timestamp_ntz")
+    cutoff = moment(now - timedelta(days=days))
     return documents.filter(F.col("deleted_at") < cutoff).select("document_id")
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from clauselake import constants as K
-from clauselake.functions.running import latest
+from clauselake.functions.running import epoch_micros, latest, moment
 from clauselake.operators.access import lockouts
 from clauselake.operators.redact import redacted
 from clauselake.operators.segment import segment
@@ -76,7 +76,7 @@ def stream_lockouts(
             return
         since = first - timedelta(seconds=seconds)
         earlier = spark.read.parquet(f"{path}/log").filter(
-            (F.col("batch") < epoch) & (F.col("created_at") > F.lit(since).cast("timestamp_ntz"))
+            (F.col("batch") < epoch) & (F.col("created_at") > moment(since))
         )
         both = earlier.drop("batch").withColumn("_fresh", F.lit(False)).unionByName(
             fresh.withColumn("_fresh", F.lit(True))
@@ -93,19 +93,26 @@ def stream_lockouts(
 
 
 def usage_windows(usage: DataFrame, width: str = "1 day", lateness: str = "1 hour") -> DataFrame:
-    """Calls per user and tumbling window; built-in partial aggregation before the shuffle."""
-    timed = usage.withColumn("at", F.col("created_at").cast("timestamp"))
+    """Calls per user and tumbling window; built-in partial aggregation before the shuffle.
+
+    A watermark needs a time with zone: the table's clock is read as UTC for it and
+    written back the same way.
+    """
+    timed = usage.withColumn("_at", F.timestamp_micros(epoch_micros(usage, "created_at")))
     counted = (
-        timed.withWatermark("at", lateness)
-        .groupBy(F.window("at", width), "user_id")
+        timed.withWatermark("_at", lateness)
+        .groupBy(F.window("_at", width), "user_id")
         .agg(
             F.count("*").alias("calls"),
             F.count_if(F.col("status") == "failed").alias("failed_calls"),
             F.sum("input_tokens").alias("input_tokens"),
         )
     )
+    start = F.expr(
+        "TIMESTAMP_NTZ'1970-01-01' + make_dt_interval(0, 0, 0, CAST(unix_seconds(window.start) AS DECIMAL(18, 6)))"
+    )
     return counted.select(
-        F.col("window.start").cast("timestamp_ntz").alias("window_start"),
+        start.alias("window_start"),
         "user_id",
         "calls",
         "failed_calls",
