@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauselake.llm import feistel, mixing
+from clauselake.llm import feistel, mixing, trie_bpe
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,19 @@ def op5_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def vocabulary() -> str:
+    """The public vocabulary file that the encoding queries use."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op8_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts and digests of every whole document."""
+    encoded = trie_bpe.encode(_table(spark, sf_dir, "documents"), vocabulary())
+    return trie_bpe.digests(encoded)
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words taken from each document when sources weigh 5, 2, 1 in turn."""
     mixed = mixing.mix(_table(spark, sf_dir, "documents"), [5, 2, 1], most=3)
@@ -82,6 +95,7 @@ FROM placed p JOIN passes t ON p.source IS NOT DISTINCT FROM t.source
 
 QUERIES = {
     "op5_feistel_sharding": op5_feistel_sharding,
+    "op8_trie_bpe": op8_trie_bpe,
     "op10_source_mixing": op10_source_mixing,
 }
 
