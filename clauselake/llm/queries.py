@@ -5,13 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauselake.llm import feistel, mixing, trie_bpe
+from clauselake.llm import feistel, mil_quality, mixing, sorted_passes, trie_bpe
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_mil_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every whole document."""
+    docs = _table(spark, sf_dir, "documents")
+    labels = _table(spark, sf_dir, "labels")
+    model = mil_quality.train(docs, labels.select("doc_id", F.col("quality").alias("label")))
+    return mil_quality.score(docs, model).select(
+        "doc_id",
+        mil_quality.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
 def op5_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents dealt to 40 shards of equal row counts."""
     data = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
@@ -32,6 +45,11 @@ def op5_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_sorted_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near copies among the embeddings of a label."""
+    return sorted_passes.near_duplicates(_table(spark, sf_dir, "embeddings"), 0.93)
+
+
 def vocabulary() -> str:
     """The public vocabulary file that the encoding queries use."""
     import public_tokenizers
@@ -94,7 +112,9 @@ FROM placed p JOIN passes t ON p.source IS NOT DISTINCT FROM t.source
 """
 
 QUERIES = {
+    "op2_mil_quality": op2_mil_quality,
     "op5_feistel_sharding": op5_feistel_sharding,
+    "op6_sorted_passes": op6_sorted_passes,
     "op8_trie_bpe": op8_trie_bpe,
     "op10_source_mixing": op10_source_mixing,
 }
