@@ -97,13 +97,16 @@ def dealt(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def streamed(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """One table per run of equal integer keys; holds one group and one batch at a time."""
+    """One table per run of equal keys (no nulls); holds one group and one batch at a time."""
     held: list[pa.RecordBatch] = []
     at: tuple | None = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        columns = [batch.column(batch.schema.get_field_index(k)).to_numpy() for k in keys]
+        columns = [
+            batch.column(batch.schema.get_field_index(k)).to_numpy(zero_copy_only=False)
+            for k in keys
+        ]
         change = np.zeros(batch.num_rows, dtype=bool)
         for c in columns:
             change[1:] |= c[1:] != c[:-1]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauselake.llm import feistel, mil_quality, mixing, sorted_passes, trie_bpe
+from clauselake.llm import feistel, lsh_forest, mil_quality, mixing, sorted_passes, trie_bpe
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,11 @@ def op2_mil_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of documents whose five-word shingles are similar by 0.8 or more."""
+    return lsh_forest.similar_documents(_table(spark, sf_dir, "documents"))
+
+
 def op5_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents dealt to 40 shards of equal row counts."""
     data = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
@@ -113,6 +118,7 @@ FROM placed p JOIN passes t ON p.source IS NOT DISTINCT FROM t.source
 
 QUERIES = {
     "op2_mil_quality": op2_mil_quality,
+    "op3_lsh_forest": op3_lsh_forest,
     "op5_feistel_sharding": op5_feistel_sharding,
     "op6_sorted_passes": op6_sorted_passes,
     "op8_trie_bpe": op8_trie_bpe,
