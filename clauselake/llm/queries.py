@@ -5,7 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauselake.llm import feistel, lsh_forest, mil_quality, mixing, sorted_passes, trie_bpe
+from clauselake.llm import (
+    feistel,
+    lsh_forest,
+    mil_quality,
+    mixing,
+    repeated_spans,
+    sorted_passes,
+    trie_bpe,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +76,19 @@ def op8_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie_bpe.digests(encoded)
 
 
+def op9_suffix_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What remains of every document without strings of 400 bytes that repeat."""
+    cut = repeated_spans.repeated_spans(_table(spark, sf_dir, "documents"), 400)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return cut.select(
+        "doc_id",
+        "n_bytes",
+        removed.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words taken from each document when sources weigh 5, 2, 1 in turn."""
     mixed = mixing.mix(_table(spark, sf_dir, "documents"), [5, 2, 1], most=3)
@@ -122,6 +143,7 @@ QUERIES = {
     "op5_feistel_sharding": op5_feistel_sharding,
     "op6_sorted_passes": op6_sorted_passes,
     "op8_trie_bpe": op8_trie_bpe,
+    "op9_suffix_merge": op9_suffix_merge,
     "op10_source_mixing": op10_source_mixing,
 }
 
