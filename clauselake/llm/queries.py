@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from clauselake.llm import (
     feistel,
+    hilbert_search,
     lsh_forest,
     mil_quality,
     mixing,
@@ -38,6 +39,13 @@ def op3_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsh_forest.similar_documents(_table(spark, sf_dir, "documents"))
 
 
+def op4_hilbert_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest embeddings of every twentieth one."""
+    return hilbert_search.nearest(
+        _table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20
+    )
+
+
 def op5_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents dealt to 40 shards of equal row counts."""
     data = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
@@ -140,6 +148,7 @@ FROM placed p JOIN passes t ON p.source IS NOT DISTINCT FROM t.source
 QUERIES = {
     "op2_mil_quality": op2_mil_quality,
     "op3_lsh_forest": op3_lsh_forest,
+    "op4_hilbert_search": op4_hilbert_search,
     "op5_feistel_sharding": op5_feistel_sharding,
     "op6_sorted_passes": op6_sorted_passes,
     "op8_trie_bpe": op8_trie_bpe,
