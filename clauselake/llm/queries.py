@@ -14,13 +14,34 @@ from clauselake.llm import (
     repeated_spans,
     sorted_passes,
     trie_bpe,
+    warc,
 )
+from clauselake.session import scratch_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives and read back from them."""
+    path = scratch_path(spark, "warc")
+    warc.write_archives(_table(spark, sf_dir, "pages"), path)
+    read = warc.records(warc.read_chunks(spark, path, payload=False))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP1_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n,
+                  sha1(coalesce(html, '')) AS d FROM pages),
+best AS (SELECT d, max(page_id) AS original FROM p WHERE n >= 1000 GROUP BY d)
+SELECT page_id, n AS payload_bytes, p.d AS payload_digest,
+       CASE WHEN page_id < original THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id < original THEN original END AS refers_to
+FROM p LEFT JOIN best ON p.d = best.d AND n >= 1000
+"""
+
+
 def op2_mil_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every whole document."""
     docs = _table(spark, sf_dir, "documents")
@@ -146,6 +167,7 @@ FROM placed p JOIN passes t ON p.source IS NOT DISTINCT FROM t.source
 """
 
 QUERIES = {
+    "op1_warc_chunks": op1_warc_chunks,
     "op2_mil_quality": op2_mil_quality,
     "op3_lsh_forest": op3_lsh_forest,
     "op4_hilbert_search": op4_hilbert_search,
@@ -156,4 +178,4 @@ QUERIES = {
     "op10_source_mixing": op10_source_mixing,
 }
 
-ORACLES = {"op10_source_mixing": OP10_SQL}
+ORACLES = {"op1_warc_chunks": OP1_SQL, "op10_source_mixing": OP10_SQL}
