@@ -11,6 +11,7 @@ from clauselake.llm import (
     lsh_forest,
     mil_quality,
     mixing,
+    preferences,
     repeated_spans,
     sorted_passes,
     trie_bpe,
@@ -92,6 +93,93 @@ def op6_sorted_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sorted_passes.near_duplicates(_table(spark, sf_dir, "embeddings"), 0.93)
 
 
+def paired_conversations(conversations: DataFrame) -> DataFrame:
+    """Every conversation as a preference pair.
+
+    Chosen is the conversation itself. Rejected keeps its turns up to number
+    ``conv_id % 4`` and goes on with the later turns of the conversation before it.
+    """
+    own = conversations.select(
+        F.col("conv_id").alias("pair_id"), "turn", "role", "text", (F.col("conv_id") % 4).alias("fork")
+    )
+    kept = own.filter("turn < fork")
+    others = own.filter("turn >= (pair_id + 1) % 4").withColumn("pair_id", F.col("pair_id") + 1)
+    return (
+        own.withColumn("side", F.lit("chosen"))
+        .union(kept.withColumn("side", F.lit("rejected")))
+        .union(others.withColumn("side", F.lit("rejected")))
+        .drop("fork")
+    )
+
+
+def op7_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompt and masked completions of all conversations, paired with their neighbours."""
+    pairs = preferences.preference_pairs(
+        paired_conversations(_table(spark, sf_dir, "conversations"))
+    )
+
+    def runs(mask: str) -> F.Column:
+        return F.array_join(
+            F.transform(
+                mask, lambda r: F.concat(r["start"].cast("string"), F.lit("-"), r["end"].cast("string"))
+            ),
+            ",",
+        )
+
+    return pairs.select(
+        "pair_id",
+        F.col("prompt_turns").cast("long").alias("prompt_turns"),
+        "prompt",
+        "chosen",
+        "rejected",
+        runs("chosen_mask").alias("chosen_mask"),
+        runs("rejected_mask").alias("rejected_mask"),
+    )
+
+
+OP7_SQL = """
+WITH sides AS (
+  SELECT conv_id AS pair_id, 'chosen' AS side, turn, role, text FROM conversations
+  UNION ALL
+  SELECT conv_id, 'rejected', turn, role, text FROM conversations WHERE turn < conv_id % 4
+  UNION ALL
+  SELECT conv_id + 1, 'rejected', turn, role, text FROM conversations
+  WHERE turn >= (conv_id + 1) % 4),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY pair_id, side
+            ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS place
+  FROM sides),
+forks AS (
+  SELECT pair_id, min(place) AS fork FROM (
+    SELECT coalesce(a.pair_id, b.pair_id) AS pair_id, coalesce(a.place, b.place) AS place
+    FROM (SELECT * FROM placed WHERE side = 'chosen') a
+    FULL JOIN (SELECT * FROM placed WHERE side = 'rejected') b
+      ON a.pair_id = b.pair_id AND a.place = b.place
+    WHERE a.pair_id IS NULL OR b.pair_id IS NULL OR a.role IS DISTINCT FROM b.role
+          OR a.text IS DISTINCT FROM b.text)
+  GROUP BY pair_id),
+parts AS (
+  SELECT p.pair_id, place, role,
+         CASE WHEN fork IS NULL OR place < fork THEN 'prompt' ELSE side END AS part,
+         '<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>'
+           || chr(10) AS r
+  FROM placed p LEFT JOIN forks f ON p.pair_id = f.pair_id
+  WHERE NOT ((fork IS NULL OR place < fork) AND side = 'rejected')),
+ended AS (
+  SELECT *, CAST(sum(length(r)) OVER (PARTITION BY pair_id, part ORDER BY place) AS BIGINT) AS e
+  FROM parts)
+SELECT pair_id, count(*) FILTER (part = 'prompt') AS prompt_turns,
+       coalesce(string_agg(r, '' ORDER BY place) FILTER (part = 'prompt'), '') AS prompt,
+       coalesce(string_agg(r, '' ORDER BY place) FILTER (part = 'chosen'), '') AS chosen,
+       coalesce(string_agg(r, '' ORDER BY place) FILTER (part = 'rejected'), '') AS rejected,
+       coalesce(string_agg((e - length(r)) || '-' || e, ',' ORDER BY place)
+         FILTER (part = 'chosen' AND role = 'assistant'), '') AS chosen_mask,
+       coalesce(string_agg((e - length(r)) || '-' || e, ',' ORDER BY place)
+         FILTER (part = 'rejected' AND role = 'assistant'), '') AS rejected_mask
+FROM ended GROUP BY pair_id
+"""
+
+
 def vocabulary() -> str:
     """The public vocabulary file that the encoding queries use."""
     import public_tokenizers
@@ -173,9 +261,14 @@ QUERIES = {
     "op4_hilbert_search": op4_hilbert_search,
     "op5_feistel_sharding": op5_feistel_sharding,
     "op6_sorted_passes": op6_sorted_passes,
+    "op7_preference_pairs": op7_preference_pairs,
     "op8_trie_bpe": op8_trie_bpe,
     "op9_suffix_merge": op9_suffix_merge,
     "op10_source_mixing": op10_source_mixing,
 }
 
-ORACLES = {"op1_warc_chunks": OP1_SQL, "op10_source_mixing": OP10_SQL}
+ORACLES = {
+    "op1_warc_chunks": OP1_SQL,
+    "op7_preference_pairs": OP7_SQL,
+    "op10_source_mixing": OP10_SQL,
+}
