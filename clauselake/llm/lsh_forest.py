@@ -105,6 +105,7 @@ def similar_documents(
     depth: int = 8,
     recall: float = 0.998,
     slack: float = 0.2,
+    walk_block: int = 256,
     block: int = 64,
     seed: int = 0,
 ) -> DataFrame:
@@ -167,7 +168,7 @@ def similar_documents(
                 near &= lo[:, None] != lo[None, :]
             yield from _forest(near, table["sid"].to_pylist())
 
-    met = block_pairs(nodes, ["tree", "prefix"], "sid", block)
+    met = block_pairs(nodes, ["tree", "prefix"], "sid", walk_block)
     candidates = components(
         dealt(met.join(classes.select("sid", "sig"), "sid"), ["tree", "prefix", "lo", "hi"], ["sid"])
         .mapInArrow(walk, "a binary, b binary")
