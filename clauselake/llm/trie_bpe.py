@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 END = "</w>"
-HELD = 400_000  # words, and chunks, that a worker remembers before it starts anew
+HELD = 100_000  # words, and chunks, that each half of a worker's memory holds
 # fixed values: the word pattern of the vocabulary file (as JSON), and what it comes to for
 # printable ASCII in lower case
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
@@ -50,16 +50,19 @@ class TrieEncoder:
         self.names.update({i: t for t, i in self.special.items()})
         listed = sorted(self.special, key=len, reverse=True)
         self.at_special = re.compile("(" + "|".join(map(re.escape, listed)) + ")") if listed else None
-        # tokens that encode to themselves, and the longest that ends with a symbol
-        self.sound = {t for t in self.ids if self._merge(self._symbols(t)) == [t]}
-        self.reach: dict[str, int] = {}
-        for token in self.sound:
-            symbols = self._symbols(token)
-            if len(symbols) > self.reach.get(symbols[-1], 0):
-                self.reach[symbols[-1]] = len(symbols)
+        # every end of a token that encodes to itself; true where it is such a token
+        self.tails: dict[str, bool] = {}
+        for token in self.ids:
+            if self._merge(self._symbols(token)) == [token]:
+                bare = token.removesuffix(END) if token != END else token
+                for i in range(1, len(bare)):
+                    self.tails.setdefault(token[i:], False)
+                self.tails[token] = True
         self.fits: dict[tuple[str, str], bool] = {}
         self.words: dict[str, tuple[bytes, str]] = {}
+        self.old_words: dict[str, tuple[bytes, str]] = {}
         self.chunks: dict[str, tuple[bytes, str]] = {"": (b"", "")}
+        self.old_chunks: dict[str, tuple[bytes, str]] = {}
 
     @staticmethod
     def _symbols(token: str) -> list[str]:
@@ -87,48 +90,49 @@ class TrieEncoder:
 
     def _last(self, path: str, end: str, before: list[str]) -> str:
         """Last token of ``path + end``; ``before[i]`` is the last token of ``path[:i]``."""
-        n, sound, fits = len(path), self.sound, self.fits
-        for at in range(max(0, n - self.reach[path[-1] + end]), n):
+        tails, fits, at, found = self.tails, self.fits, len(path), []
+        while at:
+            at -= 1
             token = path[at:] + end
-            if token in sound:
+            whole = tails.get(token)
+            if whole is None:
+                break
+            if whole:
                 if not at:
                     return token
-                if (known := fits.get((before[at], token))) is None:
-                    known = self._fits(before[at], token)
-                if known:
-                    return token
+                found.append((before[at], token))
+        for pair in reversed(found):
+            if (known := fits.get(pair)) is None:
+                known = self._fits(*pair)
+            if known:
+                return pair[1]
         raise ValueError(f"no token for {path[-1] + end!r}")
 
     def encode_words(self, words: set[str]) -> dict[str, list[str]]:
-        """Tokens of distinct words (in the byte alphabet), by one traversal of their trie."""
-        root: dict = {}
-        for word in words:
-            node = root
-            for symbol in word:
-                node = node.setdefault(symbol, {})
-            node[""] = word
+        """Tokens of distinct words (in the byte alphabet), by one traversal of their trie.
+
+        Sorted words are the leaves of their trie in depth-first order: from one to the
+        next the walk climbs to the end of their common prefix and goes down again.
+        ``before`` is the path's state, kept for the prefix that both share.
+        """
         out: dict[str, list[str]] = {}
-        before = [""]  # last token of every prefix of the current path
-        stack = [("", iter(root.items()))]
-        while stack:
-            path, children = stack[-1]
-            for symbol, node in children:
-                if symbol:
-                    longer = path + symbol
-                    # a leaf's word ends here, so only its closing token is needed
-                    closing = len(node) == 1 and "" in node
-                    before.append("" if closing else self._last(longer, "", before))
-                    stack.append((longer, iter(node.items())))
+        before, above = [""], ""
+        for word in sorted(words):
+            depth = 0
+            for x, y in zip(above, word, strict=False):
+                if x != y:
                     break
-                tokens = [self._last(path, END, before)]
-                at = len(path) - len(self._symbols(tokens[0]))
-                while at:
-                    tokens.append(before[at])
-                    at -= len(before[at])
-                out[node] = tokens[::-1]
-            else:
-                stack.pop()
-                before.pop()
+                depth += 1
+            del before[depth + 1 :]
+            for at in range(len(before), len(word)):
+                before.append(self._last(word[:at], "", before))
+            tokens = [self._last(word, END, before)]
+            at = len(word) - len(tokens[0]) + len(END)
+            while at:
+                tokens.append(before[at])
+                at -= len(before[at])
+            out[word] = tokens[::-1]
+            above = word
         return out
 
     def _split(self, chunk: str) -> list[str]:
@@ -137,13 +141,24 @@ class TrieEncoder:
         return [p for p, _ in self.pieces(self.normalize(chunk))]
 
     def learn(self, chunks: set[str]) -> None:
-        """Remember ids and token names of chunks of text without blanks between."""
-        split = {c: self._split(c) for c in chunks}
-        words = {w for ws in split.values() for w in ws}
-        new = words.difference(self.words)
-        if len(self.words) + len(new) > HELD:
-            self.words, new = {}, words
-        for word, tokens in self.encode_words(new).items():
+        """Remember ids and token names of chunks of text without blanks between.
+
+        When the memory is full the current half becomes the old one, from which what is
+        met again is taken over, and the old half goes.
+        """
+        if len(self.chunks) + len(chunks) > HELD:
+            self.old_chunks, self.chunks = self.chunks, {"": (b"", "")}
+        if len(self.words) + len(chunks) > HELD:
+            self.old_words, self.words = self.words, {}
+        again = chunks & self.old_chunks.keys()
+        for chunk in again:
+            self.chunks[chunk] = self.old_chunks[chunk]
+        split = {c: self._split(c) for c in chunks - again}
+        new = {w for ws in split.values() for w in ws}.difference(self.words)
+        again = new & self.old_words.keys()
+        for word in again:
+            self.words[word] = self.old_words[word]
+        for word, tokens in self.encode_words(new - again).items():
             ids = array("I", [self.ids[t] for t in tokens]).tobytes()
             self.words[word] = (ids, " ".join(tokens))
         for chunk, ws in split.items():
@@ -161,9 +176,8 @@ class TrieEncoder:
             seen = set().union(*(part for parts in some for part in parts[::2]))
             new = seen.difference(self.chunks)
             if new:
-                if len(self.chunks) + len(new) > HELD:
-                    self.chunks, new = {"": (b"", "")}, seen - {""}
-                self.learn(new)
+                full = len(self.chunks) + len(new) > HELD
+                self.learn(seen - {""} if full else new)
             for parts in some:
                 ids, names = [], []
                 for i, part in enumerate(parts):
@@ -203,11 +217,13 @@ def encoder(path: str) -> TrieEncoder:
     return _ENCODERS[path]
 
 
-def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def encode(
+    docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", decoded: bool = True
+) -> DataFrame:
     """``doc_id, ids, decoded`` for every row: whole text, in the row's own partition.
 
-    ``ids`` is binary (unsigned 32-bit, little-endian). A null or empty text has no ids.
-    Null ids and repeated rows are kept as they are; other columns are not carried. Words
+    Without ``decoded`` that column is null. ``ids`` is binary (unsigned 32-bit,
+    little-endian). A null or empty text has no ids. Null ids and repeated rows are kept as they are; other columns are not carried. Words
     are distinct per worker, so nothing is shuffled. ``path`` must be readable on every
     executor.
     """
@@ -221,7 +237,7 @@ def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
                     [
                         keys.slice(start, 256),
                         pa.array([d[0] for d in done], pa.large_binary()).cast(pa.binary()),
-                        pa.array([d[1] for d in done], pa.string()),
+                        pa.array([d[1] if decoded else None for d in done], pa.string()),
                     ],
                     names=["doc_id", "ids", "decoded"],
                 )
