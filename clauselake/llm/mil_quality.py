@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clauselake.llm.shingles import text_bytes
+
 PASSAGE = 512  # bytes
 BINS = 512  # hashed pairs of byte classes
 EXTRA = 8
@@ -275,25 +277,33 @@ def held_out(doc_id) -> F.Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``doc_id, score`` for every row; a null or empty text is a bag of one empty passage.
+def score(docs: DataFrame, model: Model, carry: list[str] | None = None) -> DataFrame:
+    """``doc_id, score`` and the columns named in ``carry``, for every row.
 
-    Null ids and repeated rows are kept; other columns are not carried. The weights are
-    some tens of kilobytes and travel with the function.
+    A null or empty text is a bag of one empty passage. Null ids and repeated rows are
+    kept; columns not named are not carried. The weights are some tens of kilobytes and
+    travel with the function.
     """
+    carry = carry or []
+    names = [f"c{i}" for i in range(len(carry))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 2000):
                 part = batch.slice(i, 2000)
-                texts = pa.concat_arrays([part.column(1).fill_null("")]).cast(pa.large_binary())
-                offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)
-                offsets = offsets[texts.offset : texts.offset + len(texts) + 1]
-                held = texts.buffers()[2]
-                data = np.frombuffer(held, dtype=np.uint8) if held else np.zeros(0, np.uint8)
+                data, offsets = text_bytes(part.column(1))
                 found = pa.array(model.scores(data, offsets), pa.float64())
-                yield pa.RecordBatch.from_arrays([part.column(0), found], names=["doc_id", "score"])
-
-    slim = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    kind = slim.schema["doc_id"].dataType.simpleString()
-    return slim.mapInArrow(run, f"doc_id {kind}, score double")
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), found, *part.columns[2:]], names=["doc_id", "score", *names]
+                )
+
+    slim = docs.select(
+        "doc_id",
+        F.col("text").cast("string").alias("text"),
+        *[F.col(c).alias(n) for c, n in zip(carry, names, strict=True)],
+    )
+    kinds = {f.name: f.dataType.simpleString() for f in slim.schema}
+    listed = [f"doc_id {kinds['doc_id']}", "score double", *[f"{n} {kinds[n]}" for n in names]]
+    return slim.mapInArrow(run, ", ".join(listed)).select(
+        "doc_id", "score", *[F.col(n).alias(c) for n, c in zip(names, carry, strict=True)]
+    )

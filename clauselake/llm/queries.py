@@ -254,6 +254,13 @@ SELECT doc_id, size, source_size, target,
 FROM placed p JOIN passes t ON p.source IS NOT DISTINCT FROM t.source
 """
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of the pipeline at the top of the repository."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_warc_chunks": op1_warc_chunks,
     "op2_mil_quality": op2_mil_quality,
@@ -265,6 +272,7 @@ QUERIES = {
     "op8_trie_bpe": op8_trie_bpe,
     "op9_suffix_merge": op9_suffix_merge,
     "op10_source_mixing": op10_source_mixing,
+    "pipeline": pipeline,
 }
 
 ORACLES = {

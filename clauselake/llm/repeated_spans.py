@@ -270,13 +270,15 @@ def repeated_spans(
     doc_id: str = "doc_id",
     text: str = "text",
     carry: list[str] | None = None,
+    as_text: bool = False,
     gram: int = 128,
 ) -> DataFrame:
     """One row per row: ``doc_id``, carried columns, ``n_bytes, spans, kept``.
 
     ``spans`` are the maximal removed runs ``(start, end)`` in bytes: every byte under a
     string of ``length`` bytes that also starts elsewhere, in the same text or another.
-    ``kept`` is binary: the other bytes, joined. A null text counts as empty. Repeated
+    ``kept`` is binary: the other bytes, joined; with ``as_text`` it is a string, without
+    the characters that a run cuts through. A null text counts as empty. Repeated
     rows are places of their own, so their texts repeat each other; null ids are allowed.
     Columns named in ``carry`` come along unchanged, others do not. An empty table gives
     an empty table. ``docs`` is read three times: pass a table, not a long computation.
@@ -431,13 +433,17 @@ def repeated_spans(
                 stops = [0, *(x for r in joined for x in r), len(whole)]
                 sizes.append(len(whole))
                 spans.append([{"start": a, "end": b} for a, b in joined])
-                kept.append(b"".join(whole[a:b] for a, b in zip(stops[::2], stops[1::2], strict=True)))
+                pieces = [whole[a:b] for a, b in zip(stops[::2], stops[1::2], strict=True)]
+                if as_text:
+                    kept.append("".join(p.decode("utf-8", "ignore") for p in pieces))
+                else:
+                    kept.append(b"".join(pieces))
             yield pa.RecordBatch.from_arrays(
                 [
                     *batch.columns[2:],
                     pa.array(sizes, pa.int64()),
                     pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                    pa.array(kept, pa.binary()),
+                    pa.array(kept, pa.string() if as_text else pa.binary()),
                 ],
                 names=["doc_id", *names, "n_bytes", "spans", "kept"],
             )
@@ -448,7 +454,8 @@ def repeated_spans(
         .mapInArrow(
             remove,
             ", ".join([f"doc_id {kind}", *kinds, "n_bytes long",
-                       "spans array<struct<start:bigint,end:bigint>>", "kept binary"]),
+                       "spans array<struct<start:bigint,end:bigint>>",
+                       "kept string" if as_text else "kept binary"]),
         )
     )
     return out.select(
