@@ -52,15 +52,8 @@ MAX_ANCHOR_CHARS = 120
 DIFF_BATCH = 5
 DIFF_SIDE_CHARS = 600
 MAX_ATTEMPTS = 2
-MAX_SUMMARY_FIELD = 1000
-MAX_RATIONALE = 4000
-MAX_ASK = 2000
-MAX_EDIT_TEXT = 4000
-MAX_EDIT_COMMENT = 1000
-MAX_REASON = 500
-MAX_ERROR_LINES = 10
-MAX_ERROR_CHARS = 2000
-MAX_ASKS = 12
+FINDING_LENGTHS = {"summary": 1000, "rationale": 4000, "negotiation_ask": 2000}
+EDIT_LENGTHS = {"original_text": 4000, "revised_text": 4000, "comment": 1000}
 DEFAULT_QUOTA = 8
 RETENTION_DAYS = 30
 LOCKOUT_WINDOW_SECONDS = 15 * 60
@@ -98,6 +91,10 @@ PII_PATTERNS = [
 # a phone must carry the optional digit groups (option, see operators.redact)
 STRICT_PHONE = r"(?<!\d)(\+62|62|0)[0-9](?:[0-9\s\-]{4,11}[0-9])(?!\d)"
 
+# --- fixed values: where an answer holds its JSON ---------------------------------
+JSON_FENCE = r"```(?:json)?\s*([\s\S]+?)\s*```"
+JSON_BRACES = r"\{[\s\S]+\}"
+
 # --- fixed values: labels printed into requests and notes -------------------------
 CLAUSE_LABEL = "Klausul"
 SUBITEM_LABEL = "Ayat"
@@ -120,7 +117,7 @@ TASK_LINE = "Analisis kontrak ini untuk domain:"
 ANONYMOUS = "Tanpa nama"
 ANCHOR_LABEL = "terkait teks"
 CHANGE_LABELS = {
-    "added": "Klausul ditambahkan",
+    "added": "Klausul baru ditambahkan",
     "removed": "Klausul dihapus",
     "modified": "Klausul diubah",
 }

@@ -52,9 +52,12 @@ def running_total(
 
 
 def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The row with the greatest ``order`` per key, as a map-side combinable aggregate."""
-    rest = [c for c in df.columns if c not in keys]
-    best = F.max_by(F.struct(*rest), F.struct(*order)).alias("_row")
+    """The row with the greatest ``order`` per key, as a map-side combinable aggregate.
+
+    The rest of a row follows its order values; of rows alike in those the greatest counts.
+    """
+    rest = [c for c in df.columns if c not in keys and c not in order]
+    best = F.max(F.struct(*order, *rest)).alias("_row")
     return df.groupBy(*keys).agg(best).select(*keys, "_row.*").select(*df.columns)
 
 

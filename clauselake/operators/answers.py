@@ -8,25 +8,27 @@ unless the session allows duplicate keys (then the last one wins).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clauselake import constants as K
 from clauselake.functions.text import let, strip
 
-FENCE = r"```(?:json)?\s*([\s\S]+?)\s*```"
-BRACES = r"\{[\s\S]+\}"
+END_MARK = '"#end"'
 
 
 def parse_strict(c: Column) -> Column:
     """The whole string as one JSON value, else null.
 
-    Wrapped in brackets first: the parser alone would accept text after a value.
+    Wrapped in an array with an end mark first: the parser alone would accept text after
+    a value. The array must hold the value and the mark, and nothing else; a value that
+    closes the array itself leaves the mark outside, and is none.
     """
     return let(
-        F.try_parse_json(F.concat(F.lit("["), c, F.lit("]"))),
+        F.try_parse_json(F.concat(F.lit("["), c, F.lit(f",{END_MARK}]"))),
         lambda v: F.when(
-            F.size(F.try_variant_get(v, "$", "array<variant>")) == 1,
+            (F.size(F.try_variant_get(v, "$", "array<variant>")) == 2)
+            & (F.try_variant_get(v, "$[1]", "string") == END_MARK.strip('"')),
             F.variant_get(v, "$[0]", "variant"),
         ),
     )
@@ -48,8 +50,8 @@ def answer_value(content: Column) -> Column:
     """Whole string, else a fenced block, else from the first to the last brace."""
 
     def first_parsable(clean: Column) -> Column:
-        fenced = F.nullif(F.regexp_extract(clean, FENCE, 1), F.lit(""))
-        braced = F.nullif(F.regexp_extract(clean, BRACES, 0), F.lit(""))
+        fenced = F.nullif(F.regexp_extract(clean, K.JSON_FENCE, 1), F.lit(""))
+        braced = F.nullif(F.regexp_extract(clean, K.JSON_BRACES, 0), F.lit(""))
         return F.coalesce(parse_strict(clean), parse_strict(fenced), parse_strict(braced))
 
     return let(strip(content), first_parsable)
@@ -142,28 +144,27 @@ def resolve_clause(answers: DataFrame, clauses: DataFrame) -> DataFrame:
     return answers.join(found, "request_id", "left")
 
 
-def persist_findings(findings: DataFrame) -> DataFrame:
-    """Valid findings with stored lengths; type ``none`` leaves no row."""
+def _sized(df: DataFrame, usual: dict[str, int], cut: bool) -> DataFrame:
+    """``oversized`` marks rows with a text beyond its usual length; ``cut`` shortens them."""
+    over = F.lit(False)
+    for name, size in usual.items():
+        over = over | F.coalesce(F.length(name) > size, F.lit(False))
+    marked = df.withColumn("oversized", over)
+    if not cut:
+        return marked
+    return marked.withColumns({c: F.substring(c, 1, n) for c, n in usual.items()})
+
+
+def persist_findings(findings: DataFrame, cut: bool = False) -> DataFrame:
+    """Valid findings; type ``none`` leaves no row. Texts stay whole unless ``cut`` is asked for."""
     kept = findings.filter((F.col("finding_status") == "ok") & (F.col("finding_type") != "none"))
-    return kept.withColumns(
-        {
-            "summary": F.substring("summary", 1, K.MAX_SUMMARY_FIELD),
-            "rationale": F.substring("rationale", 1, K.MAX_RATIONALE),
-            "negotiation_ask": F.substring("negotiation_ask", 1, K.MAX_ASK),
-        }
-    )
+    return _sized(kept, K.FINDING_LENGTHS, cut)
 
 
-def persist_edits(edits: DataFrame, findings: DataFrame) -> DataFrame:
-    """Edits of stored findings, with stored lengths."""
+def persist_edits(edits: DataFrame, findings: DataFrame, cut: bool = False) -> DataFrame:
+    """Edits of stored findings; texts stay whole unless ``cut`` is asked for."""
     kept = edits.join(persist_findings(findings).select("request_id"), "request_id", "left_semi")
-    return kept.withColumns(
-        {
-            "original_text": F.substring("original_text", 1, K.MAX_EDIT_TEXT),
-            "revised_text": F.substring("revised_text", 1, K.MAX_EDIT_TEXT),
-            "comment": F.substring("comment", 1, K.MAX_EDIT_COMMENT),
-        }
-    )
+    return _sized(kept, K.EDIT_LENGTHS, cut)
 
 
 def parse_materiality(batches: DataFrame) -> DataFrame:
@@ -204,7 +205,7 @@ def parse_materiality(batches: DataFrame) -> DataFrame:
             F.when(ok, "ok").otherwise("failed").alias("status"),
             F.when(~F.col("_usable"), K.UNPARSABLE_BATCH)
             .when(item.isNull(), K.MISSING_ANSWER)
-            .when(ok, F.substring(reason, 1, K.MAX_REASON))
+            .when(ok, reason)
             .when(value == "", K.MISSING_CLASS)
             .otherwise(F.concat(F.lit(K.OUT_OF_VOCABULARY + ": '"), value, F.lit("'")))
             .alias("reason"),
@@ -229,30 +230,32 @@ def _first_state() -> Column:
 
 
 def _performed(responses: DataFrame) -> DataFrame:
-    """Round-trips that the retry rule allows: the second only after a parse failure.
+    """All round-trips; ``expected`` tells those that the retry rule allows: the first, and
+    the second after a parse failure.
 
-    A request has at most ``MAX_ATTEMPTS`` rows here, and only the small columns
-    are moved to bring them together; contents and parsed answers stay behind.
+    The first state of a request is a maximum that combines before the shuffle; only
+    small columns move, contents and parsed answers stay behind.
     """
-    tried = _attempt_state(responses).filter(F.col("attempt") <= K.MAX_ATTEMPTS)
-    small = tried.select(
+    small = _attempt_state(responses).select(
         "request_id", "attempt", "domain", "state", "input_tokens", "output_tokens", "model"
     )
-    first = _first_state().over(Window.partitionBy("request_id"))
-    return small.withColumn("_first", first).filter(
-        (F.col("attempt") == 1) | (F.col("_first") == "parse")
+    first = small.groupBy("request_id").agg(_first_state().alias("_first"))
+    second = (F.col("attempt") == 2) & (F.col("_first") == "parse")
+    return small.join(first, "request_id").withColumn(
+        "expected", F.coalesce((F.col("attempt") == 1) | second, F.lit(False))
     )
 
 
 def resolve_attempts(responses: DataFrame) -> DataFrame:
     """Outcome per request: a call error fails at once, a parse error retries once.
 
-    One aggregate over the states; answers are parsed once.
+    One aggregate over the states; answers are parsed once. ``surplus`` counts round-trips
+    that the rule does not ask for; they change nothing, and are metered all the same.
     """
-    states = _attempt_state(responses).filter(F.col("attempt") <= K.MAX_ATTEMPTS)
+    states = _attempt_state(responses)
     second = F.max(F.when(F.col("attempt") == 2, F.col("state")))
     both = states.groupBy("request_id").agg(
-        _first_state().alias("_first"), second.alias("_second")
+        _first_state().alias("_first"), second.alias("_second"), F.count(F.lit(1)).alias("_rows")
     )
     retried = (F.col("_first") == "parse") & F.col("_second").isNotNull()
     last = F.when(retried, F.col("_second")).otherwise(F.col("_first"))
@@ -263,11 +266,15 @@ def resolve_attempts(responses: DataFrame) -> DataFrame:
         F.when(last == "ok", attempts).alias("winner"),
         F.when(last == "ok", "ok").otherwise("failed").alias("status"),
         F.when(last != "ok", last).alias("failure"),
+        (F.col("_rows") - attempts).alias("surplus"),
     )
 
 
 def meter_attempts(responses: DataFrame) -> DataFrame:
-    """One usage row per round-trip. Failed calls have no tokens; billed failures keep theirs."""
+    """One usage row per round-trip. Failed calls have no tokens; billed failures keep theirs.
+
+    Round-trips beyond the retry rule were billed too: their status is ``surplus``.
+    """
     stage = F.when(F.col("state") == "call", F.concat(F.lit("llm_call:"), "domain")).when(
         F.col("state") == "parse", F.concat(F.lit("json_parse:"), "domain")
     )
@@ -277,8 +284,11 @@ def meter_attempts(responses: DataFrame) -> DataFrame:
         "attempt",
         F.when(billed, F.col("input_tokens")).alias("input_tokens"),
         F.when(billed, F.col("output_tokens")).alias("output_tokens"),
-        F.when(billed, F.substring("model", 1, 100)).alias("model"),
-        F.when(F.col("state") == "ok", "ok").otherwise("failed").alias("status"),
+        F.when(billed, F.col("model")).alias("model"),
+        F.when(~F.col("expected"), "surplus")
+        .when(F.col("state") == "ok", "ok")
+        .otherwise("failed")
+        .alias("status"),
         stage.alias("failure_stage"),
     )
 

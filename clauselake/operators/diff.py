@@ -7,24 +7,14 @@ before_text, after_text``.
 
 from __future__ import annotations
 
-import difflib
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from clauselake import constants as K
 from clauselake.functions.running import running_total
 from clauselake.functions.text import strip
 from clauselake.operators.segment import reference
 
-BLOCK = T.StructType(
-    [T.StructField("kind", T.StringType())]
-    + [T.StructField(name, T.IntegerType()) for name in ("i1", "i2", "j1", "j2")]
-)
-
-
 def prior_version(versions: DataFrame) -> DataFrame:
     """Version n with n-1 of the same document; a gap in the numbers has no prior."""
     prior = versions.select(
@@ -35,92 +25,109 @@ def prior_version(versions: DataFrame) -> DataFrame:
     return versions.join(prior, ["document_id", "version_no"], "left")
 
 
-def _matching_blocks(old: Column, new: Column) -> Column:
-    """Longest matching block first, then both sides of it; nothing counts as junk.
-
-    The function is built here so that it travels to the workers by value.
-    """
-
-    def changed(a: pd.Series, b: pd.Series) -> pd.Series:
-        names = ("kind", "i1", "i2", "j1", "j2")
-        out = []
-        for x, y in zip(a, b):
-            codes = difflib.SequenceMatcher(None, list(x), list(y), autojunk=False).get_opcodes()
-            out.append([dict(zip(names, c)) for c in codes if c[0] != "equal"])
-        return pd.Series(out)
-
-    return F.pandas_udf(changed, T.ArrayType(BLOCK))(old, new)
+def _sides(pairs: DataFrame, clauses: DataFrame) -> DataFrame:
+    """``pair_id, side, ordinal, key`` of pairs with clauses on both sides; no text moves."""
+    keys = clauses.select(
+        F.col("version_id").alias("_v"),
+        "ordinal",
+        F.concat(F.xxhash64("text"), F.lit(":"), F.length("text")).alias("key"),
+    )
+    sides = F.array(
+        F.struct(F.lit("old").alias("side"), F.col("from_version").alias("_v")),
+        F.struct(F.lit("new").alias("side"), F.col("to_version").alias("_v")),
+    )
+    filled = clauses.select(F.col("version_id").alias("_v")).distinct()
+    both = pairs
+    for c in ("from_version", "to_version"):
+        both = both.join(filled.withColumnRenamed("_v", c), c, "left_semi")
+    return both.select("pair_id", F.inline(sides)).join(keys, "_v").drop("_v")
 
 
-def clause_keys(clauses: DataFrame) -> DataFrame:
-    """Ordered clause hashes per version: one fixed-size key per clause, no text.
+def _anchors(sides: DataFrame) -> DataFrame:
+    """``pair_id, old_ordinal, new_ordinal`` of the unchanged clauses that hold the order.
 
-    A version is one contract, whose size the intake gate bounds, so its keys
-    (not its text) fit a row.
+    Candidates are texts that occur once on either side. Where they change order, the
+    smaller group of movers (later or earlier, within the stretch that the move spans)
+    gives way; what still crosses another candidate is no anchor.
     """
-    key = F.concat(F.xxhash64("text"), F.lit(":"), F.length("text"))
-    packed = clauses.groupBy("version_id").agg(
-        F.array_sort(F.collect_list(F.struct("ordinal", key.alias("key")))).alias("_c")
+    old, new = F.col("side") == "old", F.col("side") == "new"
+    once = (
+        sides.groupBy("pair_id", "key")
+        .agg(
+            F.count_if(old).alias("_n_old"),
+            F.count_if(new).alias("_n_new"),
+            F.max(F.when(old, F.col("ordinal"))).alias("old_ordinal"),
+            F.max(F.when(new, F.col("ordinal"))).alias("new_ordinal"),
+        )
+        .filter("_n_old = 1 AND _n_new = 1")
     )
-    return packed.select(
-        "version_id", F.col("_c.key").alias("keys"), F.col("_c.ordinal").alias("ordinals")
+    by_old = Window.partitionBy("pair_id").orderBy("old_ordinal")
+    by_new = Window.partitionBy("pair_id").orderBy("new_ordinal")
+    before = by_old.rowsBetween(Window.unboundedPreceding, -1)
+    after = by_old.rowsBetween(1, Window.unboundedFollowing)
+    shift = once.withColumn("_shift", F.row_number().over(by_new) - F.row_number().over(by_old))
+    # the sum of shifts is zero exactly where both sides have had the same clauses
+    level = shift.withColumn("_level", F.sum("_shift").over(by_old) == 0)
+    stretch = level.withColumn("_stretch", F.coalesce(F.count_if("_level").over(before), F.lit(0)))
+    inside = Window.partitionBy("pair_id", "_stretch")
+    later, earlier = F.count_if(F.col("_shift") > 0), F.count_if(F.col("_shift") < 0)
+    weighed = stretch.withColumns({"_later": later.over(inside), "_earlier": earlier.over(inside)})
+    few_later = F.col("_later") <= F.col("_earlier")
+    mover = F.when(few_later, F.col("_shift") > 0).otherwise(F.col("_shift") < 0)
+    stay = weighed.filter(~mover).withColumns(
+        {
+            "_most": F.max("new_ordinal").over(before),
+            "_least": F.min("new_ordinal").over(after),
+        }
+    )
+    crossed = (F.col("_most") > F.col("new_ordinal")) | (F.col("_least") < F.col("new_ordinal"))
+    return stay.filter(~F.coalesce(crossed, F.lit(False))).select(
+        "pair_id", "old_ordinal", "new_ordinal"
     )
 
 
 def align_clauses(pairs: DataFrame, clauses: DataFrame) -> DataFrame:
-    """Changed blocks per pair: ``kind`` (insert, delete, replace) with the ordinals of both sides.
+    """Changed places per pair: ``block_no, place, old_ordinal, new_ordinal``.
 
-    Pairs whose key lists are equal never reach the matcher. Pairs without clauses
-    on one side are left out: nothing was extracted there.
+    Unchanged clauses that hold the order (see ``_anchors``) cut both sides into blocks;
+    ``block_no`` is the number of anchors before it. Inside a block both sides are
+    paired by place, and equal texts at one place are no change. Pairs without clauses
+    on one side are left out: nothing was extracted there. A pair is two files of the
+    intake size; its keys pass through windows in order and are never gathered.
     """
-    keys = clause_keys(clauses)
-    old = keys.toDF("from_version", "_old", "_old_ord")
-    new = keys.toDF("to_version", "_new", "_new_ord")
-    both = pairs.join(old, "from_version").join(new, "to_version").filter("_old <> _new")
-    blocks = both.withColumn("_blocks", _matching_blocks(F.col("_old"), F.col("_new")))
-    rows = blocks.select(
-        "pair_id",
-        "from_version",
-        "to_version",
-        "_old_ord",
-        "_new_ord",
-        F.posexplode_outer("_blocks").alias("_pos", "_b"),
-    ).filter("_pos is not null")
-    side = lambda c, lo, hi: F.slice(
-        c, F.col(f"_b.{lo}") + 1, F.col(f"_b.{hi}") - F.col(f"_b.{lo}")
+    sides = _sides(pairs, clauses)
+    anchors = _anchors(sides)
+    marks = anchors.select("pair_id", F.lit("old").alias("side"), F.col("old_ordinal").alias("ordinal")).union(
+        anchors.select("pair_id", F.lit("new"), "new_ordinal")
     )
-    return rows.select(
-        "pair_id",
-        "from_version",
-        "to_version",
-        (F.col("_pos") + 1).alias("block_no"),
-        F.col("_b.kind").alias("kind"),
-        side("_old_ord", "i1", "i2").alias("old_ordinals"),
-        side("_new_ord", "j1", "j2").alias("new_ordinals"),
+    flagged = sides.join(
+        marks.withColumn("_anchor", F.lit(True)), ["pair_id", "side", "ordinal"], "left"
+    ).withColumn("_anchor", F.coalesce("_anchor", F.lit(False)))
+    upto = Window.partitionBy("pair_id", "side").orderBy("ordinal")
+    blocks = flagged.withColumn("block_no", F.count_if("_anchor").over(upto).cast("int"))
+    inside = Window.partitionBy("pair_id", "side", "block_no").orderBy("ordinal")
+    placed = blocks.filter(~F.col("_anchor")).withColumn("place", F.row_number().over(inside))
+    at = ["pair_id", "block_no", "place"]
+    side = lambda name: placed.filter(F.col("side") == name).select(
+        *at, F.col("ordinal").alias(f"{name}_ordinal"), F.col("key").alias(f"_{name}_key")
+    )
+    changed = (
+        side("old").join(side("new"), at, "full").filter(~F.col("_old_key").eqNullSafe(F.col("_new_key")))
+    )
+    versions = pairs.select("pair_id", "from_version", "to_version")
+    return changed.join(versions, "pair_id").select(
+        "pair_id", "from_version", "to_version", "block_no", "place", "old_ordinal", "new_ordinal"
     )
 
 
-def pair_replaced(blocks: DataFrame) -> DataFrame:
-    """Pairs inside a block by position; leftovers are removed or added."""
-    places = F.arrays_zip("old_ordinals", "new_ordinals")
-    rows = blocks.select(
-        "pair_id", "from_version", "to_version", "block_no", F.posexplode(places).alias("_pos", "_p")
-    )
+def pair_replaced(places: DataFrame) -> DataFrame:
+    """Both sides present: modified; leftovers of a block are removed or added."""
     kind = (
-        F.when(F.col("_p.old_ordinals").isNull(), "added")
-        .when(F.col("_p.new_ordinals").isNull(), "removed")
+        F.when(F.col("old_ordinal").isNull(), "added")
+        .when(F.col("new_ordinal").isNull(), "removed")
         .otherwise("modified")
     )
-    return rows.select(
-        "pair_id",
-        "from_version",
-        "to_version",
-        "block_no",
-        (F.col("_pos") + 1).alias("place"),
-        F.col("_p.old_ordinals").alias("old_ordinal"),
-        F.col("_p.new_ordinals").alias("new_ordinal"),
-        kind.alias("change_kind"),
-    )
+    return places.withColumn("change_kind", kind)
 
 
 def drop_whitespace_changes(changes: DataFrame) -> DataFrame:
@@ -229,36 +236,35 @@ def choose_diff_source(pairs: DataFrame, revisions: DataFrame, text_diff: DataFr
 def anchor_comments(ranges: DataFrame, runs: DataFrame, bucket: int = 64) -> DataFrame:
     """Text inside each comment's range; an open or empty range stays unresolved.
 
-    ``ranges``: ``doc_id, comment_id, start_pos, end_pos``. The interval join is an
-    equi-join on blocks of positions: runs are packed into blocks of at most
-    ``bucket`` of them, a range lists the blocks it touches and takes its part of
-    each one in the row. The join then moves blocks, not single runs, and a long
-    document is spread over its blocks. Deleted runs carry no visible text.
+    ``ranges``: ``doc_id, comment_id, start_pos, end_pos``. Runs are packed into blocks of
+    ``bucket`` positions, each with its whole visible text; a range lists the blocks it
+    touches, takes inner blocks whole and looks at single runs only in the blocks at its
+    two ends. Deleted runs carry no visible text. A range that is given twice comes once.
     """
-    closed = ranges.filter("end_pos is not null and end_pos >= start_pos")
+    closed = F.coalesce(F.col("end_pos") >= F.col("start_pos"), F.lit(False))
     first, last = F.floor(F.col("start_pos") / bucket), F.floor(F.col("end_pos") / bucket)
-    touched = closed.select(
-        "doc_id", "comment_id", "start_pos", "end_pos", F.explode(F.sequence(first, last)).alias("_b")
+    touched = ranges.select(
+        "*", F.explode_outer(F.when(closed, F.sequence(first, last))).alias("_b")
     )
+    visible = F.struct("pos", "text")
     blocks = (
         runs.filter(~F.col("kind").eqNullSafe("del"))
         .groupBy("doc_id", F.floor(F.col("pos") / bucket).alias("_b"))
-        .agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("_r"))
+        .agg(F.array_sort(F.collect_list(visible)).alias("_r"))
+        .withColumn("_whole", F.array_join("_r.text", ""))
     )
     inside = F.filter("_r", lambda r: r["pos"].between(F.col("start_pos"), F.col("end_pos")))
-    part = F.array_join(F.transform(inside, lambda r: r["text"]), "")
-    parts = touched.join(blocks, ["doc_id", "_b"]).select(
-        "doc_id", "comment_id", F.struct("_b", part.alias("part")).alias("_p")
-    )
-    anchors = parts.groupBy("doc_id", "comment_id").agg(
-        F.array_sort(F.collect_list("_p")).alias("_t")
+    edge = (F.col("_b") == first) | (F.col("_b") == last)
+    part = F.when(edge, F.array_join(F.transform(inside, lambda r: r["text"]), "")).otherwise(
+        F.col("_whole")
     )
-    text = strip(F.array_join(F.transform("_t", lambda t: t["part"]), ""))
-    resolved = closed.select("doc_id", "comment_id").join(anchors, ["doc_id", "comment_id"], "left")
-    resolved = resolved.select(
-        "doc_id", "comment_id", F.coalesce(text, F.lit("")).alias("anchor_text")
+    parts = touched.join(blocks, ["doc_id", "_b"], "left").withColumn("_part", part)
+    gathered = parts.groupBy(*ranges.columns).agg(
+        F.array_sort(F.collect_set(F.struct("_b", "_part"))).alias("_t")
     )
-    return ranges.join(resolved, ["doc_id", "comment_id"], "left")
+    text = strip(F.array_join(F.transform("_t", lambda t: t["_part"]), ""))
+    closed_row = F.coalesce(F.col("end_pos") >= F.col("start_pos"), F.lit(False))
+    return gathered.select(*ranges.columns, F.when(closed_row, text).alias("anchor_text"))
 
 
 def order_comments(comments: DataFrame) -> DataFrame:
@@ -284,12 +290,14 @@ def diff_counts(diffs: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def diff_order(diffs: DataFrame) -> DataFrame:
-    """Material and unclassified changes first, then by reference, missing references last."""
+    """``display_rank``: material and unclassified changes are 1, the others 2.
+
+    A pair is shown by this rank, then by reference, missing references last; the sort is
+    left to whoever shows a pair.
+    """
     urgent = (F.col("materiality") == "material") | (F.col("classification_status") == "failed")
     rank = F.when(F.coalesce(urgent, F.lit(False)), 1).otherwise(2)
-    return diffs.withColumn("display_rank", rank).orderBy(
-        "pair_id", "display_rank", F.col("clause_ref").asc_nulls_last()
-    )
+    return diffs.withColumn("display_rank", rank)
 
 
 def display_bucket(diffs: DataFrame) -> DataFrame:

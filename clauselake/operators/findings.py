@@ -8,11 +8,11 @@ flag_id, job_id, basis``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clauselake import constants as K
-from clauselake.functions.running import latest
+from clauselake.functions.running import latest, running_total
 
 def _accepted(value: bool) -> Column:
     return F.col("accepted").eqNullSafe(value)
@@ -32,9 +32,14 @@ def findings_of_jobs(findings: DataFrame, jobs: DataFrame) -> DataFrame:
 
 
 def order_by_severity(findings: DataFrame) -> DataFrame:
-    """Display order per job; the sort keys stay in the rows."""
+    """``severity_rank`` and ``place``, the finding's place in its job's display order.
+
+    The order is a column, not a sort of the table: the next step would lose that.
+    """
     ranked = findings.withColumn("severity_rank", severity_rank())
-    return ranked.orderBy("job_id", "severity_rank", "created_at", "flag_id")
+    keys = ["severity_rank", "created_at", "flag_id"]
+    places = running_total(ranked.select("job_id", *keys), ["job_id"], keys, F.lit(1), "place")
+    return ranked.join(places.select("flag_id", "place"), "flag_id")
 
 
 def findings_nested(findings: DataFrame, edits: DataFrame, citations: DataFrame) -> DataFrame:
@@ -90,10 +95,10 @@ def exportable_edits(edits: DataFrame, accepted_only: bool = False) -> DataFrame
     return edits.filter(_accepted(True) if accepted_only else ~_accepted(False))
 
 
-def actionable_asks(findings: DataFrame, limit: int = K.MAX_ASKS) -> DataFrame:
-    """The asks of a job's negotiation letter, first ``limit`` in severity order.
+def actionable_asks(findings: DataFrame, limit: int | None = None) -> DataFrame:
+    """The asks for a job's negotiation letter, numbered in severity order.
 
-    Findings with an ask, not absent, at least medium; a job without any such
+    All of them unless the caller sets a ``limit``. Findings with an ask, not absent, at least medium; a job without any such
     falls back to all its findings with an ask.
     """
     asked = findings.filter(F.coalesce("negotiation_ask", F.lit("")) != "").withColumn(
@@ -105,11 +110,12 @@ def actionable_asks(findings: DataFrame, limit: int = K.MAX_ASKS) -> DataFrame:
     )
     has_strong = asked.groupBy("job_id").agg(F.max("_strong").alias("_any"))
     chosen = asked.join(has_strong, "job_id").filter(F.col("_strong") | ~F.col("_any"))
-    order = Window.partitionBy("job_id").orderBy("_severity", "created_at", "flag_id")
-    ranked = chosen.withColumn("_severity", severity_rank()).withColumn(
-        "ask_no", F.row_number().over(order)
-    )
-    return ranked.filter(F.col("ask_no") <= limit).select(
+    keys = ["_severity", "created_at", "flag_id"]
+    ranked = chosen.withColumn("_severity", severity_rank())
+    numbers = running_total(ranked.select("job_id", *keys), ["job_id"], keys, F.lit(1), "ask_no")
+    if limit is not None:
+        numbers = numbers.filter(F.col("ask_no") <= limit)
+    return ranked.join(numbers.select("flag_id", F.col("ask_no").cast("int")), "flag_id").select(
         "job_id", "ask_no", "flag_id", "severity", "summary", "negotiation_ask"
     )
 
@@ -130,7 +136,7 @@ def find_by_reference(findings: DataFrame, references: DataFrame) -> DataFrame:
 
 
 def document_list(documents: DataFrame, versions: DataFrame, jobs: DataFrame) -> DataFrame:
-    """Live documents with version count, latest version and that version's latest job, newest first.
+    """Live documents with version count, latest version and that version's latest job.
 
     Versions are reduced to one row per document first, jobs to one row per
     latest version; both are aggregates, so a long history costs no ranking.
@@ -162,13 +168,13 @@ def document_list(documents: DataFrame, versions: DataFrame, jobs: DataFrame) ->
         "latest_version_no",
         "latest_job_id",
         "latest_job_state",
-    ).orderBy("user_id", F.desc("created_at"), "document_id")
+    )
 
 
 def version_history(documents: DataFrame, versions: DataFrame) -> DataFrame:
-    """Versions of live documents, newest first."""
+    """Versions of live documents; ``version_no`` is their order."""
     live = documents.filter("deleted_at is null").select("document_id", "user_id")
-    return versions.join(live, "document_id").orderBy("document_id", F.desc("version_no"))
+    return versions.join(live, "document_id")
 
 
 def results_bundle(
@@ -181,22 +187,27 @@ def results_bundle(
 ) -> DataFrame:
     """One row per job: state, layers, completeness, counts of findings, edits and comments.
 
-    The findings themselves stay rows (``findings_nested`` ordered by job and
-    severity), so that no job's findings have to fit into one cell. Every part is
-    reduced to its key before it is joined.
+    A job whose version is missing stays, with null version columns. The findings
+    themselves are rows (``bundle_findings``), so that no job's findings have to fit into
+    one cell. Every table is reduced once, to its key, before it is joined.
     """
-    from clauselake.operators.jobs import failed_domains, review_complete
+    from clauselake.operators.jobs import failed_domains, layers_passed
 
-    complete = review_complete(jobs, versions, runs).drop("domains_total", "domains_failed")
     tally = edit_tally(edits, ["job_id"]).toDF("job_id", "edits", "edits_accepted", "edits_rejected", "edits_undecided")
+    counted = findings.groupBy("job_id").agg(
+        F.count("*").alias("findings"),
+        *[F.count_if(F.col("severity") == s).alias(s) for s in K.SEVERITIES],
+    )
     bubbles = comments.groupBy("version_id").agg(F.count("*").alias("comments"))
+    layers = versions.select(
+        "version_id", "document_id", "tc_parse_status", "comments_parse_status"
+    ).join(bubbles, "version_id", "left")
     rows = (
-        complete.join(versions.select("version_id", "document_id"), "version_id")
-        .join(severity_counts(findings), "job_id", "left")
-        .join(findings.groupBy("job_id").agg(F.count("*").alias("findings")), "job_id", "left")
+        jobs.join(failed_domains(runs), "job_id", "left")
+        .join(counted, "job_id", "left")
         .join(tally, "job_id", "left")
-        .join(failed_domains(runs), "job_id", "left")
-        .join(bubbles, "version_id", "left")
+        .join(layers, "version_id", "left")
+        .withColumn("review_complete", layers_passed())
     )
     zero = [*K.SEVERITIES, "findings", "edits", "edits_accepted", "edits_rejected", "edits_undecided",
             "domains_total", "domains_failed", "comments"]
@@ -215,6 +226,14 @@ def results_bundle(
     )
 
 
+def bundle_findings(
+    jobs: DataFrame, findings: DataFrame, edits: DataFrame, citations: DataFrame
+) -> DataFrame:
+    """The findings of the given jobs as rows in display order, with edits and citations."""
+    chosen = order_by_severity(findings_of_jobs(findings, jobs))
+    return findings_nested(chosen, edits, citations)
+
+
 def portfolio_risk(findings: DataFrame, jobs: DataFrame, versions: DataFrame, documents: DataFrame) -> DataFrame:
     """Findings per counterparty, domain and severity, with the number of versions hit."""
     where = (

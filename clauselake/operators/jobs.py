@@ -37,29 +37,42 @@ def job_outcome(runs: DataFrame) -> DataFrame:
     return totals.withColumn("outcome", F.when(majority, "failed").otherwise("done"))
 
 
-def error_digest(runs: DataFrame) -> DataFrame:
-    """Message of jobs with failed checks: the header and the first error lines in domain order."""
-    order = Window.partitionBy("job_id").orderBy("_place", "domain_key")
-    place = F.coalesce(
+def error_lines(runs: DataFrame) -> DataFrame:
+    """``job_id, place, domain_key, line``: every failed check, placed in domain order."""
+    rank = F.coalesce(
         *[F.when(F.col("domain_key") == d, i) for i, d in enumerate(K.DOMAINS)],
         F.lit(len(K.DOMAINS)),
     )
     line = F.concat_ws(": ", "domain_key", F.coalesce("error", F.lit("")))
-    first = (
+    order = Window.partitionBy("job_id").orderBy("_rank", "domain_key")
+    return (
         runs.filter(_failed())
-        .select("job_id", "domain_key", line.alias("_line"), place.alias("_place"))
-        .withColumn("_rank", F.row_number().over(order))
-        .filter(F.col("_rank") <= K.MAX_ERROR_LINES)
+        .select("job_id", "domain_key", line.alias("line"), rank.alias("_rank"))
+        .withColumn("place", F.row_number().over(order))
+        .select("job_id", "place", "domain_key", "line")
     )
-    lines = first.groupBy("job_id").agg(
-        F.array_sort(F.collect_list(F.struct("_rank", "_line"))).alias("_lines")
+
+
+def error_digest(runs: DataFrame, lines: int | None = None, chars: int | None = None) -> DataFrame:
+    """Message of jobs with failed checks: the header and the error lines in domain order.
+
+    Whole unless the caller sets a number of ``lines`` or ``chars``. A job has one run per
+    domain of the vocabulary.
+    """
+    kept = error_lines(runs)
+    if lines is not None:
+        kept = kept.filter(F.col("place") <= lines)
+    gathered = kept.groupBy("job_id").agg(
+        F.array_sort(F.collect_list(F.struct("place", "line"))).alias("_lines")
     )
-    joined = lines.join(_totals(runs), "job_id")
+    joined = gathered.join(_totals(runs), "job_id")
     ok = F.col("domains_total") - F.col("domains_failed")
     header = F.format_string(K.PARTIAL_HEADER, ok, "domains_total", "domains_failed")
-    body = F.array_join(F.transform("_lines", lambda x: x["_line"]), "\n")
+    body = F.array_join(F.transform("_lines", lambda x: x["line"]), "\n")
+    message = F.concat(header, body)
     return joined.select(
-        "job_id", F.substring(F.concat(header, body), 1, K.MAX_ERROR_CHARS).alias("error_message")
+        "job_id",
+        (message if chars is None else F.substring(message, 1, chars)).alias("error_message"),
     )
 
 
@@ -181,15 +194,19 @@ def review_complete(jobs: DataFrame, versions: DataFrame, runs: DataFrame) -> Da
     """True only when every contributing check succeeded; a null layer status passes."""
     layers = versions.select("version_id", "tc_parse_status", "comments_parse_status")
     rows = jobs.join(_totals(runs), "job_id", "left").join(layers, "version_id", "left")
+    return rows.withColumn("review_complete", layers_passed())
+
+
+def layers_passed() -> Column:
+    """Done, no failed domain, and no layer whose status is failed (null passes)."""
     passed = lambda c: ~F.col(c).eqNullSafe("failed")
-    complete = (
+    return (
         (F.col("state") == "done")
         & (F.coalesce("domains_failed", F.lit(0)) == 0)
         & passed("tc_parse_status")
         & passed("comments_parse_status")
         & passed("summary_status")
     )
-    return rows.withColumn("review_complete", complete)
 
 
 def latest_job(jobs: DataFrame, variant: str = "created") -> DataFrame:

@@ -218,8 +218,8 @@ def redact_parts(parts: Column, originals: Column, tokens: Column) -> Column:
     return F.aggregate(parts, start, step)
 
 
-def redact_clauses(clauses: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Clause texts redacted in reading order with the version's mapping, which they extend.
+def fold_clauses(clauses: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Per version all clauses redacted in reading order, and the mapping they extend.
 
     A personal datum that only shows up inside a clause gets a token that no other
     clause of the version uses. The clauses of one version are one text again for
@@ -233,13 +233,27 @@ def redact_clauses(clauses: DataFrame, mapping: DataFrame) -> DataFrame:
         {c: F.coalesce(F.col(c), none) for c in ("tokens", "originals")}
     )
     folded = redact_parts(F.col("_c.text"), F.col("originals"), F.col("tokens"))
-    both = known.select("version_id", "_c", folded.alias("_r"))
+    return known.select("version_id", F.col("_c.ordinal").alias("ordinals"), folded.alias("folded"))
+
+
+def clause_texts(folded: DataFrame) -> DataFrame:
+    """``version_id, ordinal, redacted_text`` of folded clauses."""
     clean = F.zip_with(
-        F.col("_c.ordinal"),
-        F.col("_r.texts"),
+        F.col("ordinals"),
+        F.col("folded.texts"),
         lambda n, t: F.struct(n.alias("ordinal"), t.alias("redacted_text")),
     )
-    return both.select("version_id", F.inline(clean))
+    return folded.select("version_id", F.inline(clean))
+
+
+def extended_mapping(folded: DataFrame) -> DataFrame:
+    """``version_id, tokens, originals`` after the clauses, for the next channel."""
+    return folded.select("version_id", "folded.tokens", "folded.originals")
+
+
+def redact_clauses(clauses: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Clause texts redacted with the version's mapping, which they extend in reading order."""
+    return clause_texts(fold_clauses(clauses, mapping))
 
 
 def expand(redacted_texts: DataFrame, mapping: DataFrame, creation_order: bool = False) -> DataFrame:

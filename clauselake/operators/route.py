@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clauselake import constants as K
+from clauselake.functions.running import running_total
 from clauselake.functions.text import let
 from clauselake.operators.redact import redact_parts
+from clauselake.session import stored
 from clauselake.sources.lexicon import Domain
 
 
@@ -74,14 +76,47 @@ def domain_gaps(presence: DataFrame) -> DataFrame:
     return presence.filter(~F.col("present")).select("version_id", "domain", "always")
 
 
+def _mentions(text: Column, lexicon: list[Domain]) -> Column:
+    """Keys of the domains with any keyword in the text; each stops at its first hit."""
+
+    def keys(low: Column) -> Column:
+        found = []
+        for d in lexicon:
+            hit = F.lit(False)
+            for word in d.keywords:
+                hit = hit | F.contains(low, F.lit(word.lower()))
+            found.append(F.when(hit, F.lit(d.key)))
+        return F.filter(F.array(*found), lambda k: k.isNotNull())
+
+    return let(F.lower(text), keys)
+
+
 def route_clauses(clauses: DataFrame, lexicon: list[Domain]) -> DataFrame:
-    """Matching clauses per domain, or all clauses of the version when none match."""
-    matched = match_domains(clauses, lexicon).select("version_id", "ordinal", "domain")
-    unmatched = domain_gaps(domain_presence(clauses, lexicon)).select("version_id", "domain")
-    fallback = clauses.select("version_id", "ordinal").join(unmatched, "version_id")
-    return matched.withColumn("matched", F.lit(True)).unionByName(
-        fallback.withColumn("matched", F.lit(False))
+    """``version_id, ordinal, domain, matched``: a row per clause and domain it mentions.
+
+    A domain that no clause of a version mentions has one row with a null ordinal, which
+    stands for all clauses of the version. The texts are searched once; what the search
+    finds is written, and both kinds of rows are read from there.
+    """
+    tags = stored(
+        clauses.select("version_id", "ordinal", _mentions(F.col("text"), lexicon).alias("_d")),
+        "tags",
+    )
+    matched = tags.select(
+        "version_id", "ordinal", F.explode("_d").alias("domain"), F.lit(True).alias("matched")
     )
+    seen = tags.groupBy("version_id").agg(
+        *[F.bool_or(F.array_contains("_d", d.key)).alias(f"n{i}") for i, d in enumerate(lexicon)]
+    )
+    absent = F.array(*[F.when(~F.col(f"n{i}"), F.lit(d.key)) for i, d in enumerate(lexicon)])
+    kind = clauses.schema["ordinal"].dataType
+    whole = seen.select(
+        "version_id",
+        F.lit(None).cast(kind).alias("ordinal"),
+        F.explode(F.filter(absent, lambda k: k.isNotNull())).alias("domain"),
+        F.lit(False).alias("matched"),
+    )
+    return matched.unionByName(whole)
 
 
 def clause_entry(ordinal: Column, heading: Column, text: Column) -> Column:
@@ -95,92 +130,117 @@ def clause_entry(ordinal: Column, heading: Column, text: Column) -> Column:
     )
 
 
+ALL = "*"  # scope of the packing that every unmentioned domain of a version shares
+
+
 def pack_context(
     routed: DataFrame, clauses: DataFrame, max_chars: int = K.MAX_CONTEXT_CHARS
 ) -> DataFrame:
-    """Clause text per version and domain, cut before the first entry that overflows.
+    """Clause texts per version and domain, in parts of at most ``max_chars``.
 
-    Only lengths take part in the ranking. An entry is never shorter than its
-    header, so no more than ``max_chars / header`` of them can fit; rows beyond
-    that rank are dropped before the shuffle (the rank filter is applied map-side
-    too), which bounds every group whatever the number of clauses. Texts are
-    joined to the kept entries only.
+    The clauses of a domain lie one after the other on a line cut every ``max_chars``
+    characters. Those inside a segment are a part, and a clause that lies across a cut is
+    a part of its own; only a clause longer than ``max_chars`` makes a longer part, which
+    is marked ``oversized``. Nothing is left out. The clauses of a version are packed once
+    for all domains that it does not mention.
     """
-    shortest = len(f"[{K.CLAUSE_LABEL} 1]\n")
     entries = clauses.select(
         "version_id",
         "ordinal",
         clause_entry(F.col("ordinal"), F.col("heading_path"), F.col("text")).alias("entry"),
     )
-    sizes = routed.select("version_id", "domain", "ordinal").join(
-        entries.select("version_id", "ordinal", F.length("entry").alias("_size")),
-        ["version_id", "ordinal"],
+    sizes = entries.select("version_id", "ordinal", F.length("entry").alias("_size"))
+    matched = routed.filter("matched").select("version_id", "ordinal", F.col("domain").alias("scope"))
+    listed = sizes.join(matched, ["version_id", "ordinal"]).unionByName(
+        sizes.withColumn("scope", F.lit(ALL))
     )
-    by_ordinal = Window.partitionBy("version_id", "domain").orderBy("ordinal")
-    ranked = sizes.withColumn("_rank", F.row_number().over(by_ordinal)).filter(
-        F.col("_rank") <= max_chars // shortest + 1
-    )
-    upto = by_ordinal.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    filled = ranked.withColumn("_total", F.sum("_size").over(upto))
-    # the first overflowing entry is kept without text: it carries the cut marker
-    kept = filled.filter(F.col("_total") - F.col("_size") <= max_chars).withColumn(
-        "_fits", F.col("_total") <= max_chars
+    filled = running_total(listed, ["version_id", "scope"], ["ordinal"], F.col("_size"), "_end")
+    first = F.floor((F.col("_end") - F.col("_size")) / max_chars)
+    last = F.floor((F.col("_end") - 1) / max_chars)
+    segment = F.when(first == last, first * 2).otherwise(first * 2 + 1)
+    placed = filled.withColumn("_segment", segment).drop("_end")
+    packed = (
+        placed.join(entries, ["version_id", "ordinal"])
+        .groupBy("version_id", "scope", "_segment")
+        .agg(
+            F.array_sort(F.collect_list(F.struct("ordinal", "entry"))).alias("_p"),
+            F.sum("_size").alias("_chars"),
+        )
     )
-    with_text = kept.join(entries, ["version_id", "ordinal"])
-    part = F.when(F.col("_fits"), F.col("entry")).otherwise(F.lit(K.CUT_MARKER))
-    packed = with_text.groupBy("version_id", "domain").agg(
-        F.array_sort(F.collect_list(F.struct("ordinal", part.alias("part"), "_fits"))).alias("_p")
+    order = Window.partitionBy("version_id", "scope").orderBy("_segment")
+    parts = packed.select(
+        "version_id",
+        "scope",
+        F.row_number().over(order).alias("part_no"),
+        F.array_join(F.transform("_p", lambda p: p["entry"]), "\n\n").alias("context"),
+        F.size("_p").alias("entries"),
+        (F.col("_chars") > max_chars).alias("oversized"),
     )
-    cut = F.exists("_p", lambda p: ~p["_fits"])
-    return packed.select(
+    scopes = routed.select(
         "version_id",
         "domain",
-        F.array_join(F.transform("_p", lambda p: p["part"]), "\n\n").alias("context"),
-        cut.alias("truncated"),
-        (F.size("_p") - cut.cast("int")).alias("entries"),
+        F.when(F.col("matched"), F.col("domain")).otherwise(F.lit(ALL)).alias("scope"),
+    ).distinct()
+    return scopes.join(parts, ["version_id", "scope"]).select(
+        "version_id", "domain", "part_no", "context", "entries", "oversized"
     )
 
 
 def summary_sample(clauses: DataFrame, max_chars: int = K.MAX_SUMMARY_CHARS) -> DataFrame:
-    """The first ``max_chars`` of the clauses in order, as input of a summary."""
-    shortest = len(f"[{K.CLAUSE_LABEL} 1] \n")
+    """The clauses in order as input of summaries, in parts of ``max_chars`` characters.
+
+    Part 1 is the usual sample; the other parts are the rest of the text. Each clause
+    gives every part its own piece of it, found from running lengths.
+    """
     entry = F.concat(
         F.lit(f"[{K.CLAUSE_LABEL} "), F.col("ordinal").cast("string"), F.lit("] "), "text", F.lit("\n")
     )
-    heads = clauses.select(
-        "version_id", "ordinal", F.substring(entry, 1, max_chars).alias("_head")
+    lines = clauses.select("version_id", "ordinal", entry.alias("_e"))
+    sizes = lines.select("version_id", "ordinal", F.length("_e").alias("_size"))
+    ends = running_total(sizes, ["version_id"], ["ordinal"], F.col("_size"), "_end")
+    start = F.col("_end") - F.col("_size")
+    touched = ends.select(
+        "version_id",
+        "ordinal",
+        start.alias("_start"),
+        F.explode(
+            F.sequence(F.floor(start / max_chars), F.floor((F.col("_end") - 1) / max_chars))
+        ).alias("_part"),
+    )
+    begin = F.col("_part") * max_chars - F.col("_start")  # where the part begins in the entry
+    piece = F.substring(
+        F.col("_e"),
+        F.greatest(begin, F.lit(0)).cast("int") + 1,
+        (F.lit(max_chars) + F.least(begin, F.lit(0))).cast("int"),
     )
-    by_ordinal = Window.partitionBy("version_id").orderBy("ordinal")
-    first = heads.withColumn("_rank", F.row_number().over(by_ordinal)).filter(
-        F.col("_rank") <= max_chars // shortest + 1
+    joined = (
+        touched.join(lines, ["version_id", "ordinal"])
+        .groupBy("version_id", "_part")
+        .agg(F.array_sort(F.collect_list(F.struct("ordinal", piece.alias("p")))).alias("_p"))
     )
-    joined = first.groupBy("version_id").agg(
-        F.array_sort(F.collect_list(F.struct("ordinal", "_head"))).alias("_h")
+    return joined.select(
+        "version_id",
+        (F.col("_part") + 1).cast("int").alias("part_no"),
+        F.array_join(F.transform("_p", lambda p: p["p"]), "").alias("sample"),
     )
-    text = F.array_join(F.transform("_h", lambda h: h["_head"]), "")
-    return joined.select("version_id", F.substring(text, 1, max_chars).alias("sample"))
 
 
 def pack_comments(
     comments: DataFrame, mapping: DataFrame | None = None, limit: int = K.MAX_COMMENTS
 ) -> DataFrame:
-    """The first comments of a version as one redacted block.
+    """All comments of a version as redacted blocks of ``limit`` comments, numbered ``part_no``.
 
     ``mapping`` has one row per version (``tokens``, ``originals``); author, body
-    and anchor of all comments share it and extend it in reading order.
+    and anchor of all comments share it and extend it in reading order, across parts.
     """
-    by_ordinal = Window.partitionBy("version_id").orderBy("ordinal")
-    first = comments.withColumn("_rank", F.row_number().over(by_ordinal)).filter(
-        F.col("_rank") <= limit
-    )
     none = F.array().cast("array<string>")
     part = F.struct(
         "ordinal",
         F.coalesce("author", F.lit("")).alias("author"),
         F.coalesce("body", F.lit("")).alias("body"),
-        F.substring(F.coalesce("anchor_text", F.lit("")), 1, K.MAX_ANCHOR_CHARS).alias("anchor"),
+        F.coalesce("anchor_text", F.lit("")).alias("anchor"),
     )
-    packed = first.groupBy("version_id").agg(F.array_sort(F.collect_list(part)).alias("_c"))
+    packed = comments.groupBy("version_id").agg(F.array_sort(F.collect_list(part)).alias("_c"))
     if mapping is None:
         packed = packed.withColumns({"tokens": none, "originals": none})
     else:
@@ -205,21 +265,26 @@ def pack_comments(
             F.lit("- ["), author, F.lit("]: "), at(1), F.coalesce(anchor, F.lit(""))
         )
 
-    return folded.select(
+    lines = folded.select("version_id", F.transform("_c", line).alias("_l"))
+    last = F.floor((F.size("_l") - 1) / limit).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), last), lambda k: F.slice("_l", k * limit + 1, limit))
+    rows = lines.select("version_id", F.posexplode_outer(parts).alias("_k", "_part"))
+    return rows.select(
         "version_id",
-        F.array_join(F.transform("_c", line), "\n").alias("comments"),
-        F.size("_c").alias("n_comments"),
+        (F.col("_k") + 1).alias("part_no"),
+        F.array_join("_part", "\n").alias("comments"),
+        F.size("_part").alias("n_comments"),
     )
 
 
 def batch_changes(diffs: DataFrame, size: int = K.DIFF_BATCH) -> DataFrame:
     """Numbered changes in batches per version pair; ``seq`` is the change's place in the diff.
 
-    Each batch is its own group of at most ``size`` rows.
+    Both sides of a change are whole: a batch is bounded by its number of changes. Each batch is its own group of at most ``size`` rows.
     """
     side = lambda label, c: F.when(
         F.coalesce(F.col(c), F.lit("")) != "",
-        F.concat(F.lit(f"\n{label}\n"), F.substring(c, 1, K.DIFF_SIDE_CHARS)),
+        F.concat(F.lit(f"\n{label}\n"), F.col(c)),
     )
     kind = F.coalesce(
         *[F.when(F.col("change_kind") == k, v) for k, v in K.CHANGE_LABELS.items()],
@@ -257,11 +322,12 @@ def build_requests(
     summaries: DataFrame,
     comments: DataFrame,
 ) -> DataFrame:
-    """One request per version and domain.
+    """``version_id, domain, part_no, request``: as many requests as the parts ask for.
 
-    Sections: summary (or an explicit statement that there is none), clauses,
-    comments if any, task line. The domain list is a constant array, so versions
-    are multiplied by a generator.
+    Sections: summary (or an explicit statement that there is none), the part's clauses,
+    the part's comments if any, task line. The first part is always there; it says so
+    when there is no clause. The domain list is a constant array, so versions are
+    multiplied by a generator.
     """
     labels = F.array(
         *[
@@ -273,38 +339,40 @@ def build_requests(
             for d in lexicon
         ]
     )
+    keys = F.array(*[F.lit(d.key) for d in lexicon])
+    at = ["version_id", "domain", "part_no"]
     head = versions.select("version_id").distinct()
-    head = head.join(summaries.select("version_id", "summary"), "version_id", "left")
-    head = head.join(comments.select("version_id", "comments"), "version_id", "left")
-    wide = head.select("version_id", "summary", "comments", F.inline(labels)).join(
-        contexts.select("version_id", "domain", "context", "truncated"),
-        ["version_id", "domain"],
-        "left",
+    first = head.select("version_id", F.explode(keys).alias("domain"), F.lit(1).alias("part_no"))
+    listed = comments.select("version_id", "part_no", "comments", F.explode(keys).alias("domain"))
+    parts = (
+        first.join(contexts.select(*at, "context"), at, "full")
+        .join(listed, at, "full")
+        .join(head, "version_id", "left_semi")
+    )
+    named = head.join(summaries.select("version_id", "summary"), "version_id", "left").select(
+        "version_id", "summary", F.inline(labels)
     )
+    wide = parts.join(named, ["version_id", "domain"])
     filled = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
     summary = F.when(
         filled("summary"), F.concat(F.lit(K.SUMMARY_HEADER + "\n"), "summary")
     ).otherwise(F.lit(K.NO_SUMMARY))
-    clauses = F.concat(
-        F.lit(K.CLAUSES_HEADER + " '"), "name", F.lit("':\n"), F.coalesce("context", "nothing")
-    )
+    given = F.coalesce("context", F.when(F.col("part_no") == 1, F.col("nothing")))
+    clauses = F.concat(F.lit(K.CLAUSES_HEADER + " '"), "name", F.lit("':\n"), given)
     bubbles = F.when(filled("comments"), F.concat(F.lit(K.COMMENTS_HEADER + "\n"), "comments"))
     task = F.concat(F.lit(K.TASK_LINE + " "), "name", F.lit(" (key: "), "domain", F.lit(")"))
     return wide.select(
-        "version_id",
-        "domain",
-        F.concat_ws("\n\n", summary, clauses, bubbles, task).alias("request"),
-        F.coalesce("truncated", F.lit(False)).alias("truncated"),
+        *at, F.concat_ws("\n\n", summary, clauses, bubbles, task).alias("request")
     )
 
 
 def request_budget(requests: DataFrame) -> DataFrame:
-    """Size of the outbound traffic per domain: requests, characters, truncated requests."""
+    """Size of the outbound traffic per domain: requests, characters, requests beyond the first part."""
     size = F.length("request")
     return requests.groupBy("domain").agg(
         F.count("*").alias("requests"),
         F.sum(size).alias("chars"),
         F.max(size).alias("max_chars"),
-        F.count_if("truncated").alias("truncated"),
+        F.count_if(F.col("part_no") > 1).alias("further_parts"),
         (F.count("*") * K.MAX_ATTEMPTS).alias("max_calls"),
     )

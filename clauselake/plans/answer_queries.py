@@ -36,8 +36,9 @@ _SUMMARY = """SELECT event_id AS version_id, CAST(user_id % 4 AS INTEGER) AS n_c
 
 
 def _events(spark, sf_dir, sql):
-    X.spread(X.read(spark, sf_dir, "events"), "event_id").createOrReplaceTempView("events_in")
-    return spark.sql(sql.replace("FROM events", "FROM events_in").replace("user_id % 250", "CAST(user_id % 250 AS INT)"))
+    events = X.dealt(X.read(spark, sf_dir, "events"), "event_id")
+    text = sql.replace("FROM events", "FROM {events}").replace("user_id % 250", "CAST(user_id % 250 AS INT)")
+    return X.run_sql(spark, text, events=events)
 
 
 def responses(spark, sf_dir):
@@ -88,7 +89,9 @@ def _clause(spark, sf_dir):
 
 def _persist(spark, sf_dir):
     found = M.persist_findings(M.parse_finding(_keyed(spark, sf_dir)))
-    return found.select("request_id", "finding_type", "severity", "summary", "rationale", "negotiation_ask")
+    return found.select(
+        "request_id", "finding_type", "severity", "summary", "rationale", "negotiation_ask", "oversized"
+    )
 
 
 def _persist_edits(spark, sf_dir):
@@ -108,6 +111,13 @@ def _meter(spark, sf_dir):
     return M.meter_attempts(responses(spark, sf_dir))
 
 
+def _meter_batches(spark, sf_dir):
+    """Every event as the call of a change batch."""
+    rows = responses(spark, sf_dir)
+    key = (F.col("request_id") * 2 + F.col("attempt") - 1).alias("batch_id")
+    return M.meter_batches(rows.select(key, "error", "input_tokens", "output_tokens", "model"))
+
+
 def usage(spark, sf_dir):
     rows = responses(spark, sf_dir)
     failed = F.col("error").isNotNull()
@@ -140,12 +150,13 @@ QUERIES = {
     "parse_materiality": _materiality,
     "resolve_attempts": _attempts,
     "meter_attempts": _meter,
+    "meter_batches": _meter_batches,
     "usage_rollup": _rollup,
     "summary_outcome": _summary,
 }
 
-_types = ", ".join(f"'{x}'" for x in K.FINDING_TYPES)
-_sevs = ", ".join(f"'{x}'" for x in K.SEVERITIES)
+_types = "'present_risky', 'absent', 'ambiguous', 'none'"
+_sevs = "'critical', 'high', 'medium', 'info'"
 
 
 def _json(c: str) -> str:
@@ -166,8 +177,8 @@ edit AS MATERIALIZED (SELECT rid AS request_id, CAST(n AS INTEGER) AS edit_no, e
   (SELECT rid, ok, ft, CAST(j -> '$.suggested_edits' AS JSON[]) AS l FROM checked WHERE j IS NOT NULL AND json_type(j) = 'OBJECT'))
   WHERE json_type(e) = 'OBJECT' AND e ->> '$.original_text' <> '' AND e ->> '$.revised_text' <> ''),
 tried AS (SELECT *, CASE WHEN error IS NOT NULL THEN 'call' WHEN ok THEN 'ok' ELSE 'parse' END AS state FROM checked),
-performed AS MATERIALIZED (SELECT t.* FROM tried t WHERE attempt = 1 OR EXISTS (SELECT 1 FROM tried f
-  WHERE f.request_id = t.request_id AND f.attempt = 1 AND f.state = 'parse'))"""
+performed AS MATERIALIZED (SELECT t.*, attempt = 1 OR (attempt = 2 AND EXISTS (SELECT 1 FROM tried f
+  WHERE f.request_id = t.request_id AND f.attempt = 1 AND f.state = 'parse')) AS expected FROM tried t)"""
 
 ORACLES = {
     "extract_json": f"{_BASE} SELECT request_id, attempt, CASE WHEN j IS NULL THEN 'failed' ELSE 'ok' END AS parse_status, j ->> '$.rationale' AS rationale FROM answer",
@@ -179,9 +190,10 @@ ORACLES = {
   (SELECT rid, version_id, CAST(j ->> '$.clause_ordinals' AS VARCHAR[]) AS l FROM answer WHERE json_type(j) = 'OBJECT')),
 hit AS (SELECT rid, arg_min(doc_id || ':' || pos, n) AS clause_id FROM listed JOIN lines ON doc_id = version_id AND pos = TRY_CAST(o AS INTEGER) GROUP BY rid)
 SELECT a.rid AS request_id, version_id, clause_id FROM answer a LEFT JOIN hit USING (rid)""",
-    "persist_findings": f"""{_BASE} SELECT rid AS request_id, ft AS finding_type, sv AS severity, left(j ->> '$.summary', 1000) AS summary,
-  left(j ->> '$.rationale', 4000) AS rationale, left(j ->> '$.negotiation_ask', 2000) AS negotiation_ask FROM checked WHERE ok AND ft <> 'none'""",
-    "persist_edits": f"{_BASE} SELECT request_id, edit_no, left(original_text, 4000) AS original_text, left(revised_text, 4000) AS revised_text, left(comment, 1000) AS comment FROM edit WHERE ok AND ft <> 'none'",
+    "persist_findings": f"""{_BASE} SELECT rid AS request_id, ft AS finding_type, sv AS severity, j ->> '$.summary' AS summary,
+  j ->> '$.rationale' AS rationale, j ->> '$.negotiation_ask' AS negotiation_ask,
+  coalesce(length(j ->> '$.summary') > 1000, false) AS oversized FROM checked WHERE ok AND ft <> 'none'""",
+    "persist_edits": f"{_BASE} SELECT request_id, edit_no, original_text, revised_text, comment, false AS oversized FROM edit WHERE ok AND ft <> 'none'",
     "parse_materiality": f"""WITH batch AS ({_BATCH}), parsed AS (SELECT *, {_json('content')} AS j FROM batch WHERE expected > 0),
 listed AS (SELECT *, CASE WHEN j IS NULL THEN NULL WHEN json_type(j) = 'ARRAY' THEN CAST(j AS JSON[])
   ELSE coalesce(CAST(j -> '$.changes' AS JSON[]), CAST(j -> '$.items' AS JSON[]), CAST(j -> '$.results' AS JSON[]), CAST([] AS JSON[])) END AS l FROM parsed),
@@ -191,20 +203,24 @@ item AS (SELECT *, CASE WHEN u AND place <= len(l) THEN l[place] END AS e FROM p
 value AS (SELECT *, lower(coalesce(e ->> '$.materiality', '')) AS m FROM item)
 SELECT batch_id, CAST(place AS INTEGER) AS place, CASE WHEN m IN ('material', 'immaterial') THEN m END AS materiality,
   CASE WHEN m IN ('material', 'immaterial') THEN 'ok' ELSE 'failed' END AS status,
-  CASE WHEN NOT u THEN '{K.UNPARSABLE_BATCH}' WHEN e IS NULL THEN '{K.MISSING_ANSWER}'
-    WHEN m IN ('material', 'immaterial') THEN left(coalesce(nullif(e ->> '$.materiality_reason', ''), nullif(e ->> '$.reason', ''), '{K.NO_REASON}'), 500)
-    WHEN m = '' THEN '{K.MISSING_CLASS}' ELSE '{K.OUT_OF_VOCABULARY}: ''' || m || '''' END AS reason FROM value""",
-    "resolve_attempts": f"""{_BASE}, o AS (SELECT request_id, max(attempt) AS attempts, min(attempt) FILTER (WHERE state = 'ok') AS winner, arg_max(state, attempt) AS last FROM performed GROUP BY request_id)
-SELECT request_id, attempts, winner, CASE WHEN winner IS NULL THEN 'failed' ELSE 'ok' END AS status, CASE WHEN winner IS NULL THEN last END AS failure FROM o""",
+  CASE WHEN NOT u THEN 'Respons model tidak dapat diurai' WHEN e IS NULL THEN 'Respons model tidak lengkap untuk entri ini'
+    WHEN m IN ('material', 'immaterial') THEN coalesce(nullif(e ->> '$.materiality_reason', ''), nullif(e ->> '$.reason', ''), 'Tidak ada alasan diberikan')
+    WHEN m = '' THEN 'Model tidak memberikan klasifikasi' ELSE 'Jawaban model di luar vokabulari: ''' || m || '''' END AS reason FROM value""",
+    "resolve_attempts": f"""{_BASE}, o AS (SELECT request_id, max(attempt) AS attempts, min(attempt) FILTER (WHERE state = 'ok') AS winner, arg_max(state, attempt) AS last FROM performed WHERE expected GROUP BY request_id),
+a AS (SELECT request_id, count(*) AS n FROM performed GROUP BY request_id)
+SELECT request_id, attempts, winner, CASE WHEN winner IS NULL THEN 'failed' ELSE 'ok' END AS status, CASE WHEN winner IS NULL THEN last END AS failure, n - attempts AS surplus FROM o JOIN a USING (request_id)""",
     "meter_attempts": f"""{_BASE} SELECT request_id, attempt, CASE WHEN state <> 'call' THEN input_tokens END AS input_tokens, CASE WHEN state <> 'call' THEN output_tokens END AS output_tokens,
-  CASE WHEN state <> 'call' THEN left(model, 100) END AS model, CASE WHEN state = 'ok' THEN 'ok' ELSE 'failed' END AS status,
+  CASE WHEN state <> 'call' THEN model END AS model, CASE WHEN NOT expected THEN 'surplus' WHEN state = 'ok' THEN 'ok' ELSE 'failed' END AS status,
   CASE state WHEN 'call' THEN 'llm_call:' || domain WHEN 'parse' THEN 'json_parse:' || domain END AS failure_stage FROM performed""",
+    "meter_batches": f"""WITH u AS ({_RESPONSE}) SELECT request_id * 2 + attempt - 1 AS batch_id, CASE WHEN error IS NULL THEN input_tokens END AS input_tokens,
+  CASE WHEN error IS NULL THEN output_tokens END AS output_tokens, CASE WHEN error IS NULL THEN model END AS model,
+  CASE WHEN error IS NULL THEN 'ok' ELSE 'failed' END AS status, CASE WHEN error IS NOT NULL THEN 'materiality_llm' END AS failure_stage FROM u""",
     "usage_rollup": f"""WITH u AS ({_RESPONSE}) SELECT user_id, CAST(ts AS DATE) AS day, CASE WHEN error IS NULL THEN model END AS model, count(*) AS calls,
   count(*) FILTER (WHERE error IS NULL) AS ok_calls, count(*) FILTER (WHERE error IS NOT NULL) AS failed_calls,
   CAST(sum(input_tokens) FILTER (WHERE error IS NULL) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) FILTER (WHERE error IS NULL) AS BIGINT) AS output_tokens,
   count(*) FILTER (WHERE error IS NOT NULL OR input_tokens IS NULL) AS unmetered_calls FROM u GROUP BY 1, 2, 3""",
     "summary_outcome": f"""WITH s AS ({_SUMMARY}), p AS (SELECT *, {_json('content')} AS j FROM s),
 q AS (SELECT *, coalesce(error IS NULL AND json_type(j) = 'OBJECT', false) AS ok FROM p)
-SELECT version_id, CASE WHEN n_clauses = 0 THEN '{K.NO_CLAUSES_SUMMARY}' WHEN ok THEN coalesce(nullif(j ->> '$.ringkasan', ''), nullif(j ->> '$.summary', ''), j) END AS summary,
+SELECT version_id, CASE WHEN n_clauses = 0 THEN 'Dokumen tidak memiliki klausul yang dapat diekstrak.' WHEN ok THEN coalesce(nullif(j ->> '$.ringkasan', ''), nullif(j ->> '$.summary', ''), j) END AS summary,
   CASE WHEN n_clauses = 0 OR ok THEN 'ok' ELSE 'failed' END AS summary_status FROM q""",
 }

@@ -14,7 +14,7 @@ from clauselake.plans import fixtures as X
 # --- fixtures -----------------------------------------------------------------
 def _line_arrays(spark, sf_dir):
     docs = X.documents(spark, sf_dir)
-    rows = docs.select("doc_id", "lang", X.distinct_lines(F.col("text")).alias("_l"))
+    rows = docs.select("doc_id", "lang", X.lines_of(F.col("text")).alias("_l"))
     return rows.filter(F.size("_l") > 0)
 
 
@@ -60,11 +60,12 @@ def pairs(spark, sf_dir):
     )
 
 
-def runs(spark, sf_dir, lang=None):
-    """Words of the lines as runs with revision marks, numbered through the document."""
+def runs(spark, sf_dir, unmarked=None):
+    """Words of the lines as runs with revision marks, numbered through the document.
+
+    Documents in the language ``unmarked`` have runs without marks.
+    """
     rows = _line_arrays(spark, sf_dir)
-    if lang:
-        rows = rows.filter(F.col("lang") != lang)
     words = F.flatten(
         F.transform(
             "_l",
@@ -73,8 +74,10 @@ def runs(spark, sf_dir, lang=None):
             ),
         )
     )
-    flat = rows.select("doc_id", F.posexplode(words).alias("pos", "_w"))
+    flat = rows.select("doc_id", "lang", F.posexplode(words).alias("pos", "_w"))
     kind = F.when(F.col("_w.k") % 7 == 3, "ins").when(F.col("_w.k") % 5 == 2, "del")
+    if unmarked:
+        kind = F.when(F.col("lang") != unmarked, kind)
     author = F.when(F.col("_w.k") % 3 == 0, "ana").when(F.col("_w.k") % 3 == 1, "budi").otherwise("")
     return flat.select(
         "doc_id",
@@ -98,21 +101,38 @@ def ranges(spark, sf_dir):
     )
 
 
+# Both versions by rule, then the alignment: texts that occur once on either side, without
+# the smaller group of movers of each stretch and without what still crosses, are anchors.
 _ITEMS = (
     X.LINES
     + """,
-flagged AS (SELECT *, pos % 7 <> 3 AND pos % 5 <> 2 AS anchor FROM lines),
-gapped AS MATERIALIZED (SELECT *, count(*) FILTER (WHERE anchor) OVER (PARTITION BY doc_id ORDER BY pos) AS gap FROM flagged),
 newer AS MATERIALIZED (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos, sub) AS INTEGER) AS ordinal FROM (
-  SELECT doc_id, pos, 0 AS sub, gap, anchor, CASE WHEN pos % 5 = 2 THEN line || ' (rev)' ELSE line END AS line FROM gapped WHERE pos % 7 <> 3
-  UNION ALL SELECT doc_id, pos, 1, gap, false, 'Tambahan ' || doc_id || '-' || pos FROM gapped WHERE pos % 11 = 4)),
-o AS (SELECT doc_id, gap, pos, line, row_number() OVER (PARTITION BY doc_id, gap ORDER BY pos) AS r FROM gapped WHERE NOT anchor),
-n AS (SELECT doc_id, gap, ordinal, line, row_number() OVER (PARTITION BY doc_id, gap ORDER BY pos, sub) AS r FROM newer WHERE NOT anchor),
+  SELECT doc_id, pos, 0 AS sub, CASE WHEN pos % 5 = 2 THEN line || ' (rev)' ELSE line END AS line FROM lines WHERE pos % 7 <> 3
+  UNION ALL SELECT doc_id, pos, 1, 'Tambahan ' || doc_id || '-' || pos FROM lines WHERE pos % 11 = 4)),
+both_sides AS MATERIALIZED (SELECT * FROM (SELECT doc_id, 'old' AS side, pos AS ordinal, line FROM lines
+  UNION ALL SELECT doc_id, 'new', ordinal, line FROM newer) WHERE doc_id IN (SELECT doc_id FROM newer)),
+once AS (SELECT doc_id, line, max(ordinal) FILTER (WHERE side = 'old') AS o, max(ordinal) FILTER (WHERE side = 'new') AS n FROM both_sides
+  GROUP BY doc_id, line HAVING count(*) FILTER (WHERE side = 'old') = 1 AND count(*) FILTER (WHERE side = 'new') = 1),
+shifted AS (SELECT *, rank() OVER (PARTITION BY doc_id ORDER BY n) - rank() OVER (PARTITION BY doc_id ORDER BY o) AS shift,
+  max(n) OVER (PARTITION BY doc_id ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS most_before,
+  min(n) OVER (PARTITION BY doc_id ORDER BY o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS least_from FROM once),
+stretched AS (SELECT *, count(*) FILTER (WHERE most_before IS NULL OR most_before < least_from) OVER (PARTITION BY doc_id ORDER BY o) AS stretch FROM shifted),
+weighed AS (SELECT *, count(*) FILTER (WHERE shift > 0) OVER (PARTITION BY doc_id, stretch) AS later,
+  count(*) FILTER (WHERE shift < 0) OVER (PARTITION BY doc_id, stretch) AS earlier FROM stretched),
+stay AS (SELECT *, max(n) OVER (PARTITION BY doc_id ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS most,
+  min(n) OVER (PARTITION BY doc_id ORDER BY o ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS least
+  FROM weighed WHERE NOT (CASE WHEN later <= earlier THEN shift > 0 ELSE shift < 0 END)),
+anchors AS MATERIALIZED (SELECT doc_id, o, n FROM stay WHERE coalesce(most < n, true) AND coalesce(least > n, true)),
+marked AS (SELECT b.*, a.o IS NOT NULL AS anchor FROM both_sides b LEFT JOIN anchors a
+  ON a.doc_id = b.doc_id AND b.ordinal = CASE b.side WHEN 'old' THEN a.o ELSE a.n END),
+gapped AS (SELECT *, count(*) FILTER (WHERE anchor) OVER (PARTITION BY doc_id, side ORDER BY ordinal) AS gap FROM marked),
+spot AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id, side, gap ORDER BY ordinal) AS r FROM gapped WHERE NOT anchor),
 change AS MATERIALIZED (SELECT coalesce(o.doc_id, n.doc_id) AS pair_id, coalesce(o.gap, n.gap) AS gap, coalesce(o.r, n.r) AS place,
-  o.pos AS old_ordinal, n.ordinal AS new_ordinal, o.line AS before_text, n.line AS after_text,
+  o.ordinal AS old_ordinal, n.ordinal AS new_ordinal, o.line AS before_text, n.line AS after_text,
   CASE WHEN o.line IS NULL THEN 'added' WHEN n.line IS NULL THEN 'removed' ELSE 'modified' END AS change_kind
-  FROM o FULL JOIN n ON o.doc_id = n.doc_id AND o.gap = n.gap AND o.r = n.r),
-diff AS MATERIALIZED (SELECT pair_id, CAST(dense_rank() OVER (PARTITION BY pair_id ORDER BY gap) AS INTEGER) AS block_no, CAST(place AS INTEGER) AS place,
+  FROM (SELECT * FROM spot WHERE side = 'old') o FULL JOIN (SELECT * FROM spot WHERE side = 'new') n
+  ON o.doc_id = n.doc_id AND o.gap = n.gap AND o.r = n.r WHERE o.line IS DISTINCT FROM n.line),
+diff AS MATERIALIZED (SELECT pair_id, CAST(gap AS INTEGER) AS block_no, CAST(place AS INTEGER) AS place,
   change_kind, 'Klausul ' || coalesce(new_ordinal, old_ordinal) AS clause_ref, before_text, after_text, old_ordinal, new_ordinal FROM change),
 seq AS MATERIALIZED (SELECT *, CAST(row_number() OVER (PARTITION BY pair_id ORDER BY block_no, place) AS INTEGER) AS seq FROM diff)"""
 )
@@ -134,7 +154,7 @@ _REVISIONS = f"""revision AS MATERIALIZED (SELECT * FROM (SELECT doc_id, para,
   coalesce(list_sort(list(DISTINCT author) FILTER (WHERE kind IS NOT NULL AND author <> '')), []) AS authors, count(kind) AS marks FROM runs GROUP BY doc_id, para)
   WHERE marks > 0 AND original_text <> revised_text),
 revised AS MATERIALIZED (SELECT doc_id AS pair_id, para AS block_no, 1 AS place, CASE WHEN original_text <> '' AND revised_text <> '' THEN 'modified'
-  WHEN revised_text <> '' THEN 'added' ELSE 'removed' END AS change_kind, '{K.PARAGRAPH_LABEL} ' || (para + 1) AS clause_ref,
+  WHEN revised_text <> '' THEN 'added' ELSE 'removed' END AS change_kind, 'Paragraf ' || (para + 1) AS clause_ref,
   nullif(original_text, '') AS before_text, nullif(revised_text, '') AS after_text FROM revision)"""
 
 
@@ -162,11 +182,8 @@ def _prior(spark, sf_dir):
 
 
 def _align(spark, sf_dir):
-    blocks = V.align_clauses(pairs(spark, sf_dir), versions_of_documents(spark, sf_dir))
-    return blocks.select(
-        "pair_id", "block_no", "kind", F.concat_ws(",", "old_ordinals").alias("old_ordinals"),
-        F.concat_ws(",", "new_ordinals").alias("new_ordinals"),
-    )
+    places = V.align_clauses(pairs(spark, sf_dir), versions_of_documents(spark, sf_dir))
+    return places.drop("from_version", "to_version")
 
 
 def _paired(spark, sf_dir):
@@ -203,7 +220,7 @@ def _revision_diff(spark, sf_dir):
 
 
 def _source(spark, sf_dir):
-    marked = V.revisions_to_diff(V.revision_texts(runs(spark, sf_dir, lang="en")))
+    marked = V.revisions_to_diff(V.revision_texts(runs(spark, sf_dir, unmarked="en")))
     return V.choose_diff_source(pairs(spark, sf_dir), marked, diffs(spark, sf_dir))
 
 
@@ -369,8 +386,7 @@ _SEGMENTS = """segment AS (SELECT clause_id, unnest([1, 2, 3, 4, 5, 6, 7]) AS o,
 
 ORACLES = {
     "prior_version": f"WITH {_VERSIONS} SELECT v.version_id, p.version_id AS prior_version_id FROM versions v LEFT JOIN versions p ON p.document_id = v.document_id AND p.version_no = v.version_no - 1",
-    "align_clauses": f"""WITH {_ITEMS} SELECT pair_id, block_no, CASE WHEN count(old_ordinal) = 0 THEN 'insert' WHEN count(new_ordinal) = 0 THEN 'delete' ELSE 'replace' END AS kind,
-  coalesce(string_agg(old_ordinal, ',' ORDER BY old_ordinal), '') AS old_ordinals, coalesce(string_agg(new_ordinal, ',' ORDER BY new_ordinal), '') AS new_ordinals FROM diff GROUP BY pair_id, block_no""",
+    "align_clauses": f"WITH {_ITEMS} SELECT pair_id, block_no, place, old_ordinal, new_ordinal FROM diff",
     "pair_replaced": f"WITH {_ITEMS} SELECT pair_id, block_no, place, old_ordinal, new_ordinal, change_kind FROM diff",
     "drop_whitespace_changes": f"WITH {X.LINES} SELECT doc_id, pos, line || '!' AS after_text FROM lines WHERE pos % 3 = 2",
     "diff_rows": f"WITH {_ITEMS} SELECT {_DIFF_COLUMNS} FROM diff",
@@ -381,9 +397,9 @@ marks AS (SELECT * FROM revised JOIN pair USING (pair_id) WHERE lang <> 'en'),
 use AS (SELECT pair_id, tc IS DISTINCT FROM 'failed' AND pair_id IN (SELECT pair_id FROM marks) AS tracked FROM pair)
 SELECT {_DIFF_COLUMNS}, 'tracked_changes' AS diff_source FROM marks JOIN use USING (pair_id) WHERE tracked
 UNION ALL SELECT {_DIFF_COLUMNS}, 'text_diff' FROM diff JOIN use USING (pair_id) WHERE NOT tracked""",
-    "anchor_comments": f"""WITH {_RUNS}, inside AS (SELECT c.doc_id, c.comment_id, trim(string_agg(r.text, '' ORDER BY r.pos), '{_BLANKS}') AS t FROM ranges c
-  JOIN runs r ON r.doc_id = c.doc_id AND r.pos BETWEEN c.start_pos AND c.end_pos AND r.kind IS DISTINCT FROM 'del' GROUP BY ALL)
-SELECT doc_id, comment_id, CASE WHEN end_pos IS NOT NULL THEN coalesce(t, '') END AS anchor_text FROM ranges LEFT JOIN inside USING (doc_id, comment_id)""",
+    "anchor_comments": f"""WITH {_RUNS}, shown AS (SELECT doc_id, list(CASE WHEN kind IS DISTINCT FROM 'del' THEN text ELSE '' END ORDER BY pos) AS l FROM runs GROUP BY doc_id)
+SELECT doc_id, comment_id, CASE WHEN end_pos >= start_pos THEN trim(array_to_string(l[start_pos + 1:end_pos + 1], ''), '{_BLANKS}') END AS anchor_text
+  FROM ranges JOIN shown USING (doc_id)""",
     "order_comments": f"""WITH {_RUNS}, c AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 AND start_pos % 10 = 0 THEN 'x' ELSE '' END || comment_id AS comment_id FROM ranges),
 k AS (SELECT *, TRY_CAST(comment_id AS BIGINT) AS n FROM c), f AS (SELECT *, count(*) FILTER (WHERE n IS NULL) OVER (PARTITION BY doc_id) = 0 AS numeric FROM k)
 SELECT doc_id, comment_id, CASE WHEN numeric THEN n END AS numeric_key, CASE WHEN NOT numeric THEN comment_id END AS text_key, coalesce(n, 0) AS ordinal FROM f""",
@@ -399,9 +415,9 @@ SELECT doc_id, comment_id, CASE WHEN numeric THEN n END AS numeric_key, CASE WHE
   FROM classified JOIN pair USING (pair_id) GROUP BY pair_id""",
     "clause_churn": f"WITH {_ITEMS} SELECT pair_id % 10 AS document_id, clause_ref, change_kind, count(*) AS changes FROM diff GROUP BY ALL",
     "batch_changes": f"""WITH {_ITEMS}, entry AS (SELECT pair_id, (seq - 1) // 5 AS batch_no, seq, chr(10) || '[' || ((seq - 1) % 5 + 1) || '] ' ||
-  CASE change_kind WHEN 'added' THEN '{K.CHANGE_LABELS['added']}' WHEN 'removed' THEN '{K.CHANGE_LABELS['removed']}' ELSE '{K.CHANGE_LABELS['modified']}' END ||
-  CASE WHEN before_text <> '' THEN chr(10) || '{K.BEFORE_LABEL}' || chr(10) || left(before_text, 600) ELSE '' END ||
-  CASE WHEN after_text <> '' THEN chr(10) || '{K.AFTER_LABEL}' || chr(10) || left(after_text, 600) ELSE '' END AS entry FROM seq)
+  CASE change_kind WHEN 'added' THEN 'Klausul baru ditambahkan' WHEN 'removed' THEN 'Klausul dihapus' ELSE 'Klausul diubah' END ||
+  CASE WHEN before_text <> '' THEN chr(10) || 'Teks sebelumnya:' || chr(10) || before_text ELSE '' END ||
+  CASE WHEN after_text <> '' THEN chr(10) || 'Teks baru:' || chr(10) || after_text ELSE '' END AS entry FROM seq)
 SELECT pair_id, CAST(batch_no AS INTEGER) AS batch_no, CAST(count(*) AS INTEGER) AS changes, string_agg(entry, chr(10) ORDER BY seq) AS batch_text FROM entry GROUP BY ALL""",
     "apply_edits": f"""WITH {_EDITED} SELECT clause_id, CAST((pa > 0)::INT + (pb > 0)::INT AS INTEGER) AS tracked,
   CAST((a <> '' AND pa = 0)::INT + (b <> '' AND pb = 0)::INT + 1 AS INTEGER) AS comment_only FROM edited""",

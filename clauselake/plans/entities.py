@@ -24,23 +24,26 @@ _JOBS = """SELECT o_orderkey AS job_id, o_custkey AS version_id, CAST(floor(o_cu
   CASE o_orderstatus WHEN 'F' THEN 'failed' WHEN 'O' THEN 'done' ELSE CASE WHEN o_orderkey % 2 = 0 THEN 'queued' ELSE 'running' END END AS state,
   o_orderdate AS created_at, CASE WHEN o_orderstatus IN ('F', 'O') THEN o_orderdate + INTERVAL '1' DAY * CAST(o_orderkey % 9 AS INTEGER) END AS finished_at,
   o_orderkey % 10 = 0 AS quota_refunded, CASE WHEN o_orderkey % 8 = 0 THEN 'failed' WHEN o_orderkey % 8 < 7 THEN 'ok' END AS summary_status FROM orders"""
-_LINES = "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quantity, l_tax, l_linestatus, l_returnflag FROM lineitem"
 _DOMAIN_LIST = ", ".join(f"'{d}'" for d in K.DOMAINS)
 _OUTCOMES = """SELECT l_orderkey AS job_id, 'domain_' || l_linenumber AS domain_key, CASE WHEN l_returnflag = 'R' THEN 'failed' ELSE 'ok' END AS status,
   CASE WHEN l_returnflag = 'R' THEN 'part ' || l_partkey || ' failed' END AS error, l_shipdate AS created_at,
   l_partkey * 1000 + l_suppkey AS tie, l_extendedprice AS price FROM lineitem"""
-_FINDING_COLUMNS = """l_orderkey * 10 + l_linenumber AS flag_id, l_orderkey AS job_id, 'domain_' || (l_partkey % 18) AS domain,
+_FINDING_COLUMNS = """(l_orderkey * 10 + l_linenumber) * 100 + copy_no AS flag_id, l_orderkey AS job_id, 'domain_' || (l_partkey % 18) AS domain,
   CASE WHEN l_quantity >= 40 THEN 'critical' WHEN l_quantity >= 25 THEN 'high' WHEN l_quantity >= 10 THEN 'medium' WHEN l_quantity >= 3 THEN 'info' ELSE 'odd' END AS severity,
   CASE WHEN l_linestatus = 'O' THEN 'present_risky' WHEN l_returnflag = 'A' THEN 'absent' ELSE 'ambiguous' END AS finding_type,
   'part ' || l_partkey || ' at risk' AS summary, 'supplier ' || l_suppkey || ' status ' || l_linestatus AS rationale,
   CASE WHEN l_tax > 0 THEN 'ask supplier ' || l_suppkey END AS negotiation_ask, l_shipdate AS created_at"""
 
+# the few lines of one order and number are ranked among themselves; wholly equal ones are alike
+_FINDINGS = f"""SELECT {_FINDING_COLUMNS} FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber
+  ORDER BY l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quantity, l_tax, l_linestatus, l_returnflag) AS copy_no FROM lineitem) AS numbered"""
+
 _INTERVAL_DAY = "TIMESTAMP_NTZ'"
 
 
 def _run(spark, sf_dir, sql, table):
-    X.read(spark, sf_dir, table).createOrReplaceTempView(f"{table}_in")
-    return spark.sql(sql.replace(f"FROM {table}", f"FROM {table}_in").replace("{day}", _INTERVAL_DAY))
+    text = sql.replace(f"FROM {table}", "FROM {" + table + "}").replace("{day}", _INTERVAL_DAY)
+    return X.run_sql(spark, text, **{table: X.read(spark, sf_dir, table)})
 
 
 def documents(spark, sf_dir):
@@ -66,26 +69,8 @@ def runs(spark, sf_dir):
 
 
 def findings(spark, sf_dir):
-    """One finding per order line number: the smallest line wins among duplicates."""
-    rows = _run(spark, sf_dir, _LINES, "lineitem")
-    order = ["l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice"]
-    rest = [c for c in rows.columns if c not in ("l_orderkey", "l_linenumber")]
-    first = rows.groupBy("l_orderkey", "l_linenumber").agg(
-        F.min_by(F.struct(*rest), F.struct(*order)).alias("_r")
-    )
-    flat = first.select("l_orderkey", "l_linenumber", "_r.*")
-    return flat.selectExpr(*[c.strip() for c in _split(_FINDING_COLUMNS)])
-
-
-def _split(columns: str) -> list[str]:
-    out, depth, start = [], 0, 0
-    for i, ch in enumerate(columns):
-        depth += ch == "("
-        depth -= ch == ")"
-        if ch == "," and depth == 0:
-            out.append(columns[start:i])
-            start = i + 1
-    return out + [columns[start:]]
+    """One finding per order line; lines that share a number are numbered among themselves."""
+    return _run(spark, sf_dir, _FINDINGS, "lineitem")
 
 
 def edits(spark, sf_dir):
@@ -104,8 +89,11 @@ def edits(spark, sf_dir):
 
 
 def citations(spark, sf_dir):
-    rows = findings(spark, sf_dir).filter("severity = 'critical'")
-    basis = F.when(F.col("flag_id") % 2 == 0, "statutory").otherwise("doctrinal")
+    rows = findings(spark, sf_dir)
+    basis = (
+        F.when(F.col("severity") == "critical", F.lit("statutory"))
+        .when(F.col("flag_id") % 2 == 0, F.lit("doctrinal"))
+    )
     return rows.select("flag_id", "job_id", (F.col("flag_id") * 3).alias("citation_id"), basis.alias("basis"))
 
 
@@ -118,11 +106,10 @@ VERSIONS = f"vers AS MATERIALIZED ({_duck(_VERSIONS)})"
 JOBS = f"jobs AS MATERIALIZED ({_duck(_JOBS)})"
 RUNS = f"""runs AS MATERIALIZED (SELECT job_id, domain_key, status, error, created_at FROM (SELECT *, row_number() OVER
   (PARTITION BY job_id, domain_key ORDER BY created_at DESC, tie DESC, price DESC) AS rn FROM ({_OUTCOMES})) WHERE rn = 1)"""
-FINDINGS = f"""finding AS MATERIALIZED (SELECT {_FINDING_COLUMNS} FROM (SELECT *, row_number() OVER
-  (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS rn FROM lineitem) WHERE rn = 1)"""
+FINDINGS = f"finding AS MATERIALIZED ({_FINDINGS})"
 EDITS = """edit AS MATERIALIZED (SELECT *, CASE edit_id % 3 WHEN 0 THEN true WHEN 1 THEN false END AS accepted FROM
   (SELECT flag_id, job_id, flag_id * 2 + n AS edit_id, CAST(n AS INTEGER) AS edit_no, 'old ' || flag_id AS original_text,
    'new ' || n || ' ' || summary AS revised_text FROM finding, (VALUES (0), (1)) t(n)))"""
-CITATIONS = """cite AS MATERIALIZED (SELECT flag_id, job_id, flag_id * 3 AS citation_id, CASE WHEN flag_id % 2 = 0 THEN 'statutory' ELSE 'doctrinal' END AS basis
-  FROM finding WHERE severity = 'critical')"""
+CITATIONS = """cite AS MATERIALIZED (SELECT flag_id, job_id, flag_id * 3 AS citation_id, CASE WHEN severity = 'critical' THEN 'statutory' WHEN flag_id % 2 = 0 THEN 'doctrinal' END AS basis
+  FROM finding)"""
 SEVERITY_RANK = "CASE severity WHEN 'critical' THEN 1 WHEN 'high' THEN 2 WHEN 'medium' THEN 3 ELSE 4 END"

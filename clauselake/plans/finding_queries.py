@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from clauselake import constants as K
 from clauselake.operators import findings as Q
 from clauselake.operators import jobs as J
+from clauselake.operators import redact as R
+from clauselake.operators import redline as RL
 from clauselake.plans import entities as E
 from clauselake.plans import fixtures as X
 
@@ -18,7 +19,7 @@ def _of_jobs(spark, sf_dir):
 
 def _ordered(spark, sf_dir):
     return Q.order_by_severity(E.findings(spark, sf_dir)).select(
-        "job_id", "flag_id", "severity_rank", "created_at"
+        "job_id", "flag_id", "severity_rank", "place", "created_at"
     )
 
 
@@ -85,6 +86,53 @@ def _bundle(spark, sf_dir):
     return rows.withColumn("failed_domains", F.concat_ws(",", "failed_domains"))
 
 
+def _bundle_findings(spark, sf_dir):
+    done = E.jobs(spark, sf_dir).filter("state = 'done'")
+    rows = Q.bundle_findings(
+        done, E.findings(spark, sf_dir), E.edits(spark, sf_dir), E.citations(spark, sf_dir)
+    )
+    return rows.select(
+        "job_id",
+        "place",
+        "flag_id",
+        F.array_join(F.transform("suggested_edits", lambda e: e["revised_text"]), "|").alias("edits"),
+        F.array_join(
+            F.transform("citations", lambda c: F.coalesce(c["basis"], F.lit("-"))), "|"
+        ).alias("citations"),
+    )
+
+
+def _export(spark, sf_dir):
+    """The export of the newest finished jobs: edits that may leave, originals put back, redlines.
+
+    The clause of a finding is its summary and an address under a token; its two edits
+    change one word each, and only exportable ones are applied.
+    """
+    chosen = J.latest_job(E.jobs(spark, sf_dir), "done_finished")
+    found = Q.findings_of_jobs(E.findings(spark, sf_dir), chosen)
+    allowed = Q.exportable_edits(E.edits(spark, sf_dir)).select("flag_id", "edit_id", "edit_no")
+    word = F.when(F.col("edit_no") == 0, F.lit("mail")).otherwise(F.lit("now"))
+    new = F.when(F.col("edit_no") == 0, F.lit("Mail")).otherwise(F.lit("later"))
+    edits = allowed.select(
+        F.col("flag_id").alias("clause_id"), "edit_no", word.alias("original_text"), new.alias("revised_text")
+    )
+    clauses = found.select(
+        F.col("flag_id").alias("version_id"),
+        F.concat("summary", F.lit(" mail to [EMAIL_1] now")).alias("redacted_text"),
+    )
+    mapping = found.select(
+        F.col("flag_id").alias("version_id"),
+        F.lit("[EMAIL_1]").alias("token"),
+        F.concat(F.lit("a"), F.col("job_id").cast("string"), F.lit("@example.org")).alias("original"),
+    )
+    texts = R.expand(clauses, mapping).select(F.col("version_id").alias("clause_id"), "text")
+    redlines = RL.accept_all(RL.apply_edits(texts, edits))
+    counted = edits.groupBy("clause_id").agg(F.count("*").cast("int").alias("edits"))
+    return redlines.join(counted, "clause_id").select(
+        F.col("clause_id").alias("flag_id"), "edits", "accepted_text"
+    )
+
+
 def _portfolio(spark, sf_dir):
     return Q.portfolio_risk(
         E.findings(spark, sf_dir), E.jobs(spark, sf_dir), E.versions(spark, sf_dir), E.documents(spark, sf_dir)
@@ -100,7 +148,7 @@ def _decided(spark, sf_dir):
     )
     events = X.read(spark, sf_dir, "events")
     third = F.floor(F.col("event_id") / 3)  # three decisions per edit
-    edit_id = (third * 10 + third % 7 + 1) * 2 + third % 2
+    edit_id = ((third * 10 + third % 7 + 1) * 100 + 1) * 2 + third % 2
     decisions = events.select(
         edit_id.alias("edit_id"),
         (F.col("user_id") % 25).alias("user_id"),
@@ -128,11 +176,14 @@ QUERIES = {
     "document_list": _documents,
     "version_history": _history,
     "results_bundle": _bundle,
+    "bundle_findings": _bundle_findings,
+    "export_redlines": _export,
     "portfolio_risk": _portfolio,
     "apply_decisions": _decided,
 }
 
-_SEV = ", ".join(f"'{s}'" for s in K.SEVERITIES)
+_LEVELS = ["critical", "high", "medium", "info"]
+_SEV = ", ".join(f"'{s}'" for s in _LEVELS)
 
 
 def _tally_sql(key: str) -> str:
@@ -143,11 +194,11 @@ def _tally_sql(key: str) -> str:
 ORACLES = {
     "findings_of_jobs": f"""WITH {E.JOBS}, {E.FINDINGS}, newest AS (SELECT job_id FROM (SELECT *, row_number() OVER (PARTITION BY version_id ORDER BY finished_at DESC, job_id DESC) AS rn
   FROM jobs WHERE state = 'done') WHERE rn = 1) SELECT flag_id, job_id, severity FROM finding WHERE job_id IN (SELECT job_id FROM newest)""",
-    "order_by_severity": f"WITH {E.FINDINGS} SELECT job_id, flag_id, {E.SEVERITY_RANK} AS severity_rank, created_at FROM finding",
+    "order_by_severity": f"WITH {E.FINDINGS} SELECT job_id, flag_id, {E.SEVERITY_RANK} AS severity_rank, row_number() OVER (PARTITION BY job_id ORDER BY {E.SEVERITY_RANK}, created_at, flag_id) AS place, created_at FROM finding",
     "findings_nested": f"""WITH {E.FINDINGS}, {E.EDITS}, {E.CITATIONS} SELECT f.flag_id, f.severity,
   coalesce((SELECT string_agg(revised_text, '|' ORDER BY edit_id) FROM edit e WHERE e.flag_id = f.flag_id), '') AS edits,
   coalesce((SELECT string_agg(basis, '|' ORDER BY citation_id) FROM cite c WHERE c.flag_id = f.flag_id), '') AS citations FROM finding f""",
-    "severity_counts": f"""WITH {E.FINDINGS} SELECT job_id, {', '.join(f"count(*) FILTER (WHERE severity = '{s}') AS {s}" for s in K.SEVERITIES)} FROM finding GROUP BY job_id""",
+    "severity_counts": f"""WITH {E.FINDINGS} SELECT job_id, {', '.join(f"count(*) FILTER (WHERE severity = '{s}') AS {s}" for s in _LEVELS)} FROM finding GROUP BY job_id""",
     "findings_by_group": f"""WITH {E.FINDINGS} SELECT job_id, CASE WHEN finding_type = 'absent' THEN 'absent' ELSE severity END AS display_group, count(*) AS findings
   FROM finding WHERE finding_type = 'absent' OR severity IN ({_SEV}) GROUP BY ALL""",
     "edit_tally_by_job": _tally_sql("job_id"),
@@ -157,7 +208,7 @@ ORACLES = {
     "actionable_asks": f"""WITH {E.FINDINGS}, asked AS (SELECT *, finding_type <> 'absent' AND severity IN ('critical', 'high', 'medium') AS strong FROM finding WHERE negotiation_ask <> ''),
 chosen AS (SELECT * FROM asked a WHERE strong OR NOT EXISTS (SELECT 1 FROM asked b WHERE b.job_id = a.job_id AND b.strong)),
 ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY job_id ORDER BY {E.SEVERITY_RANK}, created_at, flag_id) AS INTEGER) AS ask_no FROM chosen)
-SELECT job_id, ask_no, flag_id, severity, summary, negotiation_ask FROM ranked WHERE ask_no <= {K.MAX_ASKS}""",
+SELECT job_id, ask_no, flag_id, severity, summary, negotiation_ask FROM ranked""",
     "find_by_reference": f"""WITH {E.FINDINGS}, m AS (SELECT f.*, contains(lower(summary), ref) OR contains(lower(rationale), ref) AS matched
   FROM finding f JOIN (SELECT o_orderkey, 'supplier ' || (o_orderkey % 100) || ' ' AS ref FROM orders) ON o_orderkey = job_id)
 SELECT job_id, flag_id, matched FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY NOT matched, {E.SEVERITY_RANK}, created_at, flag_id) AS rn FROM m) WHERE rn = 1""",
@@ -169,17 +220,30 @@ FROM docs d LEFT JOIN lv USING (document_id) LEFT JOIN lj ON lj.version_id = lat
     "version_history": f"WITH {E.DOCUMENTS}, {E.VERSIONS} SELECT document_id, user_id, version_id, version_no, uploaded_at FROM vers JOIN docs USING (document_id) WHERE deleted_at IS NULL",
     "results_bundle": f"""WITH {E.VERSIONS}, {E.JOBS}, {E.RUNS}, {E.FINDINGS}, {E.EDITS},
 r AS (SELECT job_id, count(*) AS domains_total, count(*) FILTER (WHERE status = 'failed') AS domains_failed, coalesce(string_agg(domain_key, ',' ORDER BY domain_key) FILTER (WHERE status = 'failed'), '') AS fd FROM runs GROUP BY job_id),
-f AS (SELECT job_id, count(*) AS findings, {', '.join(f"count(*) FILTER (WHERE severity = '{s}') AS {s}" for s in K.SEVERITIES)} FROM finding GROUP BY job_id),
+f AS (SELECT job_id, count(*) AS findings, {', '.join(f"count(*) FILTER (WHERE severity = '{s}') AS {s}" for s in _LEVELS)} FROM finding GROUP BY job_id),
 e AS (SELECT job_id, count(*) AS edits, count(*) FILTER (WHERE accepted) AS a, count(*) FILTER (WHERE NOT accepted) AS n, count(*) FILTER (WHERE accepted IS NULL) AS u FROM edit GROUP BY job_id),
 c AS (SELECT conv_id AS version_id, count(*) AS comments FROM conversations GROUP BY conv_id)
 SELECT job_id, version_id, document_id, state, tc_parse_status, comments_parse_status, summary_status, quota_refunded, coalesce(fd, '') AS failed_domains,
   state = 'done' AND coalesce(domains_failed, 0) = 0 AND tc_parse_status IS DISTINCT FROM 'failed' AND comments_parse_status IS DISTINCT FROM 'failed' AND summary_status IS DISTINCT FROM 'failed' AS review_complete,
-  {', '.join(f"coalesce({s}, 0) AS {s}" for s in K.SEVERITIES)}, coalesce(findings, 0) AS findings, coalesce(edits, 0) AS edits, coalesce(a, 0) AS edits_accepted, coalesce(n, 0) AS edits_rejected,
+  {', '.join(f"coalesce({s}, 0) AS {s}" for s in _LEVELS)}, coalesce(findings, 0) AS findings, coalesce(edits, 0) AS edits, coalesce(a, 0) AS edits_accepted, coalesce(n, 0) AS edits_rejected,
   coalesce(u, 0) AS edits_undecided, coalesce(domains_total, 0) AS domains_total, coalesce(domains_failed, 0) AS domains_failed, coalesce(comments, 0) AS comments
-FROM jobs JOIN vers USING (version_id) LEFT JOIN r USING (job_id) LEFT JOIN f USING (job_id) LEFT JOIN e USING (job_id) LEFT JOIN c USING (version_id)""",
+FROM jobs LEFT JOIN vers USING (version_id) LEFT JOIN r USING (job_id) LEFT JOIN f USING (job_id) LEFT JOIN e USING (job_id) LEFT JOIN c USING (version_id)""",
+    "bundle_findings": f"""WITH {E.JOBS}, {E.FINDINGS}, {E.EDITS}, {E.CITATIONS}, done AS (SELECT job_id FROM jobs WHERE state = 'done')
+SELECT f.job_id, row_number() OVER (PARTITION BY f.job_id ORDER BY {E.SEVERITY_RANK}, created_at, f.flag_id) AS place, f.flag_id,
+  coalesce((SELECT string_agg(revised_text, '|' ORDER BY edit_id) FROM edit e WHERE e.flag_id = f.flag_id), '') AS edits,
+  coalesce((SELECT string_agg(coalesce(basis, '-'), '|' ORDER BY citation_id) FROM cite c WHERE c.flag_id = f.flag_id), '') AS citations
+FROM finding f WHERE f.job_id IN (SELECT job_id FROM done)""",
+    "export_redlines": f"""WITH {E.JOBS}, {E.FINDINGS}, {E.EDITS}, newest AS (SELECT job_id FROM (SELECT *, row_number() OVER (PARTITION BY version_id ORDER BY finished_at DESC, job_id DESC) AS rn
+  FROM jobs WHERE state = 'done') WHERE rn = 1),
+f AS (SELECT * FROM finding WHERE job_id IN (SELECT job_id FROM newest)),
+e AS (SELECT flag_id, edit_id % 2 AS n, accepted FROM edit),
+t AS (SELECT f.flag_id, f.summary, 'mail to a' || f.job_id || '@example.org now' AS m, a.accepted IS NOT FALSE AS x, b.accepted IS NOT FALSE AS y
+  FROM f JOIN e a ON a.flag_id = f.flag_id AND a.n = 0 JOIN e b ON b.flag_id = f.flag_id AND b.n = 1)
+SELECT flag_id, CAST(x::INT + y::INT AS INTEGER) AS edits, summary || ' ' || CASE WHEN y THEN replace(CASE WHEN x THEN 'Mail' || substr(m, 5) ELSE m END, ' now', ' later')
+  ELSE CASE WHEN x THEN 'Mail' || substr(m, 5) ELSE m END END AS accepted_text FROM t WHERE x OR y""",
     "portfolio_risk": f"""WITH {E.DOCUMENTS}, {E.VERSIONS}, {E.JOBS}, {E.FINDINGS} SELECT counterparty, domain, severity, count(*) AS findings, count(DISTINCT version_id) AS versions_hit
   FROM finding JOIN jobs USING (job_id) JOIN vers USING (version_id) JOIN docs USING (document_id) GROUP BY ALL""",
-    "apply_decisions": f"""WITH {E.JOBS}, {E.FINDINGS}, {E.EDITS}, d AS (SELECT (event_id // 3 * 10 + event_id // 3 % 7 + 1) * 2 + event_id // 3 % 2 AS edit_id,
+    "apply_decisions": f"""WITH {E.JOBS}, {E.FINDINGS}, {E.EDITS}, d AS (SELECT ((event_id // 3 * 10 + event_id // 3 % 7 + 1) * 100 + 1) * 2 + event_id // 3 % 2 AS edit_id,
   CASE event_id % 3 WHEN 0 THEN true WHEN 1 THEN false END AS accepted, ts, event_id FROM events),
 newest AS (SELECT edit_id, accepted FROM (SELECT *, row_number() OVER (PARTITION BY edit_id ORDER BY ts DESC, event_id DESC) AS rn FROM d) WHERE rn = 1)
 SELECT e.edit_id, CASE WHEN n.edit_id IS NOT NULL THEN n.accepted ELSE e.accepted END AS accepted FROM edit e JOIN jobs USING (job_id) LEFT JOIN newest n ON n.edit_id = e.edit_id""",

@@ -6,6 +6,8 @@ covers the whole table it is derived from.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,38 +16,54 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Spread rows over the cores where a small file gives fewer splits than cores.
+def run_sql(spark: SparkSession, text: str, **tables: DataFrame) -> DataFrame:
+    """SQL over tables under names of their own, which are dropped again.
 
-    On a large table the scan already has more splits and this changes nothing.
+    ``{name}`` stands for the table passed as ``name``; other braces are text.
+    """
+    names = {name: f"{name}_{uuid.uuid4().hex}" for name in tables}
+    for name, table in tables.items():
+        table.createTempView(names[name])
+        text = text.replace("{" + name + "}", names[name])
+    try:
+        return spark.sql(text)
+    finally:
+        for view in names.values():
+            spark.catalog.dropTempView(view)
+
+
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt to as many partitions as the caller asks for in the session.
+
+    Test files have one row group, hence one split; ``spark.clauselake.input.partitions`` deals
+    their rows out. Where it is unset, as on a cluster, the scan's own splits stay.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(2 * cores, key) if df.rdd.getNumPartitions() < cores else df
+    wanted = df.sparkSession.conf.get("spark.clauselake.input.partitions", None)
+    return df.repartition(int(wanted), key) if wanted else df
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(read(spark, sf_dir, "documents"), "doc_id")
+    return dealt(read(spark, sf_dir, "documents"), "doc_id")
 
 
-def distinct_lines(text: Column) -> Column:
-    """Trimmed non-blank lines, the first of equal ones, in order."""
+def lines_of(text: Column) -> Column:
+    """Trimmed non-blank lines in order, repeated ones included."""
     trimmed = F.transform(F.split(text, "\n", -1), F.trim)
-    return F.array_distinct(F.filter(trimmed, lambda x: x != ""))
+    return F.filter(trimmed, lambda x: x != "")
 
 
 def line_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    rows = docs.select("doc_id", F.posexplode(distinct_lines(F.col("text"))).alias("p", "line"))
+    rows = docs.select("doc_id", F.posexplode(lines_of(F.col("text"))).alias("p", "line"))
     return rows.select("doc_id", (F.col("p") + 1).alias("pos"), "line")
 
 
 LINES = """
 lines AS MATERIALIZED (
   SELECT doc_id, line, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY p) AS INTEGER) AS pos
-  FROM (SELECT doc_id, line, min(p) AS p
-        FROM (SELECT doc_id, trim(unnest(l)) AS line, generate_subscripts(l, 1) AS p
-              FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))
-        WHERE line <> '' GROUP BY doc_id, line))"""
+  FROM (SELECT doc_id, trim(unnest(l)) AS line, generate_subscripts(l, 1) AS p
+        FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))
+  WHERE line <> '')"""
 
 
 def contract_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +72,7 @@ def contract_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = docs.select(
         F.col("doc_id").alias("version_id"),
         F.col("doc_id").alias("_id"),
-        distinct_lines(F.col("text")).alias("_l"),
+        lines_of(F.col("text")).alias("_l"),
     ).filter(F.size("_l") > 0)
 
     def shape(build) -> Column:

@@ -31,7 +31,7 @@ def _carry(spark, sf_dir):
 def _carried_findings(spark, sf_dir):
     """Findings here are keyed by the run's domain: the line number part of the key."""
     rows = E.findings(spark, sf_dir).withColumn(
-        "domain", F.concat(F.lit("domain_"), (F.col("flag_id") % 10).cast("string"))
+        "domain", F.concat(F.lit("domain_"), (F.floor(F.col("flag_id") / 100) % 10).cast("string"))
     )
     return J.copy_findings(rows, _carry(spark, sf_dir))
 
@@ -104,8 +104,8 @@ prior AS (SELECT c.job_id, (SELECT p.job_id FROM jobs p WHERE p.version_id = c.v
   FROM jobs c WHERE c.state IN ('queued', 'running')),
 carry AS MATERIALIZED (SELECT prior.job_id, prior_job_id, domain_key FROM prior JOIN jobs j ON j.job_id = prior_job_id AND j.state = 'failed'
   JOIN runs r ON r.job_id = prior_job_id AND r.status = 'ok'),
-copied AS MATERIALIZED (SELECT c.job_id || '>' || f.flag_id AS flag_id, f.flag_id AS old, c.job_id, 'domain_' || (f.flag_id % 10) AS domain, f.summary
-  FROM finding f JOIN carry c ON c.prior_job_id = f.job_id AND c.domain_key = 'domain_' || (f.flag_id % 10))"""
+copied AS MATERIALIZED (SELECT c.job_id || '>' || f.flag_id AS flag_id, f.flag_id AS old, c.job_id, 'domain_' || (f.flag_id // 100 % 10) AS domain, f.summary
+  FROM finding f JOIN carry c ON c.prior_job_id = f.job_id AND c.domain_key = 'domain_' || (f.flag_id // 100 % 10))"""
 
 
 def _newest(where: str, order: str) -> str:
@@ -119,10 +119,10 @@ ORACLES = {
     "domain_runs": f"WITH {E.RUNS} SELECT * FROM runs",
     "job_outcome": f"WITH {_TOTALS} SELECT * FROM outcome",
     "error_digest": f"""WITH {_TOTALS}, line AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY domain_key) AS r FROM runs WHERE status = 'failed')
-SELECT job_id, left('Analisis selesai: ' || (any_value(domains_total) - any_value(domains_failed)) || '/' || any_value(domains_total) || ' domain berhasil, ' || any_value(domains_failed)
-  || ' domain gagal:' || chr(10) || string_agg(domain_key || ': ' || error, chr(10) ORDER BY r), {K.MAX_ERROR_CHARS}) AS error_message FROM line JOIN totals USING (job_id) WHERE r <= {K.MAX_ERROR_LINES} GROUP BY job_id""",
+SELECT job_id, 'Analisis selesai: ' || (any_value(domains_total) - any_value(domains_failed)) || '/' || any_value(domains_total) || ' domain berhasil, ' || any_value(domains_failed)
+  || ' domain gagal:' || chr(10) || string_agg(domain_key || ': ' || error, chr(10) ORDER BY r) AS error_message FROM line JOIN totals USING (job_id) GROUP BY job_id""",
     "failure_message": f"""WITH {_TOTALS}, {E.JOBS} SELECT job_id, 'Analisis gagal: ' || domains_failed || ' dari ' || domains_total || ' pemeriksaan tidak dapat diselesaikan. '
-  || CASE WHEN quota_refunded THEN '' ELSE '{K.QUOTA_RETURNED}' END || '{K.RETRY_HINT}' AS error_message FROM outcome JOIN jobs USING (job_id) WHERE outcome = 'failed'""",
+  || CASE WHEN quota_refunded THEN '' ELSE 'Kuota analisis Anda telah dikembalikan. ' END || 'Silakan coba lagi — pemeriksaan yang sudah berhasil tidak akan diulang. Jika masalah berlanjut, unggah ulang dokumen dan pastikan formatnya .docx dan terstruktur.' AS error_message FROM outcome JOIN jobs USING (job_id) WHERE outcome = 'failed'""",
     "carry_forward": f"WITH {_CARRY} SELECT * FROM carry",
     "copy_findings": f"WITH {_CARRY} SELECT flag_id, job_id, domain, summary FROM copied",
     "copy_edits": f"WITH {_CARRY} SELECT c.flag_id, c.job_id, edit_no, revised_text, CAST(NULL AS BOOLEAN) AS accepted FROM edit e JOIN copied c ON c.old = e.flag_id",

@@ -9,6 +9,7 @@ from clauselake.operators import redact as R
 from clauselake.operators import route as D
 from clauselake.plans import fixtures as X
 from clauselake.plans import segment_queries as G
+from clauselake.session import stored
 from clauselake.sources.lexicon import lexicon_from_rows
 
 # a lexicon made of pieces of words the test corpus uses, from very common to absent
@@ -33,26 +34,26 @@ presence AS MATERIALIZED (SELECT v.version_id, d.domain, d.always, count(h.ordin
   FROM (SELECT DISTINCT version_id FROM clauses) v CROSS JOIN domains d
   LEFT JOIN hits h ON h.version_id = v.version_id AND h.domain = d.domain GROUP BY ALL),
 routed AS MATERIALIZED (SELECT version_id, ordinal, domain, true AS matched FROM hits
-  UNION ALL SELECT c.version_id, c.ordinal, p.domain, false FROM clauses c
-  JOIN presence p ON p.version_id = c.version_id AND NOT p.present)"""
+  UNION ALL SELECT version_id, NULL, domain, false FROM presence WHERE NOT present)"""
 
 PACKED = (
     BASE
-    + f""",
-entry AS MATERIALIZED (SELECT version_id, ordinal, '[{K.CLAUSE_LABEL} ' || ordinal ||
+    + """,
+entry AS MATERIALIZED (SELECT version_id, ordinal, '[Klausul ' || ordinal ||
   CASE WHEN coalesce(heading_path, '') <> '' THEN ' (' || heading_path || ')' ELSE '' END || ']' || chr(10) || text AS entry
   FROM clauses),
-sized AS (SELECT r.version_id, r.domain, r.ordinal, e.entry, sum(length(e.entry)) OVER
-  (PARTITION BY r.version_id, r.domain ORDER BY r.ordinal) AS total FROM routed r JOIN entry e USING (version_id, ordinal)),
-contexts AS MATERIALIZED (SELECT version_id, domain, concat_ws(chr(10) || chr(10),
-  string_agg(entry, chr(10) || chr(10) ORDER BY ordinal) FILTER (WHERE total <= {K.MAX_CONTEXT_CHARS}),
-  CASE WHEN max(total) > {K.MAX_CONTEXT_CHARS} THEN '{K.CUT_MARKER}' END) AS context,
-  max(total) > {K.MAX_CONTEXT_CHARS} AS truncated,
-  CAST(count(*) FILTER (WHERE total <= {K.MAX_CONTEXT_CHARS}) AS INTEGER) AS entries FROM sized GROUP BY version_id, domain)"""
+wanted AS (SELECT r.version_id, r.domain, e.ordinal, e.entry FROM routed r JOIN entry e
+  ON e.version_id = r.version_id AND (e.ordinal = r.ordinal OR NOT r.matched)),
+ended AS (SELECT *, sum(length(entry)) OVER (PARTITION BY version_id, domain ORDER BY ordinal) AS e FROM wanted),
+ranged AS (SELECT *, (e - length(entry)) // 6000 AS k, (e - 1) // 6000 AS l FROM ended),
+segment AS (SELECT version_id, domain, CASE WHEN k = l THEN 2 * k ELSE 2 * k + 1 END AS g, string_agg(entry, chr(10) || chr(10) ORDER BY ordinal) AS context,
+  CAST(count(*) AS INTEGER) AS entries, sum(length(entry)) > 6000 AS oversized FROM ranged GROUP BY ALL),
+contexts AS MATERIALIZED (SELECT version_id, domain, CAST(row_number() OVER (PARTITION BY version_id, domain ORDER BY g) AS INTEGER) AS part_no, context, entries, oversized FROM segment)"""
 )
 
-_SAMPLE = f"""sample AS MATERIALIZED (SELECT version_id, left(string_agg('[{K.CLAUSE_LABEL} ' || ordinal || '] ' || text || chr(10), ''
-  ORDER BY ordinal), {K.MAX_SUMMARY_CHARS}) AS sample FROM clauses GROUP BY version_id)"""
+_SAMPLE = """joined AS (SELECT version_id, string_agg('[Klausul ' || ordinal || '] ' || text || chr(10), '' ORDER BY ordinal) AS t FROM clauses GROUP BY version_id),
+sample AS MATERIALIZED (SELECT version_id, CAST(k + 1 AS INTEGER) AS part_no, substr(t, k * 4000 + 1, 4000) AS sample
+  FROM (SELECT *, unnest(range(0, (length(t) - 1) // 4000 + 1)) AS k FROM joined))"""
 
 
 def comments(spark, sf_dir):
@@ -61,17 +62,17 @@ def comments(spark, sf_dir):
         F.col("conv_id").alias("version_id"),
         F.col("turn").alias("ordinal"),
         F.when(F.col("role") != "system", F.col("role")).alias("author"),
-        F.substring("text", 1, 200).alias("anchor_text"),
+        F.col("text").alias("anchor_text"),
         F.concat_ws(" ", "text", F.expr("'write to a' || CAST(conv_id % 7 AS STRING) || '@example.org'")).alias("body"),
     )
 
 
 # the planted address is the only personal data the check has to follow here
-_COMMENTS = f"""bubble AS (SELECT conv_id AS version_id, turn AS ordinal, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r,
-  '- [' || CASE WHEN role <> 'system' THEN role ELSE '{K.ANONYMOUS}' END || ']: ' || text || ' write to [EMAIL_1]' ||
-  CASE WHEN text <> '' THEN ' ({K.ANCHOR_LABEL}: "' || left(text, {K.MAX_ANCHOR_CHARS}) || '")' ELSE '' END AS line FROM conversations),
-comment_block AS MATERIALIZED (SELECT version_id, string_agg(line, chr(10) ORDER BY ordinal) AS comments, CAST(count(*) AS INTEGER) AS n_comments
-  FROM bubble WHERE r <= {K.MAX_COMMENTS} GROUP BY version_id)"""
+_COMMENTS = """bubble AS (SELECT conv_id AS version_id, turn AS ordinal, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // 20 + 1 AS part_no,
+  '- [' || CASE WHEN role <> 'system' THEN role ELSE 'Tanpa nama' END || ']: ' || text || ' write to [EMAIL_1]' ||
+  CASE WHEN text <> '' THEN ' (terkait teks: "' || text || '")' ELSE '' END AS line FROM conversations),
+comment_block AS MATERIALIZED (SELECT version_id, CAST(part_no AS INTEGER) AS part_no, string_agg(line, chr(10) ORDER BY ordinal) AS comments, CAST(count(*) AS INTEGER) AS n_comments
+  FROM bubble GROUP BY version_id, part_no)"""
 
 
 def _match(spark, sf_dir):
@@ -103,28 +104,81 @@ def _comments(spark, sf_dir):
     return D.pack_comments(comments(spark, sf_dir))
 
 
-def requests(spark, sf_dir):
-    clauses = G.clause_table(spark, sf_dir)
+def _requests(spark, sf_dir, clauses, mapping=None):
     versions = X.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("version_id"))
-    summaries = D.summary_sample(clauses).select(
-        "version_id", F.when(F.col("version_id") % 3 != 0, F.col("sample")).alias("summary")
+    summaries = versions.select(
+        "version_id",
+        F.when(
+            F.col("version_id") % 3 != 0,
+            F.concat(F.lit("Dokumen nomor "), F.col("version_id").cast("string")),
+        ).alias("summary"),
     )
     contexts = D.pack_context(D.route_clauses(clauses, LEXICON), clauses)
-    return D.build_requests(versions, LEXICON, contexts, summaries, _comments(spark, sf_dir))
+    bubbles = D.pack_comments(comments(spark, sf_dir), mapping)
+    return D.build_requests(versions, LEXICON, contexts, summaries, bubbles)
+
+
+def requests(spark, sf_dir):
+    return _requests(spark, sf_dir, G.clause_table(spark, sf_dir))
+
+
+def outbound_requests(spark, sf_dir):
+    """Requests as they leave: clauses and comments of a version share one mapping.
+
+    The mapping of the whole text is extended by the clauses in order, and that again by
+    the comments, so a token stands for one original in every channel of a version.
+    """
+    clauses = G.clause_table(spark, sf_dir)
+    known = R.assign_tokens(X.contract_texts(spark, sf_dir))
+    folded = stored(R.fold_clauses(clauses, known), "folded")
+    clean = stored(
+        clauses.drop("text").join(
+            R.clause_texts(folded).withColumnRenamed("redacted_text", "text"), ["version_id", "ordinal"]
+        ),
+        "clauses",
+    )
+    return _requests(spark, sf_dir, clean, R.extended_mapping(folded))
+
+
+def _audit(spark, sf_dir):
+    """What the patterns still find in outbound requests, per type, zeros included.
+
+    The requests' own numbering (clause numbers and headings in brackets, the number in
+    the summary) is no personal data and is blanked first.
+    """
+    own = r"\[Klausul \d+( \([^\n]*\))?\]|Dokumen nomor \d+"
+    out = outbound_requests(spark, sf_dir).select(
+        "version_id", F.regexp_replace("request", own, "").alias("text")
+    )
+    left = R.residual_pii_audit(out).groupBy("type").agg(F.sum("matches").alias("matches"))
+    kinds = X.read(spark, sf_dir, "documents").select(
+        F.explode(F.array(*[F.lit(kind) for kind, _ in K.PII_PATTERNS])).alias("type")
+    )
+    checked = kinds.groupBy("type").agg(F.count("*").alias("versions"))
+    return checked.join(left, "type", "left").select(
+        "type", "versions", F.coalesce("matches", F.lit(0)).cast("long").alias("matches")
+    )
 
 
 def _budget(spark, sf_dir):
     return D.request_budget(requests(spark, sf_dir))
 
 
-_REQUESTS = f"""{PACKED}, {_SAMPLE}, {_COMMENTS}, request AS MATERIALIZED (
-SELECT doc_id AS version_id, d.domain, concat_ws(chr(10) || chr(10),
-  CASE WHEN coalesce(CASE WHEN doc_id % 3 <> 0 THEN sample END, '') <> '' THEN '{K.SUMMARY_HEADER}' || chr(10) || sample ELSE '{K.NO_SUMMARY}' END,
-  '{K.CLAUSES_HEADER} ''' || d.domain || ''':' || chr(10) || coalesce(context, CASE WHEN always THEN '{K.NO_CLAUSE_ALWAYS}' ELSE '{K.NO_MATCHING_CLAUSE}' END),
-  CASE WHEN coalesce(comments, '') <> '' THEN '{K.COMMENTS_HEADER}' || chr(10) || comments END,
-  '{K.TASK_LINE} ' || d.domain || ' (key: ' || d.domain || ')') AS request, coalesce(truncated, false) AS truncated
-FROM documents CROSS JOIN domains d LEFT JOIN sample s ON s.version_id = doc_id LEFT JOIN comment_block b ON b.version_id = doc_id
-LEFT JOIN contexts c ON c.version_id = doc_id AND c.domain = d.domain)"""
+_REQUESTS = f"""{PACKED}, {_COMMENTS},
+base AS (SELECT doc_id AS version_id, domain, always FROM documents CROSS JOIN domains),
+spot AS (SELECT version_id, domain, 1 AS part_no FROM base UNION SELECT version_id, domain, part_no FROM contexts
+  UNION SELECT version_id, domain, part_no FROM comment_block JOIN base USING (version_id)),
+request AS MATERIALIZED (
+SELECT s.version_id, s.domain, CAST(s.part_no AS INTEGER) AS part_no, concat_ws(chr(10) || chr(10),
+  CASE WHEN s.version_id % 3 <> 0 THEN 'Ringkasan Dokumen:' || chr(10) || 'Dokumen nomor ' || s.version_id
+    ELSE 'Ringkasan dokumen tidak tersedia untuk analisis ini — gunakan klausul di bawah sebagai satu-satunya konteks.' END,
+  'Klausul-Klausul yang Relevan dengan Domain ''' || s.domain || ''':' || chr(10) || coalesce(context, CASE WHEN s.part_no > 1 THEN NULL
+    WHEN always THEN 'Tidak ada klausul yang secara eksplisit membahas domain ini dalam kontrak. Evaluasi apakah ketidakhadiran klausul ini sendiri merupakan temuan.'
+    ELSE '(Tidak ada klausul yang cocok dengan domain ini)' END),
+  CASE WHEN coalesce(comments, '') <> '' THEN 'Komentar yang Ditambahkan oleh Pihak Lain dalam Dokumen:' || chr(10) || comments END,
+  'Analisis kontrak ini untuk domain: ' || s.domain || ' (key: ' || s.domain || ')') AS request
+FROM spot s JOIN base USING (version_id, domain) LEFT JOIN comment_block b ON b.version_id = s.version_id AND b.part_no = s.part_no
+LEFT JOIN contexts c ON c.version_id = s.version_id AND c.domain = s.domain AND c.part_no = s.part_no)"""
 
 QUERIES = {
     "match_domains": _match,
@@ -136,6 +190,7 @@ QUERIES = {
     "pack_comments": _comments,
     "build_requests": requests,
     "request_budget": _budget,
+    "outbound_audit": _audit,
 }
 
 ORACLES = {
@@ -148,5 +203,7 @@ ORACLES = {
     "pack_comments": f"WITH {_COMMENTS} SELECT * FROM comment_block",
     "build_requests": f"{_REQUESTS} SELECT * FROM request",
     "request_budget": f"""{_REQUESTS} SELECT domain, count(*) AS requests, CAST(sum(length(request)) AS BIGINT) AS chars,
-  CAST(max(length(request)) AS INTEGER) AS max_chars, count(*) FILTER (WHERE truncated) AS truncated, count(*) * 2 AS max_calls FROM request GROUP BY domain""",
+  CAST(max(length(request)) AS INTEGER) AS max_chars, count(*) FILTER (WHERE part_no > 1) AS further_parts, count(*) * 2 AS max_calls FROM request GROUP BY domain""",
+    "outbound_audit": """SELECT type, (SELECT count(*) FROM documents) AS versions, CAST(0 AS BIGINT) AS matches
+  FROM (VALUES ('NIK'), ('NPWP'), ('EMAIL'), ('PHONE'), ('BANK'), ('ADDR')) AS t(type)""",
 }

@@ -2,17 +2,26 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(name: str = "clauselake", cpus: str = "*", partitions: int = 8) -> SparkSession:
+def build_session(
+    name: str = "clauselake", cpus: str = "*", partitions: int = 8, memory: str = "12g"
+) -> SparkSession:
+    """A local session for tests and the bench.
+
+    ``SPARK_MASTER`` replaces the master, ``CLAUSELAKE_SCRATCH`` the shared folder. On a
+    cluster pass the session that is there; no operator makes one.
+    """
+    scratch = os.environ.get("CLAUSELAKE_SCRATCH") or tempfile.mkdtemp(prefix="clauselake-")
     spark = (
-        SparkSession.builder.master(f"local[{cpus}]")
+        SparkSession.builder.master(os.environ.get("SPARK_MASTER", f"local[{cpus}]"))
         .appName(name)
-        .config("spark.driver.memory", "12g")
+        .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
@@ -20,6 +29,9 @@ def build_session(name: str = "clauselake", cpus: str = "*", partitions: int = 8
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.checkpoint.dir", scratch)
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+        .config("spark.clauselake.input.partitions", "16")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -27,16 +39,15 @@ def build_session(name: str = "clauselake", cpus: str = "*", partitions: int = 8
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a local one only in local mode."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir"
-    )
-    if shared:
-        return shared
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    shared = tempfile.mkdtemp(prefix="clauselake-")
-    spark.conf.set("spark.checkpoint.dir", shared)
+    """The shared folder named by ``spark.checkpoint.dir``, or by the context itself.
+
+    Where neither is set, as in a bare local session, a folder of this machine is set;
+    a cluster names its own.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared:
+        shared = tempfile.mkdtemp(prefix="clauselake-")
+        spark.conf.set("spark.checkpoint.dir", shared)
     return shared
 
 

@@ -1,4 +1,3 @@
-import difflib
 import random
 
 from pyspark.sql import functions as F
@@ -43,29 +42,53 @@ def test_outer_blanks_are_no_change(spark):
     assert _diff(spark, ["same text"], ["  same text \n"]) == []
 
 
-def _expected(old, new):
-    out = []
-    for tag, i1, i2, j1, j2 in difflib.SequenceMatcher(None, old, new, autojunk=False).get_opcodes():
-        if tag == "equal":
-            continue
-        a, b = list(range(i1, i2)), list(range(j1, j2))
-        for k in range(max(len(a), len(b))):
-            i, j = (a[k] if k < len(a) else None), (b[k] if k < len(b) else None)
-            out.append((None if i is None else i + 1, None if j is None else j + 1))
-    return out
+def _places(spark, old, new):
+    rows = [(v, i + 1, None, t) for v, side in ((1, old), (2, new)) for i, t in enumerate(side)]
+    pairs = spark.createDataFrame([(9, 1, 2)], "pair_id int, from_version int, to_version int")
+    changes = V.align_clauses(pairs, spark.createDataFrame(rows, CLAUSES))
+    found = changes.orderBy("block_no", "place").collect()
+    return [(r.block_no, r.old_ordinal, r.new_ordinal) for r in found]
+
+
+def test_unchanged_clauses_cut_blocks(spark):
+    assert _places(spark, "abcde", "abXde") == [(2, 3, 3)]
+    assert _places(spark, "abcde", "bcdeX") == [(0, 1, None), (4, None, 5)]
+
+
+def test_a_moved_clause_gives_way(spark):
+    assert _places(spark, "abcd", "bcda") == [(0, 1, None), (3, None, 4)]
+    assert _places(spark, "abcd", "dabc") == [(0, None, 1), (3, 4, None)]
+    assert _places(spark, "abcde", "cdeab") == [(0, 1, None), (0, 2, None), (3, None, 4), (3, None, 5)]
+    assert _places(spark, "ab", "ba") == [(0, 1, None), (1, None, 2)]
+
+
+def test_two_stretches_are_judged_apart(spark):
+    assert _places(spark, "abcdXefgh", "bcdaXhefg") == [
+        (0, 1, None), (3, None, 4), (4, None, 6), (7, 9, None),
+    ]
+
+
+def test_repeated_clauses_pair_by_place(spark):
+    assert _places(spark, "arrb", "arrb") == []
+    assert _places(spark, "arrb", "arrrb") == [(1, None, 4)]
+    assert _places(spark, "arrb", "arb") == [(1, 3, None)]
+    assert _places(spark, "rar", "rrar") == [(0, None, 2)]
+    assert _places(spark, "rrr", "rr") == [(0, 3, None)]
 
 
-def test_alignment_with_repeated_clauses(spark):
+def test_places_cover_both_sides_in_order(spark):
+    """Whatever the lists, kept clauses are equal and in order, and every other one is reported."""
     rng = random.Random(7)
-    old = {p: [rng.choice("abcd") for _ in range(rng.randint(1, 12))] for p in range(60)}
-    new = {p: [rng.choice("abcd") for _ in range(rng.randint(1, 12))] for p in range(60)}
-    rows = [(p * 2 + s, i + 1, None, t) for s, side in ((0, old), (1, new)) for p, ts in side.items() for i, t in enumerate(ts)]
-    pairs = spark.createDataFrame([(p, p * 2, p * 2 + 1) for p in old], "pair_id int, from_version int, to_version int")
-    got = {}
-    changes = V.pair_replaced(V.align_clauses(pairs, spark.createDataFrame(rows, CLAUSES)))
-    for r in changes.orderBy("pair_id", "block_no", "place").collect():
-        got.setdefault(r.pair_id, []).append((r.old_ordinal, r.new_ordinal))
-    assert got == {p: _expected(old[p], new[p]) for p in old if _expected(old[p], new[p])}
+    lists = [["".join(rng.choices("abcdefgh", k=rng.randint(1, 12))) for _ in range(60)] for _ in (0, 1)]
+    rows = [(p * 2 + s, i + 1, None, t) for s in (0, 1) for p, ts in enumerate(lists[s]) for i, t in enumerate(ts)]
+    pairs = spark.createDataFrame([(p, p * 2, p * 2 + 1) for p in range(60)], "pair_id int, from_version int, to_version int")
+    got = {p: ([], []) for p in range(60)}
+    for r in V.align_clauses(pairs, spark.createDataFrame(rows, CLAUSES)).collect():
+        got[r.pair_id][0].append(r.old_ordinal)
+        got[r.pair_id][1].append(r.new_ordinal)
+    for p in range(60):
+        kept = [[t for i, t in enumerate(lists[s][p], 1) if i not in got[p][s]] for s in (0, 1)]
+        assert kept[0] == kept[1]
 
 
 def _redline(spark, text, edits):
