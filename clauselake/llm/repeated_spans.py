@@ -297,36 +297,41 @@ def repeated_spans(
             for i in range(0, batch.num_rows, 200):
                 keys, names, columns = [], [], ([], [], [])
                 for key, data in _texts(batch.slice(i, 200)):
-                    whole = data.tobytes()
+                    whole, met = data.tobytes(), {}
                     for place, hashed, first, last in text_anchors(data, length, gram):
                         region = hashlib.blake2b(whole[first : last + length], digest_size=8)
-                        keys.append(key)
-                        names.append(hashed.to_bytes(8, "big") + region.digest())
-                        for c, v in zip(columns, (place, place - first, last + length - place), strict=True):
+                        name = hashed.to_bytes(8, "big") + region.digest()
+                        # a region that a text repeats is one row with all its places
+                        met.setdefault(name, ([], place - first, last + length - place))[0].append(place)
+                    keys.extend([key] * len(met))
+                    names.extend(met)
+                    for row in met.values():
+                        for c, v in zip(columns, row, strict=True):
                             c.append(v)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(keys, pa.binary()),
                         pa.array(names, pa.binary()),
-                        pa.array(columns[0], pa.int64()),
+                        pa.array(columns[0], pa.list_(pa.int64())),
                         pa.array(columns[1], pa.int32()),
                         pa.array(columns[2], pa.int32()),
                     ],
-                    names=["key", "region", "place", "back", "ahead"],
+                    names=["key", "region", "places", "back", "ahead"],
                 )
 
     found = stored(
         slim.select("doc_id", "text").mapInArrow(
-            find, "key binary, region binary, place long, back int, ahead int"
+            find, "key binary, region binary, places array<bigint>, back int, ahead int"
         ),
         "anchors",
     ).withColumn("cls", F.substring("region", F.lit(1), F.lit(8)))
-    often = found.groupBy("cls").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("cls")
+    often = found.groupBy("cls").agg(F.sum(F.size("places")).alias("_n")).filter("_n > 1").select("cls")
     regions = stored(
         found.join(often, "cls")
+        .withColumn("place", F.get("places", F.lit(0)))
         .groupBy("region")
         .agg(
-            F.count(F.lit(1)).alias("n"),
+            F.sum(F.size("places")).alias("n"),
             *[F.first(c).alias(c) for c in ("cls", "key", "place", "back", "ahead")],
         ),
         "regions",
@@ -409,6 +414,7 @@ def repeated_spans(
     )
     runs = (
         found.join(decided, "region")
+        .select("key", "left", "right", F.explode("places").alias("place"))
         .select(
             "key",
             F.struct(
