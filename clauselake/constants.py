@@ -128,6 +128,20 @@ EMPTY_NOTES = {
     "pdf_image": "OCR tidak berhasil mengekstrak teks dari PDF.",
     "image": "OCR tidak menghasilkan teks yang memadai dari gambar.",
 }
+PARTIAL_NOTES = {  # format templates
+    "docx": (
+        "Ekstraksi DOCX tampak tidak lengkap (%d dari perkiraan %d karakter dalam dokumen). "
+        "Dokumen ini memerlukan tinjauan manual."
+    ),
+    "pdf_text": (
+        "Ekstraksi PDF tampak tidak lengkap (%d karakter dari %d halaman). "
+        "Dokumen ini memerlukan tinjauan manual."
+    ),
+    "ocr": (
+        "OCR menghasilkan teks yang tampak tidak lengkap (%d karakter dari %d halaman). "
+        "Dokumen ini memerlukan tinjauan manual."
+    ),
+}
 OCR_WARNINGS = {
     "pdf_image": (
         "Dokumen ini adalah PDF berbasis gambar. "

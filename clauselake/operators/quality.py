@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from clauselake import constants as K
 from clauselake.functions.text import strip
 
-REVIEW = "Dokumen ini memerlukan tinjauan manual."
-
-
 def coverage_gate(extractions: DataFrame) -> DataFrame:
     """Adds ``coverage`` (ok, partial, empty, needs_ocr), ``extraction_ok`` and ``extraction_note``.
 
@@ -43,8 +40,7 @@ def coverage_gate(extractions: DataFrame) -> DataFrame:
         F.when(
             fmt == "docx",
             F.format_string(
-                "Ekstraksi DOCX tampak tidak lengkap (%d dari perkiraan %d karakter dalam dokumen). "
-                + REVIEW,
+                K.PARTIAL_NOTES["docx"],
                 n,
                 available,
             ),
@@ -52,15 +48,14 @@ def coverage_gate(extractions: DataFrame) -> DataFrame:
         .when(
             fmt == "pdf_text",
             F.format_string(
-                "Ekstraksi PDF tampak tidak lengkap (%d karakter dari %d halaman). " + REVIEW,
+                K.PARTIAL_NOTES["pdf_text"],
                 n,
                 "pages",
             ),
         )
         .otherwise(
             F.format_string(
-                "OCR menghasilkan teks yang tampak tidak lengkap (%d karakter dari %d halaman). "
-                + REVIEW,
+                K.PARTIAL_NOTES["ocr"],
                 n,
                 "pages",
             )

@@ -37,8 +37,15 @@ def purge_cascade(
     usage: DataFrame,
     now: datetime,
     days: int = K.RETENTION_DAYS,
+    dependents: dict[str, DataFrame] | None = None,
 ) -> dict[str, DataFrame]:
-    """Surviving rows of every dependent table; usage stays, with its job set to null."""
+    """Surviving rows of every dependent table; usage stays, with its job set to null.
+
+    ``dependents`` are further tables by name: clauses, comments, redaction mappings,
+    version differences, domain runs, citations. A row of theirs survives when everything
+    it names survives: its ``version_id``, ``from_version``, ``to_version``, ``job_id`` and
+    ``flag_id``, whichever the table has.
+    """
     gone = expired_documents(documents, now, days)
     kept_versions = versions.join(gone, "document_id", "left_anti")
     kept_jobs = jobs.join(kept_versions, "version_id", "left_semi")
@@ -47,7 +54,7 @@ def purge_cascade(
     kept_usage = usage.join(alive, "job_id", "left").withColumn(
         "job_id", F.when(F.col("_alive"), F.col("job_id"))
     )
-    return {
+    kept = {
         "documents": documents.join(gone, "document_id", "left_anti"),
         "versions": kept_versions,
         "jobs": kept_jobs,
@@ -55,6 +62,21 @@ def purge_cascade(
         "edits": edits.join(kept_findings, "flag_id", "left_semi"),
         "usage": kept_usage.drop("_alive"),
     }
+    owners = {
+        "version_id": kept_versions.select("version_id"),
+        "from_version": kept_versions.select(F.col("version_id").alias("from_version")),
+        "to_version": kept_versions.select(F.col("version_id").alias("to_version")),
+        "job_id": kept_jobs.select("job_id"),
+        "flag_id": kept_findings.select("flag_id"),
+    }
+    for name, table in (dependents or {}).items():
+        named = [c for c in owners if c in table.columns]
+        if not named:
+            raise ValueError(f"{name} names nothing that is purged")
+        for c in named:
+            table = table.join(owners[c], c, "left_semi")
+        kept[name] = table
+    return kept
 
 
 def orphan_blobs(inventory: DataFrame, versions: DataFrame) -> DataFrame:

@@ -174,4 +174,6 @@ def required_sections(docs: DataFrame, markers: dict[str, str], exempt: str | No
     rows = _with_lines(docs)
     if exempt:
         rows = rows.filter(~_present(F.col("_lines"), exempt))
-    return rows.select("doc_id", missing.alias("missing")).filter(F.size("missing") > 0)
+    # through a generator: a filter on the list would be pushed into a second evaluation
+    listed = rows.select("doc_id", F.explode(F.array(missing)).alias("missing"))
+    return listed.filter(F.size("missing") > 0)

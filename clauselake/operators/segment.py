@@ -299,14 +299,15 @@ def linearize_table(cells: DataFrame) -> DataFrame:
     """Reading order of paragraphs and tables: row-major, merged cells once, blanks dropped.
 
     Input ``doc_id, block, row, col, cell_id, text``; a paragraph is a block with
-    one cell. Output is one row per line, keyed by its place (block, row, col), so
-    a long document stays a set of rows.
+    one cell. Output is one row per line, numbered ``line_no`` through the document by its
+    place (block, row, col), so a long document stays a set of rows.
     """
     first = F.min(F.struct("col", F.col("text").alias("line"))).alias("_cell")
-    return (
+    lines = (
         cells.withColumn("text", strip(F.col("text")))
         .groupBy("doc_id", "block", "row", "cell_id")
         .agg(first)
         .select("doc_id", "block", "row", "_cell.col", "_cell.line")
         .filter("line <> ''")
     )
+    return running_total(lines, ["doc_id"], ["block", "row", "col"], F.lit(1), "line_no")

@@ -17,7 +17,7 @@ SESSIONS_NOW = datetime(2024, 1, 15)
 DAY = 24 * 3600
 
 _ATTEMPTS = """SELECT event_id AS attempt_id, user_id AS identifier, CAST({k} AS BIGINT) % 8 AS ip,
-  event_type = 'signup' AS success, ts AS created_at FROM events WHERE event_type IN ('error', 'signup')"""
+  event_type <> 'error' AS success, ts AS created_at FROM events"""
 
 
 def attempts(spark, sf_dir):
@@ -148,20 +148,56 @@ def _usage(spark, sf_dir):
     )
 
 
+def _dependents(spark, sf_dir):
+    """Rows that hang on versions, jobs and findings, keyed; differences hang on two versions."""
+    lines = X.line_rows(spark, sf_dir)
+    turns = X.read(spark, sf_dir, "conversations")
+    versions = E.versions(spark, sf_dir)
+    later = versions.filter("version_no > 1")
+    return {
+        "clauses": lines.select(
+            F.col("doc_id").alias("version_id"), F.concat_ws(":", "doc_id", "pos").alias("key")
+        ),
+        "comments": turns.select(
+            F.col("conv_id").alias("version_id"), F.concat_ws(":", "conv_id", "turn").alias("key")
+        ),
+        "redaction_mappings": versions.select(
+            "version_id", F.concat(F.lit("[EMAIL_1]:"), "version_id").alias("key")
+        ),
+        "version_diffs": later.select(
+            (F.col("version_id") - 1).alias("from_version"),
+            F.col("version_id").alias("to_version"),
+            F.concat_ws(":", F.col("version_id") - 1, "version_id").alias("key"),
+        ),
+        "domain_runs": E.runs(spark, sf_dir).select(
+            "job_id", F.concat_ws(":", "job_id", "domain_key").alias("key")
+        ),
+        "citations": E.citations(spark, sf_dir).select(
+            "flag_id", F.col("citation_id").cast("string").alias("key")
+        ),
+    }
+
+
 def _cascade(spark, sf_dir):
-    """Surviving rows counted per table, and usage rows that lost their job."""
+    """Keys of all surviving rows; a usage row that lost its job is told apart."""
     tables = T.purge_cascade(
         E.documents(spark, sf_dir), E.versions(spark, sf_dir), E.jobs(spark, sf_dir),
         E.findings(spark, sf_dir), E.edits(spark, sf_dir), _usage(spark, sf_dir), NOW,
-    )
-    counts = [
-        df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("table_name"), "rows")
-        for name, df in tables.items()
-    ]
-    unlinked = tables["usage"].filter("job_id is null").agg(F.count("*").alias("rows"))
-    out = unlinked.select(F.lit("usage_unlinked").alias("table_name"), "rows")
-    for df in counts:
-        out = out.unionByName(df)
+        dependents=_dependents(spark, sf_dir),
+    )
+    keys = {
+        "documents": F.col("document_id"),
+        "versions": F.col("version_id"),
+        "jobs": F.col("job_id"),
+        "findings": F.col("flag_id"),
+        "edits": F.col("edit_id"),
+        "usage": F.concat_ws(":", "usage_id", F.when(F.col("job_id").isNull(), "unlinked")),
+    }
+    out = None
+    for name, df in tables.items():
+        key = keys.get(name, F.col("key")).cast("string").alias("key")
+        rows = df.select(F.lit(name).alias("table_name"), key)
+        out = rows if out is None else out.unionByName(rows)
     return out
 
 
@@ -236,12 +272,19 @@ u AS (SELECT DISTINCT 'user' || (s_suppkey % 20) || '@x.org' AS email FROM suppl
 SELECT request_id, CASE WHEN i.code IS NULL THEN 'invalid_code' WHEN coalesce(i.email, '') <> '' AND lower(i.email) <> lower(r.email) THEN 'wrong_email'
   WHEN u.email IS NOT NULL THEN 'already_registered' ELSE 'ok' END AS result FROM r LEFT JOIN i ON i.code = r.code AND i.redeemed_at IS NULL LEFT JOIN u ON u.email = lower(r.email)""",
     "purge_set": f"WITH {KEYED}, {_GONE} SELECT document_id, version_id, storage_key FROM keyed WHERE document_id IN (SELECT document_id FROM gone)",
-    "purge_cascade": f"""WITH {E.DOCUMENTS}, {E.VERSIONS}, {E.JOBS}, {E.FINDINGS}, {E.EDITS}, {_GONE},
+    "purge_cascade": f"""WITH {E.DOCUMENTS}, {E.VERSIONS}, {E.JOBS}, {E.RUNS}, {E.FINDINGS}, {E.EDITS}, {E.CITATIONS}, {_GONE}, {X.LINES},
 v AS (SELECT * FROM vers WHERE document_id NOT IN (SELECT document_id FROM gone)), j AS (SELECT * FROM jobs WHERE version_id IN (SELECT version_id FROM v)),
 f AS (SELECT * FROM finding WHERE job_id IN (SELECT job_id FROM j))
-SELECT 'documents' AS table_name, count(*) AS rows FROM docs WHERE document_id NOT IN (SELECT document_id FROM gone) UNION ALL SELECT 'versions', count(*) FROM v
-UNION ALL SELECT 'jobs', count(*) FROM j UNION ALL SELECT 'findings', count(*) FROM f UNION ALL SELECT 'edits', count(*) FROM edit WHERE flag_id IN (SELECT flag_id FROM f)
-UNION ALL SELECT 'usage', count(*) FROM events UNION ALL SELECT 'usage_unlinked', count(*) FROM events WHERE event_id NOT IN (SELECT job_id FROM j)""",
+SELECT 'documents' AS table_name, CAST(document_id AS VARCHAR) AS key FROM docs WHERE document_id NOT IN (SELECT document_id FROM gone)
+UNION ALL SELECT 'versions', CAST(version_id AS VARCHAR) FROM v UNION ALL SELECT 'jobs', CAST(job_id AS VARCHAR) FROM j
+UNION ALL SELECT 'findings', CAST(flag_id AS VARCHAR) FROM f UNION ALL SELECT 'edits', CAST(edit_id AS VARCHAR) FROM edit WHERE flag_id IN (SELECT flag_id FROM f)
+UNION ALL SELECT 'usage', event_id || CASE WHEN event_id IN (SELECT job_id FROM j) THEN '' ELSE ':unlinked' END FROM events
+UNION ALL SELECT 'clauses', doc_id || ':' || pos FROM lines WHERE doc_id IN (SELECT version_id FROM v)
+UNION ALL SELECT 'comments', conv_id || ':' || turn FROM conversations WHERE conv_id IN (SELECT version_id FROM v)
+UNION ALL SELECT 'redaction_mappings', '[EMAIL_1]:' || version_id FROM v
+UNION ALL SELECT 'version_diffs', (version_id - 1) || ':' || version_id FROM vers WHERE version_no > 1 AND version_id IN (SELECT version_id FROM v) AND version_id - 1 IN (SELECT version_id FROM v)
+UNION ALL SELECT 'domain_runs', job_id || ':' || domain_key FROM runs WHERE job_id IN (SELECT job_id FROM j)
+UNION ALL SELECT 'citations', CAST(citation_id AS VARCHAR) FROM cite WHERE flag_id IN (SELECT flag_id FROM f)""",
     "orphan_blobs": f"""WITH {KEYED}, p AS (SELECT storage_key, c_acctbal FROM keyed JOIN customer ON c_custkey = version_id)
 SELECT storage_key, 'no_object' AS problem FROM p WHERE c_acctbal <= 0 UNION ALL SELECT storage_key || '.export', 'no_row' FROM p WHERE c_acctbal > 5000""",
     "retention_schedule": f"""WITH {E.DOCUMENTS} SELECT document_id, user_id, CAST(deleted_at AS DATE) + 30 AS purge_on,

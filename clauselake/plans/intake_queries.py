@@ -54,6 +54,10 @@ def _fingerprint(spark, sf_dir):
     return C.content_fingerprint(X.documents(spark, sf_dir)).select("doc_id", "sha256")
 
 
+def _copies(spark, sf_dir):
+    return C.exact_copy_groups(X.documents(spark, sf_dir), "doc_id")
+
+
 def _version_no(spark, sf_dir):
     orders = X.read(spark, sf_dir, "orders")
     existing = (
@@ -110,7 +114,7 @@ def _replace(spark, sf_dir):
 def _soft_delete(spark, sf_dir):
     orders = X.read(spark, sf_dir, "orders")
     document = F.floor(F.col("o_custkey") / 3)
-    requests = orders.filter("o_orderstatus = 'P'").select(
+    requests = orders.select(
         document.alias("document_id"),
         ((document + F.col("o_orderkey") % 2) % 25).alias("user_id"),
         F.col("o_orderdate").alias("requested_at"),
@@ -187,6 +191,7 @@ QUERIES = {
     "admission_gate": _admission,
     "admission_gate_bare_names": _bare_names,
     "content_fingerprint": _fingerprint,
+    "exact_copy_groups": _copies,
     "assign_version_no": _version_no,
     "storage_key": _storage_key,
     "parse_storage_key": _parse_key,
@@ -239,6 +244,7 @@ FROM orders LEFT JOIN documents d ON d.doc_id = o_orderkey LEFT JOIN (SELECT DIS
     "admission_gate_bare_names": _admit(
         "SELECT page_id, regexp_extract(url, '([^/]*)$', 1) AS filename, length(html) AS size FROM pages", K.EXTRACTOR_EXTENSIONS
     ),
+    "exact_copy_groups": "SELECT sha256(text) AS sha256, count(*) AS copies, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1",
     "content_fingerprint": "SELECT doc_id, sha256(text) AS sha256 FROM documents",
     "assign_version_no": """WITH f AS (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey)
 SELECT o_orderkey AS upload_id, o.o_custkey AS document_id, CAST(coalesce(n, 0) + row_number() OVER (PARTITION BY o.o_custkey ORDER BY o_orderdate, o_orderkey) AS INTEGER) AS version_no
@@ -253,16 +259,16 @@ SELECT request_id, user_id, storage_key, array_to_string(list_filter(string_spli
     "insert_first_wins": f"""SELECT {_COLS} FROM lineitem l WHERE l_linestatus = 'F' OR NOT EXISTS (SELECT 1 FROM lineitem b WHERE b.l_linestatus = 'F'
   AND b.l_orderkey = l.l_orderkey AND b.l_linenumber = l.l_linenumber)""",
     "replace_slice": f"SELECT {_COLS} FROM lineitem WHERE l_linestatus = 'O' OR l_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linestatus = 'O')",
-    "soft_delete": f"""WITH {E.DOCUMENTS}, r AS (SELECT o_custkey // 3 AS document_id, (o_custkey // 3 + o_orderkey % 2) % 25 AS user_id, min(o_orderdate) AS asked FROM orders WHERE o_orderstatus = 'P' GROUP BY ALL)
+    "soft_delete": f"""WITH {E.DOCUMENTS}, r AS (SELECT o_custkey // 3 AS document_id, (o_custkey // 3 + o_orderkey % 2) % 25 AS user_id, min(o_orderdate) AS asked FROM orders GROUP BY ALL)
 SELECT document_id, user_id, coalesce(deleted_at, asked) AS deleted_at FROM docs LEFT JOIN r USING (document_id, user_id)""",
     "coverage_gate": f"""WITH {_GATED} SELECT version_id, coverage, ok AS extraction_ok, CAST(CASE WHEN source_format = 'image' AND NOT ok THEN 0 ELSE length(t) END AS BIGINT) AS chars FROM gated""",
-    "coverage_note": f"""WITH {_GATED} SELECT version_id, coverage, CASE WHEN coverage = 'empty' THEN CASE source_format WHEN 'docx' THEN '{K.EMPTY_NOTES['docx']}' WHEN 'pdf_image' THEN '{K.EMPTY_NOTES['pdf_image']}' ELSE '{K.EMPTY_NOTES['image']}' END
+    "coverage_note": f"""WITH {_GATED} SELECT version_id, coverage, CASE WHEN coverage = 'empty' THEN CASE source_format WHEN 'docx' THEN 'Dokumen DOCX tidak mengandung teks yang dapat dibaca.' WHEN 'pdf_image' THEN 'OCR tidak berhasil mengekstrak teks dari PDF.' ELSE 'OCR tidak menghasilkan teks yang memadai dari gambar.' END
   WHEN coverage = 'partial' THEN CASE source_format WHEN 'docx' THEN 'Ekstraksi DOCX tampak tidak lengkap (' || length(t) || ' dari perkiraan ' || available_chars || ' karakter dalam dokumen). '
     WHEN 'pdf_text' THEN 'Ekstraksi PDF tampak tidak lengkap (' || length(t) || ' karakter dari ' || pages || ' halaman). '
-    ELSE 'OCR menghasilkan teks yang tampak tidak lengkap (' || length(t) || ' karakter dari ' || pages || ' halaman). ' END || '{Q.REVIEW}' END AS extraction_note FROM gated""",
+    ELSE 'OCR menghasilkan teks yang tampak tidak lengkap (' || length(t) || ' karakter dari ' || pages || ' halaman). ' END || 'Dokumen ini memerlukan tinjauan manual.' END AS extraction_note FROM gated""",
     "language_bucket": "SELECT doc_id, CASE WHEN lang = 'es' THEN 'id' WHEN lang IN ('id', 'en') THEN lang ELSE 'mixed' END AS language FROM documents",
     "detect_language": _language_sql(),
-    "accuracy_warning": f"WITH ex AS ({_EXTRACTED}) SELECT version_id, CASE source_format WHEN 'pdf_image' THEN '{K.OCR_WARNINGS['pdf_image']}' WHEN 'image' THEN '{K.OCR_WARNINGS['image']}' END AS accuracy_warning FROM ex",
+    "accuracy_warning": f"WITH ex AS ({_EXTRACTED}) SELECT version_id, CASE source_format WHEN 'pdf_image' THEN 'Dokumen ini adalah PDF berbasis gambar. Akurasi ekstraksi teks dapat bervariasi — verifikasi klausul penting secara manual.' WHEN 'image' THEN 'Dokumen diunggah sebagai gambar. Akurasi ekstraksi teks dapat bervariasi — verifikasi klausul penting secara manual.' END AS accuracy_warning FROM ex",
     "vocabulary_audit": f"WITH {E.FINDINGS}, h AS ("
     + " UNION ALL ".join(
         f"SELECT '{c}' AS rule, {c} AS value FROM finding WHERE {c} NOT IN ({', '.join(repr(v) for v in allowed)})" for c, allowed in _RULES.items()

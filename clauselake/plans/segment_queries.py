@@ -129,14 +129,14 @@ def _refs(spark, sf_dir):
 
 
 def cells(spark, sf_dir):
-    """Every fourth block of four lines is a table row of three columns, the rest paragraphs."""
+    """Every fourth block of four lines is a table of two rows, the rest paragraphs between tables."""
     rows = X.line_rows(spark, sf_dir)
     block = F.floor((F.col("pos") - 1) / 4)
     table = block % 4 == 3
     col = ((F.col("pos") - 1) % 4).cast("int")
     return rows.select(
         "doc_id",
-        F.when(table, block).otherwise(F.col("pos") + 100000).cast("int").alias("block"),
+        F.when(table, block * 4 + 1).otherwise(F.col("pos")).cast("int").alias("block"),
         F.when(table, F.floor(col / 2)).otherwise(0).cast("int").alias("row"),
         F.when(table, col % 2).otherwise(0).cast("int").alias("col"),
         F.when(table & (F.col("pos") % 3 == 0), F.concat(F.lit("m"), block.cast("string")))
@@ -149,7 +149,7 @@ def cells(spark, sf_dir):
 CELLS = (
     X.LINES
     + """,
-cells AS (SELECT doc_id, CASE WHEN t THEN b ELSE pos + 100000 END AS block,
+cells AS (SELECT doc_id, CASE WHEN t THEN b * 4 + 1 ELSE pos END AS block,
   CASE WHEN t THEN c // 2 ELSE 0 END AS "row", CASE WHEN t THEN c % 2 ELSE 0 END AS col,
   CASE WHEN t AND pos % 3 = 0 THEN 'm' || b ELSE 'c' || pos END AS cell_id,
   CASE WHEN pos % 11 = 0 THEN '  ' ELSE ' ' || line END AS text
@@ -205,6 +205,6 @@ SELECT version_id, CAST(row_number() OVER (PARTITION BY version_id ORDER BY i) A
 gap AS (SELECT version_id, coalesce(lag(e) OVER (PARTITION BY version_id ORDER BY s, e), 0) AS gap_start, s AS gap_end FROM edge)
 SELECT version_id, CAST(gap_start AS BIGINT) AS gap_start, CAST(gap_end AS BIGINT) AS gap_end FROM gap WHERE gap_end > gap_start""",
     "clause_ref": f"WITH {CLAUSES} SELECT version_id, ordinal, coalesce(nullif(heading_path, ''), 'Klausul ' || ordinal) AS clause_ref FROM clauses",
-    "linearize_table": f"""WITH {CELLS} SELECT doc_id, block, "row", min(col) AS col, arg_min(line, col) AS line
-  FROM (SELECT *, trim(text) AS line FROM cells) GROUP BY doc_id, block, "row", cell_id HAVING arg_min(line, col) <> ''""",
+    "linearize_table": f"""WITH {CELLS} SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY block, "row", col) AS line_no FROM (SELECT doc_id, block, "row", min(col) AS col, arg_min(line, col) AS line
+  FROM (SELECT *, trim(text) AS line FROM cells) GROUP BY doc_id, block, "row", cell_id HAVING arg_min(line, col) <> '')""",
 }

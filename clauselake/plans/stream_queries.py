@@ -9,6 +9,7 @@ from clauselake.plans import access_queries as A
 from clauselake.plans import fixtures as X
 from clauselake.plans import redact_queries as R
 from clauselake.session import scratch_path
+from clauselake.sources import corpus as C
 from clauselake.streaming import streams as S
 
 
@@ -32,13 +33,13 @@ def _segment(spark, sf_dir):
 
 
 def _attempt_stream(spark, sf_dir):
-    events = _stream(spark, sf_dir, "events").filter(F.col("event_type").isin("error", "signup"))
+    events = _stream(spark, sf_dir, "events")
     ip = F.get_json_object("props", "$.k").cast("bigint") % 8
     return events.select(
         F.col("event_id").alias("attempt_id"),
         F.col("user_id").alias("identifier"),
         ip.alias("ip"),
-        (F.col("event_type") == "signup").alias("success"),
+        (F.col("event_type") != "error").alias("success"),
         F.col("ts").alias("created_at"),
     )
 
@@ -46,7 +47,7 @@ def _attempt_stream(spark, sf_dir):
 def _lockouts(spark, sf_dir):
     attempts = _attempt_stream(spark, sf_dir)
     sink = _run(spark, lambda path, cp: S.stream_lockouts(attempts, path, cp, A.DAY, 3, 40))
-    rows = spark.read.parquet(f"{sink}/verdicts")
+    rows = S.current_verdicts(spark, sink)
     return rows.select("attempt_id", "identifier_failures", "address_failures", "verdict")
 
 
@@ -57,7 +58,13 @@ def _usage(spark, sf_dir):
         F.when(F.col("event_type") != "error", F.floor(F.col("value") * 100)).alias("input_tokens"),
         F.col("ts").alias("created_at"),
     )
-    return spark.read.parquet(_run(spark, lambda path, cp: S.stream_usage(events, path, cp)))
+    return S.current_usage(spark, _run(spark, lambda path, cp: S.stream_usage(events, path, cp)))
+
+
+def _dedupe(spark, sf_dir):
+    """Fingerprints of the documents, each once."""
+    texts = C.content_fingerprint(_stream(spark, sf_dir, "documents")).select("sha256")
+    return spark.read.parquet(_run(spark, lambda path, cp: S.stream_dedupe(texts, path, cp)))
 
 
 def _job_state(spark, sf_dir):
@@ -76,6 +83,7 @@ QUERIES = {
     "stream_lockouts": _lockouts,
     "stream_usage": _usage,
     "stream_job_state": _job_state,
+    "stream_dedupe": _dedupe,
 }
 
 ORACLES = {
@@ -87,7 +95,7 @@ SELECT version_id, CAST(row_number() OVER (PARTITION BY version_id ORDER BY i) A
   CAST(cs + length(t) AS BIGINT) AS char_end FROM kept WHERE t <> ''""",
     "stream_lockouts": A.ORACLES["lockouts"],
     "stream_usage": """SELECT date_trunc('day', ts) AS window_start, user_id, count(*) AS calls, count(*) FILTER (WHERE event_type = 'error') AS failed_calls,
-  CAST(sum(floor(value * 100)) FILTER (WHERE event_type <> 'error') AS BIGINT) AS input_tokens FROM events GROUP BY 1, 2
-  HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""",
+  CAST(sum(floor(value * 100)) FILTER (WHERE event_type <> 'error') AS BIGINT) AS input_tokens FROM events GROUP BY 1, 2""",
+    "stream_dedupe": "SELECT DISTINCT sha256(text) AS sha256 FROM documents",
     "stream_job_state": "SELECT user_id AS job_id, arg_max(event_type, (ts, event_id)) AS state, max(ts) AS changed_at, arg_max(event_id, (ts, event_id)) AS change_id FROM events GROUP BY user_id",
 }

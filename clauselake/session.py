@@ -60,6 +60,24 @@ def scratch_path(spark: SparkSession, purpose: str) -> str:
     return f"{scratch_root(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+def _files(spark: SparkSession, path: str):
+    """The file system of a path, whichever it is, and the path as it knows it."""
+    named = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return named.getFileSystem(spark._jsc.hadoopConfiguration()), named
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none where there is no folder."""
+    system, named = _files(spark, path)
+    return [f.getPath().getName() for f in system.listStatus(named)] if system.exists(named) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate data."""
+    system, named = _files(spark, path)
+    system.delete(named, True)
+
+
 def stored(df: DataFrame, purpose: str) -> DataFrame:
     """Write a table that several steps read, and continue from the file."""
     path = scratch_path(df.sparkSession, purpose)

@@ -61,6 +61,13 @@ def content_fingerprint(df: DataFrame, column: str = "text") -> DataFrame:
     return df.withColumn("sha256", F.sha2(F.col(column).cast("binary"), 256))
 
 
+def exact_copy_groups(df: DataFrame, key: str, column: str = "text") -> DataFrame:
+    """Fingerprints that occur more than once, with their number and smallest key."""
+    groups = content_fingerprint(df, column).groupBy("sha256")
+    counted = groups.agg(F.count("*").alias("copies"), F.min(key).alias("first_id"))
+    return counted.filter("copies > 1")
+
+
 def assign_version_no(uploads: DataFrame, versions: DataFrame) -> DataFrame:
     """Next number per document in upload order, after the highest existing one.
 

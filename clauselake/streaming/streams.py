@@ -7,7 +7,7 @@ the checkpoint, never in the driver.
 
 from __future__ import annotations
 
-from datetime import timedelta
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +18,7 @@ from clauselake.functions.running import epoch_micros, latest, moment
 from clauselake.operators.access import lockouts
 from clauselake.operators.redact import redacted
 from clauselake.operators.segment import segment
+from clauselake.session import children, remove
 
 
 def _batch_folder(path: str, epoch: int) -> str:
@@ -50,6 +51,11 @@ def stream_segment_redact(texts: DataFrame, path: str, checkpoint: str) -> Strea
     )
 
 
+def _bucketed(attempts: DataFrame, seconds: int) -> DataFrame:
+    width = seconds * 1_000_000
+    return attempts.withColumn("bucket", F.floor(epoch_micros(attempts, "created_at") / width))
+
+
 def stream_lockouts(
     attempts: DataFrame,
     path: str,
@@ -58,31 +64,34 @@ def stream_lockouts(
     per_identifier: int = K.LOCKOUT_PER_IDENTIFIER,
     per_address: int = K.LOCKOUT_PER_ADDRESS,
 ) -> StreamingQuery:
-    """Verdicts per arriving attempt, from the log of the attempts before it.
-
-    Each batch is appended to the log first. Its verdicts need only the log's last
-    window, and the count is the distributed one of the batch operator, so a busy
-    key is no single state entry. Attempts have to arrive in order of time across
-    batches; inside a batch any order will do.
+    """Verdicts of all attempts so far, right whatever the order of arrival.
+
+    Each batch is appended to the log first, in folders by time bucket (one window wide).
+    A late failure changes verdicts up to one window after it, so a batch gives verdicts
+    for every logged attempt from its earliest row to one window after its latest one,
+    reading only the buckets that these need. The newest verdict of an attempt counts:
+    read the result with ``current_verdicts``. The count is the distributed one of the
+    batch operator, so a busy key is no single state entry.
     """
 
     def batch(df: DataFrame, epoch: int) -> None:
         spark = df.sparkSession
         log = _batch_folder(f"{path}/log", epoch)
-        df.write.mode("overwrite").parquet(log)
-        fresh = spark.read.parquet(log)
-        first = fresh.agg(F.min("created_at")).first()[0]
-        if first is None:
+        _bucketed(df, seconds).write.mode("overwrite").partitionBy("bucket").parquet(log)
+        bounds = spark.read.parquet(log) if not df.isEmpty() else df
+        span = bounds.agg(F.min("created_at"), F.max("created_at")).first()
+        if span[0] is None:
             return
-        since = first - timedelta(seconds=seconds)
-        earlier = spark.read.parquet(f"{path}/log").filter(
-            (F.col("batch") < epoch) & (F.col("created_at") > moment(since))
+        low, high = (F.lit(_micros(t) // (seconds * 1_000_000)) for t in span)
+        known = spark.read.option("basePath", f"{path}/log").parquet(f"{path}/log").filter(
+            (F.col("batch") <= epoch) & F.col("bucket").between(low - 1, high + 1)
         )
-        both = earlier.drop("batch").withColumn("_fresh", F.lit(False)).unionByName(
-            fresh.withColumn("_fresh", F.lit(True))
+        verdicts = lockouts(known.drop("batch", "bucket"), seconds, per_identifier, per_address)
+        touched = verdicts.filter(
+            (F.col("created_at") >= moment(span[0]))
+            & (F.col("created_at") <= moment(span[1] + timedelta(seconds=seconds)))
         )
-        verdicts = lockouts(both, seconds, per_identifier, per_address).filter("_fresh").drop("_fresh")
-        verdicts.write.mode("overwrite").parquet(_batch_folder(f"{path}/verdicts", epoch))
+        touched.write.mode("overwrite").parquet(_batch_folder(f"{path}/verdicts", epoch))
 
     return (
         attempts.writeStream.foreachBatch(batch)
@@ -92,6 +101,15 @@ def stream_lockouts(
     )
 
 
+def _micros(t: datetime) -> int:
+    return int((t - datetime(1970, 1, 1)) / timedelta(microseconds=1))
+
+
+def current_verdicts(spark: SparkSession, path: str) -> DataFrame:
+    """The newest verdict of every attempt."""
+    return latest(spark.read.parquet(f"{path}/verdicts"), ["attempt_id"], ["batch"]).drop("batch")
+
+
 def usage_windows(usage: DataFrame, width: str = "1 day", lateness: str = "1 hour") -> DataFrame:
     """Calls per user and tumbling window; built-in partial aggregation before the shuffle.
 
@@ -123,11 +141,35 @@ def usage_windows(usage: DataFrame, width: str = "1 day", lateness: str = "1 hou
 def stream_usage(
     usage: DataFrame, path: str, checkpoint: str, width: str = "1 day", lateness: str = "1 hour"
 ) -> StreamingQuery:
-    """Finished windows only: a window is written once the watermark has passed its end."""
+    """Every window as it stands after each batch; the newest count of a window is the right one.
+
+    Open windows are written too, so the last ones are not lost when the stream ends. Read
+    the result with ``current_usage``.
+    """
+
+    def batch(df: DataFrame, epoch: int) -> None:
+        df.write.mode("overwrite").parquet(_batch_folder(path, epoch))
+
     return (
         usage_windows(usage, width, lateness)
-        .writeStream.outputMode("append")
-        .format("parquet")
+        .writeStream.outputMode("update")
+        .foreachBatch(batch)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def current_usage(spark: SparkSession, path: str) -> DataFrame:
+    """The newest count of every user and window."""
+    return latest(spark.read.parquet(path), ["window_start", "user_id"], ["batch"]).drop("batch")
+
+
+def stream_dedupe(texts: DataFrame, path: str, checkpoint: str, key: str = "sha256") -> StreamingQuery:
+    """The first arrival of every ``key``; the keys seen so far are the stream's state."""
+    return (
+        texts.dropDuplicates([key])
+        .writeStream.format("parquet")
         .option("path", path)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
@@ -135,16 +177,28 @@ def stream_usage(
     )
 
 
-def stream_job_state(changes: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def stream_job_state(
+    changes: DataFrame, path: str, checkpoint: str, compact_every: int = 16
+) -> StreamingQuery:
     """Newest state per job: each batch leaves one reduced row per job it touched.
 
-    ``changes``: ``job_id, state, changed_at, change_id``. Read the result with
-    ``current_job_state``.
+    ``changes``: ``job_id, state, changed_at, change_id``. Every ``compact_every`` batches
+    the state so far becomes one base table, and what it replaces is deleted one
+    compaction later, when no reader needs it. Read the result with ``current_job_state``.
     """
 
     def batch(df: DataFrame, epoch: int) -> None:
+        spark = df.sparkSession
         newest = latest(df, ["job_id"], ["changed_at", "change_id"])
-        newest.write.mode("overwrite").parquet(_batch_folder(path, epoch))
+        newest.write.mode("overwrite").parquet(_batch_folder(f"{path}/changes", epoch))
+        if epoch % compact_every == compact_every - 1:
+            state = current_job_state(spark, path, epoch)
+            state.write.mode("overwrite").parquet(_batch_folder(f"{path}/base", epoch))
+            older = epoch - compact_every
+            for folder in ("base", "changes"):
+                for old in _epochs(spark, f"{path}/{folder}"):
+                    if old < older or (folder == "changes" and old <= older):
+                        remove(spark, _batch_folder(f"{path}/{folder}", old))
 
     return (
         changes.writeStream.foreachBatch(batch)
@@ -154,5 +208,26 @@ def stream_job_state(changes: DataFrame, path: str, checkpoint: str) -> Streamin
     )
 
 
-def current_job_state(spark: SparkSession, path: str) -> DataFrame:
-    return latest(spark.read.parquet(path).drop("batch"), ["job_id"], ["changed_at", "change_id"])
+def _epochs(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the finished batch folders below a path."""
+    return sorted(
+        int(name.removeprefix("batch="))
+        for name in children(spark, path)
+        if name.startswith("batch=") and "_SUCCESS" in children(spark, f"{path}/{name}")
+    )
+
+
+def current_job_state(spark: SparkSession, path: str, epoch: int | None = None) -> DataFrame:
+    """The newest base and the batches after it, up to ``epoch`` where given."""
+    within = lambda e: epoch is None or e <= epoch
+    # a base of the same number is being rebuilt from the batches when ``epoch`` is given
+    bases = [e for e in _epochs(spark, f"{path}/base") if within(e) and e != epoch]
+    since = bases[-1] if bases else -1
+    folders = [
+        _batch_folder(f"{path}/changes", e)
+        for e in _epochs(spark, f"{path}/changes")
+        if e > since and within(e)
+    ]
+    if bases:
+        folders.append(_batch_folder(f"{path}/base", since))
+    return latest(spark.read.parquet(*folders), ["job_id"], ["changed_at", "change_id"])
