@@ -14,21 +14,20 @@ from pyspark.sql import functions as F
 from clauselake import constants as K
 from clauselake.functions.text import let, strip
 
-END_MARK = '"#end"'
-
 
 def parse_strict(c: Column) -> Column:
     """The whole string as one JSON value, else null.
 
     Wrapped in an array with an end mark first: the parser alone would accept text after
     a value. The array must hold the value and the mark, and nothing else; a value that
-    closes the array itself leaves the mark outside, and is none.
+    closes the array itself leaves the mark outside, and is none. The mark is the string's
+    own digest, which the string cannot hold.
     """
     return let(
-        F.try_parse_json(F.concat(F.lit("["), c, F.lit(f",{END_MARK}]"))),
+        F.try_parse_json(F.concat(F.lit("["), c, F.lit(',"'), F.md5(c), F.lit('"]'))),
         lambda v: F.when(
             (F.size(F.try_variant_get(v, "$", "array<variant>")) == 2)
-            & (F.try_variant_get(v, "$[1]", "string") == END_MARK.strip('"')),
+            & (F.try_variant_get(v, "$[1]", "string") == F.md5(c)),
             F.variant_get(v, "$[0]", "variant"),
         ),
     )

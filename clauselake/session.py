@@ -29,6 +29,7 @@ def build_session(
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.sql.variant.allowDuplicateKeys", "true")
         .config("spark.checkpoint.dir", scratch)
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.clauselake.input.partitions", "16")

@@ -68,7 +68,7 @@ def test_retry_and_metering(spark):
     usage = {(r.request_id, r.attempt): (r.input_tokens, r.status, r.failure_stage) for r in M.meter_attempts(df).collect()}
     assert usage == {
         (1, 1): (5, "ok", None), (2, 1): (6, "failed", "json_parse:d"), (2, 2): (7, "ok", None),
-        (3, 1): (None, "failed", "llm_call:d"), (4, 1): (1, "failed", "json_parse:d"), (4, 2): (2, "failed", "json_parse:d"),
+        (3, 1): (None, "failed", "llm_call:d"), (3, 2): (9, "surplus", None), (4, 3): (3, "surplus", None), (4, 1): (1, "failed", "json_parse:d"), (4, 2): (2, "failed", "json_parse:d"),
     }
 
 
