@@ -57,8 +57,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(scratch_root(spark))
 
 
+def _own_scratch(spark: SparkSession) -> str:
+    return f"{scratch_root(spark).rstrip('/')}/clauselake-{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, purpose: str) -> str:
-    return f"{scratch_root(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    return f"{_own_scratch(spark)}/{purpose}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete what this application has stored; call it when its results are written."""
+    remove(spark, _own_scratch(spark))
 
 
 def _files(spark: SparkSession, path: str):

@@ -7,13 +7,14 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 sys.path.insert(0, os.path.join(ROOT, "tests"))
 
-from clauselake.session import build_session  # noqa: E402
+from clauselake.session import build_session, clear_scratch  # noqa: E402
 
 
 @pytest.fixture(scope="session")
 def spark():
     session = build_session("tests", partitions=4)
     yield session
+    clear_scratch(session)
     session.stop()
 
 
