@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 END = "</w>"
-HELD = 100_000  # words, and chunks, that each half of a worker's memory holds
+HELD = 150_000  # words, and chunks, that each half of a worker's memory holds
 # fixed values: the word pattern of the vocabulary file (as JSON), and what it comes to for
 # printable ASCII in lower case
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
@@ -50,19 +50,21 @@ class TrieEncoder:
         self.names.update({i: t for t, i in self.special.items()})
         listed = sorted(self.special, key=len, reverse=True)
         self.at_special = re.compile("(" + "|".join(map(re.escape, listed)) + ")") if listed else None
-        # every end of a token that encodes to itself; true where it is such a token
-        self.tails: dict[str, bool] = {}
-        for token in self.ids:
-            if self._merge(self._symbols(token)) == [token]:
-                bare = token.removesuffix(END) if token != END else token
-                for i in range(1, len(bare)):
-                    self.tails.setdefault(token[i:], False)
-                self.tails[token] = True
-        self.fits: dict[tuple[str, str], bool] = {}
-        self.words: dict[str, tuple[bytes, str]] = {}
-        self.old_words: dict[str, tuple[bytes, str]] = {}
-        self.chunks: dict[str, tuple[bytes, str]] = {"": (b"", "")}
-        self.old_chunks: dict[str, tuple[bytes, str]] = {}
+        # every end of a token that encodes to itself: its id where it is such a token, else -1
+        self.tails: dict[str, int] = {}
+        self.sizes = [0] * (max(self.names) + 1)  # tokens' lengths in symbols
+        for token, number in self.ids.items():
+            symbols = self._symbols(token)
+            self.sizes[number] = len(symbols)
+            if self._merge(symbols) == [token]:
+                for i in range(1, len(symbols)):
+                    self.tails.setdefault(token[i:], -1)
+                self.tails[token] = number
+        self.fits: dict[int, bool] = {}  # by left id * 65536 + right id
+        self.words: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {"": b""}
+        self.old_chunks: dict[str, bytes] = {}
 
     @staticmethod
     def _symbols(token: str) -> list[str]:
@@ -83,40 +85,41 @@ class TrieEncoder:
             symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
         return symbols
 
-    def _fits(self, left: str, right: str) -> bool:
-        both = self._merge(self._symbols(left) + self._symbols(right))
-        self.fits[left, right] = both == [left, right]
-        return both == [left, right]
+    def _fits(self, pair: int) -> bool:
+        """Do two neighbouring tokens stay the two they are when merged on their own?"""
+        ends = [self.names[pair >> 16], self.names[pair & 0xFFFF]]
+        kept = self._merge(self._symbols(ends[0]) + self._symbols(ends[1])) == ends
+        self.fits[pair] = kept
+        return kept
 
-    def _last(self, path: str, end: str, before: list[str]) -> str:
+    def _last(self, path: str, end: str, before: list[int]) -> int:
         """Last token of ``path + end``; ``before[i]`` is the last token of ``path[:i]``."""
         tails, fits, at, found = self.tails, self.fits, len(path), []
         while at:
             at -= 1
-            token = path[at:] + end
-            whole = tails.get(token)
-            if whole is None:
+            number = tails.get(path[at:] + end)
+            if number is None:
                 break
-            if whole:
+            if number >= 0:
                 if not at:
-                    return token
-                found.append((before[at], token))
+                    return number
+                found.append((before[at] << 16) | number)
         for pair in reversed(found):
             if (known := fits.get(pair)) is None:
-                known = self._fits(*pair)
+                known = self._fits(pair)
             if known:
-                return pair[1]
+                return pair & 0xFFFF
         raise ValueError(f"no token for {path[-1] + end!r}")
 
-    def encode_words(self, words: set[str]) -> dict[str, list[str]]:
-        """Tokens of distinct words (in the byte alphabet), by one traversal of their trie.
+    def encode_words(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of distinct words (in the byte alphabet), by one traversal of their trie.
 
         Sorted words are the leaves of their trie in depth-first order: from one to the
         next the walk climbs to the end of their common prefix and goes down again.
         ``before`` is the path's state, kept for the prefix that both share.
         """
-        out: dict[str, list[str]] = {}
-        before, above = [""], ""
+        out: dict[str, bytes] = {}
+        before, above, sizes = [0], "", self.sizes
         for word in sorted(words):
             depth = 0
             for x, y in zip(above, word, strict=False):
@@ -127,11 +130,12 @@ class TrieEncoder:
             for at in range(len(before), len(word)):
                 before.append(self._last(word[:at], "", before))
             tokens = [self._last(word, END, before)]
-            at = len(word) - len(tokens[0]) + len(END)
+            at = len(word) - sizes[tokens[0]]
             while at:
                 tokens.append(before[at])
-                at -= len(before[at])
-            out[word] = tokens[::-1]
+                at -= sizes[before[at]]
+            tokens.reverse()
+            out[word] = array("I", tokens).tobytes()
             above = word
         return out
 
@@ -141,13 +145,13 @@ class TrieEncoder:
         return [p for p, _ in self.pieces(self.normalize(chunk))]
 
     def learn(self, chunks: set[str]) -> None:
-        """Remember ids and token names of chunks of text without blanks between.
+        """Remember the ids of chunks of text without blanks between.
 
         When the memory is full the current half becomes the old one, from which what is
         met again is taken over, and the old half goes.
         """
         if len(self.chunks) + len(chunks) > HELD:
-            self.old_chunks, self.chunks = self.chunks, {"": (b"", "")}
+            self.old_chunks, self.chunks = self.chunks, {"": b""}
         if len(self.words) + len(chunks) > HELD:
             self.old_words, self.words = self.words, {}
         again = chunks & self.old_chunks.keys()
@@ -158,18 +162,15 @@ class TrieEncoder:
         again = new & self.old_words.keys()
         for word in again:
             self.words[word] = self.old_words[word]
-        for word, tokens in self.encode_words(new - again).items():
-            ids = array("I", [self.ids[t] for t in tokens]).tobytes()
-            self.words[word] = (ids, " ".join(tokens))
+        self.words.update(self.encode_words(new - again))
         for chunk, ws in split.items():
             if len(ws) == 1:
                 self.chunks[chunk] = self.words[ws[0]]
             else:
-                known = [self.words[w] for w in ws]
-                self.chunks[chunk] = (b"".join(k[0] for k in known), " ".join(k[1] for k in known))
+                self.chunks[chunk] = b"".join([self.words[w] for w in ws])
 
-    def encode(self, texts: list[str | None]) -> Iterator[tuple[bytes, str]]:
-        """Per text its ids (little-endian, 32 bits) and its decoded form."""
+    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
+        """Ids of each text (little-endian, 32 bits)."""
         cut = [self._cut(t or "") for t in texts]
         for start in range(0, len(cut), 64):
             some = cut[start : start + 64]
@@ -178,17 +179,16 @@ class TrieEncoder:
             if new:
                 full = len(self.chunks) + len(new) > HELD
                 self.learn(seen - {""} if full else new)
+            known = self.chunks
             for parts in some:
-                ids, names = [], []
-                for i, part in enumerate(parts):
-                    if i % 2:
-                        ids.append(self.special[part].to_bytes(4, "little"))
-                        names.append(part)
-                    else:
-                        known = [self.chunks[c] for c in part]
-                        ids.extend(k[0] for k in known)
-                        names.extend(k[1] for k in known if k[1])
-                yield b"".join(ids), " ".join(names)
+                yield b"".join(
+                    [
+                        self.special[part].to_bytes(4, "little")
+                        if i % 2
+                        else b"".join([known[c] for c in part])
+                        for i, part in enumerate(parts)
+                    ]
+                )
 
     def _cut(self, text: str) -> list:
         """Chunks between special tokens (even places) and the tokens (odd places).
@@ -232,12 +232,14 @@ def encode(
         for batch in batches:
             keys, column = batch.column(0), batch.column(1)
             for start in range(0, batch.num_rows, 256):
-                done = list(encoder(path).encode(column.slice(start, 256).to_pylist()))
+                own = encoder(path)
+                done = list(own.encode(column.slice(start, 256).to_pylist()))
+                texts = [own.decode(ids) if decoded else None for ids in done]
                 yield pa.RecordBatch.from_arrays(
                     [
                         keys.slice(start, 256),
-                        pa.array([d[0] for d in done], pa.large_binary()).cast(pa.binary()),
-                        pa.array([d[1] if decoded else None for d in done], pa.string()),
+                        pa.array(done, pa.binary()),
+                        pa.array(texts, pa.string()),
                     ],
                     names=["doc_id", "ids", "decoded"],
                 )
