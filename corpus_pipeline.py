@@ -10,9 +10,23 @@ from clauselake.llm.queries import vocabulary
 from clauselake.session import stored
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """Rows with a key of their own; wholly equal rows share it."""
-    return docs.withColumn("_row", F.struct("doc_id", F.xxhash64(*docs.columns).alias("rest")))
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that the documents don't have."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """Rows with a key of their own, and its name; wholly equal rows share a key."""
+    key = _free(docs, "_row")
+    return docs.withColumn(key, F.struct("doc_id", F.xxhash64(*docs.columns).alias("rest"))), key
+
+
+def _renamed(docs: DataFrame, kept: list[str]) -> tuple[DataFrame, dict[str, str]]:
+    """Columns beside ``kept`` under names that no operator uses, and what they stand for."""
+    names = {f"_column_{i}": c for i, c in enumerate(docs.columns) if c not in kept}
+    return docs.select(*kept, *[F.col(f"`{c}`").alias(n) for n, c in names.items()]), names
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,44 +34,57 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(
         "doc_id", F.col("quality").alias("label")
     )
-    others = [c for c in docs.columns if c != "doc_id"]
-    scored = mil_quality.score(docs, mil_quality.train(docs, labels), carry=others)
-    return scored.filter("score >= 0.3").select(*docs.columns)
+    rows, names = _renamed(docs, ["doc_id", "text"])
+    rows, names = rows.withColumn("_text", F.col("text")), names | {"_text": "text"}
+    scored = mil_quality.score(rows, mil_quality.train(rows, labels), carry=list(names))
+    kept = scored.filter("score >= 0.3")
+    return kept.select(
+        "doc_id", *[F.col(n).alias(c) for n, c in names.items()]
+    ).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similar ones: the one of smallest id."""
-    rows = _keyed(docs)
-    found = lsh_forest.similar_documents(rows, doc_id="_row")
-    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("_row")).distinct()
-    left = rows.join(gone, "_row", "left_anti").dropDuplicates(["_row"])
-    return left.select(*docs.columns)
+    """One document of each group of similar ones: the one of smallest id.
+
+    Rows that are wholly equal count as one; rows that share an id and differ are documents
+    of their own. Documents without words are kept.
+    """
+    rows, key = _keyed(docs)
+    found = lsh_forest.similar_documents(rows, doc_id=key)
+    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias(key)).distinct()
+    return rows.join(gone, key, "left_anti").dropDuplicates([key]).select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages of 400 bytes or more that occur elsewhere."""
-    others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    cut = repeated_spans.repeated_spans(docs, 400, carry=others, as_text=True)
-    texts = cut.withColumn("text", F.col("kept")).withColumn(
-        "n_chars", F.length("kept").cast("long")
-    )
-    return texts.select(*docs.columns)
+    rows, names = _renamed(docs.drop("n_chars"), ["doc_id", "text"])
+    cut = repeated_spans.repeated_spans(rows, 400, carry=list(names), as_text=True)
+    return cut.select(
+        "doc_id",
+        F.col("kept").alias("text"),
+        F.length("kept").cast("long").alias("n_chars"),
+        *[F.col(n).alias(c) for n, c in names.items()],
+    ).select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, shuffled within its shards."""
-    rows = _keyed(docs)
-    draws = (
-        mixing.mix(rows, [5, 2, 1], most=3, doc_id="_row")
-        .select(F.col("doc_id").alias("_row"), F.explode("draws").alias("_draw"))
-        .groupBy("_row")
-        .agg(F.collect_list("_draw").alias("_draws"))
+    """Documents as often as the mix takes them, dealt to its shards and shuffled there."""
+    rows, key = _keyed(docs)
+    draw, draws = _free(rows, "_draw"), _free(rows, "_draws")
+    taken = (
+        mixing.mix(rows, [5, 2, 1], most=3, doc_id=key)
+        .select(F.col("doc_id").alias(key), F.explode("draws").alias(draw))
+        .groupBy(key)
+        .agg(F.collect_list(draw).alias(draws))
+    )
+    dealt = (
+        rows.dropDuplicates([key])
+        .join(taken, key)
+        .select(*docs.columns, F.explode(draws).alias(draw))
     )
-    taken = rows.dropDuplicates(["_row"]).join(draws, "_row")
-    dealt = taken.select(*docs.columns, F.explode("_draws").alias("_draw"))
     return (
-        dealt.repartition("_draw.shard")
-        .sortWithinPartitions("_draw.shard", "_draw.shuffle_key")
+        dealt.repartition(F.col(draw)["shard"])
+        .sortWithinPartitions(F.col(draw)["shard"], F.col(draw)["shuffle_key"])
         .select(*docs.columns)
     )
 
