@@ -48,9 +48,7 @@ MIN_CHARS_PER_KB = 0.5
 MAX_CONTEXT_CHARS = 6000
 MAX_SUMMARY_CHARS = 4000
 MAX_COMMENTS = 20
-MAX_ANCHOR_CHARS = 120
 DIFF_BATCH = 5
-DIFF_SIDE_CHARS = 600
 MAX_ATTEMPTS = 2
 FINDING_LENGTHS = {"summary": 1000, "rationale": 4000, "negotiation_ask": 2000}
 EDIT_LENGTHS = {"original_text": 4000, "revised_text": 4000, "comment": 1000}
@@ -99,7 +97,6 @@ JSON_BRACES = r"\{[\s\S]+\}"
 CLAUSE_LABEL = "Klausul"
 SUBITEM_LABEL = "Ayat"
 PARAGRAPH_LABEL = "Paragraf"
-CUT_MARKER = "... (klausul selanjutnya dipotong untuk menghemat token)"
 NO_MATCHING_CLAUSE = "(Tidak ada klausul yang cocok dengan domain ini)"
 NO_CLAUSE_ALWAYS = (
     "Tidak ada klausul yang secara eksplisit membahas domain ini dalam kontrak. "

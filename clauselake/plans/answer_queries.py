@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from clauselake import constants as K
 from clauselake.operators import answers as M
 from clauselake.plans import fixtures as X
 

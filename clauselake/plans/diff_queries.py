@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from clauselake import constants as K
 from clauselake.operators import diff as V
 from clauselake.operators import redline as E
 from clauselake.operators import route as D
@@ -147,7 +146,7 @@ ranges AS MATERIALIZED (SELECT doc_id, CASE WHEN doc_id % 5 = 1 THEN 'c' ELSE ''
   CASE WHEN pos % 35 <> 0 THEN pos + pos % 13 * 9 END AS end_pos FROM runs WHERE pos % 5 = 0)"""
 )
 
-_BLANKS = K.BLANKS
+_BLANKS = X.BLANKS
 _REVISIONS = f"""revision AS MATERIALIZED (SELECT * FROM (SELECT doc_id, para,
   trim(coalesce(string_agg(text, '' ORDER BY pos) FILTER (WHERE kind IS DISTINCT FROM 'ins'), ''), '{_BLANKS}') AS original_text,
   trim(coalesce(string_agg(text, '' ORDER BY pos) FILTER (WHERE kind IS DISTINCT FROM 'del'), ''), '{_BLANKS}') AS revised_text,

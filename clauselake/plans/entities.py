@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from clauselake import constants as K
 from clauselake.plans import fixtures as X
 
 # The same text runs in both engines.
@@ -24,7 +23,6 @@ _JOBS = """SELECT o_orderkey AS job_id, o_custkey AS version_id, CAST(floor(o_cu
   CASE o_orderstatus WHEN 'F' THEN 'failed' WHEN 'O' THEN 'done' ELSE CASE WHEN o_orderkey % 2 = 0 THEN 'queued' ELSE 'running' END END AS state,
   o_orderdate AS created_at, CASE WHEN o_orderstatus IN ('F', 'O') THEN o_orderdate + INTERVAL '1' DAY * CAST(o_orderkey % 9 AS INTEGER) END AS finished_at,
   o_orderkey % 10 = 0 AS quota_refunded, CASE WHEN o_orderkey % 8 = 0 THEN 'failed' WHEN o_orderkey % 8 < 7 THEN 'ok' END AS summary_status FROM orders"""
-_DOMAIN_LIST = ", ".join(f"'{d}'" for d in K.DOMAINS)
 _OUTCOMES = """SELECT l_orderkey AS job_id, 'domain_' || l_linenumber AS domain_key, CASE WHEN l_returnflag = 'R' THEN 'failed' ELSE 'ok' END AS status,
   CASE WHEN l_returnflag = 'R' THEN 'part ' || l_partkey || ' failed' END AS error, l_shipdate AS created_at,
   l_partkey * 1000 + l_suppkey AS tie, l_extendedprice AS price FROM lineitem"""

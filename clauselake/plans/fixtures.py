@@ -12,6 +12,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+# the check's own list of what a strip removes, by code point
+BLANKS = "".join(
+    map(chr, [9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 133, 160, 5760, 8192, 8193, 8194, 8195, 8196,
+              8197, 8198, 8199, 8200, 8201, 8202, 8232, 8233, 8239, 8287, 12288])
+)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -9,6 +9,7 @@ from clauselake.operators import quality as Q
 from clauselake.plans import diff_queries as V
 from clauselake.plans import entities as E
 from clauselake.plans import fixtures as X
+from clauselake.session import scratch_path
 from clauselake.sources import corpus as C
 from clauselake.sources import storage as S
 from clauselake.sources import writes as W
@@ -54,6 +55,21 @@ def _fingerprint(spark, sf_dir):
     return C.content_fingerprint(X.documents(spark, sf_dir)).select("doc_id", "sha256")
 
 
+def _read_corpus(spark, sf_dir):
+    """Documents written as text files of up to 50 texts, and read back as blobs and as texts."""
+    path = scratch_path(spark, "corpus")
+    docs = X.documents(spark, sf_dir).select("source", "text")
+    docs.write.partitionBy("source").option("maxRecordsPerFile", 50).text(path)
+    source = F.regexp_extract("storage_key", "source=([^/]+)", 1)
+    texts = C.read_corpus(spark, path, "text").groupBy(source.alias("source")).agg(
+        F.sum(F.length("text")).alias("chars")
+    )
+    blobs = C.read_corpus(spark, path, "binary").groupBy(source.alias("source")).agg(
+        F.sum("length").alias("bytes"), F.sum(F.octet_length("content")).alias("content_bytes")
+    )
+    return texts.join(blobs, "source")
+
+
 def _copies(spark, sf_dir):
     return C.exact_copy_groups(X.documents(spark, sf_dir), "doc_id")
 
@@ -192,6 +208,7 @@ QUERIES = {
     "admission_gate_bare_names": _bare_names,
     "content_fingerprint": _fingerprint,
     "exact_copy_groups": _copies,
+    "read_corpus": _read_corpus,
     "assign_version_no": _version_no,
     "storage_key": _storage_key,
     "parse_storage_key": _parse_key,
@@ -211,11 +228,11 @@ QUERIES = {
 }
 
 _COLS = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate"
-_GATED = f"""ex AS MATERIALIZED ({_EXTRACTED}), sized AS (SELECT *, CASE WHEN source_format = 'image' THEN trim(text, '{K.BLANKS}') ELSE text END AS t FROM ex),
+_GATED = f"""ex AS MATERIALIZED ({_EXTRACTED}), sized AS (SELECT *, CASE WHEN source_format = 'image' THEN trim(text, '{X.BLANKS}') ELSE text END AS t FROM ex),
 judged AS (SELECT *, coalesce(CASE WHEN source_format = 'docx' THEN length(t) >= 100 AND available_chars > 0 AND length(t) / available_chars >= 0.5
   WHEN source_format = 'image' THEN length(t) >= greatest(1, least(100, 0.5 * bytes / 1024)) ELSE length(t) >= greatest(100, 40 * pages) END, false) AS ok FROM sized),
-gated AS MATERIALIZED (SELECT *, CASE WHEN ok THEN 'ok' WHEN trim(t, '{K.BLANKS}') = '' AND source_format = 'pdf_text' THEN 'needs_ocr'
-  WHEN trim(t, '{K.BLANKS}') = '' OR source_format = 'image' THEN 'empty' ELSE 'partial' END AS coverage FROM judged)"""
+gated AS MATERIALIZED (SELECT *, CASE WHEN ok THEN 'ok' WHEN trim(t, '{X.BLANKS}') = '' AND source_format = 'pdf_text' THEN 'needs_ocr'
+  WHEN trim(t, '{X.BLANKS}') = '' OR source_format = 'image' THEN 'empty' ELSE 'partial' END AS coverage FROM judged)"""
 
 
 def _admit(sql: str, extensions: list[str]) -> str:
@@ -240,10 +257,13 @@ ORACLES = {
     "load_versions": """SELECT o_orderkey AS version_id, CASE WHEN l.doc_id IS NULL THEN 'failed' ELSE 'loaded' END AS status,
   CASE WHEN d.doc_id IS NULL THEN 'version_missing' WHEN l.doc_id IS NULL THEN 'blob_missing' END AS failure, CASE WHEN l.doc_id IS NOT NULL THEN CAST(length(d.text) AS BIGINT) END AS chars
 FROM orders LEFT JOIN documents d ON d.doc_id = o_orderkey LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON l.doc_id = d.doc_id""",
-    "admission_gate": _admit(_FILES, K.UPLOAD_EXTENSIONS),
+    "admission_gate": _admit(_FILES, ["docx", "pdf"]),
     "admission_gate_bare_names": _admit(
-        "SELECT page_id, regexp_extract(url, '([^/]*)$', 1) AS filename, length(html) AS size FROM pages", K.EXTRACTOR_EXTENSIONS
+        "SELECT page_id, regexp_extract(url, '([^/]*)$', 1) AS filename, length(html) AS size FROM pages",
+        ["docx", "pdf", "jpg", "jpeg", "png", "webp", "bmp"],
     ),
+    "read_corpus": """SELECT source, CAST(sum(length(text) + 1) AS BIGINT) AS chars, CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS bytes,
+  CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS content_bytes FROM documents GROUP BY source""",
     "exact_copy_groups": "SELECT sha256(text) AS sha256, count(*) AS copies, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1",
     "content_fingerprint": "SELECT doc_id, sha256(text) AS sha256 FROM documents",
     "assign_version_no": """WITH f AS (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey)
@@ -270,10 +290,12 @@ SELECT document_id, user_id, coalesce(deleted_at, asked) AS deleted_at FROM docs
     "detect_language": _language_sql(),
     "accuracy_warning": f"WITH ex AS ({_EXTRACTED}) SELECT version_id, CASE source_format WHEN 'pdf_image' THEN 'Dokumen ini adalah PDF berbasis gambar. Akurasi ekstraksi teks dapat bervariasi — verifikasi klausul penting secara manual.' WHEN 'image' THEN 'Dokumen diunggah sebagai gambar. Akurasi ekstraksi teks dapat bervariasi — verifikasi klausul penting secara manual.' END AS accuracy_warning FROM ex",
     "vocabulary_audit": f"WITH {E.FINDINGS}, h AS ("
-    + " UNION ALL ".join(
-        f"SELECT '{c}' AS rule, {c} AS value FROM finding WHERE {c} NOT IN ({', '.join(repr(v) for v in allowed)})" for c, allowed in _RULES.items()
-    )
-    + ") SELECT rule, value, count(*) AS rows FROM h GROUP BY ALL",
+    """SELECT 'severity' AS rule, severity AS value FROM finding WHERE severity NOT IN ('critical', 'high', 'medium', 'info')
+UNION ALL SELECT 'finding_type', finding_type FROM finding WHERE finding_type NOT IN ('present_risky', 'absent', 'ambiguous', 'none')
+UNION ALL SELECT 'domain', domain FROM finding WHERE domain NOT IN ('scope_deliverables', 'exclusivity', 'ip_ownership', 'moral_rights', 'usage_rights',
+  'payment_terms', 'term_termination', 'morality_clause', 'content_approval', 'confidentiality', 'personal_data_likeness', 'liability_indemnity', 'non_compete',
+  'dispute_forum', 'governing_language', 'agency_commission', 'disclosure_compliance', 'execution_validity'))
+SELECT rule, value, count(*) AS rows FROM h GROUP BY ALL""",
     "joint_state_audit": f"""WITH {V._ITEMS}, {V._CLASS}, forged AS (SELECT *, CASE WHEN block_no % 6 = 5 THEN 'immaterial' ELSE materiality END AS m FROM classified)
 SELECT pair_id, block_no, place FROM forged WHERE status = 'failed' AND m IS NOT NULL OR status <> 'failed' AND m IS NULL""",
     "stage_status": f"""WITH {_GATED} SELECT version_id, CASE WHEN source_format = 'docx' AND ok THEN CASE WHEN bytes % 3 > 0 THEN 'ok' ELSE 'failed' END END AS tc_parse_status,

@@ -6,7 +6,6 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from clauselake import constants as K
 from clauselake.operators import jobs as J
 from clauselake.plans import entities as E
 from clauselake.plans import fixtures as X

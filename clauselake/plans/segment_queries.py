@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from clauselake.constants import BLANKS
 from clauselake.operators import segment as S
 from clauselake.plans import fixtures as X
+from clauselake.plans.fixtures import BLANKS
 from clauselake.session import stored
 
 HEAD = r"(?m)^((?:PASAL|Pasal|ARTICLE|Article)\s+\d+[A-Z]?\b)"

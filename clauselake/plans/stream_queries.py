@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from clauselake.constants import BLANKS
 from clauselake.plans import access_queries as A
 from clauselake.plans import fixtures as X
 from clauselake.plans import redact_queries as R
+from clauselake.plans.fixtures import BLANKS
 from clauselake.session import scratch_path
 from clauselake.sources import corpus as C
 from clauselake.streaming import streams as S

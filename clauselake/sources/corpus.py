@@ -19,7 +19,7 @@ def read_corpus(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFra
         files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
         return files.select(F.col("path").alias("storage_key"), "content", "length")
     if fmt == "text":
-        files = spark.read.option("wholetext", "true").text(path)
+        files = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
         return files.select(F.input_file_name().alias("storage_key"), F.col("value").alias("text"))
     return spark.read.format(fmt).load(path)
 
