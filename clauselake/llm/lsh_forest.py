@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clauselake.llm.groups import block_pairs, components, dealt, spread_roots, streamed
-from clauselake.llm.shingles import shingle_sets, text_bytes
+from clauselake.llm.shingles import shingle_sets, small_batches, text_bytes
 from clauselake.session import stored
 
 
@@ -78,6 +78,7 @@ def shared(sets: list[np.ndarray], others: list[np.ndarray] | None) -> np.ndarra
 
 
 def _sets(docs: DataFrame, width: int, schema: str, row) -> DataFrame:
+    small_batches(docs.sparkSession)
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clauselake.llm.shingles import text_bytes
+from clauselake.llm.shingles import small_batches, text_bytes
 
 PASSAGE = 512  # bytes
 BINS = 512  # hashed pairs of byte classes
 EXTRA = 8
-STEP = 4096  # passages encoded at once
+STEP = 1024  # passages encoded at once
 
 
 def _byte_classes() -> np.ndarray:
@@ -284,6 +284,7 @@ def score(docs: DataFrame, model: Model, carry: list[str] | None = None) -> Data
     kept; columns not named are not carried. The weights are some tens of kilobytes and
     travel with the function.
     """
+    small_batches(docs.sparkSession)
     carry = carry or []
     names = [f"c{i}" for i in range(len(carry))]
 

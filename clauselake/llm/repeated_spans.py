@@ -34,7 +34,15 @@ from pyspark.sql import functions as F
 
 from clauselake.llm.front_coding import common, merge, pack, unpack
 from clauselake.llm.groups import streamed
-from clauselake.llm.shingles import BACK, BASE, PIECE, powers, scramble, text_bytes
+from clauselake.llm.shingles import (
+    BACK,
+    BASE,
+    PIECE,
+    powers,
+    scramble,
+    small_batches,
+    text_bytes,
+)
 from clauselake.session import stored
 
 RUN = 20_000  # suffixes in a run, and about as many in a merged range
@@ -283,6 +291,7 @@ def repeated_spans(
     Columns named in ``carry`` come along unchanged, others do not. An empty table gives
     an empty table. ``docs`` is read three times: pass a table, not a long computation.
     """
+    small_batches(docs.sparkSession)
     carry = carry or []
     gram = min(gram, length)
     slim = docs.select(

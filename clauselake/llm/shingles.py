@@ -6,12 +6,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
+
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 PIECE = 1 << 20  # bytes of text hashed at once (a longer text is hashed alone)
 
 
+def small_batches(spark: SparkSession, size: int = 4 << 20) -> None:
+    """Let texts travel to Python in batches of about ``size`` bytes, however long they are.
+
+    Spark's own bound counts rows. The setting holds for the session, as it is read when a
+    query runs; one that the user has set stays.
+    """
+    if spark.conf.get(BATCH, None) in (None, "-1", str((1 << 63) - 1), f"{(1 << 63) - 1}b"):
+        spark.conf.set(BATCH, str(size))
+
+
 def scramble(x: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)

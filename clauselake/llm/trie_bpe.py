@@ -18,8 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clauselake.llm.shingles import small_batches
+
 END = "</w>"
-HELD = 150_000  # words, and chunks, that each half of a worker's memory holds
+HELD = 120_000  # words, and chunks, that each half of a worker's memory holds
 # fixed values: the word pattern of the vocabulary file (as JSON), and what it comes to for
 # printable ASCII in lower case
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
@@ -231,19 +233,20 @@ def encode(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, column = batch.column(0), batch.column(1)
-            for start in range(0, batch.num_rows, 256):
+            for start in range(0, batch.num_rows, 128):
                 own = encoder(path)
-                done = list(own.encode(column.slice(start, 256).to_pylist()))
+                done = list(own.encode(column.slice(start, 128).to_pylist()))
                 texts = [own.decode(ids) if decoded else None for ids in done]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        keys.slice(start, 256),
+                        keys.slice(start, 128),
                         pa.array(done, pa.binary()),
                         pa.array(texts, pa.string()),
                     ],
                     names=["doc_id", "ids", "decoded"],
                 )
 
+    small_batches(docs.sparkSession)
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
     return slim.mapInArrow(run, f"doc_id {kind}, ids binary, decoded string")
