@@ -23,14 +23,20 @@ def parse_strict(c: Column) -> Column:
     closes the array itself leaves the mark outside, and is none. The mark is the string's
     own digest, which the string cannot hold.
     """
-    return let(
-        F.try_parse_json(F.concat(F.lit("["), c, F.lit(',"'), F.md5(c), F.lit('"]'))),
-        lambda v: F.when(
-            (F.size(F.try_variant_get(v, "$", "array<variant>")) == 2)
-            & (F.try_variant_get(v, "$[1]", "string") == F.md5(c)),
-            F.variant_get(v, "$[0]", "variant"),
-        ),
-    )
+
+    def marked(text: Column, mark: Column) -> Column:
+        whole = F.concat(F.lit("["), text, F.lit(',"'), mark, F.lit('"]'))
+        return let(
+            F.try_parse_json(whole),
+            lambda v: F.when(
+                (F.size(F.try_variant_get(v, "$", "array<variant>")) == 2)
+                & (F.try_variant_get(v, "$[1]", "string") == mark),
+                F.variant_get(v, "$[0]", "variant"),
+            ),
+        )
+
+    # the text and its digest are bound, so neither is computed twice
+    return let(c, lambda text: let(F.md5(text), lambda mark: marked(text, mark)))
 
 
 def _get(v: Column, key: str) -> Column:
