@@ -423,15 +423,9 @@ def repeated_spans(
     )
     runs = (
         found.join(decided, "region")
-        .select("key", "left", "right", F.explode("places").alias("place"))
-        .select(
-            "key",
-            F.struct(
-                (F.col("place") - F.col("left")).alias("s"), (F.col("place") + F.col("right")).alias("e")
-            ).alias("run"),
-        )
+        .select("key", F.struct("places", "left", "right").alias("run"))
         .groupBy("key")
-        .agg(F.collect_set("run").alias("runs"))  # as long as the text
+        .agg(F.collect_list("run").alias("runs"))  # as long as the text
     )
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -440,7 +434,8 @@ def repeated_spans(
             for packed, runs_ in zip(batch.column(0), batch.column(1), strict=True):
                 whole = zstandard.decompress(packed.as_py())
                 joined: list[list[int]] = []
-                for r in sorted((r["s"], r["e"]) for r in runs_.as_py() or []):
+                cut = [(p - r["left"], p + r["right"]) for r in runs_.as_py() or [] for p in r["places"]]
+                for r in sorted(cut):
                     if joined and r[0] <= joined[-1][1]:
                         joined[-1][1] = max(joined[-1][1], r[1])
                     else:
