@@ -192,6 +192,10 @@ class TrieEncoder:
                     ]
                 )
 
+    def rest(self) -> None:
+        """Give memory back between tasks; the current words stay."""
+        self.chunks, self.old_chunks, self.old_words = {"": b""}, {}, {}
+
     def _cut(self, text: str) -> list:
         """Chunks between special tokens (even places) and the tokens (odd places).
 
@@ -245,6 +249,7 @@ def encode(
                     ],
                     names=["doc_id", "ids", "decoded"],
                 )
+        encoder(path).rest()
 
     small_batches(docs.sparkSession)
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
