@@ -423,3 +423,38 @@ def test_preference_pairs(spark):
     assert got[3].prompt == "" and got[3].chosen == got[3].rejected == say("", "")
     assert got[4].chosen == "" and got[4].rejected_mask[0].end == len(got[4].rejected)
     assert preferences.preference_pairs(table.limit(0)).count() == 0
+
+
+def test_anchors_cover_every_window_once(monkeypatch):
+    rng = np.random.default_rng(6)
+    text = np.concatenate([rng.integers(97, 100, 3000), np.tile([97, 98], 400), rng.integers(97, 100, 500)])
+    text = np.concatenate([text, text[1000:2500]]).astype(np.uint8)
+    for piece in (1 << 20, 700, 101):
+        monkeypatch.setattr(repeated_spans, "PIECE", piece)
+        offset = {}
+        for place, _, first, last in repeated_spans.text_anchors(text, 100, 32):
+            for start in range(first, last + 1):
+                assert start not in offset and start <= place <= start + 68
+                offset[start] = place - start
+        assert sorted(offset) == list(range(len(text) - 99))
+        seen = {}
+        for start, at in offset.items():
+            assert seen.setdefault(text[start : start + 100].tobytes(), at) == at
+
+
+def test_merge_of_front_coded_runs():
+    from clauselake.llm import front_coding as C
+
+    rng = np.random.default_rng(7)
+    rows = [
+        (bytes(rng.integers(97, 99, int(rng.integers(0, 12))).astype(np.uint8)), i.to_bytes(16, "big"), b"o" * (i % 3))
+        for i in range(500)
+    ]
+    for k in (1, 2, 3, 7, 16):
+        runs = [sorted(rows[i::k]) for i in range(k)]
+        assert [[r[:3] for r in C.unpack(C.pack(run))] for run in runs] == runs
+        merged = list(C.merge([C.unpack(C.pack(run)) for run in runs]))
+        assert [r[:3] for r in merged] == sorted(rows)
+        for above, row in zip(merged, merged[1:], strict=False):
+            assert row[3] == C.common(above[0], row[0])
+    assert list(C.merge([])) == []
