@@ -10,9 +10,9 @@ removes is then one run around it, from its largest such ``L`` to its largest ``
 1. Anchors whose hash occurs once go. Regions (the union of an anchor's windows) that
    occur more than once are removed whole and stay as one row.
 2. The distinct regions are sorted as suffixes from their anchor on, and as reversed
-   prefixes from it back: tasks make sorted front-coded runs cut at sampled splitters,
-   the runs are exchanged, and a loser tree merges them without comparing known prefixes
-   again. Neighbours in either order give the largest ``L`` and ``R`` there can be, and
+   prefixes from it back: tasks make sorted front-coded runs, the runs are exchanged, and
+   a loser tree merges them without comparing known prefixes again. A class (suffixes of
+   equal anchors) lies in one range; a large one is cut by sampled splitters. Neighbours in either order give the largest ``L`` and ``R`` there can be, and
    pairs of near neighbours mostly show that they are reached.
 3. Where they do not, the windows of the anchor's class are counted by their hashes.
 
@@ -45,7 +45,7 @@ from clauselake.llm.shingles import (
 )
 from clauselake.session import stored
 
-RUN = 20_000  # suffixes in a run, and about as many in a merged range
+RUN = 20_000  # suffixes sorted into a run at once, and about as many in a merged range
 NEAR = 4  # neighbours looked at before an entry
 PLACE = 21  # bits for a place within a piece of text
 OTHER = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -117,30 +117,41 @@ def _sorted_neighbours(contexts: DataFrame, length: int, size: int, back: bool)
     and ``right`` are the largest of neighbours that share a whole window.
     """
     total = contexts.count()
-    targets = max(1, -(-total // RUN))
-    if back:
-        rows = contexts.select(F.col("back_key").alias("string"), "region", F.col("ahead").alias("other"))
-    else:
-        rows = contexts.select(F.col("ahead_key").alias("string"), "region", F.col("back").alias("other"))
-    drawn = rows.select("string", "region").sample(fraction=min(1.0, 16 * targets / max(1, total)), seed=7)
-    picked = sorted((bytes(r[0]), bytes(r[1])) for r in drawn.collect())  # about 16 per range
-    cuts = [picked[len(picked) * i // targets] for i in range(1, targets)] if picked else []
+    ranges = max(1, -(-total // RUN))
+    key, aside = ("back_key", "ahead") if back else ("ahead_key", "back")
+    rows = contexts.select(F.col(key).alias("string"), "region", F.col(aside).alias("other"))
+    # only suffixes of a class share an anchor: a class goes whole to the range of its hash,
+    # and those of more than RUN suffixes (total / RUN at most) to ranges cut by a sample
+    large = contexts.groupBy("cls").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > RUN)
+    sizes = {bytes(r["cls"]): r["n"] for r in large.collect()}
+    drawn = (
+        contexts.join(large.select("cls"), "cls", "left_semi")
+        .select(F.col(key).alias("string"), "region")
+        .sample(fraction=min(1.0, 8 / RUN), seed=7)
+    )
+    picked = sorted((bytes(r[0]), bytes(r[1])) for r in drawn.collect()) if sizes else []
+    parts = -(-sum(sizes.values()) // RUN)
+    cuts = [picked[len(picked) * i // parts] for i in range(1, parts)] if picked else []
+
+    def target(string: bytes, region: bytes) -> int:
+        if region[:8] in sizes:
+            return ranges + bisect.bisect_right(cuts, (string, region))
+        return int.from_bytes(region[:8], "big") % ranges
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[bytes, bytes, bytes]] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            held.sort()
-            at = 0
-            for target in range(len(cuts) + 1):
-                end = bisect.bisect_left(held, cuts[target], key=lambda r: r[:2]) if target < len(cuts) else len(held)
-                if end > at:
-                    coded = pack(held[at:end])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([target], pa.int32()), *(pa.array([v], pa.binary()) for v in coded.values())],
-                        names=["target", *coded],
-                    )
-                at = end
+            dealt: dict[int, list[tuple[bytes, bytes, bytes]]] = {}
+            for row in held:
+                dealt.setdefault(target(row[0], row[1]), []).append(row)
+            for number, run in dealt.items():
+                run.sort()
+                coded = pack(run)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([number], pa.int32()), *(pa.array([v], pa.binary()) for v in coded.values())],
+                    names=["target", *coded],
+                )
             held.clear()
 
         for batch in batches:
@@ -192,8 +203,10 @@ def _sorted_neighbours(contexts: DataFrame, length: int, size: int, back: bool)
                     yield _batch([above, row], r["target"], None, None)
                 above = row
 
-    # two rows per range: the last of one and the first of the next are neighbours too
-    edges = made.filter("edge > 0").repartition(1).sortWithinPartitions("target", "edge")
+    # a large class goes on from range to range: the last of one and the first of the next,
+    # two rows per such range, are neighbours too
+    edges = made.filter(f"edge > 0 AND target >= {ranges}")
+    edges = edges.repartition(1).sortWithinPartitions("target", "edge")
     return made.filter("edge = 0").union(edges.mapInArrow(seams, schema)).select(
         "region", "plus", "left", "right"
     )
