@@ -2,14 +2,17 @@
 
 In each pass a vector gets a string of random-hyperplane bits, and the vectors of a
 label are ordered by it. Neighbours in that order are compared in bounded windows: runs
-of ``window`` places that overlap by ``halo``. Verified pairs of all passes are united
-into components. Links run inside components only, so a second step counts every
-component's links exactly, in pairs of bounded blocks: a component larger than the
-windows loses nothing.
-
-The number of passes follows from the largest label: a pair at the threshold shares its
-first ``log2(rows / window)`` bits in one pass with a known chance, and passes are added
-until it meets in one of them with probability ``recall``.
+of ``window`` places that overlap by ``halo``. Rows that share their first
+``prefix_bits`` bits but lie in no single window are compared all the same, in pairs of
+bounded blocks. Verified pairs of all passes are united into components. Links run
+inside components only, so a second step counts every component's links exactly, again
+in pairs of blocks: a component larger than the windows loses nothing.
+
+Whatever the vectors, a pair at the threshold shares its first bits in one pass with a
+known chance, which depends on its angle alone, and rows of equal prefix always meet; so
+passes are added until the pair has met with probability ``recall``. Skewed vectors (a
+cone) share prefixes in large numbers. Where the passes would compare as many pairs as
+the label has, all its pairs are compared instead, once.
 """
 
 from __future__ import annotations
@@ -44,10 +47,14 @@ def usable(vector: F.Column) -> F.Column:
     )
 
 
+def prefix_bits(rows: int, window: int) -> int:
+    """Leading bits at which evenly split rows would fill a window at most."""
+    return min(BITS, math.ceil(math.log2(max(1, rows / window))))
+
+
 def passes_needed(rows: int, window: int, threshold: float, recall: float) -> int:
-    """Passes until a pair at ``threshold`` has met with probability ``recall``."""
-    bits = max(0.0, math.log2(max(1, rows) / window)) + 1
-    together = (1 - math.acos(min(1.0, threshold)) / math.pi) ** bits
+    """Passes until a pair at ``threshold`` has shared a prefix with probability ``recall``."""
+    together = (1 - math.acos(min(1.0, threshold)) / math.pi) ** prefix_bits(rows, window)
     if together >= 1:
         return 1
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - together)))
@@ -97,8 +104,10 @@ def near_duplicates(
     valid = ids.filter(F.col("label").isNotNull() & usable(F.col("v"))).select(
         "rid", F.xxhash64("label", F.size("v")).alias("part"), "v"
     )
-    largest = valid.groupBy("part").count().agg(F.max("count")).first()[0] or 0
+    sizes = stored(valid.groupBy("part").agg(F.count(F.lit(1)).alias("rows")), "sizes")
+    largest = sizes.agg(F.max("rows")).first()[0] or 0
     turns = passes_needed(largest, window, threshold, recall)
+    shared = prefix_bits(largest, window)
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,29 +126,80 @@ def near_duplicates(
                         names=["rid", "part", "turn", "bits"],
                     )
 
-    order = valid.mapInArrow(hashes, "rid long, part long, turn int, bits long")
-    placed = running_total(order, ["turn", "part"], ["bits", "rid"], F.lit(1), "place")
+    # a label of so few rows has fewer pairs than the windows of its passes
+    many = valid.join(sizes.filter(F.col("rows") > turns * window), "part", "left_semi")
+    order = many.select("rid", "part", "v").mapInArrow(
+        hashes, "rid long, part long, turn int, bits long"
+    )
+    placed = stored(
+        running_total(order, ["turn", "part"], ["bits", "rid"], F.lit(1), "place").select(
+            "rid", "part", "turn", "place", F.shiftright("bits", BITS - shared).alias("prefix")
+        ),
+        "places",
+    )
+    same = ["turn", "part", "prefix"]
+    first, last = F.col("first") - 1, F.col("last") - 1
+    in_window = first >= F.floor(last / window) * window - halo
+    spans = placed.groupBy(*same).agg(F.min("place").alias("first"), F.max("place").alias("last"))
+    spans = stored(spans.filter(~in_window), "spans")
+    length = (last - first + 1).cast("double")
+    work = spans.groupBy("part").agg(F.sum(length * length).alias("work"))
+    in_passes = F.coalesce("work", F.lit(0.0)) + F.col("rows") * F.lit(float(turns * window))
+    whole = sizes.join(work, "part", "left").filter(
+        (F.col("rows") > 1) & (F.col("rows").cast("double") * F.col("rows") <= in_passes)
+    )
+    whole = stored(whole.select("part"), "whole")
+    passing = placed.join(whole, "part", "left_anti")
     own = F.floor((F.col("place") - 1) / window).cast("int")
     lead = (F.col("place") - 1) % window >= window - halo
-    runs = placed.select(
+    runs = passing.select(
         "rid", "part", "turn",
         F.explode(F.when(lead, F.array(own, own + 1)).otherwise(F.array(own))).alias("run"),
     )
+    grouped = passing.join(spans.select(*same), same, "left_semi").select(*same, "rid")
+    grouped = grouped.union(
+        valid.join(whole, "part", "left_semi").select(
+            F.lit(-1).alias("turn"), "part", F.lit(0).cast("long").alias("prefix"), "rid"
+        )
+    )
+    meetings = block_pairs(grouped, same, "rid", window)
+
+    def united(rid: np.ndarray, links: np.ndarray) -> Iterator[pa.RecordBatch]:
+        i, j = np.nonzero(np.triu(links, 1))
+        if len(i) > len(rid):  # a spanning forest is enough
+            root = spread_roots(links)
+            i = np.flatnonzero(root != np.arange(len(root)))
+            j = root[i]
+        if len(i):
+            yield pa.RecordBatch.from_arrays([pa.array(rid[i]), pa.array(rid[j])], names=["a", "b"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in streamed(batches, ["turn", "part", "run"]):
             x = matrix(table["v"])
-            root = spread_roots(linked(x, x, threshold))
-            moved = np.flatnonzero(root != np.arange(len(root)))
-            if len(moved):
-                rid = table["rid"].to_numpy()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(rid[moved]), pa.array(rid[root[moved]])], names=["a", "b"]
-                )
+            yield from united(table["rid"].to_numpy(), linked(x, x, threshold))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in streamed(batches, [*same, "lo", "hi"]):
+            x, rid = matrix(table["v"]), table["rid"].to_numpy()
+            lo = table["block"].to_numpy() == table["lo"].to_numpy()
+            if lo.all():
+                yield from united(rid, linked(x, x, threshold))
+                continue
+            both = linked(x[lo], x[~lo], threshold)
+            if both.any():
+                n = len(both)
+                links = np.zeros((len(x), len(x)), dtype=bool)
+                links[:n, n:], links[n:, :n] = both, both.T
+                yield from united(np.concatenate([rid[lo], rid[~lo]]), links)
 
     edges = dealt(
         runs.join(valid.select("rid", "v"), "rid"), ["turn", "part", "run"], ["rid"]
     ).mapInArrow(compare, "a long, b long")
+    edges = edges.union(
+        dealt(
+            meetings.join(valid.select("rid", "v"), "rid"), [*same, "lo", "hi"], ["block", "rid"]
+        ).mapInArrow(meet, "a long, b long")
+    )
     found = components(edges)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -314,6 +314,24 @@ def test_near_duplicate_vectors(spark):
     assert sorted_passes.near_duplicates(table.limit(0), 0.93).count() == 0
 
 
+@pytest.mark.parametrize("cone", [2.0, 0.0])
+def test_links_of_skewed_and_even_vectors(spark, cone):
+    """Vectors in a cone share their leading bits in large numbers; none of their links is lost."""
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((1500, 32))
+    x = x / np.linalg.norm(x, axis=1)[:, None] + cone * np.eye(32)[0]
+    x = np.vstack([x, x[:300] + rng.standard_normal((300, 32)) * 0.05 * (1 + cone)])
+    x = x.astype(np.float32).astype(float)
+    table = spark.createDataFrame(
+        [(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int"
+    )
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    threshold = 0.93 if cone else 0.9
+    links = (unit @ unit.T >= threshold).sum(axis=1) - 1
+    got = sorted_passes.near_duplicates(table, threshold, window=32, halo=8, block=16).collect()
+    assert {r.vec_id: r.n_links for r in got} == dict(enumerate(links.tolist())) and links.any()
+
+
 def test_passes_grow_with_the_table():
     need = [sorted_passes.passes_needed(n, 256, 0.93, 0.9999) for n in (0, 100, 10_000, 10**8)]
     assert need == sorted(need) and need[-1] < 300
