@@ -7,6 +7,9 @@ before_text, after_text``.
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,12 +46,29 @@ def _sides(pairs: DataFrame, clauses: DataFrame) -> DataFrame:
     return both.select("pair_id", F.inline(sides)).join(keys, "_v").drop("_v")
 
 
+def _keeping_order(table: pa.Table) -> pa.Table:
+    """The most rows that have the same order on both sides; of as many, the smaller new ordinals."""
+    table = table.sort_by("old_ordinal")
+    ends: list[int] = []  # least new ordinal at which so many rows in order can end
+    rows: list[int] = []
+    before: list[int] = []
+    for row, place in enumerate(table["new_ordinal"].to_pylist()):
+        n = bisect_left(ends, place)
+        ends[n : n + 1], rows[n : n + 1] = [place], [row]
+        before.append(rows[n - 1] if n else -1)
+    kept, row = [], rows[-1]
+    while row >= 0:
+        kept.append(row)
+        row = before[row]
+    return table.take(pa.array(kept[::-1])).select(["pair_id", "old_ordinal", "new_ordinal"])
+
+
 def _anchors(sides: DataFrame) -> DataFrame:
     """``pair_id, old_ordinal, new_ordinal`` of the unchanged clauses that hold the order.
 
     Candidates are texts that occur once on either side. Where they change order, the
-    smaller group of movers (later or earlier, within the stretch that the move spans)
-    gives way; what still crosses another candidate is no anchor.
+    fewest give way: the longest increasing run of new ordinals stays, found per stretch
+    (the least run of clauses that a move spans), of which only the ordinals are held.
     """
     old, new = F.col("side") == "old", F.col("side") == "new"
     once = (
@@ -64,25 +84,17 @@ def _anchors(sides: DataFrame) -> DataFrame:
     by_old = Window.partitionBy("pair_id").orderBy("old_ordinal")
     by_new = Window.partitionBy("pair_id").orderBy("new_ordinal")
     before = by_old.rowsBetween(Window.unboundedPreceding, -1)
-    after = by_old.rowsBetween(1, Window.unboundedFollowing)
     shift = once.withColumn("_shift", F.row_number().over(by_new) - F.row_number().over(by_old))
     # the sum of shifts is zero exactly where both sides have had the same clauses
     level = shift.withColumn("_level", F.sum("_shift").over(by_old) == 0)
     stretch = level.withColumn("_stretch", F.coalesce(F.count_if("_level").over(before), F.lit(0)))
     inside = Window.partitionBy("pair_id", "_stretch")
-    later, earlier = F.count_if(F.col("_shift") > 0), F.count_if(F.col("_shift") < 0)
-    weighed = stretch.withColumns({"_later": later.over(inside), "_earlier": earlier.over(inside)})
-    few_later = F.col("_later") <= F.col("_earlier")
-    mover = F.when(few_later, F.col("_shift") > 0).otherwise(F.col("_shift") < 0)
-    stay = weighed.filter(~mover).withColumns(
-        {
-            "_most": F.max("new_ordinal").over(before),
-            "_least": F.min("new_ordinal").over(after),
-        }
-    )
-    crossed = (F.col("_most") > F.col("new_ordinal")) | (F.col("_least") < F.col("new_ordinal"))
-    return stay.filter(~F.coalesce(crossed, F.lit(False))).select(
-        "pair_id", "old_ordinal", "new_ordinal"
+    sized = stretch.withColumn("_n", F.count("*").over(inside))
+    row = ["pair_id", "old_ordinal", "new_ordinal"]
+    unmoved = sized.filter("_n = 1").select(*row)
+    moved = sized.filter("_n > 1").select(*row, "_stretch")
+    return unmoved.union(
+        moved.groupBy("pair_id", "_stretch").applyInArrow(_keeping_order, unmoved.schema)
     )
 
 
@@ -93,7 +105,8 @@ def align_clauses(pairs: DataFrame, clauses: DataFrame) -> DataFrame:
     ``block_no`` is the number of anchors before it. Inside a block both sides are
     paired by place, and equal texts at one place are no change. Pairs without clauses
     on one side are left out: nothing was extracted there. A pair is two files of the
-    intake size; its keys pass through windows in order and are never gathered.
+    intake size; its keys pass through windows in order, and only the ordinals of a
+    stretch with moved clauses are held together.
     """
     sides = _sides(pairs, clauses)
     anchors = _anchors(sides)

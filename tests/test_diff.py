@@ -1,3 +1,4 @@
+import difflib
 import random
 
 from pyspark.sql import functions as F
@@ -91,6 +92,26 @@ def test_places_cover_both_sides_in_order(spark):
         assert kept[0] == kept[1]
 
 
+def test_one_moved_clause_removes_only_itself(spark):
+    assert _places(spark, "abcdefgh", "hbcXdefga") == [(0, 1, 1), (2, None, 4), (6, 8, 9)]
+    old = [f"clause {i}" for i in range(1000)]
+    assert len(_places(spark, old, [old[-1], *old[1:500], "added", *old[500:-1], old[0]])) == 3
+
+
+def test_moves_keep_as_many_clauses_as_the_matcher(spark):
+    rng = random.Random(11)
+    old = [rng.sample("abcdefghijkl", rng.randint(1, 12)) for _ in range(40)]
+    new = [rng.sample(texts, len(texts)) + ["X"] for texts in old]
+    rows = [(p * 2 + s, i + 1, None, t) for s, side in enumerate((old, new)) for p, ts in enumerate(side) for i, t in enumerate(ts)]
+    pairs = spark.createDataFrame([(p, p * 2, p * 2 + 1) for p in range(40)], "pair_id int, from_version int, to_version int")
+    kept = [len(texts) for texts in old]
+    for r in V.align_clauses(pairs, spark.createDataFrame(rows, CLAUSES)).collect():
+        kept[r.pair_id] -= r.old_ordinal is not None
+    for p in range(40):
+        match = difflib.SequenceMatcher(None, old[p], new[p], autojunk=False)
+        assert kept[p] >= sum(block.size for block in match.get_matching_blocks())
+
+
 def _redline(spark, text, edits):
     clauses = spark.createDataFrame([("c", text)], "clause_id string, text string")
     rows = [("c", i + 1, a, b) for i, (a, b) in enumerate(edits)]
