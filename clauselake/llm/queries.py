@@ -14,6 +14,7 @@ from clauselake.llm import (
     preferences,
     repeated_spans,
     sorted_passes,
+    suffix_leaks,
     trie_bpe,
     warc,
 )
@@ -254,6 +255,51 @@ SELECT doc_id, size, source_size, target,
 FROM placed p JOIN passes t ON p.source IS NOT DISTINCT FROM t.source
 """
 
+
+def op11_suffix_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which documents hold ten words in a row of a benchmark item, and of which items."""
+    found = suffix_leaks.find_leaks(
+        _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    )
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+OP11_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+sizes AS (SELECT item_id, w, least(10, len(w)) AS k FROM b WHERE len(w) > 0),
+wanted AS (
+  SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS s
+  FROM (SELECT item_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM sizes)),
+shown AS (
+  SELECT doc_id, i, k, array_to_string(w[i:i + k - 1], ' ') AS s
+  FROM (SELECT doc_id, w, k, unnest(range(1, greatest(1, len(w) - k + 2))) AS i
+        FROM d, (SELECT DISTINCT k FROM sizes))),
+hits AS (SELECT doc_id, item_id, i, k FROM shown JOIN wanted USING (k, s)),
+places AS (
+  SELECT doc_id, count(DISTINCT place) AS n_hit
+  FROM (SELECT doc_id, unnest(range(i, i + k)) AS place FROM hits) GROUP BY doc_id),
+items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids
+  FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
+       coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN places USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the pipeline at the top of the repository."""
     import corpus_pipeline
@@ -272,6 +318,7 @@ QUERIES = {
     "op8_trie_bpe": op8_trie_bpe,
     "op9_suffix_merge": op9_suffix_merge,
     "op10_source_mixing": op10_source_mixing,
+    "op11_suffix_leaks": op11_suffix_leaks,
     "pipeline": pipeline,
 }
 
@@ -279,4 +326,5 @@ ORACLES = {
     "op1_warc_chunks": OP1_SQL,
     "op7_preference_pairs": OP7_SQL,
     "op10_source_mixing": OP10_SQL,
+    "op11_suffix_leaks": OP11_SQL,
 }
