@@ -12,11 +12,13 @@ from clauselake.llm import (
     mil_quality,
     mixing,
     preferences,
+    ranked_search,
     repeated_spans,
     sorted_passes,
     suffix_leaks,
     trie_bpe,
     warc,
+    whitening,
 )
 from clauselake.session import scratch_path
 
@@ -300,6 +302,46 @@ FROM d LEFT JOIN places USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+def op12_refined_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings along the eight main axes of their covariance, scaled to variance 1."""
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"), components=8)
+
+
+def op13_blas_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every benchmark item."""
+    return ranked_search.search(
+        _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=10
+    )
+
+
+OP13_SQL = r"""
+WITH words AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+lengths AS (SELECT doc_id, count(*) AS n FROM words GROUP BY doc_id),
+totals AS (SELECT CAST(count(*) AS BIGINT) AS big_n, CAST(sum(n) AS BIGINT) AS big_l FROM lengths),
+counts AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY doc_id, term),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * big_n + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS w
+  FROM (SELECT term, count(*) AS df FROM counts GROUP BY term), totals),
+sized AS (SELECT doc_id, 100 - 90 + (90 * n * big_n) // big_l AS m FROM lengths, totals),
+scored AS (
+  SELECT item_id, doc_id,
+         CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM asked JOIN counts USING (term) JOIN weights USING (term) JOIN sized USING (doc_id)
+  GROUP BY item_id, doc_id),
+ranked AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank,
+         doc_id, score FROM scored WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the pipeline at the top of the repository."""
     import corpus_pipeline
@@ -319,6 +361,8 @@ QUERIES = {
     "op9_suffix_merge": op9_suffix_merge,
     "op10_source_mixing": op10_source_mixing,
     "op11_suffix_leaks": op11_suffix_leaks,
+    "op12_refined_whitening": op12_refined_whitening,
+    "op13_blas_search": op13_blas_search,
     "pipeline": pipeline,
 }
 
@@ -327,4 +371,5 @@ ORACLES = {
     "op7_preference_pairs": OP7_SQL,
     "op10_source_mixing": OP10_SQL,
     "op11_suffix_leaks": OP11_SQL,
+    "op13_blas_search": OP13_SQL,
 }
