@@ -7,8 +7,9 @@ before_text, after_text``.
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from clauselake.functions.running import running_total
 from clauselake.functions.text import strip
 from clauselake.operators.segment import reference
 
+
 def prior_version(versions: DataFrame) -> DataFrame:
     """Version n with n-1 of the same document; a gap in the numbers has no prior."""
     prior = versions.select(
@@ -29,103 +31,191 @@ def prior_version(versions: DataFrame) -> DataFrame:
 
 
 def _sides(pairs: DataFrame, clauses: DataFrame) -> DataFrame:
-    """``pair_id, side, ordinal, key`` of pairs with clauses on both sides; no text moves."""
+    """``pair_id, side, ordinal, key`` of both versions of every pair; no text moves."""
     keys = clauses.select(
-        F.col("version_id").alias("_v"),
-        "ordinal",
-        F.concat(F.xxhash64("text"), F.lit(":"), F.length("text")).alias("key"),
+        F.col("version_id").alias("_v"), "ordinal", F.xxhash64("text", F.length("text")).alias("key")
     )
     sides = F.array(
         F.struct(F.lit("old").alias("side"), F.col("from_version").alias("_v")),
         F.struct(F.lit("new").alias("side"), F.col("to_version").alias("_v")),
     )
-    filled = clauses.select(F.col("version_id").alias("_v")).distinct()
-    both = pairs
-    for c in ("from_version", "to_version"):
-        both = both.join(filled.withColumnRenamed("_v", c), c, "left_semi")
-    return both.select("pair_id", F.inline(sides)).join(keys, "_v").drop("_v")
-
-
-def _keeping_order(table: pa.Table) -> pa.Table:
-    """The most rows that have the same order on both sides; of as many, the smaller new ordinals."""
-    table = table.sort_by("old_ordinal")
-    ends: list[int] = []  # least new ordinal at which so many rows in order can end
-    rows: list[int] = []
-    before: list[int] = []
-    for row, place in enumerate(table["new_ordinal"].to_pylist()):
-        n = bisect_left(ends, place)
-        ends[n : n + 1], rows[n : n + 1] = [place], [row]
-        before.append(rows[n - 1] if n else -1)
-    kept, row = [], rows[-1]
-    while row >= 0:
-        kept.append(row)
-        row = before[row]
-    return table.take(pa.array(kept[::-1])).select(["pair_id", "old_ordinal", "new_ordinal"])
-
-
-def _anchors(sides: DataFrame) -> DataFrame:
-    """``pair_id, old_ordinal, new_ordinal`` of the unchanged clauses that hold the order.
-
-    Candidates are texts that occur once on either side. Where they change order, the
-    fewest give way: the longest increasing run of new ordinals stays, found per stretch
-    (the least run of clauses that a move spans), of which only the ordinals are held.
+    return pairs.select("pair_id", F.inline(sides)).join(keys, "_v").drop("_v").repartition("pair_id")
+
+
+def _pieces(sides: DataFrame) -> DataFrame:
+    """Clauses with their place, cut where no matching block can cross or span the cut.
+
+    A cut lies between texts that both sides have when those before it stand wholly before
+    those after it on either side, and a clause that one side alone has lies in between. So
+    every block lies in one piece, and matching the pieces apart is matching the whole.
+    ``_common``: the other side has the text; ``_plain``: each text of the piece occurs once
+    on either side and all keep their order, so that all of them match.
     """
     old, new = F.col("side") == "old", F.col("side") == "new"
-    once = (
-        sides.groupBy("pair_id", "key")
-        .agg(
-            F.count_if(old).alias("_n_old"),
-            F.count_if(new).alias("_n_new"),
-            F.max(F.when(old, F.col("ordinal"))).alias("old_ordinal"),
-            F.max(F.when(new, F.col("ordinal"))).alias("new_ordinal"),
-        )
-        .filter("_n_old = 1 AND _n_new = 1")
+    of_pair = Window.partitionBy("pair_id")
+    listed = sides.withColumn(
+        "_at", F.row_number().over(Window.partitionBy("pair_id", "side").orderBy("ordinal"))
+    )
+    filled = listed.withColumn("_sides", F.max(old).over(of_pair) & F.max(new).over(of_pair)).filter("_sides")
+    same = Window.partitionBy("pair_id", "key")
+    known = filled.withColumns(
+        {
+            "_old": F.count_if(old).over(same),
+            "_new": F.count_if(new).over(same),
+            "_old_first": F.min(F.when(old, F.col("_at"))).over(same),
+            "_old_last": F.max(F.when(old, F.col("_at"))).over(same),
+            "_new_first": F.min(F.when(new, F.col("_at"))).over(same),
+            "_new_last": F.max(F.when(new, F.col("_at"))).over(same),
+        }
+    ).withColumn("_common", (F.col("_old") > 0) & (F.col("_new") > 0))
+    pair = Window.partitionBy("pair_id", "_common")
+    onward = pair.orderBy(F.desc("_old_first")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    before = pair.orderBy("_old_first").rangeBetween(Window.unboundedPreceding, -1)
+    upto = pair.orderBy("_old_first").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    bounded = known.withColumn("_new_from", F.min("_new_first").over(onward)).withColumns(
+        {"_old_upto": F.max("_old_last").over(before), "_new_upto": F.max("_new_last").over(before)}
+    )
+    old_step = F.col("_old_first") - F.coalesce("_old_upto", F.lit(0))
+    new_step = F.col("_new_from") - F.coalesce("_new_upto", F.lit(0))
+    cut = (old_step > 0) & (new_step > 0) & ((old_step > 1) | (new_step > 1))
+    ordered = (F.col("_old") == 1) & (F.col("_new") == 1) & (
+        F.col("_new_first") > F.coalesce("_new_upto", F.lit(0))
     )
-    by_old = Window.partitionBy("pair_id").orderBy("old_ordinal")
-    by_new = Window.partitionBy("pair_id").orderBy("new_ordinal")
-    before = by_old.rowsBetween(Window.unboundedPreceding, -1)
-    shift = once.withColumn("_shift", F.row_number().over(by_new) - F.row_number().over(by_old))
-    # the sum of shifts is zero exactly where both sides have had the same clauses
-    level = shift.withColumn("_level", F.sum("_shift").over(by_old) == 0)
-    stretch = level.withColumn("_stretch", F.coalesce(F.count_if("_level").over(before), F.lit(0)))
-    inside = Window.partitionBy("pair_id", "_stretch")
-    sized = stretch.withColumn("_n", F.count("*").over(inside))
-    row = ["pair_id", "old_ordinal", "new_ordinal"]
-    unmoved = sized.filter("_n = 1").select(*row)
-    moved = sized.filter("_n > 1").select(*row, "_stretch")
-    return unmoved.union(
-        moved.groupBy("pair_id", "_stretch").applyInArrow(_keeping_order, unmoved.schema)
+    piece = Window.partitionBy("pair_id", "_common", "_piece")
+    return (
+        bounded.withColumns({"_piece": F.count_if(cut).over(upto), "_ordered": ordered})
+        .withColumn("_start", F.row_number().over(piece.orderBy("side", "_at")) == 1)
+        .withColumn("_plain", F.coalesce(F.min("_ordered").over(piece), F.lit(False)))
+        .select("pair_id", "side", "ordinal", "key", "_at", "_common", "_piece", "_plain", "_start")
     )
 
 
+def _longest(a: list, a_gap: list, b: list, b_gap: list, region: tuple) -> tuple[int, int, int]:
+    """``i, j, length`` of the longest block of a region, the first in ``a``, then in ``b``.
+
+    The substrings of ``b`` are held in a suffix automaton, so repeats cost no more than
+    other clauses. A gap before a clause (a text of one side alone) ends a block.
+    """
+    a_from, a_to, b_from, b_to = region
+    link, size, end, steps = [-1], [0], [-1], [{}]
+    last = 0
+    for j in range(b_from, b_to):
+        for symbol in ((None, j), b[j]) if b_gap[j] else (b[j],):
+            state = len(size)
+            link.append(0), size.append(size[last] + 1), end.append(j), steps.append({})
+            at = last
+            while at >= 0 and symbol not in steps[at]:
+                steps[at][symbol] = state
+                at = link[at]
+            if at >= 0:
+                onto = steps[at][symbol]
+                if size[onto] != size[at] + 1:
+                    twin = len(size)
+                    link.append(link[onto]), size.append(size[at] + 1)
+                    end.append(end[onto]), steps.append(dict(steps[onto]))
+                    while at >= 0 and steps[at].get(symbol) == onto:
+                        steps[at][symbol] = twin
+                        at = link[at]
+                    link[onto] = twin
+                    onto = twin
+                link[state] = onto
+            last = state
+    state = n = best = 0
+    found = (0, 0, 0)
+    for i in range(a_from, a_to):
+        if a_gap[i]:
+            state = n = 0
+        while state and a[i] not in steps[state]:
+            state = link[state]
+            n = size[state]
+        if a[i] in steps[state]:
+            state, n = steps[state][a[i]], n + 1
+        if n > best:
+            best, found = n, (i - n + 1, end[state] - n + 1, n)
+    return found
+
+
+def matching_blocks(a: list, a_gap: list, b: list, b_gap: list) -> list[tuple[int, int, int]]:
+    """The longest block, then the longest on either side of it, and so on."""
+    blocks, open_ = [], [(0, len(a), 0, len(b))]
+    while open_:
+        a_from, a_to, b_from, b_to = region = open_.pop()
+        if a_from == a_to or b_from == b_to:
+            continue
+        i, j, n = _longest(a, a_gap, b, b_gap, region)
+        if n:
+            blocks.append((i, j, n))
+            open_ += [(a_from, i, b_from, j), (i + n, a_to, j + n, b_to)]
+    return blocks
+
+
+def _matched(rows: pa.Table) -> np.ndarray:
+    """Which clauses of one piece match, its old side behind its new one."""
+    new = rows["side"].to_numpy() == "new"
+    place, key = rows["_at"].to_numpy(), rows["key"].to_numpy()
+    gap = np.ones(len(new), bool)
+    gap[1:] = place[1:] != place[:-1] + 1
+    first, hit = int(new.sum()), np.zeros(len(new), bool)
+    gap[first : first + 1] = True
+    sides = [x[at].tolist() for at in (slice(first, None), slice(0, first)) for x in (key, gap)]
+    for i, j, n in matching_blocks(*sides):
+        hit[first + i : first + i + n] = True
+        hit[j : j + n] = True
+    return hit
+
+
+def _flagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Add whether each clause matches. Rows come piece by piece; one open piece is held."""
+
+    def given(rows: pa.Table, hit: np.ndarray) -> Iterator[pa.RecordBatch]:
+        slim = rows.select(["pair_id", "side", "ordinal"]).append_column("hit", pa.array(hit))
+        yield from slim.to_batches()
+
+    held: list[pa.Table] = []
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        settled = rows["_plain"].to_numpy() | ~rows["_common"].to_numpy()
+        yield from given(rows.filter(pa.array(settled)), rows["_common"].to_numpy()[settled])
+        rest = rows.filter(pa.array(~settled))
+        starts = np.flatnonzero(rest["_start"].to_numpy()).tolist()
+        cuts = [0, *starts, len(rest)]
+        for k, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            if k and held:  # a piece starts, so the one held is whole
+                whole = pa.concat_tables(held)
+                yield from given(whole, _matched(whole))
+                held = []
+            if hi > lo:
+                held.append(rest.slice(lo, hi - lo))
+    if held:
+        whole = pa.concat_tables(held)
+        yield from given(whole, _matched(whole))
+
+
 def align_clauses(pairs: DataFrame, clauses: DataFrame) -> DataFrame:
     """Changed places per pair: ``block_no, place, old_ordinal, new_ordinal``.
 
-    Unchanged clauses that hold the order (see ``_anchors``) cut both sides into blocks;
-    ``block_no`` is the number of anchors before it. Inside a block both sides are
-    paired by place, and equal texts at one place are no change. Pairs without clauses
-    on one side are left out: nothing was extracted there. A pair is two files of the
-    intake size; its keys pass through windows in order, and only the ordinals of a
-    stretch with moved clauses are held together.
+    Clauses match by the longest block of equal texts, then by the longest on either side of
+    it, and so on; of blocks as long the first in the old version counts, then the first in
+    the new one. Matched clauses cut both sides into blocks; ``block_no`` is the number of
+    them before it, and inside a block both sides are paired by place. Pairs without clauses
+    on one side are left out: nothing was extracted there.
+
+    A pair's keys pass through windows, and are cut into pieces that match apart (see
+    ``_pieces``). Pieces of texts that occur once and keep their order match as they are;
+    of the others one at a time is held, with a key and a place for each clause.
     """
-    sides = _sides(pairs, clauses)
-    anchors = _anchors(sides)
-    marks = anchors.select("pair_id", F.lit("old").alias("side"), F.col("old_ordinal").alias("ordinal")).union(
-        anchors.select("pair_id", F.lit("new"), "new_ordinal")
+    pieces = _pieces(_sides(pairs, clauses))
+    kinds = {f.name: f.dataType.simpleString() for f in pieces.schema}
+    flagged = pieces.sortWithinPartitions("pair_id", "_common", "_piece", "side", "_at").mapInArrow(
+        _flagged, f"pair_id {kinds['pair_id']}, side string, ordinal {kinds['ordinal']}, hit boolean"
     )
-    flagged = sides.join(
-        marks.withColumn("_anchor", F.lit(True)), ["pair_id", "side", "ordinal"], "left"
-    ).withColumn("_anchor", F.coalesce("_anchor", F.lit(False)))
     upto = Window.partitionBy("pair_id", "side").orderBy("ordinal")
-    blocks = flagged.withColumn("block_no", F.count_if("_anchor").over(upto).cast("int"))
+    blocks = flagged.repartition("pair_id").withColumn("block_no", F.count_if("hit").over(upto).cast("int"))
     inside = Window.partitionBy("pair_id", "side", "block_no").orderBy("ordinal")
-    placed = blocks.filter(~F.col("_anchor")).withColumn("place", F.row_number().over(inside))
-    at = ["pair_id", "block_no", "place"]
-    side = lambda name: placed.filter(F.col("side") == name).select(
-        *at, F.col("ordinal").alias(f"{name}_ordinal"), F.col("key").alias(f"_{name}_key")
-    )
-    changed = (
-        side("old").join(side("new"), at, "full").filter(~F.col("_old_key").eqNullSafe(F.col("_new_key")))
+    placed = blocks.filter(~F.col("hit")).withColumn("place", F.row_number().over(inside))
+    side = lambda name: F.max(F.when(F.col("side") == name, F.col("ordinal")))
+    changed = placed.groupBy("pair_id", "block_no", "place").agg(
+        side("old").alias("old_ordinal"), side("new").alias("new_ordinal")
     )
     versions = pairs.select("pair_id", "from_version", "to_version")
     return changed.join(versions, "pair_id").select(

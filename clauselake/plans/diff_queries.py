@@ -100,8 +100,9 @@ def ranges(spark, sf_dir):
     )
 
 
-# Both versions by rule, then the alignment: texts that occur once on either side, without
-# the smaller group of movers of each stretch and without what still crosses, are anchors.
+# Both versions by rule, then the matching in its own words: equal clauses at a constant
+# distance are runs; of each region the longest run inside it matches (the first of several),
+# and what lies on either side of it are the next regions.
 _ITEMS = (
     X.LINES
     + """,
@@ -110,18 +111,23 @@ newer AS MATERIALIZED (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORD
   UNION ALL SELECT doc_id, pos, 1, 'Tambahan ' || doc_id || '-' || pos FROM lines WHERE pos % 11 = 4)),
 both_sides AS MATERIALIZED (SELECT * FROM (SELECT doc_id, 'old' AS side, pos AS ordinal, line FROM lines
   UNION ALL SELECT doc_id, 'new', ordinal, line FROM newer) WHERE doc_id IN (SELECT doc_id FROM newer)),
-once AS (SELECT doc_id, line, max(ordinal) FILTER (WHERE side = 'old') AS o, max(ordinal) FILTER (WHERE side = 'new') AS n FROM both_sides
-  GROUP BY doc_id, line HAVING count(*) FILTER (WHERE side = 'old') = 1 AND count(*) FILTER (WHERE side = 'new') = 1),
-shifted AS (SELECT *, rank() OVER (PARTITION BY doc_id ORDER BY n) - rank() OVER (PARTITION BY doc_id ORDER BY o) AS shift,
-  max(n) OVER (PARTITION BY doc_id ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS most_before,
-  min(n) OVER (PARTITION BY doc_id ORDER BY o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS least_from FROM once),
-stretched AS (SELECT *, count(*) FILTER (WHERE most_before IS NULL OR most_before < least_from) OVER (PARTITION BY doc_id ORDER BY o) AS stretch FROM shifted),
-weighed AS (SELECT *, count(*) FILTER (WHERE shift > 0) OVER (PARTITION BY doc_id, stretch) AS later,
-  count(*) FILTER (WHERE shift < 0) OVER (PARTITION BY doc_id, stretch) AS earlier FROM stretched),
-stay AS (SELECT *, max(n) OVER (PARTITION BY doc_id ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS most,
-  min(n) OVER (PARTITION BY doc_id ORDER BY o ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS least
-  FROM weighed WHERE NOT (CASE WHEN later <= earlier THEN shift > 0 ELSE shift < 0 END)),
-anchors AS MATERIALIZED (SELECT doc_id, o, n FROM stay WHERE coalesce(most < n, true) AND coalesce(least > n, true)),
+equal AS (SELECT o.doc_id, o.ordinal AS i, n.ordinal AS j FROM (SELECT * FROM both_sides WHERE side = 'old') o
+  JOIN (SELECT * FROM both_sides WHERE side = 'new') n ON o.doc_id = n.doc_id AND o.line = n.line),
+runs AS MATERIALIZED (SELECT doc_id, d, min(i) AS i1, max(i) AS i2 FROM (SELECT doc_id, j - i AS d, i,
+  i - row_number() OVER (PARTITION BY doc_id, j - i ORDER BY i) AS g FROM equal) GROUP BY doc_id, d, g),
+matched AS MATERIALIZED (WITH RECURSIVE found AS (
+  SELECT doc_id, 1::BIGINT AS a1, max(ordinal) FILTER (WHERE side = 'old')::BIGINT AS a2, 1::BIGINT AS b1,
+    max(ordinal) FILTER (WHERE side = 'new')::BIGINT AS b2, 1::BIGINT AS i, 1::BIGINT AS j, 0::BIGINT AS n FROM both_sides GROUP BY doc_id
+  UNION ALL
+  SELECT doc_id, a1, a2, b1, b2, -best.i, -best.j, best.n FROM (
+    SELECT doc_id, a1, a2, b1, b2, max({'n': hi - lo + 1, 'i': -lo, 'j': -(lo + d)}) AS best FROM (
+      SELECT s.*, r.d, greatest(r.i1, s.a1, s.b1 - r.d)::BIGINT AS lo, least(r.i2, s.a2, s.b2 - r.d)::BIGINT AS hi
+      FROM (SELECT doc_id, CASE behind WHEN 0 THEN a1 ELSE i + n END AS a1, CASE behind WHEN 0 THEN i - 1 ELSE a2 END AS a2,
+                   CASE behind WHEN 0 THEN b1 ELSE j + n END AS b1, CASE behind WHEN 0 THEN j - 1 ELSE b2 END AS b2
+            FROM found, (SELECT unnest([0, 1]) AS behind)) s JOIN runs r ON r.doc_id = s.doc_id)
+    WHERE lo <= hi GROUP BY doc_id, a1, a2, b1, b2))
+  SELECT * FROM found WHERE n > 0),
+anchors AS MATERIALIZED (SELECT doc_id, unnest(range(i, i + n)) AS o, unnest(range(j, j + n)) AS n FROM matched),
 marked AS (SELECT b.*, a.o IS NOT NULL AS anchor FROM both_sides b LEFT JOIN anchors a
   ON a.doc_id = b.doc_id AND b.ordinal = CASE b.side WHEN 'old' THEN a.o ELSE a.n END),
 gapped AS (SELECT *, count(*) FILTER (WHERE anchor) OVER (PARTITION BY doc_id, side ORDER BY ordinal) AS gap FROM marked),

@@ -60,7 +60,7 @@ def test_a_moved_clause_gives_way(spark):
     assert _places(spark, "abcd", "bcda") == [(0, 1, None), (3, None, 4)]
     assert _places(spark, "abcd", "dabc") == [(0, None, 1), (3, 4, None)]
     assert _places(spark, "abcde", "cdeab") == [(0, 1, None), (0, 2, None), (3, None, 4), (3, None, 5)]
-    assert _places(spark, "ab", "ba") == [(0, 1, None), (1, None, 2)]
+    assert _places(spark, "ab", "ba") == [(0, None, 1), (1, 2, None)]
 
 
 def test_two_stretches_are_judged_apart(spark):
@@ -69,12 +69,70 @@ def test_two_stretches_are_judged_apart(spark):
     ]
 
 
-def test_repeated_clauses_pair_by_place(spark):
+def test_repeated_clauses_match_in_the_longest_block(spark):
     assert _places(spark, "arrb", "arrb") == []
-    assert _places(spark, "arrb", "arrrb") == [(1, None, 4)]
-    assert _places(spark, "arrb", "arb") == [(1, 3, None)]
-    assert _places(spark, "rar", "rrar") == [(0, None, 2)]
-    assert _places(spark, "rrr", "rr") == [(0, 3, None)]
+    assert _places(spark, "arrb", "arrrb") == [(3, None, 4)]
+    assert _places(spark, "arrb", "arb") == [(2, 3, None)]
+    assert _places(spark, "rar", "rrar") == [(0, None, 1)]
+    assert _places(spark, "rrr", "rr") == [(2, 3, None)]
+    assert _places(spark, "rs" * 500, "X" + "rs" * 500) == [(0, None, 1)]
+
+
+def _changes(old, new):
+    """What the standard matcher reports, by blocks and places."""
+    out, kept = [], 0
+    for tag, i1, i2, j1, j2 in difflib.SequenceMatcher(None, old, new, autojunk=False).get_opcodes():
+        if tag == "equal":
+            kept += i2 - i1
+            continue
+        for k in range(max(i2 - i1, j2 - j1)):
+            old_at, new_at = i1 + k + 1, j1 + k + 1
+            out.append((kept, k + 1, old_at if old_at <= i2 else None, new_at if new_at <= j2 else None))
+    return out
+
+
+def test_any_lists_give_what_the_matcher_gives(spark):
+    """Lists with few and many repeats, with moves, with edits of an own past, and equal ones."""
+    rng = random.Random(13)
+    lists = []
+    for p in range(400):
+        letters = "abcdefghijklmnopqrstuvwxyz"[: rng.choice([1, 2, 3, 6, 12, 26])]
+        old = rng.choices(letters, k=rng.randint(1, 30))
+        if p % 4 == 0:
+            new = rng.choices(letters, k=rng.randint(1, 30))
+        elif p % 4 == 1:  # planted edits
+            new = [t + "!" if rng.random() < 0.2 else t for t in old if rng.random() < 0.9] or ["z"]
+            new.insert(rng.randint(0, len(new)), "added")
+        elif p % 4 == 2:  # distinct texts, a stretch of them moved
+            old = rng.sample("abcdefghijklmnopqrstuvwxyz", rng.randint(2, 26))
+            cut = sorted(rng.choices(range(len(old) + 1), k=3))
+            new = old[: cut[0]] + old[cut[1] : cut[2]] + ["X"] + old[cut[0] : cut[1]] + old[cut[2] :]
+        else:
+            new = list(old)
+            new[rng.randrange(len(new))] = rng.choice("abZ")
+        lists.append((old, new))
+    rows = [(p * 2 + s, 10 * i + 7, None, t) for p, pair in enumerate(lists) for s, ts in enumerate(pair) for i, t in enumerate(ts)]
+    rng.shuffle(rows)
+    pairs = spark.createDataFrame([(p, p * 2, p * 2 + 1) for p in range(400)], "pair_id int, from_version int, to_version int")
+    at = lambda ordinal: None if ordinal is None else (ordinal - 7) // 10 + 1
+    got = {p: [] for p in range(400)}
+    for r in V.align_clauses(pairs, spark.createDataFrame(rows, CLAUSES)).collect():
+        got[r.pair_id].append((r.block_no, r.place, at(r.old_ordinal), at(r.new_ordinal)))
+    for p, (old, new) in enumerate(lists):
+        assert sorted(got[p], key=lambda r: r[:2]) == _changes(old, new), (old, new)
+
+
+def test_long_lists_with_repeats():
+    """Blocks of lists in which every clause repeats, without a step for each equal pair."""
+    rng = random.Random(3)
+    for size, letters in ((3000, "abc"), (20_000, "r")):
+        a, b = rng.choices(letters, k=size), rng.choices(letters, k=size)
+        found = V.matching_blocks(a, [False] * size, b, [False] * size)
+        assert all(a[i : i + n] == b[j : j + n] for i, j, n in found)
+        if size == 3000:
+            match = difflib.SequenceMatcher(None, a, b, autojunk=False)
+            pairs = lambda blocks: {(i + k, j + k) for i, j, n in blocks for k in range(n)}
+            assert pairs(found) == pairs(match.get_matching_blocks())
 
 
 def test_places_cover_both_sides_in_order(spark):
