@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from clauselake.operators import access as A
+from clauselake.operators import raw_attempts as R
 from clauselake.operators import retention as T
 from clauselake.plans import entities as E
 from clauselake.plans import fixtures as X
@@ -73,6 +74,13 @@ def _lockouts_default(spark, sf_dir):
     return rows.select("attempt_id", "identifier_failures", "address_failures", "verdict")
 
 
+def _raw_lockouts(spark, sf_dir):
+    """Events as calls as they came in; refused ones leave no record. SQL has no ordered replay:
+    the tests compare with one."""
+    rows = R.raw_lockouts(attempts(spark, sf_dir), DAY, 3, 40)
+    return rows.select("attempt_id", "identifier_failures", "address_failures", "verdict", "recorded")
+
+
 _CHALLENGES = """SELECT o_orderkey AS challenge_id, o_custkey AS user_id, o_orderstatus = 'F' AS used,
   o_orderdate + INTERVAL '1' DAY * 400 AS expires_at, {hash} AS otp_hash FROM orders"""
 
@@ -223,6 +231,7 @@ QUERIES = {
     "failed_attempts_window": _window,
     "lockouts": _lockouts,
     "lockouts_default_limits": _lockouts_default,
+    "lockouts_raw": _raw_lockouts,
     "attempt_identifier": _identifiers,
     "verify_outcomes": _verify,
     "invite_status": _invite_status,
