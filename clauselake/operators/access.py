@@ -125,12 +125,15 @@ def lockouts(
     counted = failed_attempts_window(
         attempts, {"ip": "address_failures", "identifier": "identifier_failures"}, seconds, True
     )
-    verdict = (
+    return counted.withColumn("verdict", lockout_verdict(per_identifier, per_address))
+
+
+def lockout_verdict(per_identifier: int, per_address: int) -> Column:
+    return (
         F.when(F.col("address_failures") >= per_address, "locked_address")
         .when(F.col("identifier_failures") >= per_identifier, "locked_identifier")
         .otherwise("allowed")
     )
-    return counted.withColumn("verdict", verdict)
 
 
 def attempt_identifier(attempts: DataFrame, challenges: DataFrame, users: DataFrame) -> DataFrame:
@@ -165,9 +168,16 @@ def verify_outcomes(attempts: DataFrame, challenges: DataFrame, users: DataFrame
 
 
 def invite_status(invites: DataFrame) -> DataFrame:
-    """Available or used, newest first."""
+    """Available or used; ``place`` numbers them from 1, the newest first, ties by code.
+
+    The order is a column: a sort would be lost in the next step. Places come from running
+    totals over ranges of rows, so no task holds all invites.
+    """
     state = F.when(F.col("redeemed_at").isNull(), "available").otherwise("used")
-    return invites.withColumn("status", state).orderBy(F.desc("created_at"), "code")
+    keyed = invites.withColumns(
+        {"status": state, "_newest": -epoch_micros(invites, "created_at"), "_all": F.lit(0)}
+    )
+    return running_total(keyed, ["_all"], ["_newest", "code"], F.lit(1), "place").drop("_newest", "_all")
 
 
 def redeem_check(requests: DataFrame, invites: DataFrame, users: DataFrame) -> DataFrame:

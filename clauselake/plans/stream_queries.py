@@ -46,8 +46,8 @@ def _attempt_stream(spark, sf_dir):
 
 def _lockouts(spark, sf_dir):
     attempts = _attempt_stream(spark, sf_dir)
-    sink = _run(spark, lambda path, cp: S.stream_lockouts(attempts, path, cp, A.DAY, 3, 40))
-    rows = S.current_verdicts(spark, sink)
+    sink = _run(spark, lambda path, cp: S.stream_lockouts(attempts, path, cp, A.DAY))
+    rows = S.verdicts(spark, sink, 3, 40)
     return rows.select("attempt_id", "identifier_failures", "address_failures", "verdict")
 
 

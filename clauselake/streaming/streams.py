@@ -1,21 +1,23 @@
 """The same operators over arriving data.
 
 Sinks write one folder per micro-batch and overwrite it when a batch is repeated,
-so a restart changes nothing. State that has to last lies in those folders or in
-the checkpoint, never in the driver.
+so a restart changes nothing. State that has to last lies in the checkpoint's state store,
+never in the driver.
 """
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta
+from collections import deque
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from clauselake import constants as K
-from clauselake.functions.running import epoch_micros, latest, moment
-from clauselake.operators.access import lockouts
+from clauselake.functions.running import epoch_micros, latest
+from clauselake.operators.access import lockout_verdict
 from clauselake.operators.redact import redacted
 from clauselake.operators.segment import segment
 from clauselake.session import children, remove
@@ -51,9 +53,88 @@ def stream_segment_redact(texts: DataFrame, path: str, checkpoint: str) -> Strea
     )
 
 
-def _bucketed(attempts: DataFrame, seconds: int) -> DataFrame:
-    width = seconds * 1_000_000
-    return attempts.withColumn("bucket", F.floor(epoch_micros(attempts, "created_at") / width))
+class _Window(StatefulProcessor):
+    """Failures before each attempt of one key, given out when no earlier attempt can come.
+
+    The state holds the attempts that wait for the watermark and the failures of one window.
+    """
+
+    def __init__(self, seconds: int):
+        self.width = seconds * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "t bigint, attempt_id bigint, failure boolean")
+        self.failures = handle.getListState("failures", "t bigint")
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+        new = [r for part in rows for r in part[["t", "attempt_id", "failure"]].itertuples(index=False, name=None)]
+        self.waiting.appendList(new)
+        yield from self._given(key, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+        yield from self._given(key, timerValues.getCurrentWatermarkInMs())
+
+    def _given(self, key: tuple, watermark: int) -> Iterator[pd.DataFrame]:
+        held = sorted(self.waiting.get())
+        ready = [r for r in held if r[0] <= watermark * 1000]
+        times = deque(sorted(r[0] for r in self.failures.get()))
+        out = []
+        for t, attempt, failure in ready:
+            while times and times[0] <= t - self.width:
+                times.popleft()
+            out.append((*key, attempt, t, len(times)))
+            if failure:
+                times.append(t)
+        rest = held[len(ready) :]
+        over = [t for t in times if t > watermark * 1000 - self.width]
+        for state, rows in ((self.waiting, rest), (self.failures, [(t,) for t in over])):
+            state.put(rows) if rows else state.clear()
+        # wake up for the next attempt that waits, or when the last failure is out of the window
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if rest:
+            self.handle.registerTimer(-(-rest[0][0] // 1000))
+        elif over:
+            self.handle.registerTimer(-(-(over[-1] + self.width) // 1000))
+        if out:
+            yield pd.DataFrame(out, columns=["kind", "value", "attempt_id", "t", "failures"])
+
+    def close(self) -> None:
+        pass
+
+
+def attempt_counts(attempts: DataFrame, seconds: int, lateness: str) -> DataFrame:
+    """``attempt_id, t, kind, failures`` of a stream of attempts, per address and identifier."""
+    micros = epoch_micros(attempts, "created_at")
+    kinds = F.array(
+        *[
+            F.struct(
+                F.lit(c).alias("kind"),
+                # a missing key is a key like any other
+                F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")).alias("value"),
+            )
+            for c in ("ip", "identifier")
+        ]
+    )
+    rows = (
+        attempts.select(
+            # watermarks count whole milliseconds: rounded up, the last attempt is reached too
+            F.timestamp_micros(F.ceil(micros / 1000) * 1000).alias("_at"),
+            micros.alias("t"),
+            F.col("attempt_id").cast("bigint").alias("attempt_id"),
+            (~F.coalesce("success", F.lit(False))).alias("failure"),
+            kinds.alias("_k"),
+        )
+        .withWatermark("_at", lateness)
+        .select("_at", "t", "attempt_id", "failure", F.inline("_k"))
+    )
+    return rows.groupBy("kind", "value").transformWithStateInPandas(
+        _Window(seconds),
+        "kind string, value string, attempt_id bigint, t bigint, failures bigint",
+        outputMode="Append",
+        timeMode="EventTime",
+    )
 
 
 def stream_lockouts(
@@ -61,53 +142,46 @@ def stream_lockouts(
     path: str,
     checkpoint: str,
     seconds: int = K.LOCKOUT_WINDOW_SECONDS,
-    per_identifier: int = K.LOCKOUT_PER_IDENTIFIER,
-    per_address: int = K.LOCKOUT_PER_ADDRESS,
+    lateness: str = "0 seconds",
 ) -> StreamingQuery:
-    """Verdicts of all attempts so far, right whatever the order of arrival.
-
-    Each batch is appended to the log first, in folders by time bucket (one window wide).
-    A late failure changes verdicts up to one window after it, so a batch gives verdicts
-    for every logged attempt from its earliest row to one window after its latest one,
-    reading only the buckets that these need. The newest verdict of an attempt counts:
-    read the result with ``current_verdicts``. The count is the distributed one of the
-    batch operator, so a busy key is no single state entry.
-    """
+    """Failures before each attempt, written once, when the watermark has passed the attempt.
 
-    def batch(df: DataFrame, epoch: int) -> None:
-        spark = df.sparkSession
-        log = _batch_folder(f"{path}/log", epoch)
-        _bucketed(df, seconds).write.mode("overwrite").partitionBy("bucket").parquet(log)
-        bounds = spark.read.parquet(log) if not df.isEmpty() else df
-        span = bounds.agg(F.min("created_at"), F.max("created_at")).first()
-        if span[0] is None:
-            return
-        low, high = (F.lit(_micros(t) // (seconds * 1_000_000)) for t in span)
-        known = spark.read.option("basePath", f"{path}/log").parquet(f"{path}/log").filter(
-            (F.col("batch") <= epoch) & F.col("bucket").between(low - 1, high + 1)
-        )
-        verdicts = lockouts(known.drop("batch", "bucket"), seconds, per_identifier, per_address)
-        touched = verdicts.filter(
-            (F.col("created_at") >= moment(span[0]))
-            & (F.col("created_at") <= moment(span[1] + timedelta(seconds=seconds)))
+    Attempts may come ``lateness`` after later ones; one that comes later still is dropped,
+    as it would change what is written. An address and an identifier are keyed states of
+    their own that hold the waiting attempts and one window of failures; a timer empties
+    them. The last ``lateness`` of a stream waits for more to come. Read the result with
+    ``verdicts``.
+    """
+    spark = attempts.sparkSession
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider, None)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:  # the query keeps the settings that it starts with
+        return (
+            attempt_counts(attempts, seconds, lateness)
+            .writeStream.format("parquet")
+            .outputMode("append")
+            .option("path", path)
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
         )
-        touched.write.mode("overwrite").parquet(_batch_folder(f"{path}/verdicts", epoch))
-
-    return (
-        attempts.writeStream.foreachBatch(batch)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    finally:
+        spark.conf.set(provider, before) if before else spark.conf.unset(provider)
 
 
-def _micros(t: datetime) -> int:
-    return int((t - datetime(1970, 1, 1)) / timedelta(microseconds=1))
-
-
-def current_verdicts(spark: SparkSession, path: str) -> DataFrame:
-    """The newest verdict of every attempt."""
-    return latest(spark.read.parquet(f"{path}/verdicts"), ["attempt_id"], ["batch"]).drop("batch")
+def verdicts(
+    spark: SparkSession,
+    path: str,
+    per_identifier: int = K.LOCKOUT_PER_IDENTIFIER,
+    per_address: int = K.LOCKOUT_PER_ADDRESS,
+) -> DataFrame:
+    """``attempt_id, address_failures, identifier_failures, verdict`` of what a stream has written."""
+    of = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("failures")))
+    counts = spark.read.parquet(path).groupBy("attempt_id").agg(
+        of("ip").alias("address_failures"), of("identifier").alias("identifier_failures")
+    )
+    return counts.withColumn("verdict", lockout_verdict(per_identifier, per_address))
 
 
 def usage_windows(usage: DataFrame, width: str = "1 day", lateness: str = "1 hour") -> DataFrame:

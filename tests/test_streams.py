@@ -28,32 +28,57 @@ def _source(spark, folder, schema, batches):
     )
 
 
-def test_lockouts_in_any_order(spark, tmp_path):
+def _stream_verdicts(spark, folder, batches, lateness, seconds=900, per_identifier=5, per_address=15):
+    stream = _source(spark, folder, ATTEMPTS, batches)
+    query = S.stream_lockouts(stream, f"{folder}/out", f"{folder}/cp", seconds, lateness)
+    query.awaitTermination()
+    got = S.verdicts(spark, f"{folder}/out", per_identifier, per_address).collect()
+    return {(r.attempt_id, r.identifier_failures, r.address_failures, r.verdict) for r in got}, query
+
+
+def test_lockouts_of_late_attempts(spark, tmp_path):
+    """Attempts that come up to the lateness after later ones count as if they had come in order."""
     rng = random.Random(3)
     rows = [
-        (i, f"u{rng.randint(0, 2)}", f"ip{rng.randint(0, 1)}", rng.random() < 0.2, START + timedelta(seconds=rng.randint(0, 3600)))
-        for i in range(120)
+        (
+            i,
+            rng.choice([None, "u0", "u1", "u2"]),
+            f"ip{rng.randint(0, 1)}",
+            rng.choice([True, False, False, False, None]),
+            START + timedelta(seconds=rng.randint(0, 3600)),
+        )
+        for i in range(160)
     ]
-    rng.shuffle(rows)
     want = {
         (r.attempt_id, r.identifier_failures, r.address_failures, r.verdict)
         for r in A.lockouts(spark.createDataFrame(rows, ATTEMPTS), 900, 5, 15).collect()
     }
-    stream = _source(spark, tmp_path, ATTEMPTS, [rows[80:], rows[:40], rows[40:80]])
-    S.stream_lockouts(stream, str(tmp_path / "out"), str(tmp_path / "cp"), 900, 5, 15).awaitTermination()
-    got = {
-        (r.attempt_id, r.identifier_failures, r.address_failures, r.verdict)
-        for r in S.current_verdicts(spark, str(tmp_path / "out")).collect()
-    }
-    assert got == want and len(want) == 120
+    # each comes up to five minutes after its time, and a last one lets the others through
+    rows.sort(key=lambda r: r[4] + timedelta(seconds=rng.randint(0, 300)))
+    batches = [rows[k : k + 20] for k in range(0, 160, 20)]
+    batches.append([(1000, "end", "end", True, START + timedelta(days=1))])
+    got, _ = _stream_verdicts(spark, tmp_path, batches, "5 minutes")
+    assert got == want and len({r[3] for r in want}) == 3
 
 
-def test_a_late_failure_changes_later_verdicts(spark, tmp_path):
-    rows = [(i, "u", "ip", False, START + timedelta(seconds=10 * i)) for i in range(8)]
-    stream = _source(spark, tmp_path, ATTEMPTS, [rows[4:], rows[:4]])
-    S.stream_lockouts(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    verdicts = {r.attempt_id: r.verdict for r in S.current_verdicts(spark, str(tmp_path / "out")).collect()}
-    assert verdicts == {i: "allowed" if i < 5 else "locked_identifier" for i in range(8)}
+def test_lockouts_too_late_are_dropped(spark, tmp_path):
+    rows = [(i, "u", "ip", False, START + timedelta(minutes=i)) for i in range(9)]
+    got, _ = _stream_verdicts(spark, tmp_path, [rows[2:8], rows[8:], rows[:2]], "0 seconds")
+    assert {r[0]: r[1] for r in got} == {i: i - 2 for i in range(2, 9)}
+
+
+def test_state_of_lockouts_stays_flat(spark, tmp_path):
+    """The same ten keys an hour a batch: a batch leaves no more than one window behind."""
+    batches = [
+        [
+            (b * 100 + i, f"u{i % 5}", f"ip{i % 5}", False, START + timedelta(hours=b, seconds=i))
+            for i in range(40)
+        ]
+        for b in range(12)
+    ]
+    got, query = _stream_verdicts(spark, tmp_path, batches, "0 seconds")
+    rows = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert len(got) == 480 and len(rows) >= 12 and max(rows[6:]) <= max(rows[1:6])
 
 
 def test_usage_keeps_open_windows(spark, tmp_path):
