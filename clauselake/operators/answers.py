@@ -311,15 +311,39 @@ def meter_batches(batches: DataFrame) -> DataFrame:
     )
 
 
-def usage_rollup(usage: DataFrame) -> DataFrame:
-    """Tokens and calls per user, day and model; calls without tokens are counted, not summed."""
-    return usage.groupBy("user_id", F.to_date("created_at").alias("day"), "model").agg(
+def _usage_sums() -> list[Column]:
+    return [
         F.count("*").alias("calls"),
         F.count_if(F.col("status") == "ok").alias("ok_calls"),
         F.count_if(F.col("status") == "failed").alias("failed_calls"),
         F.sum("input_tokens").alias("input_tokens"),
         F.sum("output_tokens").alias("output_tokens"),
         F.count_if(F.col("input_tokens").isNull()).alias("unmetered_calls"),
+    ]
+
+
+def usage_rollup(usage: DataFrame) -> DataFrame:
+    """Tokens and calls per user, day and model; calls without tokens are counted, not summed."""
+    return usage.groupBy("user_id", F.to_date("created_at").alias("day"), "model").agg(*_usage_sums())
+
+
+def usage_subtotals(usage: DataFrame) -> DataFrame:
+    """``usage_rollup`` with its subtotals per user and day, per user, and in all.
+
+    One scan; ``level`` says what a row sums up (``model``, ``day``, ``user`` or ``total``),
+    so that a call without a model or user is told from a subtotal. The finest level is
+    summed first, and the others from it: only sums of sums pass through the second shuffle.
+    """
+    fine = usage_rollup(usage)
+    level = F.element_at(
+        F.array(*[F.lit(x) for x in ("model", "day", "user", "total")]),
+        F.bit_count(F.grouping_id()).cast("int") + 1,
+    )
+    sums = ["calls", "ok_calls", "failed_calls", "input_tokens", "output_tokens", "unmetered_calls"]
+    return (
+        fine.rollup("user_id", "day", "model")
+        .agg(level.alias("level"), *[F.sum(c).alias(c) for c in sums])
+        .select("level", "user_id", "day", "model", *sums)
     )
 
 

@@ -254,6 +254,80 @@ def portfolio_risk(findings: DataFrame, jobs: DataFrame, versions: DataFrame, do
     )
 
 
+def portfolio_cube(findings: DataFrame, jobs: DataFrame, versions: DataFrame, documents: DataFrame) -> DataFrame:
+    """``portfolio_risk`` at every level of counterparty, domain and severity, with shares.
+
+    ``by_counterparty, by_domain, by_severity`` say which keys a row is cut by; the others
+    are null. ``versions`` are the reviewed ones of the counterparty, or all of them, with
+    findings or without; ``share`` is the part of them that is hit. A version counts once at
+    each level: what it has is summed per version first, and for levels that leave out a key
+    it is marked once per version and level, so nothing distinct is counted over raw findings.
+    """
+    where = (
+        jobs.select("job_id", "version_id")
+        .join(versions.select("version_id", "document_id"), "version_id")
+        .join(documents.select("document_id", "counterparty"), "document_id")
+        .select("job_id", "version_id", "counterparty")
+    )
+    reviewed = where.select("version_id", "counterparty").distinct()
+    bases = (
+        reviewed.rollup("counterparty")
+        .agg((F.grouping("counterparty") == 0).alias("by_counterparty"), F.count("*").alias("versions"))
+        .withColumnRenamed("counterparty", "_counterparty")
+    )
+    keys = ["domain", "severity"]
+    per_version = (
+        findings.select("job_id", *keys)
+        .join(where, "job_id")
+        .groupBy("counterparty", "version_id", *keys)
+        .agg(F.count("*").alias("n"))
+    )
+    # a version at each of the four levels below its counterparty: one row each
+    marked = per_version.select(
+        "counterparty",
+        "version_id",
+        "n",
+        F.inline(
+            F.array(
+                *[
+                    F.struct(
+                        F.lit(d).alias("by_domain"),
+                        F.lit(s).alias("by_severity"),
+                        F.when(F.lit(d), F.col("domain")).alias("domain"),
+                        F.when(F.lit(s), F.col("severity")).alias("severity"),
+                    )
+                    for d in (True, False)
+                    for s in (True, False)
+                ]
+            )
+        ),
+    )
+    once = marked.groupBy("counterparty", "version_id", "by_domain", "by_severity", *keys).agg(F.sum("n").alias("n"))
+    level = ["by_domain", "by_severity", *keys]
+    cells = once.groupBy("counterparty", *level).agg(F.sum("n").alias("findings"), F.count("*").alias("versions_hit"))
+    whole = cells.groupBy(*level).agg(
+        F.lit(None).cast("string").alias("counterparty"),
+        F.sum("findings").alias("findings"),
+        F.sum("versions_hit").alias("versions_hit"),  # a version has one counterparty
+    )
+    every = cells.withColumn("by_counterparty", F.lit(True)).unionByName(
+        whole.withColumn("by_counterparty", F.lit(False))
+    )
+    same = F.expr("e.by_counterparty = b.by_counterparty AND e.counterparty <=> b._counterparty")
+    return every.alias("e").join(bases.alias("b"), same).select(
+        "e.by_counterparty",
+        "by_domain",
+        "by_severity",
+        "counterparty",
+        "domain",
+        "severity",
+        "findings",
+        "versions_hit",
+        "versions",
+        (F.col("versions_hit") / F.col("versions")).alias("share"),
+    )
+
+
 def apply_decisions(edits: DataFrame, decisions: DataFrame) -> DataFrame:
     """Set ``accepted`` to the newest decision per edit.
 

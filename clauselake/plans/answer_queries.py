@@ -134,6 +134,10 @@ def _rollup(spark, sf_dir):
     return M.usage_rollup(usage(spark, sf_dir))
 
 
+def _subtotals(spark, sf_dir):
+    return M.usage_subtotals(usage(spark, sf_dir))
+
+
 def _summary(spark, sf_dir):
     return M.summary_outcome(_events(spark, sf_dir, _SUMMARY))
 
@@ -151,6 +155,7 @@ QUERIES = {
     "meter_attempts": _meter,
     "meter_batches": _meter_batches,
     "usage_rollup": _rollup,
+    "usage_subtotals": _subtotals,
     "summary_outcome": _summary,
 }
 
@@ -218,6 +223,12 @@ SELECT request_id, attempts, winner, CASE WHEN winner IS NULL THEN 'failed' ELSE
   count(*) FILTER (WHERE error IS NULL) AS ok_calls, count(*) FILTER (WHERE error IS NOT NULL) AS failed_calls,
   CAST(sum(input_tokens) FILTER (WHERE error IS NULL) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) FILTER (WHERE error IS NULL) AS BIGINT) AS output_tokens,
   count(*) FILTER (WHERE error IS NOT NULL OR input_tokens IS NULL) AS unmetered_calls FROM u GROUP BY 1, 2, 3""",
+    "usage_subtotals": f"""WITH u AS ({_RESPONSE}), c AS (SELECT *, CASE WHEN error IS NULL THEN model END AS used, CAST(ts AS DATE) AS of_day FROM u),
+l AS (SELECT unnest(['model', 'day', 'user', 'total']) AS level)
+SELECT level, CASE WHEN level <> 'total' THEN user_id END AS user_id, CASE WHEN level IN ('model', 'day') THEN of_day END AS day,
+  CASE WHEN level = 'model' THEN used END AS model, count(*) AS calls, count(*) FILTER (WHERE error IS NULL) AS ok_calls, count(*) FILTER (WHERE error IS NOT NULL) AS failed_calls,
+  CAST(sum(input_tokens) FILTER (WHERE error IS NULL) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) FILTER (WHERE error IS NULL) AS BIGINT) AS output_tokens,
+  count(*) FILTER (WHERE error IS NOT NULL OR input_tokens IS NULL) AS unmetered_calls FROM c, l GROUP BY 1, 2, 3, 4""",
     "summary_outcome": f"""WITH s AS ({_SUMMARY}), p AS (SELECT *, {_json('content')} AS j FROM s),
 q AS (SELECT *, coalesce(error IS NULL AND json_type(j) = 'OBJECT', false) AS ok FROM p)
 SELECT version_id, CASE WHEN n_clauses = 0 THEN 'Dokumen tidak memiliki klausul yang dapat diekstrak.' WHEN ok THEN coalesce(nullif(j ->> '$.ringkasan', ''), nullif(j ->> '$.summary', ''), j) END AS summary,

@@ -139,6 +139,12 @@ def _portfolio(spark, sf_dir):
     )
 
 
+def _cube(spark, sf_dir):
+    return Q.portfolio_cube(
+        E.findings(spark, sf_dir), E.jobs(spark, sf_dir), E.versions(spark, sf_dir), E.documents(spark, sf_dir)
+    )
+
+
 def _decided(spark, sf_dir):
     """Decisions from the event stream, by the owner and by somebody else."""
     owned = (
@@ -179,6 +185,7 @@ QUERIES = {
     "bundle_findings": _bundle_findings,
     "export_redlines": _export,
     "portfolio_risk": _portfolio,
+    "portfolio_cube": _cube,
     "apply_decisions": _decided,
 }
 
@@ -243,6 +250,13 @@ SELECT flag_id, CAST(x::INT + y::INT AS INTEGER) AS edits, summary || ' ' || CAS
   ELSE CASE WHEN x THEN 'Mail' || substr(m, 5) ELSE m END END AS accepted_text FROM t WHERE x OR y""",
     "portfolio_risk": f"""WITH {E.DOCUMENTS}, {E.VERSIONS}, {E.JOBS}, {E.FINDINGS} SELECT counterparty, domain, severity, count(*) AS findings, count(DISTINCT version_id) AS versions_hit
   FROM finding JOIN jobs USING (job_id) JOIN vers USING (version_id) JOIN docs USING (document_id) GROUP BY ALL""",
+    "portfolio_cube": f"""WITH {E.DOCUMENTS}, {E.VERSIONS}, {E.JOBS}, {E.FINDINGS}, reviewed AS (SELECT DISTINCT version_id, counterparty FROM jobs JOIN vers USING (version_id) JOIN docs USING (document_id)),
+hit AS (SELECT counterparty, domain, severity, grouping(counterparty) = 0 AS by_counterparty, grouping(domain) = 0 AS by_domain, grouping(severity) = 0 AS by_severity,
+  count(*) AS findings, count(DISTINCT version_id) AS versions_hit
+  FROM finding JOIN jobs USING (job_id) JOIN vers USING (version_id) JOIN docs USING (document_id) GROUP BY CUBE (counterparty, domain, severity)),
+sized AS (SELECT *, CASE WHEN by_counterparty THEN (SELECT count(*) FROM reviewed r WHERE r.counterparty IS NOT DISTINCT FROM hit.counterparty)
+  ELSE (SELECT count(*) FROM reviewed) END AS versions FROM hit)
+SELECT *, CAST(versions_hit AS DOUBLE) / versions AS share FROM sized""",
     "apply_decisions": f"""WITH {E.JOBS}, {E.FINDINGS}, {E.EDITS}, d AS (SELECT ((event_id // 3 * 10 + event_id // 3 % 7 + 1) * 100 + 1) * 2 + event_id // 3 % 2 AS edit_id,
   CASE event_id % 3 WHEN 0 THEN true WHEN 1 THEN false END AS accepted, ts, event_id FROM events),
 newest AS (SELECT edit_id, accepted FROM (SELECT *, row_number() OVER (PARTITION BY edit_id ORDER BY ts DESC, event_id DESC) AS rn FROM d) WHERE rn = 1)

@@ -51,20 +51,33 @@ def _lockouts(spark, sf_dir):
     return rows.select("attempt_id", "identifier_failures", "address_failures", "verdict")
 
 
-def _usage(spark, sf_dir):
-    events = _stream(spark, sf_dir, "events").select(
+def _usage_stream(spark, sf_dir):
+    return _stream(spark, sf_dir, "events").select(
         "user_id",
         F.when(F.col("event_type") == "error", "failed").otherwise("ok").alias("status"),
         F.when(F.col("event_type") != "error", F.floor(F.col("value") * 100)).alias("input_tokens"),
         F.col("ts").alias("created_at"),
     )
+
+
+def _usage(spark, sf_dir):
+    events = _usage_stream(spark, sf_dir)
     return S.current_usage(spark, _run(spark, lambda path, cp: S.stream_usage(events, path, cp)))
 
 
+def _final_usage(spark, sf_dir):
+    """The windows that end an hour or more before the last event."""
+    events = _usage_stream(spark, sf_dir)
+    return spark.read.parquet(_run(spark, lambda path, cp: S.stream_final_usage(events, path, cp)))
+
+
 def _dedupe(spark, sf_dir):
-    """Fingerprints of the documents, each once."""
-    texts = C.content_fingerprint(_stream(spark, sf_dir, "documents")).select("sha256")
-    return spark.read.parquet(_run(spark, lambda path, cp: S.stream_dedupe(texts, path, cp)))
+    """Fingerprints of the documents, each once; a document arrives as many seconds after the first as its id says."""
+    texts = C.content_fingerprint(_stream(spark, sf_dir, "documents")).select(
+        "sha256", F.timestamp_seconds(F.col("doc_id") + 1_700_000_000).alias("arrived_at")
+    )
+    sink = _run(spark, lambda path, cp: S.stream_dedupe(texts, path, cp))
+    return spark.read.parquet(sink).select("sha256")
 
 
 def _job_state(spark, sf_dir):
@@ -82,6 +95,7 @@ QUERIES = {
     "stream_segment_redact": _segment,
     "stream_lockouts": _lockouts,
     "stream_usage": _usage,
+    "stream_final_usage": _final_usage,
     "stream_job_state": _job_state,
     "stream_dedupe": _dedupe,
 }
@@ -96,6 +110,10 @@ SELECT version_id, CAST(row_number() OVER (PARTITION BY version_id ORDER BY i) A
     "stream_lockouts": A.ORACLES["lockouts"],
     "stream_usage": """SELECT date_trunc('day', ts) AS window_start, user_id, count(*) AS calls, count(*) FILTER (WHERE event_type = 'error') AS failed_calls,
   CAST(sum(floor(value * 100)) FILTER (WHERE event_type <> 'error') AS BIGINT) AS input_tokens FROM events GROUP BY 1, 2""",
+    "stream_final_usage": """SELECT window_start, user_id, calls, failed_calls, input_tokens FROM (
+  SELECT date_trunc('day', ts) AS window_start, user_id, count(*) AS calls, count(*) FILTER (WHERE event_type = 'error') AS failed_calls,
+    CAST(sum(floor(value * 100)) FILTER (WHERE event_type <> 'error') AS BIGINT) AS input_tokens FROM events GROUP BY 1, 2)
+  WHERE window_start + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""",
     "stream_dedupe": "SELECT DISTINCT sha256(text) AS sha256 FROM documents",
     "stream_job_state": "SELECT user_id AS job_id, arg_max(event_type, (ts, event_id)) AS state, max(ts) AS changed_at, arg_max(event_id, (ts, event_id)) AS change_id FROM events GROUP BY user_id",
 }

@@ -239,10 +239,45 @@ def current_usage(spark: SparkSession, path: str) -> DataFrame:
     return latest(spark.read.parquet(path), ["window_start", "user_id"], ["batch"]).drop("batch")
 
 
-def stream_dedupe(texts: DataFrame, path: str, checkpoint: str, key: str = "sha256") -> StreamingQuery:
-    """The first arrival of every ``key``; the keys seen so far are the stream's state."""
+def stream_final_usage(
+    usage: DataFrame, path: str, checkpoint: str, width: str = "1 day", lateness: str = "1 hour"
+) -> StreamingQuery:
+    """Every window once, when the watermark has passed its end; nothing is written over.
+
+    Rows may come ``lateness`` after later ones; what comes for a window already written is
+    dropped and counted by the query's progress. Windows that are open when the stream ends
+    stay in its state until more comes: ``stream_usage`` shows them as they stand.
+    """
+    return (
+        usage_windows(usage, width, lateness)
+        .writeStream.format("parquet")
+        .outputMode("append")
+        .option("path", path)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def stream_dedupe(
+    texts: DataFrame,
+    path: str,
+    checkpoint: str,
+    key: str = "sha256",
+    at: str = "arrived_at",
+    within: str = "30 days",
+) -> StreamingQuery:
+    """The first arrival of every ``key``; a copy up to ``within`` after it is dropped.
+
+    ``at`` is the arrival time. A key leaves the state when the watermark is ``within`` past
+    its first arrival, so the state holds the keys of that span and no more; a copy that
+    comes later counts as new, as the intake's own check against stored versions decides.
+    """
+    timed = texts.withColumn("_at", F.timestamp_micros(epoch_micros(texts, at)))
     return (
-        texts.dropDuplicates([key])
+        timed.withWatermark("_at", within)
+        .dropDuplicatesWithinWatermark([key])
+        .drop("_at")
         .writeStream.format("parquet")
         .option("path", path)
         .option("checkpointLocation", checkpoint)

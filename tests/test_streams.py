@@ -109,8 +109,42 @@ def test_job_state_is_compacted(spark, tmp_path):
     assert sorted(os.listdir(f"{out}/changes")) == ["batch=4", "batch=5", "batch=6"]
 
 
+def test_final_usage_is_written_once(spark, tmp_path):
+    schema = "user_id long, status string, input_tokens long, created_at timestamp_ntz"
+    at = lambda d, h: datetime(2024, 1, d, h)
+    batches = [
+        [(1, "ok", 5, at(1, 3)), (2, "failed", None, at(1, 4))],
+        [(1, "ok", 7, at(2, 0))],  # the first day's end, but not an hour past it
+        [(1, "ok", 9, at(1, 23))],  # late, and in time
+        [(1, "ok", 1, at(2, 5))],
+        [(1, "ok", 1, at(3, 5))],
+        [(1, "ok", 1000, at(1, 5)), (1, "ok", 2, at(3, 6))],  # too late
+        [(1, "ok", 3, at(9, 0))],
+    ]
+    stream = _source(spark, tmp_path, schema, batches)
+    query = S.stream_final_usage(stream, str(tmp_path / "out"), str(tmp_path / "cp"))
+    query.awaitTermination()
+    got = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [(at(1, 0), 1, 2, 0, 14), (at(1, 0), 2, 1, 1, None), (at(2, 0), 1, 2, 0, 8), (at(3, 0), 1, 2, 0, 3)]
+    late = sum(s["numRowsDroppedByWatermark"] for p in query.recentProgress for s in p["stateOperators"])
+    assert late == 1
+
+
 def test_dedupe_across_batches(spark, tmp_path):
-    stream = _source(spark, tmp_path, "sha256 string", [[("a",), ("b",)], [("a",), ("c",)]])
-    S.stream_dedupe(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    got = spark.read.parquet(str(tmp_path / "out")).orderBy("sha256").select(F.collect_list("sha256")).first()[0]
-    assert sorted(got) == ["a", "b", "c"]
+    """Copies within the span are dropped; afterwards the key is out of the state."""
+    schema = "sha256 string, arrived_at timestamp_ntz"
+    day = lambda d: START + timedelta(days=d)
+    batches = [
+        [("a", day(0)), ("b", day(0))],
+        [("a", day(5)), ("c", day(5)), ("c", day(6))],
+        [("b", day(29))],
+        *[[(f"x{k}", day(40 + 40 * k))] for k in range(4)],
+        [("a", day(160))],
+    ]
+    stream = _source(spark, tmp_path, schema, batches)
+    query = S.stream_dedupe(stream, str(tmp_path / "out"), str(tmp_path / "cp"))
+    query.awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert sorted(r.sha256 for r in got) == ["a", "a", "b", "c", "x0", "x1", "x2", "x3"]
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert max(held) <= 5 and held[-1] == 3  # of eight keys
