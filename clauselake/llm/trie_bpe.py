@@ -62,7 +62,8 @@ class TrieEncoder:
                 for i in range(1, len(symbols)):
                     self.tails.setdefault(token[i:], -1)
                 self.tails[token] = number
-        self.fits: dict[int, bool] = {}  # by left id * 65536 + right id
+        self.longest = max(map(len, self.tails), default=1)  # a tail of more characters is none
+        self.fits: dict[int, bool] = {}  # by left id * 2^32 + right id
         self.words: dict[str, bytes] = {}
         self.old_words: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {"": b""}
@@ -89,29 +90,33 @@ class TrieEncoder:
 
     def _fits(self, pair: int) -> bool:
         """Do two neighbouring tokens stay the two they are when merged on their own?"""
-        ends = [self.names[pair >> 16], self.names[pair & 0xFFFF]]
+        ends = [self.names[pair >> 32], self.names[pair & 0xFFFFFFFF]]
         kept = self._merge(self._symbols(ends[0]) + self._symbols(ends[1])) == ends
         self.fits[pair] = kept
         return kept
 
-    def _last(self, path: str, end: str, before: list[int]) -> int:
-        """Last token of ``path + end``; ``before[i]`` is the last token of ``path[:i]``."""
-        tails, fits, at, found = self.tails, self.fits, len(path), []
-        while at:
-            at -= 1
-            number = tails.get(path[at:] + end)
+    def _last(self, word: str, stop: int, end: str, before: list[int]) -> int:
+        """Last token of ``word[:stop] + end``; ``before[i]`` is the last token of ``word[:i]``.
+
+        Only the characters that the longest token could cover are looked at.
+        """
+        tails, fits, found = self.tails, self.fits, []
+        low = max(0, stop - self.longest)
+        near = word[low:stop]
+        for at in range(len(near) - 1, -1, -1):
+            number = tails.get(near[at:] + end)
             if number is None:
                 break
             if number >= 0:
-                if not at:
+                if not low + at:
                     return number
-                found.append((before[at] << 16) | number)
+                found.append((before[low + at] << 32) | number)
         for pair in reversed(found):
             if (known := fits.get(pair)) is None:
                 known = self._fits(pair)
             if known:
-                return pair & 0xFFFF
-        raise ValueError(f"no token for {path[-1] + end!r}")
+                return pair & 0xFFFFFFFF
+        raise ValueError(f"no token for {word[stop - 1] + end!r}")
 
     def encode_words(self, words: set[str]) -> dict[str, bytes]:
         """Ids of distinct words (in the byte alphabet), by one traversal of their trie.
@@ -130,8 +135,8 @@ class TrieEncoder:
                 depth += 1
             del before[depth + 1 :]
             for at in range(len(before), len(word)):
-                before.append(self._last(word[:at], "", before))
-            tokens = [self._last(word, END, before)]
+                before.append(self._last(word, at, "", before))
+            tokens = [self._last(word, len(word), END, before)]
             at = len(word) - sizes[tokens[0]]
             while at:
                 tokens.append(before[at])
