@@ -4,8 +4,8 @@ A document is a bag of passages. Every passage is encoded, a gated attention lea
 from document labels alone weighs the passages, and the weighted mean representation is
 scored. Only texts and labels are looked at.
 
-Training uses a bounded sample of labelled documents (``sample`` documents, for each up
-to ``passages`` passages spread evenly over it). Scoring reads every passage of every
+Training uses a bounded sample of labelled documents (``sample`` documents, of
+``sample_bytes`` together) and every passage of each. Scoring reads every passage of every
 document in the document's own partition; passages are streamed in pieces of bounded
 size, as softmax sums can be carried on.
 """
@@ -219,21 +219,21 @@ def fit(
     return Model(p, mean, scale)
 
 
-def bag(text: str | None, passages: int) -> np.ndarray:
-    """Features of up to ``passages`` passages, spread evenly (for training only)."""
-    data = np.frombuffer((text or "").encode(), dtype=np.uint8)
-    starts, ends = _cuts(0, len(data))
-    pick = np.unique(np.linspace(0, len(starts) - 1, min(passages, len(starts))).astype(int))
-    return passage_features(data, starts[pick], ends[pick])
+def bag(data: bytes) -> np.ndarray:
+    """Features of all passages of one text."""
+    whole = np.frombuffer(data, dtype=np.uint8)
+    return passage_features(whole, *_cuts(0, len(whole)))
 
 
 def train(
-    docs: DataFrame, labels: DataFrame, sample: int = 4000, passages: int = 16, seed: int = 0
+    docs: DataFrame, labels: DataFrame, sample: int = 4000, sample_bytes: int = 16 << 20, seed: int = 0
 ) -> Model:
-    """Fit on ``sample`` labelled documents outside the held-out fifth, drawn by hash.
+    """Fit on labelled documents outside the held-out fifth, drawn by hash, with whole texts.
 
     ``labels`` is ``doc_id, label`` (0 or 1; null labels and ids are left out; of
-    differing labels of one id the larger counts).
+    differing labels of one id the larger counts). Documents are drawn until there are
+    ``sample`` of them or their texts have ``sample_bytes`` together; a text that alone has
+    more than the rest of that is passed over.
     """
     drawn = (
         labels.select("doc_id", F.col("label").cast("int").alias("label"))
@@ -245,34 +245,29 @@ def train(
     )
     # at most `sample` rows of two numbers on the broadcast side
     rows = (
-        docs.select("doc_id", "text")
+        docs.select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("data"))
+        .filter(F.octet_length("data") <= sample_bytes)
         .join(F.broadcast(drawn), "doc_id")
-        .orderBy("doc_id", F.xxhash64("text"))
-        .limit(sample)
     )
+    sized = rows.select("doc_id", F.octet_length("data").alias("n"), F.xxhash64("data").alias("h"))
+    order = (F.xxhash64(F.lit(seed), "doc_id"), "doc_id", "h", "n")
+    left, taken = sample_bytes, []
+    for r in sized.orderBy(*order).limit(sample).collect():  # three numbers a row
+        if r["n"] <= left:
+            left -= r["n"]
+            taken.append((r["doc_id"], r["h"]))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    picked = docs.sparkSession.createDataFrame(taken, f"doc_id {kind}, h long").distinct()
+    chosen = rows.join(
+        F.broadcast(picked), (rows["doc_id"] == picked["doc_id"]) & (F.xxhash64(rows["data"]) == picked["h"])
+    ).select(rows["doc_id"], "h", "label", "data")
     bags, marks = [], []
-    for row in rows.select("label", *_taken(passages)).toLocalIterator():
-        data = bytes(row["data"])
-        whole = np.frombuffer(data, dtype=np.uint8)
-        starts = np.arange(0, max(1, len(whole)), PASSAGE)
-        bags.append(passage_features(whole, starts, np.minimum(starts + PASSAGE, len(whole))))
+    for row in chosen.orderBy("doc_id", "h").limit(len(taken)).toLocalIterator():
+        bags.append(bag(bytes(row["data"])))
         marks.append(row["label"])
     return fit(bags, np.array(marks), seed=seed)
 
 
-def _taken(passages: int) -> list:
-    """Bytes of up to ``passages`` whole passages, cut on the executors."""
-    data = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
-    count = F.greatest(F.lit(1), F.ceil(F.octet_length(data) / PASSAGE)).cast("int")
-    number = F.least(F.lit(passages), count)
-    pick = F.transform(
-        F.sequence(F.lit(0), number - 1),
-        lambda i: F.floor(i * (count - 1) / F.greatest(F.lit(1), number - 1)).cast("int"),
-    )
-    pieces = F.transform(pick, lambda i: F.hex(F.substring(data, i * PASSAGE + 1, F.lit(PASSAGE))))
-    return [F.unhex(F.array_join(pieces, "")).alias("data")]
-
-
 def held_out(doc_id) -> F.Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
