@@ -1,13 +1,15 @@
 """Mix sources to target weights with a multivariate-hypergeometric splitting tree.
 
 1. Weights become targets in words; a target stops at ``most`` times its source.
-2. Each source's documents stand in a permuted order, cut into blocks of about
-   ``block_words`` words. Whole passes take all blocks, the last pass takes the blocks
-   up to the rest of the target. This fixes every source's quota of blocks.
+2. Each source's documents stand in a permuted order, cut into blocks of equally many
+   words: unless ``block_words`` is given, a source has some 64 blocks a shard, and 1024 at
+   least, however small or large it is. Whole passes take all blocks, the last pass takes
+   the blocks up to the rest of the target. This fixes every source's quota of blocks.
 3. A binary tree over the output shards splits the quotas: each node draws how many
    of every source's blocks go left, without replacement (multivariate
    hypergeometric), until a leaf holds one shard's count per source.
 4. Shards draw disjoint runs of the permuted blocks, and rows are shuffled in the shard.
+   A document is taken as often as a shard has drawn the block that it stands in.
 
 Only one row per source and shard passes through the driver.
 """
@@ -71,7 +73,12 @@ def targets(sizes: DataFrame, weights: list[int], most: int) -> DataFrame:
 
 
 def split_quotas(quotas: list[int], shards: int, seed: int) -> np.ndarray:
-    """Blocks of each source in each shard: shape (shards, sources), columns sum to quotas."""
+    """Blocks of each source in each shard: shape (shards, sources), columns sum to quotas.
+
+    Every draw is exact; more than a billion blocks in all are refused.
+    """
+    if sum(quotas) >= 1_000_000_000:
+        raise ValueError("the sampler draws from up to a billion blocks: make them larger")
     counts = np.zeros((shards, len(quotas)), dtype=np.int64)
 
     def split(lo: int, hi: int, held: np.ndarray) -> None:
@@ -86,14 +93,9 @@ def split_quotas(quotas: list[int], shards: int, seed: int) -> np.ndarray:
         left = np.zeros_like(held)
         rest, open_ = draws, total
         for i, held_i in enumerate(held.tolist()):
-            # a draw from source i against all later ones; beyond numpy's range of a billion
-            # it falls back to the expected count, which differs by the square root only
-            others = open_ - held_i
+            others = open_ - held_i  # a draw from source i against all later ones
             if rest and held_i:
-                if max(held_i, others) < 1_000_000_000:
-                    left[i] = rng.hypergeometric(held_i, others, rest)
-                else:
-                    left[i] = max(rest - others, min(held_i, rest * held_i // open_))
+                left[i] = rng.hypergeometric(held_i, others, rest)
             rest -= int(left[i])
             open_ = others
         split(lo, mid, left)
@@ -108,7 +110,7 @@ def mix(
     weights: list[int],
     most: int = 3,
     shards: int = 64,
-    block_words: int = 100_000,
+    block_words: int | None = None,
     seed: int = 0,
     doc_id: str = "doc_id",
     text: str = "text",
@@ -122,7 +124,7 @@ def mix(
     null ids are kept, repeated rows are rows of their own (equal ones interchangeable).
     Other columns are not carried. An empty table gives an empty table.
     """
-    if most < 1 or shards < 1 or block_words < 1 or min(weights) < 1:
+    if most < 1 or shards < 1 or min(weights) < 1 or (block_words is not None and block_words < 1):
         raise ValueError("most, shards, block_words and weights must be positive")
     rows = docs.select(
         F.col(doc_id).alias("doc_id"),
@@ -142,41 +144,45 @@ def mix(
         .alias("passes"),
     )
     plan = plan.withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size"))
-    plan = plan.withColumn(
-        "blocks", F.floor(F.col("source_size") / block_words).cast("long") + 1
-    ).withColumn("last", F.floor(F.col("rest") / block_words).cast("long") + 1)
+    each = F.lit(block_words) if block_words else F.ceil(F.col("source_size") / max(1024, 64 * shards))
+    plan = plan.withColumn("words", F.greatest(F.lit(1), each).cast("long"))
+    plan = plan.withColumns(
+        {c: F.floor(F.col(of) / F.col("words")).cast("long") + 1 for c, of in (("blocks", "source_size"), ("last", "rest"))}
+    )
     listed = plan.orderBy(F.col("source").isNull(), "source").collect()  # one row per source
     quotas = [r["passes"] * r["blocks"] + r["last"] for r in listed]
     spark = docs.sparkSession
     schema = (
-        "source string, source_size long, target double, passes long, rest double, blocks long,"
-        " bounds array<long>"
+        "source string, source_size long, target double, passes long, rest double, words long,"
+        " blocks long, bounds array<long>"
     )
     ends = (
         np.cumsum(split_quotas(quotas, shards, seed), axis=0).T.tolist() if listed else []
     )
     per_source = spark.createDataFrame(
         [
-            (r["source"], r["source_size"], r["target"], r["passes"], r["rest"], r["blocks"], end)
+            (*(r[c] for c in ("source", "source_size", "target", "passes", "rest", "words", "blocks")), end)
             for r, end in zip(listed, ends, strict=True)
         ],
         schema,
     ).withColumnRenamed("source", "_source")
     joined = placed.join(per_source, F.col("source").eqNullSafe(F.col("_source")))
-    again = (F.col("before") + F.col("size") / F.lit(2.0) <= F.col("rest")).cast("long")
-    times = (F.col("passes") + again).cast("int")
-    block = F.floor(F.col("before") / block_words).cast("long")
+    block = F.floor(F.col("before") / F.col("words")).cast("long")
 
     def draw(p: Column) -> Column:
-        index = p.cast("long") * F.col("blocks") + block
+        index = p * F.col("blocks") + block
         return F.struct(
             p.cast("int").alias("pass"),
+            # the first shard whose draws reach beyond the block; none has drawn the blocks left out
             F.size(F.filter("bounds", lambda end: end <= index)).alias("shard"),
-            F.xxhash64(F.lit(seed), "perm", p).alias("shuffle_key"),
+            F.xxhash64(F.lit(seed), "perm", p.cast("int")).alias("shuffle_key"),
         )
 
-    draws = F.when(times > 0, F.transform(F.sequence(F.lit(0), times - 1), draw)).otherwise(
-        F.array().cast("array<struct<pass:int,shard:int,shuffle_key:bigint>>")
+    # the last block of the last pass is taken up to the target
+    reached = F.col("before") + F.col("size") / F.lit(2.0) <= F.col("rest")
+    draws = F.filter(
+        F.transform(F.sequence(F.lit(0).cast("long"), "passes"), draw),
+        lambda d: (d["shard"] < shards) & ((d["pass"] < F.col("passes")) | reached),
     )
     return joined.select(
         "doc_id", "source", "size", "source_size", "target", draws.alias("draws")
