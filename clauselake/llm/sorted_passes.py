@@ -11,8 +11,8 @@ in pairs of blocks: a component larger than the windows loses nothing.
 Whatever the vectors, a pair at the threshold shares its first bits in one pass with a
 known chance, which depends on its angle alone, and rows of equal prefix always meet; so
 passes are added until the pair has met with probability ``recall``. Skewed vectors (a
-cone) share prefixes in large numbers. Where the passes would compare as many pairs as
-the label has, all its pairs are compared instead, once.
+cone) share prefixes in large numbers; pairs of blocks are made for those prefixes alone
+that exceed a window. A label that fills no more than one window needs one pass.
 """
 
 from __future__ import annotations
@@ -126,11 +126,11 @@ def near_duplicates(
                         names=["rid", "part", "turn", "bits"],
                     )
 
-    # a label of so few rows has fewer pairs than the windows of its passes
-    many = valid.join(sizes.filter(F.col("rows") > turns * window), "part", "left_semi")
-    order = many.select("rid", "part", "v").mapInArrow(
+    hashed = valid.select("rid", "part", "v").mapInArrow(
         hashes, "rid long, part long, turn int, bits long"
     )
+    # every pass orders a label of one window into that window
+    order = hashed.join(sizes, "part").filter((F.col("turn") == 0) | (F.col("rows") > window)).drop("rows")
     placed = stored(
         running_total(order, ["turn", "part"], ["bits", "rid"], F.lit(1), "place").select(
             "rid", "part", "turn", "place", F.shiftright("bits", BITS - shared).alias("prefix")
@@ -142,26 +142,13 @@ def near_duplicates(
     in_window = first >= F.floor(last / window) * window - halo
     spans = placed.groupBy(*same).agg(F.min("place").alias("first"), F.max("place").alias("last"))
     spans = stored(spans.filter(~in_window), "spans")
-    length = (last - first + 1).cast("double")
-    work = spans.groupBy("part").agg(F.sum(length * length).alias("work"))
-    in_passes = F.coalesce("work", F.lit(0.0)) + F.col("rows") * F.lit(float(turns * window))
-    whole = sizes.join(work, "part", "left").filter(
-        (F.col("rows") > 1) & (F.col("rows").cast("double") * F.col("rows") <= in_passes)
-    )
-    whole = stored(whole.select("part"), "whole")
-    passing = placed.join(whole, "part", "left_anti")
     own = F.floor((F.col("place") - 1) / window).cast("int")
     lead = (F.col("place") - 1) % window >= window - halo
-    runs = passing.select(
+    runs = placed.select(
         "rid", "part", "turn",
         F.explode(F.when(lead, F.array(own, own + 1)).otherwise(F.array(own))).alias("run"),
     )
-    grouped = passing.join(spans.select(*same), same, "left_semi").select(*same, "rid")
-    grouped = grouped.union(
-        valid.join(whole, "part", "left_semi").select(
-            F.lit(-1).alias("turn"), "part", F.lit(0).cast("long").alias("prefix"), "rid"
-        )
-    )
+    grouped = placed.join(spans.select(*same), same, "left_semi").select(*same, "rid")
     meetings = block_pairs(grouped, same, "rid", window)
 
     def united(rid: np.ndarray, links: np.ndarray) -> Iterator[pa.RecordBatch]:
