@@ -29,6 +29,8 @@ from clauselake.llm.sorted_passes import usable
 from clauselake.session import stored
 
 AXES, BITS = 8, 7  # coordinates of a curve, and bits of each
+LEAST = 256  # places of a chunk, at least
+QUERIES = 2048  # queries held at once, about
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -232,6 +234,7 @@ def nearest(
         "places",
     )
     half = _half_window(rows, ranked, k, recall, sample_queries, seed)
+    chunk = max(LEAST, min(chunk, half))
 
     at = F.floor((F.col("place") - F.lit(1)) / chunk)
     last = ranked.groupBy("turn", "dim").agg(F.floor((F.max("place")) / chunk).alias("last"))
@@ -251,12 +254,21 @@ def nearest(
     asked = ranked.filter("kind = 1").select(
         "rid", "dim", "turn", "kind", F.greatest(F.lit(0), at).alias("chunk")
     )
+    # queries that crowd into a chunk are dealt to sub-blocks, for each of which its rows come
+    # again; rows of chunks that nobody asks for go nowhere
+    place = ["turn", "dim", "chunk"]
+    subs = asked.groupBy(*place).agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("subs"))
+    subs = stored(subs, "subs")
+    every = F.explode(F.sequence(F.lit(0), F.col("subs") - 1))
+    data = data.join(subs, place).select("rid", "dim", "turn", "kind", "chunk", every.alias("sub"))
+    one = F.pmod(F.xxhash64("rid", F.lit(seed)), F.col("subs")).cast("int")
+    asked = asked.join(subs, place).select("rid", "dim", "turn", "kind", "chunk", one.alias("sub"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # queries of a chunk come first; then its rows stream by, whatever their number
         key, best, held = None, None, []
         for batch in batches:
-            columns = [batch.column(i).to_numpy() for i in range(4)]
+            columns = [batch.column(i).to_numpy() for i in range(5)]
             change = np.zeros(batch.num_rows, bool)
             for c in columns:
                 change[1:] |= c[1:] != c[:-1]
@@ -264,14 +276,14 @@ def nearest(
             for start, end in zip(cuts, cuts[1:], strict=False):
                 if start == end:
                     continue
-                group, kind = tuple(c[start] for c in columns[:3]), columns[3][start]
+                group, kind = tuple(c[start] for c in columns[:4]), columns[4][start]
                 if group != key:
                     if best is not None:
                         yield best.rows()
                     key, best, held = group, None, []
                 part = batch.slice(start, end - start)
-                rids, vecs = part.column(4).to_numpy(), part.column(5).to_numpy()
-                x = matrix(pa.chunked_array([part.column(6)]))
+                rids, vecs = part.column(5).to_numpy(), part.column(6).to_numpy()
+                x = matrix(pa.chunked_array([part.column(7)]))
                 if kind == 1:
                     held.append((rids, x))
                 elif held:
@@ -286,9 +298,9 @@ def nearest(
     dealt = (
         data.union(asked)
         .join(rows.select("rid", "vec_id", "v"), "rid")
-        .select("turn", "dim", "chunk", "kind", "rid", "vec_id", "v")
-        .repartition("turn", "dim", "chunk")
-        .sortWithinPartitions("turn", "dim", "chunk", F.desc("kind"))
+        .select("turn", "dim", "chunk", "sub", "kind", "rid", "vec_id", "v")
+        .repartition("turn", "dim", "chunk", "sub")
+        .sortWithinPartitions("turn", "dim", "chunk", "sub", F.desc("kind"))
     )
     found = _best(dealt.mapInArrow(compare, FOUND), k)
     return found.join(
