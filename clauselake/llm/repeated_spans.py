@@ -47,6 +47,8 @@ from clauselake.session import stored
 
 RUN = 20_000  # suffixes sorted into a run at once, and about as many in a merged range
 NEAR = 4  # neighbours looked at before an entry
+SPLITTERS = 20_000  # strings drawn to cut the ranges of large classes, about
+LISTED = 100_000  # large classes that are sent to every task; more are joined
 PLACE = 21  # bits for a place within a piece of text
 OTHER = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -119,32 +121,37 @@ def _sorted_neighbours(contexts: DataFrame, length: int, size: int, back: bool)
     total = contexts.count()
     ranges = max(1, -(-total // RUN))
     key, aside = ("back_key", "ahead") if back else ("ahead_key", "back")
-    rows = contexts.select(F.col(key).alias("string"), "region", F.col(aside).alias("other"))
     # only suffixes of a class share an anchor: a class goes whole to the range of its hash,
-    # and those of more than RUN suffixes (total / RUN at most) to ranges cut by a sample
-    large = contexts.groupBy("cls").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > RUN)
-    sizes = {bytes(r["cls"]): r["n"] for r in large.collect()}
+    # and those of more than RUN suffixes to ranges cut by a sample of bounded size
+    large = stored(
+        contexts.groupBy("cls").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > RUN), "large"
+    )
+    classes, many = large.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     drawn = (
-        contexts.join(large.select("cls"), "cls", "left_semi")
+        contexts.join(large, "cls", "left_semi")
         .select(F.col(key).alias("string"), "region")
-        .sample(fraction=min(1.0, 8 / RUN), seed=7)
+        .sample(fraction=min(1.0, SPLITTERS / max(1, many)), seed=7)
+    )
+    picked = sorted((bytes(r[0]), bytes(r[1])) for r in drawn.collect()) if classes else []
+    parts = min(-(-many // RUN), len(picked))
+    cuts = [picked[len(picked) * i // parts] for i in range(1, parts)]
+    marks = large.select("cls", F.lit(True).alias("split"))
+    rows = contexts.join(F.broadcast(marks) if classes <= LISTED else marks, "cls", "left").select(
+        F.col(key).alias("string"), "region", F.col(aside).alias("other"), "split"
     )
-    picked = sorted((bytes(r[0]), bytes(r[1])) for r in drawn.collect()) if sizes else []
-    parts = -(-sum(sizes.values()) // RUN)
-    cuts = [picked[len(picked) * i // parts] for i in range(1, parts)] if picked else []
 
-    def target(string: bytes, region: bytes) -> int:
-        if region[:8] in sizes:
+    def target(string: bytes, region: bytes, split: bool | None) -> int:
+        if split:
             return ranges + bisect.bisect_right(cuts, (string, region))
         return int.from_bytes(region[:8], "big") % ranges
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[bytes, bytes, bytes]] = []
+        held: list[tuple[bytes, bytes, bytes, bool | None]] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
             dealt: dict[int, list[tuple[bytes, bytes, bytes]]] = {}
-            for row in held:
-                dealt.setdefault(target(row[0], row[1]), []).append(row)
+            for string, region, other, split in held:
+                dealt.setdefault(target(string, region, split), []).append((string, region, other))
             for number, run in dealt.items():
                 run.sort()
                 coded = pack(run)
@@ -204,9 +211,11 @@ def _sorted_neighbours(contexts: DataFrame, length: int, size: int, back: bool)
                 above = row
 
     # a large class goes on from range to range: the last of one and the first of the next,
-    # two rows per such range, are neighbours too
-    edges = made.filter(f"edge > 0 AND target >= {ranges}")
-    edges = edges.repartition(1).sortWithinPartitions("target", "edge")
+    # two rows per such range, are neighbours too. They meet by class, in the order of ranges
+    edges = made.filter(f"edge > 0 AND target >= {ranges}").withColumn(
+        "cls", F.substring("region", F.lit(1), F.lit(8))
+    )
+    edges = edges.repartition("cls").sortWithinPartitions("cls", "target", "edge").drop("cls")
     return made.filter("edge = 0").union(edges.mapInArrow(seams, schema)).select(
         "region", "plus", "left", "right"
     )
