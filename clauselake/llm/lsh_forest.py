@@ -1,12 +1,20 @@
 """Similarity join on word shingles with a MinHash LSH forest.
 
 Every distinct shingle set has a signature, dealt to ``trees`` labels of ``depth``
-values: a label is a path in that tree's prefix trie. Two sets are candidates when they
-share a prefix in some tree. Prefixes are shortened from the full depth until a pair at
-the threshold shares one with probability ``recall``; sets under one such trie node are
-compared by whole signatures, in pairs of bounded blocks, and those whose estimate is
-not far below the threshold are united. Inside the united groups all pairs are verified
-exactly on their shingle sets, again in pairs of blocks, which gives every link.
+values: a label is a path in that tree's prefix trie, and a tree's sorted labels are the
+trie's leaves in order.
+
+1. Prefixes are shortened from the full depth, one value at a time, until the share of a
+   sample's similar pairs (all rows are searched for them) that agree on one in some tree
+   reaches ``recall``, and so does the chance of a pair right at the threshold. Where the
+   data need it, prefixes get shorter than that chance alone would have them.
+2. The sets under one node of that depth stand together, sorted by label. The walk goes up
+   from the deepest common prefixes: at each depth only sets that are new to each other
+   there are compared, by whole signatures, and united where their estimate is not far
+   below the threshold; what deeper nodes have united is passed over. A node with many sets
+   comes in pairs of bounded blocks.
+3. Inside the united groups all pairs are verified exactly on their shingle sets, again in
+   pairs of blocks, which gives every link.
 """
 
 from __future__ import annotations
@@ -31,6 +39,42 @@ def stop_depth(threshold: float, trees: int, depth: int, recall: float) -> int:
     return depth
 
 
+def measured_depth(
+    classes: DataFrame, threshold: float, trees: int, depth: int, recall: float, sample: int, seed: int
+) -> int:
+    """Longest prefix that the share ``recall`` of a sample's similar pairs agree on somewhere.
+
+    ``sample`` sets are compared with all by signature; without similar pairs, ``depth``.
+    """
+    drawn = classes.orderBy(F.xxhash64("sid", F.lit(seed)), "sid").limit(sample).collect()
+    if not drawn:
+        return depth
+    names = {bytes(r["sid"]) for r in drawn}
+    paths = np.stack([np.frombuffer(r["paths"], np.uint32) for r in drawn])
+
+    def agreed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(depth + 1, np.int64)
+        for batch in batches:
+            for name, held in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                same = paths == np.frombuffer(held, np.uint32)
+                for row in np.flatnonzero(same.mean(axis=1) >= threshold):
+                    if name not in names or name != bytes(drawn[row]["sid"]):
+                        # the longest run of equal leading values of any tree
+                        runs = np.logical_and.accumulate(same[row].reshape(trees, depth), axis=1).sum(axis=1)
+                        found[runs.max()] += 1
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.arange(depth + 1), pa.int32()), pa.array(found)], names=["shared", "pairs"]
+        )
+
+    counted = classes.select("sid", "paths").mapInArrow(agreed, "shared int, pairs long")
+    pairs = np.zeros(depth + 1, np.int64)
+    for r in counted.groupBy("shared").agg(F.sum("pairs").alias("pairs")).collect():
+        pairs[r["shared"]] = r["pairs"]
+    while depth > 1 and pairs[depth:].sum() < recall * pairs.sum():
+        depth -= 1
+    return depth
+
+
 def multipliers(count: int, seed: int) -> np.ndarray:
     rng = np.random.default_rng([seed, count])
     return rng.integers(0, 1 << 63, count, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -77,6 +121,42 @@ def shared(sets: list[np.ndarray], others: list[np.ndarray] | None) -> np.ndarra
     return out
 
 
+def walk_up(labels: np.ndarray, sigs: np.ndarray, side: np.ndarray | None, level: int, close: float) -> np.ndarray:
+    """Smallest united row of each row of one trie node, whose prefix has ``level`` values.
+
+    Nodes below it are met from the deepest on: sets under one child have met before, so
+    only sets of different children are compared, unless they are united already. With
+    ``side`` a pair counts only between its two sides; the others meet elsewhere.
+    """
+    order = np.lexsort(labels.T[::-1])
+    labels, n = labels[order], len(order)
+    same = np.logical_and.accumulate(labels[1:] == labels[:-1], axis=1).sum(axis=1)
+    root = np.arange(n)  # of sorted rows
+    for depth in range(labels.shape[1], level - 1, -1):
+        child = np.cumsum(np.append(True, same <= depth))  # nodes one value deeper
+        cuts = [0, *(np.flatnonzero(same < depth) + 1).tolist(), n]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            if hi - lo < 2 or (root[lo:hi] == root[lo]).all():
+                continue
+            rows = order[lo:hi]
+            fresh = root[lo:hi, None] != root[None, lo:hi]
+            if depth < labels.shape[1]:
+                fresh &= child[lo:hi, None] != child[None, lo:hi]
+            if side is not None:
+                fresh &= side[rows][:, None] != side[rows][None, :]
+            near = np.zeros_like(fresh)
+            asking = np.flatnonzero(fresh.any(axis=1))
+            near[asking] = agreement(sigs[rows[asking]], sigs[rows]) >= close
+            near &= fresh
+            if near.any():
+                # rows united deeper down stay so
+                joined = near | (root[lo:hi, None] == root[None, lo:hi])
+                root[lo:hi] = lo + spread_roots(joined)
+    out = np.arange(n)
+    out[order] = order[root]
+    return out
+
+
 def _sets(docs: DataFrame, width: int, schema: str, row) -> DataFrame:
     small_batches(docs.sparkSession)
     names = [c.split()[0] for c in schema.split(", ")]
@@ -106,6 +186,7 @@ def similar_documents(
     depth: int = 8,
     recall: float = 0.998,
     slack: float = 0.2,
+    sample: int = 64,
     walk_block: int = 256,
     block: int = 64,
     seed: int = 0,
@@ -118,16 +199,15 @@ def similar_documents(
     have no words link with nothing; texts of fewer words than ``width`` link with those
     of the same words. Rows with a null id are left out; rows that repeat an id are rows
     of their own. Other columns are not carried. An empty table gives an empty table.
+    ``sample`` sets measure how deep prefixes may be.
     """
-    level = stop_depth(threshold, trees, depth, recall)
     odd = multipliers(trees * depth, seed)
 
     def describe(shingles: np.ndarray) -> tuple[bytes | None, bytes, bytes]:
         if not len(shingles):
             return None, b"", b""
         low = signature(shingles, odd)
-        paths = np.ascontiguousarray(low.reshape(trees, depth)[:, :level]).tobytes()
-        return _name(shingles), (low & 0xFF).astype(np.uint8).tobytes(), paths
+        return _name(shingles), (low & 0xFF).astype(np.uint8).tobytes(), low.tobytes()
 
     slim = docs.select(
         F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")
@@ -147,7 +227,12 @@ def similar_documents(
         ),
         "classes",
     )
-    step = 4 * level
+    level = min(
+        stop_depth(threshold, trees, depth, recall),
+        measured_depth(classes, threshold, trees, depth, recall, sample, seed),
+    )
+    step = 4 * depth
+    label = F.substring("paths", F.col("tree") * step + 1, F.lit(step))
     nodes = classes.select(
         "sid",
         "paths",
@@ -155,24 +240,33 @@ def similar_documents(
     ).select(
         "sid",
         "tree",
-        F.xxhash64(F.substring("paths", F.col("tree") * step + 1, F.lit(step))).alias("prefix"),
+        F.xxhash64(F.substring("paths", F.col("tree") * step + 1, F.lit(4 * level))).alias("prefix"),
     )
     close = threshold - slack
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in streamed(batches, ["tree", "prefix", "lo", "hi"]):
             sigs = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint8)
-            sigs = sigs.reshape(len(table), -1)
+            labels = np.frombuffer(b"".join(table["label"].to_pylist()), np.uint32)
             lo = table["block"].to_numpy() == table["lo"].to_numpy()
-            near = agreement(sigs, sigs) >= close
-            if not lo.all():
-                near &= lo[:, None] != lo[None, :]
-            yield from _forest(near, table["sid"].to_pylist())
+            root = walk_up(
+                labels.reshape(len(table), depth),
+                sigs.reshape(len(table), -1),
+                None if lo.all() else lo,
+                level,
+                close,
+            )
+            moved = np.flatnonzero(root != np.arange(len(root)))
+            if len(moved):
+                names = table["sid"].combine_chunks()
+                yield pa.RecordBatch.from_arrays(
+                    [names.take(pa.array(moved)), names.take(pa.array(root[moved]))], names=["a", "b"]
+                )
 
     met = block_pairs(nodes, ["tree", "prefix"], "sid", walk_block)
+    described = met.join(classes.select("sid", "sig", "paths"), "sid").withColumn("label", label).drop("paths")
     candidates = components(
-        dealt(met.join(classes.select("sid", "sig"), "sid"), ["tree", "prefix", "lo", "hi"], ["sid"])
-        .mapInArrow(walk, "a binary, b binary")
+        dealt(described, ["tree", "prefix", "lo", "hi"], ["sid"]).mapInArrow(walk, "a binary, b binary")
     )
     members = stored(candidates.select(F.col("node").alias("sid"), "component"), "members")
 
@@ -249,21 +343,3 @@ def similar_documents(
             (F.col("doc_id") == F.coalesce("class_id", "doc_id")).alias("kept"),
         )
     )
-
-
-def _forest(near: np.ndarray, names: list[bytes]) -> Iterator[pa.RecordBatch]:
-    """An edge from each row to the smallest row it reaches."""
-    if len(names) == 2:
-        moved = [1] if near[0, 1] else []
-        root = np.array([0, 0])
-    else:
-        root = spread_roots(near)
-        moved = np.flatnonzero(root != np.arange(len(root))).tolist()
-    if moved:
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([names[i] for i in moved], pa.binary()),
-                pa.array([names[root[i]] for i in moved], pa.binary()),
-            ],
-            names=["a", "b"],
-        )
