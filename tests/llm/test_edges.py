@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import json
 import math
 
 import numpy as np
@@ -104,6 +105,48 @@ def test_mixing_targets_and_shards(spark):
     assert flat.count() == sum(shards.values())
 
 
+def test_the_draws_decide_what_is_taken(spark):
+    """Quotas, tree and blocks replayed in plain Python, document by document; the seed matters."""
+    rng = np.random.default_rng(1)
+    rows = [(i, "w " * int(rng.integers(0, 40)), f"s{i % 4}" if i % 3 else "big") for i in range(600)]
+    for seed in (0, 1):
+        mixed = mixing.mix(documents(spark, rows), [5, 2, 1], shards=6, seed=seed).collect()
+        sources = sorted({r.source for r in mixed})
+        plans, quotas = {}, []
+        for s in sources:
+            own = [r for r in mixed if r.source == s]
+            size, target = own[0].source_size, own[0].target
+            words = max(1, -(-size // 1024))
+            passes = int(target // size)
+            rest = target - passes * size
+            plans[s] = (words, passes, rest, size // words + 1)
+            quotas.append(passes * (size // words + 1) + int(rest // words) + 1)
+        ends = np.cumsum(mixing.split_quotas(quotas, 6, seed), axis=0)
+        for k, s in enumerate(sources):
+            words, passes, rest, blocks = plans[s]
+            own = sorted(
+                (r for r in mixed if r.source == s),
+                key=lambda r: (hashlib.md5(f"{seed}:{r.doc_id}".encode()).hexdigest(), r.doc_id),
+            )
+            before = 0
+            for r in own:
+                want = []
+                for p in range(passes + 1):
+                    index = p * blocks + before // words
+                    shard = int((ends[:, k] <= index).sum())
+                    if shard < 6 and (p < passes or before + r.size / 2 <= rest):
+                        want.append((p, shard))
+                assert [(d["pass"], d.shard) for d in r.draws] == want
+                before += r.size
+            taken = sum(r.size * len(r.draws) for r in own)
+            assert abs(taken - own[0].target) <= max(0.01 * own[0].target, max(r.size for r in own) / 2)
+
+
+def test_too_many_blocks_are_refused():
+    with pytest.raises(ValueError, match="billion"):
+        mixing.split_quotas([600_000_000, 600_000_000], 4, 0)
+
+
 def test_split_quotas():
     quotas = [100, 0, 7, 1, 5000]
     for shards in (1, 3, 16):
@@ -135,6 +178,29 @@ def test_bpe_equals_the_library(spark, library):
     assert trie_bpe.encode(docs.limit(0), queries.vocabulary()).count() == 0
 
 
+def test_bpe_of_very_long_words(library):
+    """A word of 400,000 letters, in time that grows with its length, and ids beyond 16 bits."""
+    own = trie_bpe.TrieEncoder(queries.vocabulary())
+    rng = np.random.default_rng(9)
+    for text in ("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 400_000)), "ab" * 50_000, "!?" * 20_000):
+        want = library.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(next(own.encode([text])), "<u4").tolist() == want
+
+
+def test_bpe_of_a_vocabulary_beyond_16_bits(library, tmp_path):
+    """The same vocabulary with its ids moved up gives the same tokens, moved up."""
+    spec = json.loads(open(queries.vocabulary(), encoding="utf-8").read())
+    spec["model"]["vocab"] = {t: i + 70_000 for t, i in spec["model"]["vocab"].items()}
+    for t in spec["added_tokens"]:
+        t["id"] += 70_000
+    spec["post_processor"] = None
+    path = tmp_path / "moved.json"
+    path.write_text(json.dumps(spec), encoding="utf-8")
+    text = "It's a very ordinary sentence, with numbers 123 and ünïcödé; unbelievably so!"
+    got = np.frombuffer(next(trie_bpe.TrieEncoder(str(path)).encode([text])), "<u4")
+    assert (got - 70_000).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_bpe_memory_starts_anew(library, monkeypatch):
     monkeypatch.setattr(trie_bpe, "HELD", 50)
     own = trie_bpe.TrieEncoder(queries.vocabulary())
@@ -158,7 +224,7 @@ def test_quality_edges(spark):
 
 def test_quality_streams_long_texts():
     rng = np.random.default_rng(1)
-    bags = [mil_quality.bag(" ".join(rng.choice(["abc", "XYZ!!", "q1"], 300)), 8) for _ in range(20)]
+    bags = [mil_quality.bag(" ".join(rng.choice(["abc", "XYZ!!", "q1"], 300)).encode()) for _ in range(20)]
     model = mil_quality.fit(bags, np.arange(20) % 2, rounds=2)
     data = np.frombuffer(LONG.encode() * 3, np.uint8)
     at_once = model.scores(data, np.array([0, len(data)]))[0]
@@ -169,11 +235,92 @@ def test_quality_streams_long_texts():
         mil_quality.STEP = step
 
 
+def test_scores_equal_gated_attention_in_plain_steps(spark):
+    """Every score from the model's weights, passage by passage, without whole arrays."""
+    rng = np.random.default_rng(2)
+    words = ["abc", "XYZ!!", "q1", "é", "\n"]
+    texts = [" ".join(rng.choice(words, int(n))) for n in rng.integers(0, 900, 40)] + [None, "", LONG[:20_000]]
+    docs = documents(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    labels = docs.select("doc_id", (F.length("text") % 2).alias("label"))
+    model = mil_quality.train(docs, labels)
+    p = {k: v.astype(float) for k, v in model.weights.items()}
+
+    def score(text):
+        data = (text or "").encode()
+        logits, states = [], []
+        for at in range(0, max(1, len(data)), mil_quality.PASSAGE):
+            piece = np.frombuffer(data[at : at + mil_quality.PASSAGE], np.uint8)
+            x = mil_quality.passage_features(piece, np.array([0]), np.array([len(piece)]))[0]
+            h = [math.tanh(sum(a * b for a, b in zip((x - model.mean) / model.scale, w)) + b0) for w, b0 in zip(p["w"].T, p["b"])]
+            e = 0.0
+            for v, u, a in zip(p["v"].T, p["u"].T, p["a"]):
+                gate = 1 / (1 + math.exp(-sum(s * t for s, t in zip(h, u))))
+                e += a * math.tanh(sum(s * t for s, t in zip(h, v))) * gate
+            logits.append(e)
+            states.append(h)
+        share = [math.exp(e - max(logits)) for e in logits]
+        mean = [sum(w * h[k] for w, h in zip(share, states)) / sum(share) for k in range(len(states[0]))]
+        return 1 / (1 + math.exp(-(sum(m * c for m, c in zip(mean, p["c"][:, 0])) + p["d"][0])))
+
+    got = {r.doc_id: r.score for r in mil_quality.score(docs, model).collect()}
+    assert len(got) == len(texts)
+    for i, text in enumerate(texts):
+        assert math.isclose(got[i], score(text), rel_tol=1e-3, abs_tol=1e-5)
+
+
+def test_training_sees_whole_texts_within_its_bytes(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(mil_quality, "fit", lambda bags, labels, seed: seen.append([len(b) for b in bags]))
+    sizes = [100, 5000, 40_000, 3000, 700]
+    docs = spark.createDataFrame([(i, "x" * n) for i, n in enumerate(sizes)], "doc_id long, text string")
+    labels = docs.select("doc_id", F.lit(1).alias("label")).filter(~mil_quality.held_out(F.col("doc_id")))
+    mil_quality.train(docs, labels)
+    mil_quality.train(docs, labels, sample_bytes=10_000)
+    kept = {r.doc_id for r in labels.collect()}
+    passages = [-(-n // mil_quality.PASSAGE) for i, n in enumerate(sizes) if i in kept]
+    assert seen[0] == passages
+    assert seen[1] == [n for n in passages if n * mil_quality.PASSAGE < 10_000]
+
+
 def shingles(text):
     w = (text or "").split()
     return frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else None
 
 
+def test_walk_up_meets_every_pair_of_a_node():
+    """Whatever deeper nodes have united: the same groups as comparing all pairs at once."""
+    rng = np.random.default_rng(0)
+    for t in range(200):
+        n, level = int(rng.integers(2, 30)), int(rng.integers(1, 9))
+        labels = rng.integers(0, 2, (n, 8)).astype(np.uint32)
+        labels[:, :level] = 7
+        sigs = rng.integers(0, 2, (n, 16)).astype(np.uint8)
+        side = None if t % 2 else rng.random(n) < 0.5
+        near = lsh_forest.agreement(sigs, sigs) >= 0.8
+        if side is not None:
+            near &= side[:, None] != side[None, :]
+        met = np.zeros((n, n), bool)
+        met[np.arange(n), lsh_forest.walk_up(labels, sigs, side, level, 0.8)] = True
+        roots = [lsh_forest.spread_roots(m) for m in (met | met.T, near)]
+        assert (roots[0] == roots[1]).all()
+
+
+def test_prefixes_shorten_until_the_recall_is_met(spark):
+    """Pairs that agree on short prefixes only pull the depth down to them."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(60):
+        low = rng.integers(0, 1 << 31, 128).astype(np.uint32)
+        other = low.copy()
+        other.reshape(16, 8)[:, 3] += 1  # every tree: three leading values agree, of 8
+        rows += [(bytes([i, k]), bytes(16), x.tobytes()) for k, x in enumerate((low, other))]
+    table = spark.createDataFrame(rows, "sid binary, sig binary, paths binary")
+    measure = lambda df, recall: lsh_forest.measured_depth(df, 0.8, 16, 8, recall, 64, 0)
+    assert measure(table, 0.998) == 3
+    same = table.union(spark.createDataFrame([(bytes([200, i, k]), bytes(16), bytes(512)) for i in range(2) for k in range(40)], table.schema))
+    assert measure(same, 0.5) == 8 and measure(same.limit(0), 0.998) == 8
+
+
 def brute_links(rows):
     sets = [shingles(t) for _, t in rows]
     n, parent = [0] * len(rows), list(range(len(rows)))

@@ -45,16 +45,16 @@ def near_duplicates(rows):
 
 def repeated_passages(rows):
     data = [(r["text"] or "").encode() for r in rows]
-    seen = collections.Counter(hash(b[i : i + 400]) for b in data for i in range(len(b) - 399))
+    seen = collections.Counter(hash(b[i : i + 250]) for b in data for i in range(len(b) - 249))
     out = []
     for r, b in zip(rows, data, strict=True):
         runs = []
-        for i in range(len(b) - 399):
-            if seen[hash(b[i : i + 400])] > 1:
+        for i in range(len(b) - 249):
+            if seen[hash(b[i : i + 250])] > 1:
                 if runs and i <= runs[-1][1]:
-                    runs[-1][1] = i + 400
+                    runs[-1][1] = i + 250
                 else:
-                    runs.append([i, i + 400])
+                    runs.append([i, i + 250])
         stops = [0, *(x for run in runs for x in run), len(b)]
         text = "".join(b[x:y].decode("utf-8", "ignore") for x, y in zip(stops[::2], stops[1::2], strict=True))
         out.append(r | {"text": text, "n_chars": len(text)})
