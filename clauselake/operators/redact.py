@@ -193,69 +193,6 @@ def redact_with_mapping(
     )
 
 
-def redact_parts(parts: Column, originals: Column, tokens: Column) -> Column:
-    """Fold the cascade over several texts of one version that share a mapping.
-
-    Returns (texts, originals, tokens).
-    """
-
-    def step(acc: Column, part: Column) -> Column:
-        after = cascade(initial_state(part, acc["originals"], acc["tokens"]))
-        return let(
-            after,
-            lambda s: F.struct(
-                F.concat(acc["texts"], F.array(s["text"])).alias("texts"),
-                s["originals"].alias("originals"),
-                s["tokens"].alias("tokens"),
-            ),
-        )
-
-    start = F.struct(
-        F.array().cast("array<string>").alias("texts"),
-        originals.alias("originals"),
-        tokens.alias("tokens"),
-    )
-    return F.aggregate(parts, start, step)
-
-
-def fold_clauses(clauses: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Per version all clauses redacted in reading order, and the mapping they extend.
-
-    A personal datum that only shows up inside a clause gets a token that no other
-    clause of the version uses. The clauses of one version are one text again for
-    this, so they fit its row.
-    """
-    none = F.array().cast("array<string>")
-    packed = clauses.groupBy("version_id").agg(
-        F.array_sort(F.collect_list(F.struct("ordinal", F.coalesce("text", F.lit("")).alias("text")))).alias("_c")
-    )
-    known = packed.join(mapping_arrays(mapping), "version_id", "left").withColumns(
-        {c: F.coalesce(F.col(c), none) for c in ("tokens", "originals")}
-    )
-    folded = redact_parts(F.col("_c.text"), F.col("originals"), F.col("tokens"))
-    return known.select("version_id", F.col("_c.ordinal").alias("ordinals"), folded.alias("folded"))
-
-
-def clause_texts(folded: DataFrame) -> DataFrame:
-    """``version_id, ordinal, redacted_text`` of folded clauses."""
-    clean = F.zip_with(
-        F.col("ordinals"),
-        F.col("folded.texts"),
-        lambda n, t: F.struct(n.alias("ordinal"), t.alias("redacted_text")),
-    )
-    return folded.select("version_id", F.inline(clean))
-
-
-def extended_mapping(folded: DataFrame) -> DataFrame:
-    """``version_id, tokens, originals`` after the clauses, for the next channel."""
-    return folded.select("version_id", "folded.tokens", "folded.originals")
-
-
-def redact_clauses(clauses: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Clause texts redacted with the version's mapping, which they extend in reading order."""
-    return clause_texts(fold_clauses(clauses, mapping))
-
-
 def expand(redacted_texts: DataFrame, mapping: DataFrame, creation_order: bool = False) -> DataFrame:
     """Put the originals back.
 

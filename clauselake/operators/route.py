@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from clauselake import constants as K
 from clauselake.functions.running import running_total
 from clauselake.functions.text import let
-from clauselake.operators.redact import redact_parts
+from clauselake.operators.redact_rows import redact_rows
 from clauselake.session import stored
 from clauselake.sources.lexicon import Domain
 
@@ -230,50 +230,41 @@ def pack_comments(
 ) -> DataFrame:
     """All comments of a version as redacted blocks of ``limit`` comments, numbered ``part_no``.
 
-    ``mapping`` has one row per version (``tokens``, ``originals``); author, body
-    and anchor of all comments share it and extend it in reading order, across parts.
+    ``mapping`` (``version_id, token, original``) is shared by author, body and anchor of all
+    comments, which extend it in reading order, across parts. Comments are numbered by
+    running totals and redacted as rows of their own; a block is its own group of at most
+    ``limit`` of them.
     """
-    none = F.array().cast("array<string>")
-    part = F.struct(
+    parts = ["author", "body", "anchor"]
+    texts = comments.select(
+        "version_id",
         "ordinal",
-        F.coalesce("author", F.lit("")).alias("author"),
-        F.coalesce("body", F.lit("")).alias("body"),
-        F.coalesce("anchor_text", F.lit("")).alias("anchor"),
+        *[F.coalesce(c, F.lit("")).alias(n) for c, n in zip(("author", "body", "anchor_text"), parts, strict=True)],
     )
-    packed = comments.groupBy("version_id").agg(F.array_sort(F.collect_list(part)).alias("_c"))
+    numbered = stored(running_total(texts, ["version_id"], ["ordinal", *parts], F.lit(1), "_n"), "comments")
+    places = F.array(*[F.struct((F.col("_n") * 3 + i).alias("place"), F.col(c).alias("text")) for i, c in enumerate(parts)])
+    rows = numbered.select("version_id", F.inline(places)).filter("text <> ''")
     if mapping is None:
-        packed = packed.withColumns({"tokens": none, "originals": none})
-    else:
-        packed = packed.join(mapping, "version_id", "left").withColumns(
-            {c: F.coalesce(F.col(c), none) for c in ("tokens", "originals")}
-        )
-    texts = F.flatten(F.transform("_c", lambda c: F.array(c["author"], c["body"], c["anchor"])))
-    folded = packed.select(
-        "version_id",
-        "_c",
-        redact_parts(texts, F.col("originals"), F.col("tokens")).alias("_r"),
-    )
-
-    def line(c: Column, i: Column) -> Column:
-        at = lambda k: F.get(F.col("_r.texts"), i * 3 + k)
-        author = F.when(c["author"] == "", F.lit(K.ANONYMOUS)).otherwise(at(0))
-        anchor = F.when(
-            c["anchor"] != "",
-            F.concat(F.lit(f' ({K.ANCHOR_LABEL}: "'), at(2), F.lit('")')),
-        )
-        return F.concat(
-            F.lit("- ["), author, F.lit("]: "), at(1), F.coalesce(anchor, F.lit(""))
-        )
-
-    lines = folded.select("version_id", F.transform("_c", line).alias("_l"))
-    last = F.floor((F.size("_l") - 1) / limit).cast("int")
-    parts = F.transform(F.sequence(F.lit(0), last), lambda k: F.slice("_l", k * limit + 1, limit))
-    rows = lines.select("version_id", F.posexplode_outer(parts).alias("_k", "_part"))
-    return rows.select(
-        "version_id",
-        (F.col("_k") + 1).alias("part_no"),
-        F.array_join("_part", "\n").alias("comments"),
-        F.size("_part").alias("n_comments"),
+        kind = numbered.schema["version_id"].dataType.simpleString()
+        mapping = comments.sparkSession.createDataFrame([], f"version_id {kind}, token string, original string")
+    clean, _ = redact_rows(rows, mapping)
+    of = lambda i: F.max(F.when(F.col("place") % 3 == i, F.col("text")))
+    whole = numbered.select("version_id", F.col("_n")).unionByName(
+        clean.select("version_id", F.floor(F.col("place") / 3).alias("_n"), "place", "text"), allowMissingColumns=True
+    )
+    lined = whole.groupBy("version_id", "_n").agg(*[of(i).alias(c) for i, c in enumerate(parts)])
+    line = F.concat(
+        F.lit("- ["),
+        F.coalesce("author", F.lit(K.ANONYMOUS)),
+        F.lit("]: "),
+        F.coalesce("body", F.lit("")),
+        F.coalesce(F.concat(F.lit(f' ({K.ANCHOR_LABEL}: "'), "anchor", F.lit('")')), F.lit("")),
+    )
+    blocks = lined.groupBy("version_id", (F.floor((F.col("_n") - 1) / limit) + 1).cast("int").alias("part_no")).agg(
+        F.array_sort(F.collect_list(F.struct("_n", line.alias("line")))).alias("_l")
+    )
+    return blocks.select(
+        "version_id", "part_no", F.array_join("_l.line", "\n").alias("comments"), F.size("_l").alias("n_comments")
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from clauselake.operators import redact as R
+from clauselake.operators import redact_rows as RR
 from clauselake.plans import fixtures as X
 from clauselake.session import stored
 
@@ -203,7 +204,7 @@ def _clauses(spark, sf_dir):
     first, second = pii_texts(spark, sf_dir), second_texts(spark, sf_dir)
     rows = first.withColumn("ordinal", F.lit(1)).unionByName(second.withColumn("ordinal", F.lit(2)))
     none = spark.createDataFrame([], "version_id long, token string, original string")
-    return R.redact_clauses(rows, none)
+    return RR.redact_clauses(rows, none)[0]
 
 
 def _residual(spark, sf_dir):

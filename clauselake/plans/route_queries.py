@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from clauselake import constants as K
 from clauselake.operators import redact as R
+from clauselake.operators import redact_rows as RR
 from clauselake.operators import route as D
 from clauselake.plans import fixtures as X
 from clauselake.plans import segment_queries as G
@@ -128,14 +129,12 @@ def outbound_requests(spark, sf_dir):
     """
     clauses = G.clause_table(spark, sf_dir)
     known = R.assign_tokens(X.contract_texts(spark, sf_dir))
-    folded = stored(R.fold_clauses(clauses, known), "folded")
+    texts, extended = RR.redact_clauses(clauses, known)
     clean = stored(
-        clauses.drop("text").join(
-            R.clause_texts(folded).withColumnRenamed("redacted_text", "text"), ["version_id", "ordinal"]
-        ),
+        clauses.drop("text").join(texts.withColumnRenamed("redacted_text", "text"), ["version_id", "ordinal"]),
         "clauses",
     )
-    return _requests(spark, sf_dir, clean, R.extended_mapping(folded))
+    return _requests(spark, sf_dir, clean, extended)
 
 
 def _audit(spark, sf_dir):

@@ -1,10 +1,14 @@
+import random
 import re
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from clauselake.constants import PII_PATTERNS
 from clauselake.operators import redact as R
+from clauselake.operators import redact_rows as RR
 
 
 def _redact(spark, text):
@@ -63,13 +67,54 @@ def test_clauses_of_a_version_share_tokens(spark):
     rows = [(1, 1, "a@x.org b@x.org"), (1, 2, "c@x.org a@x.org"), (2, 1, "c@x.org")]
     clauses = spark.createDataFrame(rows, "version_id int, ordinal int, text string")
     known = spark.createDataFrame([(1, "[EMAIL_1]", "b@x.org")], "version_id int, token string, original string")
-    got = {(r.version_id, r.ordinal): r.redacted_text for r in R.redact_clauses(clauses, known).collect()}
+    texts, extended = RR.redact_clauses(clauses, known)
+    got = {(r.version_id, r.ordinal): r.redacted_text for r in texts.collect()}
     assert got == {(1, 1): "[EMAIL_2] [EMAIL_1]", (1, 2): "[EMAIL_3] [EMAIL_2]", (2, 1): "[EMAIL_1]"}
-
-
-def _sequential(text):
+    assert {tuple(r) for r in extended.collect()} == {
+        (1, "[EMAIL_1]", "b@x.org"), (1, "[EMAIL_2]", "a@x.org"), (1, "[EMAIL_3]", "c@x.org"), (2, "[EMAIL_1]", "c@x.org"),
+    }
+
+
+def test_rows_equal_a_fold_over_the_version(spark):
+    """Texts one after the other with a growing mapping; beyond index 620 the phone pattern
+    matches inside tokens, and addresses hold tokens of earlier stages."""
+    rng = random.Random(4)
+    rows = []
+    for version in (1, 2, 3):
+        for place in rng.sample(range(1000), 40):
+            rows.append((version, place, "".join(rng.choices(PARTS, k=rng.randint(0, 14)))))
+    rows += [(4, i, f"m{i}@x.org {'Jl. Mawar ' * (i % 3)}m{i // 2}@x.org, 0812-{i:04}-{i:04}") for i in range(660)]
+    rows += [(5, 0, None), (5, 1, "[NIK\ue0000] 3273012345678901 [NIK_1]")]
+    old = [(1, "[EMAIL_7]", "a@x.org"), (1, "[PHONE_2]", "12 known"), (3, "[odd]", "1234567890")]
+    texts = spark.createDataFrame(rows, "version_id int, place int, text string")
+    mapping = spark.createDataFrame(old, "version_id int, token string, original string")
+    got, extended = RR.redact_rows(texts, mapping)
+    redacted = {(r.version_id, r.place): r.text for r in got.collect()}
+    tokens = {v: {r.token: r.original for r in extended.collect() if r.version_id == v} for v in range(1, 6)}
+    for version in range(1, 6):
+        known = {o: t for v, t, o in old if v == version}
+        count = {1: {"EMAIL": 7, "PHONE": 2}}.get(version, {})
+        for _, place, text in sorted((r for r in rows if r[0] == version), key=lambda r: r[1]):
+            want, _ = _sequential(text or "", known, count)
+            assert redacted[version, place] == want
+        assert tokens[version] == {t: o for o, t in known.items()}
+    assert any("[EMAIL_[PHONE_" in t for t in redacted.values())
+
+
+def test_one_version_spans_tasks(spark):
+    """A version that holds all rows is no single row or task."""
+    rows = [(1, i, f"m{i % 50}@x.org and more") for i in range(2000)]
+    texts = spark.createDataFrame(rows, "version_id int, place int, text string").repartition(8)
+    none = spark.createDataFrame([], "version_id int, token string, original string")
+    got, extended = RR.redact_rows(texts, none)
+    assert extended.count() == 50
+    parts = got.groupBy(F.input_file_name()).count().collect()
+    assert len(parts) > 1 and max(r["count"] for r in parts) < 2000
+
+
+def _sequential(text, known=None, count=None):
     """The cascade, one replacement after the other, for comparison on small texts."""
-    known, count = {}, {}
+    known, count = ({} if known is None else known), ({} if count is None else count)
     for kind, pattern in PII_PATTERNS:
 
         def token(m, kind=kind):
