@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from clauselake import constants as K
 from clauselake.functions.running import running_total
@@ -20,23 +23,93 @@ def _domains(lexicon: list[Domain]) -> Column:
     )
 
 
+def trie_pattern(words: list[str]) -> str:
+    """A pattern that matches the longest of ``words`` at a place.
+
+    The words' trie written as groups. Where a node has several children, the next
+    character is first told to be in one half of them or the other, so a place costs the
+    depth of the trie and not the number of words.
+    """
+    children: dict = {}
+    for word in words:
+        node = children
+        for c in word:
+            node = node.setdefault(c, {})
+        node[""] = {}
+
+    def among(node: dict, letters: list[str]) -> str:
+        if len(letters) == 1:
+            return _escaped(letters[0]) + below(node[letters[0]])
+        half = len(letters) // 2
+        first = "".join(_escaped(c) for c in letters[:half])
+        return f"(?:(?=[{first}]){among(node, letters[:half])}|{among(node, letters[half:])})"
+
+    def below(node: dict) -> str:
+        letters = sorted(c for c in node if c)
+        if not letters:
+            return ""
+        inner = among(node, letters)
+        return f"(?:{inner})?" if "" in node else inner
+
+    return below(children)
+
+
+def _escaped(c: str) -> str:
+    return c if c.isalnum() else f"\\x{{{ord(c):x}}}"
+
+
 def keyword_hits(text: Column, lexicon: list[Domain]) -> Column:
     """(domain, number of its keywords contained in the text) for domains with any hit.
 
-    The text is lower-cased once; each keyword is one substring search in the
-    row, so there is no join between clauses and keywords at all.
+    One pass over the lower-cased text finds the longest keyword at every place; the
+    keywords that begin another one are looked up with it, and those inside it have places of
+    their own. So all overlapping keywords count, and there is no search per keyword.
     """
+    owners: dict[str, list[int]] = {}
+    for i, d in enumerate(lexicon):
+        for word in d.keywords:
+            owners.setdefault(word.lower(), []).append(i)
+    empty = owners.pop("", [])  # is in every text
+    words = sorted(owners)
+    begins = {w: [v for v in (w[:n] for n in range(1, len(w) + 1)) if v in owners] for w in words}
+
+    def listed(values: dict[str, list], kind: T.DataType) -> Column:
+        # one literal, folded when the query is planned
+        return F.from_json(F.lit(json.dumps(values)), T.MapType(T.StringType(), T.ArrayType(kind)))
+
+    def counts(found: Column) -> Column:
+        met = F.array_distinct(found)
+        nested = {w: v for w, v in begins.items() if len(v) > 1}
+        if nested:
+            more = F.flatten(
+                F.transform(met, lambda w: F.coalesce(F.element_at(listed(nested, T.StringType()), w), F.array(w)))
+            )
+            met = F.array_distinct(more)
+        of = F.flatten(F.transform(met, lambda w: F.element_at(listed(owners, T.IntegerType()), w)))
+
+        def totals(hits: Column) -> Column:
+            return F.array(
+                *[
+                    F.struct(
+                        F.lit(d.key).alias("domain"),
+                        (F.size(F.filter(hits, lambda h: h == i)) + empty.count(i)).cast("int").alias("keywords"),
+                    )
+                    for i, d in enumerate(lexicon)
+                ]
+            )
 
-    def counts(low: Column) -> Column:
-        per_domain = []
-        for d in lexicon:
-            hits = F.lit(0)
-            for word in d.keywords:
-                hits = hits + F.contains(low, F.lit(word.lower())).cast("int")
-            per_domain.append(F.struct(F.lit(d.key).alias("domain"), hits.alias("keywords")))
-        return F.filter(F.array(*per_domain), lambda x: x["keywords"] > 0)
+        return F.filter(let(of, totals), lambda x: x["keywords"] > 0)
 
-    return let(F.lower(text), counts)
+    if not words:
+        found = F.array().cast("array<string>")
+    else:
+        found = F.regexp_extract_all(
+            F.lower(F.coalesce(text, F.lit(""))), F.lit(f"(?s)(?=({trie_pattern(words)}))"), F.lit(1)
+        )
+    none = F.array().cast("array<struct<domain:string,keywords:int>>")
+    if empty or not words:
+        return let(found, counts) if empty else none
+    return let(found, lambda f: F.when(F.size(f) > 0, counts(f)).otherwise(none))
 
 
 def match_domains(clauses: DataFrame, lexicon: list[Domain]) -> DataFrame:
@@ -77,18 +150,8 @@ def domain_gaps(presence: DataFrame) -> DataFrame:
 
 
 def _mentions(text: Column, lexicon: list[Domain]) -> Column:
-    """Keys of the domains with any keyword in the text; each stops at its first hit."""
-
-    def keys(low: Column) -> Column:
-        found = []
-        for d in lexicon:
-            hit = F.lit(False)
-            for word in d.keywords:
-                hit = hit | F.contains(low, F.lit(word.lower()))
-            found.append(F.when(hit, F.lit(d.key)))
-        return F.filter(F.array(*found), lambda k: k.isNotNull())
-
-    return let(F.lower(text), keys)
+    """Keys of the domains with any keyword in the text."""
+    return F.transform(keyword_hits(text, lexicon), lambda x: x["domain"])
 
 
 def route_clauses(clauses: DataFrame, lexicon: list[Domain]) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from clauselake import constants as K
+from clauselake.functions.running import latest
 from clauselake.operators import quality as Q
 from clauselake.plans import diff_queries as V
 from clauselake.plans import entities as E
@@ -119,6 +120,16 @@ def _upsert(spark, sf_dir):
     return W.upsert_last_wins(_items(spark, sf_dir, "F"), _items(spark, sf_dir, "O"), _KEYS, _ORDER)
 
 
+def _upsert_on_disk(spark, sf_dir):
+    """The same rows as a table in buckets, to which the newer ones come in three batches."""
+    path = scratch_path(spark, "buckets")
+    W.write_buckets(latest(_items(spark, sf_dir, "F"), _KEYS, _ORDER), path, _KEYS, 64)
+    newer = latest(_items(spark, sf_dir, "O"), _KEYS, _ORDER)
+    for part in range(3):
+        W.upsert_buckets(newer.filter(F.col("l_orderkey") % 3 == part), path, _KEYS, _ORDER, 64)
+    return W.read_buckets(spark, path)
+
+
 def _insert(spark, sf_dir):
     return W.insert_first_wins(_items(spark, sf_dir, "F"), _items(spark, sf_dir, "O"), _KEYS)
 
@@ -213,6 +224,7 @@ QUERIES = {
     "storage_key": _storage_key,
     "parse_storage_key": _parse_key,
     "upsert_last_wins": _upsert,
+    "upsert_buckets": _upsert_on_disk,
     "insert_first_wins": _insert,
     "replace_slice": _replace,
     "soft_delete": _soft_delete,
@@ -303,3 +315,4 @@ SELECT pair_id, block_no, place FROM forged WHERE status = 'failed' AND m IS NOT
     "ingest_verdict": f"""WITH {_GATED} SELECT o_orderkey AS version_id, CASE WHEN version_id IS NULL THEN 'failed' WHEN ok THEN 'continue' ELSE 'done_with_note' END AS verdict
   FROM orders LEFT JOIN gated ON version_id = o_orderkey""",
 }
+ORACLES["upsert_buckets"] = ORACLES["upsert_last_wins"]  # the same table by another way

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clauselake.functions.running import latest
+from clauselake.session import stored
 
 
 def upsert_last_wins(base: DataFrame, new: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -38,6 +39,41 @@ def write_slices(df: DataFrame, path: str, slice_key: list[str]) -> None:
     )
 
 
+def _bucket(keys: list[str], buckets: int):
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+
+
+def write_buckets(df: DataFrame, path: str, keys: list[str], buckets: int = 256) -> None:
+    """A table of one row per key, in ``buckets`` folders by the key's hash."""
+    rows = df.withColumn("_bucket", _bucket(keys, buckets))
+    rows.repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(path)
+
+
+def read_buckets(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop("_bucket")
+
+
+def upsert_buckets(new: DataFrame, path: str, keys: list[str], order: list[str], buckets: int = 256) -> int:
+    """``upsert_last_wins`` on a table of ``write_buckets``; gives the number of buckets written.
+
+    Only folders that hold a key of the batch are read and overwritten. Of the batch the
+    newest row of each key counts; the table's own rows are compared by key alone. The new
+    state of those folders is written aside first, so a lost executor repeats reading and
+    not half a replacement; running the batch again changes nothing.
+    """
+    spark = new.sparkSession
+    newest = stored(latest(new, keys, order).withColumn("_bucket", _bucket(keys, buckets)), "batch")
+    touched = [r[0] for r in newest.select("_bucket").distinct().collect()]  # at most ``buckets``
+    if not touched:
+        return 0
+    base = spark.read.parquet(path).filter(F.col("_bucket").isin(touched))
+    gone = newest.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)])
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    merged = stored(base.join(gone, same, "left_anti").unionByName(newest), "merged")
+    write_slices(merged.repartition("_bucket"), path, ["_bucket"])
+    return len(touched)
+
+
 def soft_delete(documents: DataFrame, requests: DataFrame) -> DataFrame:
     """Set ``deleted_at`` where a request names the document and its owner.
 
