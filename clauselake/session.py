@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,16 +44,57 @@ def build_session(
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``, or by the context itself.
 
-    Where neither is set, as in a bare local session, a folder of this machine is set;
-    a cluster names its own.
+    Where neither is set, a bare local session gets a folder of this machine; on a cluster
+    that would lie on another disk for every machine, and is refused.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not shared:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         shared = tempfile.mkdtemp(prefix="clauselake-")
         spark.conf.set("spark.checkpoint.dir", shared)
     return shared
 
 
+_SHIPPED: set[str] = set()  # applications that have the package
+
+
+def package_zip() -> bytes:
+    """This package as a zip that Python imports from."""
+    root = os.path.dirname(os.path.abspath(__file__))
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as out:
+        for folder, _, names in sorted(os.walk(root)):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(root)))
+    return held.getvalue()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let the executors import this package, whatever folder the driver runs in.
+
+    Functions of the package travel to Python workers by name. Once per application its
+    files go to the shared folder as a zip and to every executor from there. Local workers
+    that have the folder on ``PYTHONPATH`` need none.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(context.applicationId)
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    if context.master.startswith("local") and root in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    path = scratch_path(spark, "package") + ".zip"
+    system, named = _files(spark, path)
+    out = system.create(named)
+    out.write(bytearray(package_zip()))
+    out.close()
+    context.addPyFile(str(system.makeQualified(named).toString()))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(scratch_root(spark))
