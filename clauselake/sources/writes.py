@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clauselake.functions.running import latest
-from clauselake.session import stored
+from clauselake.session import children, stored
 
 
 def upsert_last_wins(base: DataFrame, new: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -66,6 +66,9 @@ def upsert_buckets(new: DataFrame, path: str, keys: list[str], order: list[str],
     touched = [r[0] for r in newest.select("_bucket").distinct().collect()]  # at most ``buckets``
     if not touched:
         return 0
+    if not children(spark, path):  # the first batch
+        write_slices(newest.repartition("_bucket"), path, ["_bucket"])
+        return len(touched)
     base = spark.read.parquet(path).filter(F.col("_bucket").isin(touched))
     gone = newest.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)])
     same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]

@@ -20,7 +20,7 @@ from clauselake.functions.running import epoch_micros, latest
 from clauselake.operators.access import lockout_verdict
 from clauselake.operators.redact import redacted
 from clauselake.operators.segment import segment
-from clauselake.session import children, remove
+from clauselake.sources.writes import read_buckets, upsert_buckets
 
 
 def _batch_folder(path: str, epoch: int) -> str:
@@ -286,57 +286,28 @@ def stream_dedupe(
     )
 
 
-def stream_job_state(
-    changes: DataFrame, path: str, checkpoint: str, compact_every: int = 16
-) -> StreamingQuery:
-    """Newest state per job: each batch leaves one reduced row per job it touched.
+def stream_job_state(changes: DataFrame, path: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
+    """Newest state per job, as a table of one row per job.
 
-    ``changes``: ``job_id, state, changed_at, change_id``. Every ``compact_every`` batches
-    the state so far becomes one base table, and what it replaces is deleted one
-    compaction later, when no reader needs it. Read the result with ``current_job_state``.
+    ``changes``: ``job_id, state, changed_at, change_id``, in any order. The newest change of
+    each job is the stream's state; what a batch changes is put into a table of key buckets,
+    of which other buckets stay as they are. A repeated batch changes nothing. Read the result
+    with ``current_job_state``.
     """
+    newest = changes.groupBy("job_id").agg(F.max(F.struct("changed_at", "change_id", "state")).alias("_row"))
 
     def batch(df: DataFrame, epoch: int) -> None:
-        spark = df.sparkSession
-        newest = latest(df, ["job_id"], ["changed_at", "change_id"])
-        newest.write.mode("overwrite").parquet(_batch_folder(f"{path}/changes", epoch))
-        if epoch % compact_every == compact_every - 1:
-            state = current_job_state(spark, path, epoch)
-            state.write.mode("overwrite").parquet(_batch_folder(f"{path}/base", epoch))
-            older = epoch - compact_every
-            for folder in ("base", "changes"):
-                for old in _epochs(spark, f"{path}/{folder}"):
-                    if old < older or (folder == "changes" and old <= older):
-                        remove(spark, _batch_folder(f"{path}/{folder}", old))
+        upsert_buckets(df, path, ["job_id"], ["changed_at", "change_id"], buckets)
 
     return (
-        changes.writeStream.foreachBatch(batch)
+        newest.select("job_id", "_row.*")
+        .writeStream.outputMode("update")
+        .foreachBatch(batch)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
 
 
-def _epochs(spark: SparkSession, path: str) -> list[int]:
-    """Numbers of the finished batch folders below a path."""
-    return sorted(
-        int(name.removeprefix("batch="))
-        for name in children(spark, path)
-        if name.startswith("batch=") and "_SUCCESS" in children(spark, f"{path}/{name}")
-    )
-
-
-def current_job_state(spark: SparkSession, path: str, epoch: int | None = None) -> DataFrame:
-    """The newest base and the batches after it, up to ``epoch`` where given."""
-    within = lambda e: epoch is None or e <= epoch
-    # a base of the same number is being rebuilt from the batches when ``epoch`` is given
-    bases = [e for e in _epochs(spark, f"{path}/base") if within(e) and e != epoch]
-    since = bases[-1] if bases else -1
-    folders = [
-        _batch_folder(f"{path}/changes", e)
-        for e in _epochs(spark, f"{path}/changes")
-        if e > since and within(e)
-    ]
-    if bases:
-        folders.append(_batch_folder(f"{path}/base", since))
-    return latest(spark.read.parquet(*folders), ["job_id"], ["changed_at", "change_id"])
+def current_job_state(spark: SparkSession, path: str) -> DataFrame:
+    return read_buckets(spark, path).select("job_id", "state", "changed_at", "change_id")

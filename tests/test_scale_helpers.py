@@ -85,7 +85,7 @@ def test_stream_lockouts_over_several_batches(spark, tmp_path):
         df.filter(F.floor(F.col("attempt_id") / 40) == part).coalesce(1).write.mode("append").parquet(source)
     stream = spark.readStream.schema(ATTEMPT).option("maxFilesPerTrigger", 1).parquet(source)
     streams.stream_lockouts(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    got = {r.attempt_id: r.verdict for r in spark.read.parquet(str(tmp_path / "out" / "verdicts")).collect()}
+    got = {r.attempt_id: r.verdict for r in streams.verdicts(spark, str(tmp_path / "out")).collect()}
     assert got == {r.attempt_id: r.verdict for r in A.lockouts(df).collect()}
 
 
