@@ -56,11 +56,33 @@ def _fingerprint(spark, sf_dir):
     return C.content_fingerprint(X.documents(spark, sf_dir)).select("doc_id", "sha256")
 
 
-def _read_corpus(spark, sf_dir):
-    """Documents written as text files of up to 50 texts, and read back as blobs and as texts."""
+def _corpus_files(spark, sf_dir):
+    """Documents written as text files of up to 50 texts."""
     path = scratch_path(spark, "corpus")
     docs = X.documents(spark, sf_dir).select("source", "text")
     docs.write.partitionBy("source").option("maxRecordsPerFile", 50).text(path)
+    return path
+
+
+def _read_lines(spark, sf_dir):
+    """What the files hold, line by line: number and sum of the lines' hashes, as text and as blobs."""
+    path = _corpus_files(spark, sf_dir)
+    texts = C.read_corpus(spark, path, "text").select(F.lit("text").alias("reader"), "storage_key", "text")
+    blobs = C.read_corpus(spark, path, "binary").select(
+        F.lit("binary"), "storage_key", F.decode("content", "UTF-8").alias("text")
+    )
+    lines = texts.union(blobs).select(
+        "reader",
+        F.regexp_extract("storage_key", "source=([^/]+)", 1).alias("source"),
+        F.explode(F.split(F.regexp_replace("text", "\n$", ""), "\n", -1)).alias("line"),
+    )
+    digest = F.conv(F.substring(F.md5("line"), 1, 8), 16, 10).cast("bigint")
+    return lines.groupBy("reader", "source").agg(F.count("*").alias("lines"), F.sum(digest).alias("digest"))
+
+
+def _read_corpus(spark, sf_dir):
+    """Documents written as text files, and read back as blobs and as texts."""
+    path = _corpus_files(spark, sf_dir)
     source = F.regexp_extract("storage_key", "source=([^/]+)", 1)
     texts = C.read_corpus(spark, path, "text").groupBy(source.alias("source")).agg(
         F.sum(F.length("text")).alias("chars")
@@ -220,6 +242,7 @@ QUERIES = {
     "content_fingerprint": _fingerprint,
     "exact_copy_groups": _copies,
     "read_corpus": _read_corpus,
+    "read_corpus_lines": _read_lines,
     "assign_version_no": _version_no,
     "storage_key": _storage_key,
     "parse_storage_key": _parse_key,
@@ -274,6 +297,8 @@ FROM orders LEFT JOIN documents d ON d.doc_id = o_orderkey LEFT JOIN (SELECT DIS
         "SELECT page_id, regexp_extract(url, '([^/]*)$', 1) AS filename, length(html) AS size FROM pages",
         ["docx", "pdf", "jpg", "jpeg", "png", "webp", "bmp"],
     ),
+    "read_corpus_lines": """SELECT reader, source, count(*) AS lines, CAST(sum(CAST('0x' || substr(md5(line), 1, 8) AS BIGINT)) AS BIGINT) AS digest
+  FROM (SELECT source, unnest(string_split(text, chr(10))) AS line FROM documents), (SELECT unnest(['text', 'binary']) AS reader) GROUP BY ALL""",
     "read_corpus": """SELECT source, CAST(sum(length(text) + 1) AS BIGINT) AS chars, CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS bytes,
   CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS content_bytes FROM documents GROUP BY source""",
     "exact_copy_groups": "SELECT sha256(text) AS sha256, count(*) AS copies, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1",
