@@ -212,7 +212,8 @@ def pack_context(
         "ordinal",
         clause_entry(F.col("ordinal"), F.col("heading_path"), F.col("text")).alias("entry"),
     )
-    sizes = entries.select("version_id", "ordinal", F.length("entry").alias("_size"))
+    # texts are read for their sizes once, whatever the running total does with its input
+    sizes = stored(entries.select("version_id", "ordinal", F.length("entry").alias("_size")), "sizes")
     matched = routed.filter("matched").select("version_id", "ordinal", F.col("domain").alias("scope"))
     listed = sizes.join(matched, ["version_id", "ordinal"]).unionByName(
         sizes.withColumn("scope", F.lit(ALL))
@@ -221,9 +222,12 @@ def pack_context(
     first = F.floor((F.col("_end") - F.col("_size")) / max_chars)
     last = F.floor((F.col("_end") - 1) / max_chars)
     segment = F.when(first == last, first * 2).otherwise(first * 2 + 1)
-    placed = filled.withColumn("_segment", segment).drop("_end")
+    # a clause meets its text once, with all the places that it takes (one a domain at most)
+    place = F.struct("scope", segment.alias("_segment"))
+    placed = filled.groupBy("version_id", "ordinal", "_size").agg(F.collect_list(place).alias("_places"))
     packed = (
         placed.join(entries, ["version_id", "ordinal"])
+        .select("version_id", "ordinal", "_size", "entry", F.inline("_places"))
         .groupBy("version_id", "scope", "_segment")
         .agg(
             F.array_sort(F.collect_list(F.struct("ordinal", "entry"))).alias("_p"),

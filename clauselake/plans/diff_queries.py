@@ -113,7 +113,7 @@ both_sides AS MATERIALIZED (SELECT * FROM (SELECT doc_id, 'old' AS side, pos AS
   UNION ALL SELECT doc_id, 'new', ordinal, line FROM newer) WHERE doc_id IN (SELECT doc_id FROM newer)),
 equal AS (SELECT o.doc_id, o.ordinal AS i, n.ordinal AS j FROM (SELECT * FROM both_sides WHERE side = 'old') o
   JOIN (SELECT * FROM both_sides WHERE side = 'new') n ON o.doc_id = n.doc_id AND o.line = n.line),
-runs AS MATERIALIZED (SELECT doc_id, d, min(i) AS i1, max(i) AS i2 FROM (SELECT doc_id, j - i AS d, i,
+diagonal AS MATERIALIZED (SELECT doc_id, d, min(i) AS i1, max(i) AS i2 FROM (SELECT doc_id, j - i AS d, i,
   i - row_number() OVER (PARTITION BY doc_id, j - i ORDER BY i) AS g FROM equal) GROUP BY doc_id, d, g),
 matched AS MATERIALIZED (WITH RECURSIVE found AS (
   SELECT doc_id, 1::BIGINT AS a1, max(ordinal) FILTER (WHERE side = 'old')::BIGINT AS a2, 1::BIGINT AS b1,
@@ -124,7 +124,7 @@ matched AS MATERIALIZED (WITH RECURSIVE found AS (
       SELECT s.*, r.d, greatest(r.i1, s.a1, s.b1 - r.d)::BIGINT AS lo, least(r.i2, s.a2, s.b2 - r.d)::BIGINT AS hi
       FROM (SELECT doc_id, CASE behind WHEN 0 THEN a1 ELSE i + n END AS a1, CASE behind WHEN 0 THEN i - 1 ELSE a2 END AS a2,
                    CASE behind WHEN 0 THEN b1 ELSE j + n END AS b1, CASE behind WHEN 0 THEN j - 1 ELSE b2 END AS b2
-            FROM found, (SELECT unnest([0, 1]) AS behind)) s JOIN runs r ON r.doc_id = s.doc_id)
+            FROM found, (SELECT unnest([0, 1]) AS behind)) s JOIN diagonal r ON r.doc_id = s.doc_id)
     WHERE lo <= hi GROUP BY doc_id, a1, a2, b1, b2))
   SELECT * FROM found WHERE n > 0),
 anchors AS MATERIALIZED (SELECT doc_id, unnest(range(i, i + n)) AS o, unnest(range(j, j + n)) AS n FROM matched),
