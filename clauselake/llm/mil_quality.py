@@ -150,9 +150,10 @@ class Model:
 
 def fit(
     bags: list[np.ndarray], labels: np.ndarray, rounds: int = 30, seed: int = 0,
-    hidden: int = 24, gate: int = 12, rate: float = 0.003, decay: float = 1e-4,
+    hidden: int = 24, gate: int = 12, rate: float = 0.003, decay: float = 1e-4, steps: int = 400,
 ) -> Model:
-    """Train by Adam on document labels; classes weigh alike by half.
+    """Train by Adam on document labels, ``rounds`` times and ``steps`` steps at least; classes
+    weigh alike by half.
 
     Without both classes the model answers the only label's share for every document.
     """
@@ -180,10 +181,10 @@ def fit(
     weigh = np.where(y == 1, (len(y) / (2 * y.sum())) ** 0.5, (len(y) / (2 * (1 - y).sum())) ** 0.5)
     m = {k: np.zeros_like(v) for k, v in p.items()}
     s = {k: np.zeros_like(v) for k, v in p.items()}
-    step = 0
-    for _ in range(rounds):
+    step, parts = 0, max(1, len(bags) // 64)
+    for _ in range(max(rounds, -(-steps // parts))):
         deal = rng.permutation(len(bags))
-        for chosen in np.array_split(deal, max(1, len(bags) // 64)):
+        for chosen in np.array_split(deal, parts):
             n = sizes[chosen]
             at = np.cumsum(n) - n
             rows = np.repeat(first[chosen] - at, n) + np.arange(n.sum())
