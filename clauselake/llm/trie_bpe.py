@@ -101,16 +101,16 @@ class TrieEncoder:
         Only the characters that the longest token could cover are looked at.
         """
         tails, fits, found = self.tails, self.fits, []
-        low = max(0, stop - self.longest)
-        near = word[low:stop]
-        for at in range(len(near) - 1, -1, -1):
-            number = tails.get(near[at:] + end)
+        at, low = stop, max(0, stop - self.longest)
+        while at > low:
+            at -= 1
+            number = tails.get(word[at:stop] + end if end else word[at:stop])
             if number is None:
                 break
             if number >= 0:
-                if not low + at:
+                if not at:
                     return number
-                found.append((before[low + at] << 32) | number)
+                found.append((before[at] << 32) | number)
         for pair in reversed(found):
             if (known := fits.get(pair)) is None:
                 known = self._fits(pair)
