@@ -4,6 +4,7 @@ import collections
 import hashlib
 import json
 import math
+import zlib
 
 import numpy as np
 import pytest
@@ -75,6 +76,20 @@ def test_shards(spark):
     assert feistel.shard_rows(rows.limit(0), ["doc_id"], 4).count() == 0
 
 
+def test_sharding_query_describes_the_texts(spark, sf_dir):
+    """Sizes and checksums of the query from the texts' bytes; shards even, slots without gaps."""
+    rows = queries.op5_feistel_sharding(spark, sf_dir).collect()
+    texts = [(r.doc_id, (r.text or "").encode()) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    assert sorted((r.doc_id, r.size, r.text_crc32) for r in rows) == sorted(
+        (i, len(data) + 16, zlib.crc32(data)) for i, data in texts
+    )
+    slots = collections.defaultdict(list)
+    for r in rows:
+        slots[r.shard].append(r.slot)
+    assert sorted(slots) == list(range(40)) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+
+
 def test_mixing_edges(spark):
     rows = mixing.mix(awkward(spark), [5, 2, 1], shards=4, block_words=100).collect()
     assert len(rows) == len(AWKWARD)
