@@ -10,6 +10,9 @@ from clauselake.llm.queries import vocabulary
 from clauselake.session import stored
 
 
+PASSAGE = 250  # bytes of a passage that repeats: 50 words of four letters and a blank
+
+
 def _free(docs: DataFrame, name: str) -> str:
     """A column name that the documents don't have."""
     while name in docs.columns:
@@ -56,9 +59,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without passages of 400 bytes or more that occur elsewhere."""
+    """Texts without passages of 250 bytes (some 50 words) or more that occur elsewhere."""
     rows, names = _renamed(docs.drop("n_chars"), ["doc_id", "text"])
-    cut = repeated_spans.repeated_spans(rows, 400, carry=list(names), as_text=True)
+    cut = repeated_spans.repeated_spans(rows, PASSAGE, carry=list(names), as_text=True)
     return cut.select(
         "doc_id",
         F.col("kept").alias("text"),
