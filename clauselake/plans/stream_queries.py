@@ -14,8 +14,12 @@ from clauselake.streaming import streams as S
 
 
 def _stream(spark, sf_dir, table):
+    """The table as a stream, be it one file or a folder of files.
+
+    A stream starts from a folder or a pattern; a pattern that only the table matches takes both.
+    """
     schema = X.read(spark, sf_dir, table).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir)
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{table}.parque[t]")
 
 
 def _run(spark, start):

@@ -150,3 +150,24 @@ def test_dedupe_across_batches(spark, tmp_path):
     assert sorted(r.sha256 for r in got) == ["a", "a", "b", "c", "x0", "x1", "x2", "x3"]
     held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
     assert max(held) <= 5 and held[-1] == 3  # of eight keys
+
+
+def test_stream_of_a_table_in_one_file_or_many(spark, tmp_path):
+    """A table is a file or a folder of files; other tables beside it are not read."""
+    from clauselake.plans import stream_queries as Q
+
+    rows = [(1, "a\n\nb"), (2, "mail x1@example.org"), (3, "a\n\nb"), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    many, one = tmp_path / "many", tmp_path / "one"
+    docs.repartition(3).write.parquet(f"{many}/documents.parquet")
+    docs.limit(1).write.parquet(f"{many}/documents.parquet.old")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/part")
+    part = next(p for p in (tmp_path / "part").iterdir() if p.name.startswith("part-"))
+    one.mkdir()
+    (one / "documents.parquet").write_bytes(part.read_bytes())
+    for folder in (many, one):
+        for name, count in (("stream_dedupe", 3), ("stream_segment_redact", 5)):
+            got = Q.QUERIES[name](spark, str(folder)).collect()
+            assert len(got) == count, (folder, name, got)
+    found = Q.QUERIES["stream_segment_redact"](spark, str(many)).collect()
+    assert sorted({r.version_id for r in found}) == [1, 2, 3]
