@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from clauselake import constants as K
 from clauselake.functions.text import let, strip
+from clauselake.session import stored
 
 
 def parse_strict(c: Column) -> Column:
@@ -239,14 +240,17 @@ def _performed(responses: DataFrame) -> DataFrame:
     the second after a parse failure.
 
     The first state of a request is a maximum that combines before the shuffle; only
-    small columns move, contents and parsed answers stay behind.
+    small columns move, contents and parsed answers stay behind. They are written, so answers
+    are parsed once. Both sides of the join have a row per request at least, so neither is
+    sent to every executor by way of the driver.
     """
     small = _attempt_state(responses).select(
         "request_id", "attempt", "domain", "state", "input_tokens", "output_tokens", "model"
     )
+    small = stored(small, "attempts")
     first = small.groupBy("request_id").agg(_first_state().alias("_first"))
     second = (F.col("attempt") == 2) & (F.col("_first") == "parse")
-    return small.join(first, "request_id").withColumn(
+    return small.join(first.hint("merge"), "request_id").withColumn(
         "expected", F.coalesce((F.col("attempt") == 1) | second, F.lit(False))
     )
 

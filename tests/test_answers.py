@@ -102,3 +102,12 @@ def test_unreadable_layer_is_not_an_empty_one(spark):
     df = spark.createDataFrame(rows, "v int, source_format string, extraction_ok boolean, tc_readable boolean, comments_readable boolean")
     got = {r.v: (r.tc_parse_status, r.comments_parse_status) for r in Q.stage_status(df).collect()}
     assert got == {1: ("ok", "failed"), 2: (None, None), 3: (None, None)}
+
+
+def test_metering_sends_no_table_through_the_driver(spark):
+    """The retry rule joins two tables of a row per request: a shuffle at any size, answers parsed once."""
+    df = spark.createDataFrame([(1, 1, "junk", 6, 1, "m", None, "d"), (None, 1, GOOD, 7, 1, "m", None, "d")], RESPONSE)
+    out = M.meter_attempts(df)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan and "parse_json" not in plan
+    assert [(r.request_id, r.status) for r in out.collect()] == [(1, "failed")]
