@@ -197,7 +197,7 @@ ALL = "*"  # scope of the packing that every unmentioned domain of a version sha
 
 
 def pack_context(
-    routed: DataFrame, clauses: DataFrame, max_chars: int = K.MAX_CONTEXT_CHARS
+    routed: DataFrame, clauses: DataFrame, max_chars: int = K.MAX_CONTEXT_CHARS, shared: bool = False
 ) -> DataFrame:
     """Clause texts per version and domain, in parts of at most ``max_chars``.
 
@@ -205,7 +205,9 @@ def pack_context(
     characters. Those inside a segment are a part, and a clause that lies across a cut is
     a part of its own; only a clause longer than ``max_chars`` makes a longer part, which
     is marked ``oversized``. Nothing is left out. The clauses of a version are packed once
-    for all domains that it does not mention.
+    for all domains that it does not mention. Parts are numbered by sizes alone; a text moves
+    to its parts and no further. ``shared`` leaves a row per packed text, with the
+    array ``domains`` in place of ``domain``.
     """
     entries = clauses.select(
         "version_id",
@@ -222,35 +224,54 @@ def pack_context(
     first = F.floor((F.col("_end") - F.col("_size")) / max_chars)
     last = F.floor((F.col("_end") - 1) / max_chars)
     segment = F.when(first == last, first * 2).otherwise(first * 2 + 1)
-    # a clause meets its text once, with all the places that it takes (one a domain at most)
-    place = F.struct("scope", segment.alias("_segment"))
-    placed = filled.groupBy("version_id", "ordinal", "_size").agg(F.collect_list(place).alias("_places"))
+    rows = filled.filter("ordinal IS NOT NULL").select(
+        "version_id", "ordinal", "scope", "_size", segment.alias("_segment")
+    )
+    scopes = (
+        routed.select(
+            "version_id",
+            "domain",
+            F.when(F.col("matched"), F.col("domain")).otherwise(F.lit(ALL)).alias("scope"),
+        )
+        .groupBy("version_id", "scope")
+        .agg(F.array_sort(F.collect_set("domain")).alias("domains"))
+    )
+    order = Window.partitionBy("version_id", "scope").orderBy("_segment")
+    parts = (
+        rows.groupBy("version_id", "scope", "_segment")
+        .agg(F.min("ordinal").alias("_first"))
+        .withColumn("part_no", F.row_number().over(order))
+        .join(scopes, ["version_id", "scope"])
+        .withColumnsRenamed({"version_id": "_version", "scope": "_scope", "_segment": "_of"})
+    )
+    same = (
+        (F.col("version_id") == F.col("_version"))
+        & (F.col("scope") == F.col("_scope"))
+        & F.col("_segment").eqNullSafe(F.col("_of"))
+    )
+    # a clause meets its text once, with all the places that it takes (one a domain at most);
+    # the first clause of a part brings the part's domains
+    domains = F.when(F.col("ordinal") == F.col("_first"), F.col("domains")).alias("domains")
+    place = F.struct("scope", "part_no", domains)
+    placed = rows.join(parts, same).groupBy("version_id", "ordinal", "_size").agg(F.collect_list(place).alias("_places"))
     packed = (
         placed.join(entries, ["version_id", "ordinal"])
         .select("version_id", "ordinal", "_size", "entry", F.inline("_places"))
-        .groupBy("version_id", "scope", "_segment")
+        .groupBy("version_id", "scope", "part_no")
         .agg(
             F.array_sort(F.collect_list(F.struct("ordinal", "entry"))).alias("_p"),
             F.sum("_size").alias("_chars"),
+            F.max("domains").alias("domains"),
         )
     )
-    order = Window.partitionBy("version_id", "scope").orderBy("_segment")
-    parts = packed.select(
+    return packed.select(
         "version_id",
-        "scope",
-        F.row_number().over(order).alias("part_no"),
+        "domains" if shared else F.explode("domains").alias("domain"),
+        "part_no",
         F.array_join(F.transform("_p", lambda p: p["entry"]), "\n\n").alias("context"),
         F.size("_p").alias("entries"),
         (F.col("_chars") > max_chars).alias("oversized"),
     )
-    scopes = routed.select(
-        "version_id",
-        "domain",
-        F.when(F.col("matched"), F.col("domain")).otherwise(F.lit(ALL)).alias("scope"),
-    ).distinct()
-    return scopes.join(parts, ["version_id", "scope"]).select(
-        "version_id", "domain", "part_no", "context", "entries", "oversized"
-    )
 
 
 def summary_sample(clauses: DataFrame, max_chars: int = K.MAX_SUMMARY_CHARS) -> DataFrame:
@@ -385,7 +406,9 @@ def build_requests(
     Sections: summary (or an explicit statement that there is none), the part's clauses,
     the part's comments if any, task line. The first part is always there; it says so
     when there is no clause. The domain list is a constant array, so versions are
-    multiplied by a generator.
+    multiplied by a generator. ``contexts`` are as ``pack_context`` gives them, a row per
+    domain or ``shared``: a text meets the summary and comments of its version and part
+    first, and is multiplied by its domains last.
     """
     labels = F.array(
         *[
@@ -397,30 +420,47 @@ def build_requests(
             for d in lexicon
         ]
     )
-    keys = F.array(*[F.lit(d.key) for d in lexicon])
-    at = ["version_id", "domain", "part_no"]
+    at = ["version_id", "part_no"]
     head = versions.select("version_id").distinct()
-    first = head.select("version_id", F.explode(keys).alias("domain"), F.lit(1).alias("part_no"))
-    listed = comments.select("version_id", "part_no", "comments", F.explode(keys).alias("domain"))
-    parts = (
-        first.join(contexts.select(*at, "context"), at, "full")
-        .join(listed, at, "full")
+    if "domains" not in contexts.columns:
+        contexts = contexts.withColumn("domains", F.array("domain"))
+    texts = contexts.select(*at, "domains", "context")
+    blocks = comments.select(*at, "comments", F.lit(True).alias("_block"))
+    covered = texts.select(*at, F.explode("domains").alias("_d")).groupBy(*at).agg(F.collect_set("_d").alias("_covered"))
+    spots = (
+        head.withColumn("part_no", F.lit(1))
+        .unionByName(covered.select(*at))
+        .unionByName(blocks.select(*at))
+        .distinct()
         .join(head, "version_id", "left_semi")
     )
-    named = head.join(summaries.select("version_id", "summary"), "version_id", "left").select(
-        "version_id", "summary", F.inline(labels)
+    given = stored(
+        spots.join(summaries.select("version_id", "summary"), "version_id", "left")
+        .join(blocks, at, "left")
+        .join(covered, at, "left"),
+        "parts",
+    )
+    shown = texts.join(given.drop("_covered", "_block"), at).select(
+        *at, "summary", "comments", "context", F.inline(F.filter(labels, lambda d: F.array_contains("domains", d["domain"])))
+    )
+    # domains without a clause in a part: in the first part, and where there are comments
+    bare = F.filter(
+        labels, lambda d: ~F.coalesce(F.array_contains("_covered", d["domain"]), F.lit(False))
+    )
+    rest = given.filter("part_no = 1 OR _block").select(
+        *at, "summary", "comments", F.lit(None).cast("string").alias("context"), F.inline(bare)
     )
-    wide = parts.join(named, ["version_id", "domain"])
+    wide = shown.unionByName(rest)
     filled = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
     summary = F.when(
         filled("summary"), F.concat(F.lit(K.SUMMARY_HEADER + "\n"), "summary")
     ).otherwise(F.lit(K.NO_SUMMARY))
-    given = F.coalesce("context", F.when(F.col("part_no") == 1, F.col("nothing")))
-    clauses = F.concat(F.lit(K.CLAUSES_HEADER + " '"), "name", F.lit("':\n"), given)
+    body = F.coalesce("context", F.when(F.col("part_no") == 1, F.col("nothing")))
+    clauses = F.concat(F.lit(K.CLAUSES_HEADER + " '"), "name", F.lit("':\n"), body)
     bubbles = F.when(filled("comments"), F.concat(F.lit(K.COMMENTS_HEADER + "\n"), "comments"))
     task = F.concat(F.lit(K.TASK_LINE + " "), "name", F.lit(" (key: "), "domain", F.lit(")"))
     return wide.select(
-        *at, F.concat_ws("\n\n", summary, clauses, bubbles, task).alias("request")
+        "version_id", "domain", "part_no", F.concat_ws("\n\n", summary, clauses, bubbles, task).alias("request")
     )
 
 

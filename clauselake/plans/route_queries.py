@@ -112,7 +112,7 @@ def _requests(spark, sf_dir, clauses, mapping=None):
             F.concat(F.lit("Dokumen nomor "), F.col("version_id").cast("string")),
         ).alias("summary"),
     )
-    contexts = D.pack_context(D.route_clauses(clauses, LEXICON), clauses)
+    contexts = D.pack_context(D.route_clauses(clauses, LEXICON), clauses, shared=True)
     bubbles = D.pack_comments(comments(spark, sf_dir), mapping)
     return D.build_requests(versions, LEXICON, contexts, summaries, bubbles)
 

@@ -159,3 +159,25 @@ def test_purge_reaches_every_named_owner(spark):
     assert [tuple(r) for r in left["version_diffs"].select("from_version", "to_version").collect()] == [(20, 21)]
     assert [r.citation_id for r in left["citations"].collect()] == [2]
     assert left["usage"].filter(F.col("job_id").isNull()).count() == 1
+
+
+def test_a_packed_text_is_one_row_for_all_its_domains(spark):
+    """A text moves once, whatever the number of domains; requests are the same either way."""
+    lexicon = lexicon_from_rows([("exclusivity", "pay"), ("moral_rights", "zz1"), ("non_compete", "zz2")])
+    clauses = _clauses(spark, ["pay " * 30, "other", "pay " * 30])
+    versions = spark.createDataFrame([(1,), (1,), (2,), (None,)], "version_id int")
+    summaries = spark.createDataFrame([(1, "s"), (1, "t")], "version_id int, summary string")
+    notes = spark.createDataFrame([(1, 0, None, "note", None)], "version_id int, ordinal int, author string, body string, anchor_text string")
+    routed, blocks = D.route_clauses(clauses, lexicon), D.pack_comments(notes)
+    single = D.pack_context(routed, clauses, max_chars=150)
+    shared = D.pack_context(routed, clauses, max_chars=150, shared=True)
+    texts = [(r.version_id, r.part_no, r.context) for r in shared.collect()]
+    assert len(texts) < single.count()
+    flat = sorted((r.part_no, d, r.context) for r in shared.collect() for d in r.domains)
+    assert flat == sorted((r.part_no, r.domain, r.context) for r in single.collect())
+    both = [
+        sorted(tuple(r) for r in D.build_requests(versions, lexicon, c, summaries, blocks).collect())
+        for c in (single, shared)
+    ]
+    assert both[0] == both[1] and {r[0] for r in both[0]} == {1, 2}
+    assert sum(r[:3] == (1, "exclusivity", 1) for r in both[0]) == 2  # one a summary
