@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clauselake.functions.running import running_total
-from clauselake.functions.text import let
+from clauselake.functions.text import every_second, let, matches_in_turn
 from clauselake.operators.redact import _java, patterns
 from clauselake.session import stored
 
@@ -34,19 +34,19 @@ def _marked(text: Column, stage: list[tuple[str, str]]) -> Column:
     def cut(s: Column, kind: str, pattern: str) -> Column:
         holder = lambda i: F.concat(F.lit(f"[{kind}{_MARK}"), i.cast("string"), F.lit("]"))
 
-        def replaced(matches: Column) -> Column:
+        def replaced(outside: Column, matches: Column) -> Column:
             holders = F.transform(matches, lambda m, i: holder(i))
             rows = F.transform(
                 matches, lambda m, i: F.struct(F.lit(kind).alias("kind"), i.alias("no"), m.alias("original"))
             )
-            pieces = F.split(s["text"], _java(pattern), -1)
-            joined = F.zip_with(pieces, holders, lambda p, h: F.concat(p, F.coalesce(h, F.lit(""))))
+            joined = F.zip_with(outside, holders, lambda p, h: F.concat(p, F.coalesce(h, F.lit(""))))
             return F.struct(F.array_join(joined, "").alias("text"), F.concat(s["found"], rows).alias("found"))
 
-        return let(
-            F.regexp_extract_all(s["text"], F.lit(_java(pattern)), F.lit(0)),
-            lambda matches: F.when(F.size(matches) > 0, replaced(matches)).otherwise(s),
-        )
+        def found(pieces: Column) -> Column:
+            done = let(every_second(pieces, 1), lambda matches: replaced(every_second(pieces, 0), matches))
+            return F.when(F.size(pieces) > 1, done).otherwise(s)
+
+        return let(matches_in_turn(s["text"], _java(pattern)), found)
 
     def bound(kind: str, pattern: str):
         return lambda s: cut(s, kind, pattern)

@@ -145,3 +145,28 @@ def test_cascade_equals_sequential_replacement_and_round_trips(spark, texts):
         assert tokens.get(i, {}) == want_map
     back = {r.version_id: r.text for r in R.expand(R.redact(df), mapping.drop("token_no")).collect()}
     assert back == dict(enumerate(texts))
+
+
+def test_one_search_gives_what_two_gave(spark):
+    """Matches and the text around them, from one search; the mark in a text, nulls and no match included."""
+    from clauselake import constants as K
+    from clauselake.functions.text import every_second, matches_in_turn
+
+    texts = [
+        None, "", "nothing", "a1@b.org", "x a1@b.org, a1@b.org", "\uf8fea1@b.org \uf8fe b2@c.org\uf8fe", "éa@b.org ٣a@b.org",
+        "3201234567890123 32012345678901234 ٣32012345678901234", "+62811223344 0812-3456-77 x0812345678",
+        "JL. Merdeka 5, jalan İ 9\nRT 5 ǰl. gg.x", "Kjl. a. Rw.7 b", "12.345.678.9-012.345$1\\",
+    ]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    for kind, plain in K.PII_PATTERNS:
+        fast = R._java(dict(R.patterns())[kind])
+        pieces = matches_in_turn(F.col("text"), fast)
+        rows = df.select(
+            every_second(pieces, 1).alias("m"),
+            every_second(pieces, 0).alias("o"),
+            F.regexp_extract_all("text", F.lit(R._java(plain)), F.lit(0)).alias("m2"),
+            F.split("text", R._java(plain), -1).alias("o2"),
+        ).collect()
+        assert all((r.m, r.o) == (r.m2, r.o2) for r in rows), (kind, rows)
+    plan = R.redact(df.withColumn("version_id", F.lit(1)))._jdf.queryExecution().analyzed().toString()
+    assert "regexp_replace" in plan
