@@ -7,9 +7,9 @@ never in the driver.
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,10 +53,16 @@ def stream_segment_redact(texts: DataFrame, path: str, checkpoint: str) -> Strea
     )
 
 
+# an attempt in the state: its time, its id (0 where ``named`` is false), and whether it failed
+_ATTEMPT = np.dtype([("t", "<i8"), ("attempt_id", "<i8"), ("named", "?"), ("failure", "?")])
+_GIVEN = 100_000  # rows given out at once
+
+
 class _Window(StatefulProcessor):
     """Failures before each attempt of one key, given out when no earlier attempt can come.
 
-    The state holds the attempts that wait for the watermark and the failures of one window.
+    The state is one row a key: the attempts that wait for the watermark and the failures of
+    one window, packed, and the timer that is set. It is read and written once a call.
     """
 
     def __init__(self, seconds: int):
@@ -64,46 +70,77 @@ class _Window(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "t bigint, attempt_id bigint, failure boolean")
-        self.failures = handle.getListState("failures", "t bigint")
+        self.held = handle.getValueState("held", "timer bigint, failures binary, waiting binary")
 
     def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
-        new = [r for part in rows for r in part[["t", "attempt_id", "failure"]].itertuples(index=False, name=None)]
-        self.waiting.appendList(new)
-        yield from self._given(key, timerValues.getCurrentWatermarkInMs())
+        parts = []
+        for part in rows:
+            packed = np.empty(len(part), _ATTEMPT)
+            for name in _ATTEMPT.names:
+                packed[name] = part[name].to_numpy()
+            timed = part["timed"].to_numpy(dtype=bool)
+            parts.append(packed[timed])
+            # an attempt without a time lies in no window
+            yield from _counts(key, packed[~timed], None)
+        yield from self._given(key, parts, timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
-        yield from self._given(key, timerValues.getCurrentWatermarkInMs())
-
-    def _given(self, key: tuple, watermark: int) -> Iterator[pd.DataFrame]:
-        held = sorted(self.waiting.get())
-        ready = [r for r in held if r[0] <= watermark * 1000]
-        times = deque(sorted(r[0] for r in self.failures.get()))
-        out = []
-        for t, attempt, failure in ready:
-            while times and times[0] <= t - self.width:
-                times.popleft()
-            out.append((*key, attempt, t, len(times)))
-            if failure:
-                times.append(t)
-        rest = held[len(ready) :]
-        over = [t for t in times if t > watermark * 1000 - self.width]
-        for state, rows in ((self.waiting, rest), (self.failures, [(t,) for t in over])):
-            state.put(rows) if rows else state.clear()
+        fired = expiredTimerInfo.getExpiryTimeInMs()
+        yield from self._given(key, [], timerValues.getCurrentWatermarkInMs(), fired)
+
+    def _given(
+        self, key: tuple, new: list[np.ndarray], watermark: int, fired: int | None = None
+    ) -> Iterator[pd.DataFrame]:
+        timer, kept, waiting = self.held.get() or (None, b"", b"")
+        kept = np.frombuffer(kept, "<i8")
+        held = np.concatenate([np.frombuffer(waiting, _ATTEMPT), *new])
+        passed = held["t"] <= watermark * 1000
+        ready, rest = held[passed], held[~passed]
+        ready = ready[np.lexsort((ready["failure"], ready["attempt_id"], ready["named"], ready["t"]))]
+        times = ready["t"][ready["failure"]]
+        # of the failures before an attempt, those that the window has left behind are none
+        left = ready["t"] - self.width
+        earlier = np.cumsum(ready["failure"]) - ready["failure"]
+        failures = earlier - np.searchsorted(times, left, side="right")
+        failures += len(kept) - np.searchsorted(kept, left, side="right")
+        over = np.sort(np.concatenate([kept, times]))
+        over = over[over > watermark * 1000 - self.width]
         # wake up for the next attempt that waits, or when the last failure is out of the window
-        for timer in list(self.handle.listTimers()):
+        due = None
+        if len(rest):
+            due = -(-int(rest["t"].min()) // 1000)
+        elif len(over):
+            due = -(-(int(over[-1]) + self.width) // 1000)
+        if timer is not None and timer not in (due, fired):  # one that has fired goes by itself
             self.handle.deleteTimer(timer)
-        if rest:
-            self.handle.registerTimer(-(-rest[0][0] // 1000))
-        elif over:
-            self.handle.registerTimer(-(-(over[-1] + self.width) // 1000))
-        if out:
-            yield pd.DataFrame(out, columns=["kind", "value", "attempt_id", "t", "failures"])
+        if due is not None and (due != timer or due == fired):
+            self.handle.registerTimer(due)
+        if due is not None:
+            self.held.update((due, over.tobytes(), rest.tobytes()))
+        elif timer is not None:
+            self.held.clear()
+        yield from _counts(key, ready, failures)
 
     def close(self) -> None:
         pass
 
 
+def _counts(key: tuple, attempts: np.ndarray, failures: np.ndarray | None) -> Iterator[pd.DataFrame]:
+    """Rows of the result: without ``failures`` the attempts have no time and none before them."""
+    for at in range(0, len(attempts), _GIVEN):
+        part = attempts[at : at + _GIVEN]
+        zero = np.zeros(len(part), np.int64)
+        yield pd.DataFrame(
+            {
+                "kind": key[0],
+                "value": key[1],
+                "attempt_id": pd.arrays.IntegerArray(part["attempt_id"].copy(), ~part["named"]),
+                "t": pd.arrays.IntegerArray(part["t"].copy(), np.full(len(part), failures is None)),
+                "failures": zero if failures is None else failures[at : at + _GIVEN],
+            }
+        )
+
+
 def attempt_counts(attempts: DataFrame, seconds: int, lateness: str) -> DataFrame:
     """``attempt_id, t, kind, failures`` of a stream of attempts, per address and identifier."""
     micros = epoch_micros(attempts, "created_at")
@@ -121,13 +158,16 @@ def attempt_counts(attempts: DataFrame, seconds: int, lateness: str) -> DataFram
         attempts.select(
             # watermarks count whole milliseconds: rounded up, the last attempt is reached too
             F.timestamp_micros(F.ceil(micros / 1000) * 1000).alias("_at"),
-            micros.alias("t"),
-            F.col("attempt_id").cast("bigint").alias("attempt_id"),
+            # without nulls, which would turn whole columns of numbers into floats on their way
+            F.coalesce(micros, F.lit(0)).alias("t"),
+            micros.isNotNull().alias("timed"),
+            F.coalesce(F.col("attempt_id").cast("bigint"), F.lit(0)).alias("attempt_id"),
+            F.col("attempt_id").cast("bigint").isNotNull().alias("named"),
             (~F.coalesce("success", F.lit(False))).alias("failure"),
             kinds.alias("_k"),
         )
         .withWatermark("_at", lateness)
-        .select("_at", "t", "attempt_id", "failure", F.inline("_k"))
+        .select("_at", "t", "timed", "attempt_id", "named", "failure", F.inline("_k"))
     )
     return rows.groupBy("kind", "value").transformWithStateInPandas(
         _Window(seconds),
