@@ -8,7 +8,7 @@ unless the session allows duplicate keys (then the last one wins).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clauselake import constants as K
@@ -127,27 +127,39 @@ def resolve_clause(answers: DataFrame, clauses: DataFrame) -> DataFrame:
     """The first listed ordinal that exists in the version; null when none does.
 
     ``answers``: ``request_id, version_id, answer``; ``clauses``: ``version_id,
-    ordinal, clause_id``.
+    ordinal, clause_id``. Each answer goes on as a row of its own and one for every ordinal
+    that it lists, so it is parsed once; the first clause found is then told to all answers
+    of the request.
     """
-    listed = answers.select(
-        "request_id",
-        "version_id",
-        F.posexplode(
-            F.transform(
-                _items(F.col("answer"), "$.clause_ordinals"),
-                lambda v: F.try_variant_get(v, "$", "string"),
-            )
-        ).alias("_pos", "_raw"),
+
+    def listed(raw: Column, place: Column) -> Column:
+        ordinal = F.when(raw.rlike(r"^\d+$"), raw.try_cast("int"))
+        return F.struct(place.alias("pos"), ordinal.alias("ordinal"))
+
+    raw = F.transform(
+        _items(F.col("answer"), "$.clause_ordinals"), lambda v: F.try_variant_get(v, "$", "string")
+    )
+    found = F.filter(F.transform(raw, listed), lambda o: o["ordinal"].isNotNull())
+    itself = F.array(F.struct(F.lit(-1).alias("pos"), F.lit(None).cast("int").alias("ordinal")))
+    rows = answers.select(
+        "*",
+        # an answer without a request has no other answers to share with
+        F.when(F.col("request_id").isNull(), F.monotonically_increasing_id()).alias("_alone"),
+        F.explode(F.concat(itself, F.coalesce(found, F.array().cast("array<struct<pos:int,ordinal:int>>")))).alias("_o"),
     )
-    digits = listed.filter(F.col("_raw").rlike(r"^\d+$")).select(
-        "request_id", "version_id", "_pos", F.col("_raw").try_cast("int").alias("ordinal")
+    known = clauses.select(
+        F.col("version_id").alias("_version"), F.col("ordinal").alias("_ordinal"), F.col("clause_id").alias("_clause")
     )
-    found = (
-        digits.join(clauses.select("version_id", "ordinal", "clause_id"), ["version_id", "ordinal"])
-        .groupBy("request_id")
-        .agg(F.min_by("clause_id", "_pos").alias("clause_id"))
+    same = (F.col("version_id") == F.col("_version")) & (F.col("_o.ordinal") == F.col("_ordinal"))
+    met = rows.join(known, same, "left").filter((F.col("_o.pos") < 0) | F.col("_ordinal").isNotNull())
+    first = F.min_by("_clause", F.when(F.col("_ordinal").isNotNull(), F.col("_o.pos"))).over(
+        Window.partitionBy("request_id", "_alone")
+    )
+    return (
+        met.withColumn("_first", F.when(F.col("request_id").isNotNull(), first))
+        .filter(F.col("_o.pos") < 0)
+        .select("request_id", *[c for c in answers.columns if c != "request_id"], F.col("_first").alias("clause_id"))
     )
-    return answers.join(found, "request_id", "left")
 
 
 def _sized(df: DataFrame, usual: dict[str, int], cut: bool) -> DataFrame:

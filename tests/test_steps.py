@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pandas as pd
 
+from clauselake.operators import answers as M
 from clauselake.streaming import streams as S
 
 
@@ -87,3 +88,23 @@ def test_attempts_without_time_lie_in_no_window():
     assert out.t.isna().all() and out.failures.tolist() == [0, 0]
     assert out.attempt_id[0] == 1 and out.attempt_id.isna().tolist() == [False, True]
     assert isinstance(out.failures.to_numpy()[0], np.int64)
+
+
+def test_an_answer_is_parsed_once(spark):
+    texts = [
+        (1, 7, '{"clause_ordinals": ["x", 9, "2", 1]}'),
+        (1, 8, "nothing"),
+        (2, 7, '{"clause_ordinals": [1]}'),
+        (2, 7, '{"clause_ordinals": [1]}'),
+        (3, 8, '{"clause_ordinals": 5}'),
+        (None, 7, '{"clause_ordinals": [1]}'),
+    ]
+    rows = spark.createDataFrame(texts, "request_id long, version_id long, content string")
+    clauses = spark.createDataFrame([(7, 1, "7:1"), (7, 2, "7:2"), (8, 1, "8:1")], "version_id long, ordinal int, clause_id string")
+    got = M.resolve_clause(M.extract_json(rows).select("request_id", "version_id", "answer"), clauses)
+    got = got.select("request_id", "version_id", "clause_id")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(
+        [(1, 7, "7:2"), (1, 8, "7:2"), (2, 7, "7:1"), (2, 7, "7:1"), (3, 8, None), (None, 7, None)], key=str
+    )
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode(array(") == 1  # the value of the answer
