@@ -8,7 +8,7 @@ flag_id, job_id, basis``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from clauselake import constants as K
@@ -260,8 +260,10 @@ def portfolio_cube(findings: DataFrame, jobs: DataFrame, versions: DataFrame, do
     ``by_counterparty, by_domain, by_severity`` say which keys a row is cut by; the others
     are null. ``versions`` are the reviewed ones of the counterparty, or all of them, with
     findings or without; ``share`` is the part of them that is hit. A version counts once at
-    each level: what it has is summed per version first, and for levels that leave out a key
-    it is marked once per version and level, so nothing distinct is counted over raw findings.
+    each level: what it has is summed per version, domain and severity first, and of these
+    rows the first of the version, of its domain and of its severity are marked. A cell then
+    holds the sums of its marks, from which the wider levels follow, so no version is copied
+    for a level and nothing distinct is counted over raw findings.
     """
     where = (
         jobs.select("job_id", "version_id")
@@ -282,29 +284,43 @@ def portfolio_cube(findings: DataFrame, jobs: DataFrame, versions: DataFrame, do
         .groupBy("counterparty", "version_id", *keys)
         .agg(F.count("*").alias("n"))
     )
-    # a version at each of the four levels below its counterparty: one row each
+    of_version = Window.partitionBy("counterparty", "version_id")
+    by_domain, by_severity = of_version.orderBy("domain", "severity"), of_version.orderBy("severity")
+
+    def fresh(key: str, order: WindowSpec) -> Column:
+        """Is the row its version's first with this value? Equal values follow each other."""
+        return (F.row_number().over(order) == 1) | ~F.lag(key).over(order).eqNullSafe(F.col(key))
+
     marked = per_version.select(
         "counterparty",
-        "version_id",
+        *keys,
         "n",
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(d).alias("by_domain"),
-                        F.lit(s).alias("by_severity"),
-                        F.when(F.lit(d), F.col("domain")).alias("domain"),
-                        F.when(F.lit(s), F.col("severity")).alias("severity"),
-                    )
-                    for d in (True, False)
-                    for s in (True, False)
-                ]
-            )
-        ),
+        (F.row_number().over(by_domain) == 1).cast("int").alias("_once"),
+        fresh("domain", by_domain).cast("int").alias("_domain"),
+        fresh("severity", by_severity).cast("int").alias("_severity"),
+    )
+    narrow = marked.groupBy("counterparty", *keys).agg(
+        F.sum("n").alias("findings"),
+        F.count("*").alias("_both"),
+        *[F.sum(c).alias(c) for c in ("_once", "_domain", "_severity")],
     )
-    once = marked.groupBy("counterparty", "version_id", "by_domain", "by_severity", *keys).agg(F.sum("n").alias("n"))
+    marks = {(True, True): "_both", (True, False): "_domain", (False, True): "_severity", (False, False): "_once"}
+    levels = [
+        F.struct(
+            F.lit(d).alias("by_domain"),
+            F.lit(s).alias("by_severity"),
+            F.when(F.lit(d), F.col("domain")).alias("domain"),
+            F.when(F.lit(s), F.col("severity")).alias("severity"),
+            F.col(mark).alias("versions_hit"),
+        )
+        for (d, s), mark in marks.items()
+    ]
     level = ["by_domain", "by_severity", *keys]
-    cells = once.groupBy("counterparty", *level).agg(F.sum("n").alias("findings"), F.count("*").alias("versions_hit"))
+    cells = (
+        narrow.select("counterparty", "findings", F.inline(F.array(*levels)))
+        .groupBy("counterparty", *level)
+        .agg(F.sum("findings").alias("findings"), F.sum("versions_hit").alias("versions_hit"))
+    )
     whole = cells.groupBy(*level).agg(
         F.lit(None).cast("string").alias("counterparty"),
         F.sum("findings").alias("findings"),

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 
 from clauselake.operators import answers as M
+from clauselake.operators import findings as Q
 from clauselake.streaming import streams as S
 
 
@@ -108,3 +109,28 @@ def test_an_answer_is_parsed_once(spark):
     )
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Generate explode(array(") == 1  # the value of the answer
+
+
+def test_no_version_is_copied_for_a_level(spark):
+    findings = spark.createDataFrame(
+        [(1, "a", "x"), (1, "a", "y"), (1, "b", "x"), (1, None, "x"), (2, "a", None), (2, "a", "x"), (2, "a", "x"), (3, None, None)],
+        "job_id long, domain string, severity string",
+    )
+    jobs = spark.createDataFrame([(1, 10), (2, 10), (3, 11), (4, 12)], "job_id long, version_id long")
+    versions = spark.createDataFrame([(10, 5), (11, 6), (12, 6)], "version_id long, document_id long")
+    documents = spark.createDataFrame([(5, "p"), (6, None)], "document_id long, counterparty string")
+    cube = Q.portfolio_cube(findings, jobs, versions, documents)
+    got = {tuple(r)[:6]: tuple(r)[6:9] for r in cube.collect()}
+    of = {1: ("p", 10), 2: ("p", 10), 3: (None, 11)}
+    raw = [(*of[r.job_id], r.domain, r.severity) for r in findings.collect()]
+    want = {}
+    for c, d, s in [(c, d, s) for c in (True, False) for d in (True, False) for s in (True, False)]:
+        for cp, v, dom, sev in raw:
+            cell = (c, d, s, cp if c else None, dom if d else None, sev if s else None)
+            n, hit = want.setdefault(cell, (0, set()))
+            want[cell] = (n + 1, hit | {v})
+    reviewed = {"p": 1, None: 2}
+    assert got == {k: (n, len(hit), reviewed[k[3]] if k[0] else 3) for k, (n, hit) in want.items()}
+    plan = cube._jdf.queryExecution().optimizedPlan().toString()
+    sums = [line for line in plan.splitlines() if "Aggregate [" in line]
+    assert sums and not [line for line in sums if "version_id" in line and "by_domain" in line]
