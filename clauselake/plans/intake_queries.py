@@ -145,7 +145,7 @@ def _upsert(spark, sf_dir):
 def _upsert_on_disk(spark, sf_dir):
     """The same rows as a table in buckets, to which the newer ones come in three batches."""
     path = scratch_path(spark, "buckets")
-    W.write_buckets(latest(_items(spark, sf_dir, "F"), _KEYS, _ORDER), path, _KEYS, 64)
+    W.write_buckets(_items(spark, sf_dir, "F"), path, _KEYS, 64, _ORDER)
     newer = latest(_items(spark, sf_dir, "O"), _KEYS, _ORDER)
     for part in range(3):
         W.upsert_buckets(newer.filter(F.col("l_orderkey") % 3 == part), path, _KEYS, _ORDER, 64)

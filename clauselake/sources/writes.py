@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clauselake.functions.running import latest
@@ -43,10 +43,18 @@ def _bucket(keys: list[str], buckets: int):
     return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
 
 
-def write_buckets(df: DataFrame, path: str, keys: list[str], buckets: int = 256) -> None:
-    """A table of one row per key, in ``buckets`` folders by the key's hash."""
-    rows = df.withColumn("_bucket", _bucket(keys, buckets))
-    rows.repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(path)
+def write_buckets(
+    df: DataFrame, path: str, keys: list[str], buckets: int = 256, order: list[str] | None = None
+) -> None:
+    """A table of one row per key, in ``buckets`` folders by the key's hash.
+
+    With ``order`` the newest row of each key counts, picked by the task that writes the key's
+    bucket, so that rows move once.
+    """
+    rows = df.withColumn("_bucket", _bucket(keys, buckets)).repartition("_bucket")
+    if order:
+        rows = latest(rows, ["_bucket", *keys], order)
+    rows.write.mode("overwrite").partitionBy("_bucket").parquet(path)
 
 
 def read_buckets(spark: SparkSession, path: str) -> DataFrame:
@@ -57,9 +65,10 @@ def upsert_buckets(new: DataFrame, path: str, keys: list[str], order: list[str],
     """``upsert_last_wins`` on a table of ``write_buckets``; gives the number of buckets written.
 
     Only folders that hold a key of the batch are read and overwritten. Of the batch the
-    newest row of each key counts; the table's own rows are compared by key alone. The new
-    state of those folders is written aside first, so a lost executor repeats reading and
-    not half a replacement; running the batch again changes nothing.
+    newest row of each key counts; the table's own rows are compared by key alone. Rows move
+    once, to the task that writes their bucket. The new state of those folders is staged
+    beside them and takes their place when all of it is written, so a lost executor repeats
+    reading and not half a replacement; running the batch again changes nothing.
     """
     spark = new.sparkSession
     newest = stored(latest(new, keys, order).withColumn("_bucket", _bucket(keys, buckets)), "batch")
@@ -70,10 +79,15 @@ def upsert_buckets(new: DataFrame, path: str, keys: list[str], order: list[str],
         write_slices(newest.repartition("_bucket"), path, ["_bucket"])
         return len(touched)
     base = spark.read.parquet(path).filter(F.col("_bucket").isin(touched))
-    gone = newest.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)])
-    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
-    merged = stored(base.join(gone, same, "left_anti").unionByName(newest), "merged")
-    write_slices(merged.repartition("_bucket"), path, ["_bucket"])
+    both = base.withColumn("_new", F.lit(0)).unionByName(newest.withColumn("_new", F.lit(1)))
+    key = Window.partitionBy("_bucket", *keys)
+    merged = (
+        both.repartition("_bucket")
+        .withColumn("_newest", F.max("_new").over(key))
+        .filter(F.col("_new") == F.col("_newest"))
+        .drop("_new", "_newest")
+    )
+    write_slices(merged, path, ["_bucket"])
     return len(touched)
 
 

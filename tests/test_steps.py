@@ -7,6 +7,7 @@ import pandas as pd
 
 from clauselake.operators import answers as M
 from clauselake.operators import findings as Q
+from clauselake.sources import writes as W
 from clauselake.streaming import streams as S
 
 
@@ -134,3 +135,19 @@ def test_no_version_is_copied_for_a_level(spark):
     plan = cube._jdf.queryExecution().optimizedPlan().toString()
     sums = [line for line in plan.splitlines() if "Aggregate [" in line]
     assert sums and not [line for line in sums if "version_id" in line and "by_domain" in line]
+
+
+def test_a_batch_moves_each_row_of_the_table_once(spark, tmp_path, monkeypatch):
+    path, written = str(tmp_path / "t"), []
+    kept_apart = W.stored
+    monkeypatch.setattr(W, "stored", lambda df, purpose: written.append(purpose) or kept_apart(df, purpose))
+    rows = [(1, 1, "a"), (1, 2, "b"), (2, 1, "c"), (None, 1, "d"), (None, 3, "e"), (4, 1, "f")]
+    W.write_buckets(spark.createDataFrame(rows, "id long, t int, v string"), path, ["id"], 8, ["t"])
+    assert {(r.id, r.v) for r in W.read_buckets(spark, path).collect()} == {(1, "b"), (2, "c"), (None, "e"), (4, "f")}
+    # rows of the table that share a key stay as they are until a batch names it
+    W.write_buckets(spark.createDataFrame(rows, "id long, t int, v string"), path, ["id"], 8)
+    batch = spark.createDataFrame([(2, 0, "new"), (None, 1, "old"), (None, 2, "none")], "id long, t int, v string")
+    W.upsert_buckets(batch, path, ["id"], ["t"], 8)
+    got = sorted((str(r.id), r.v) for r in W.read_buckets(spark, path).collect())
+    assert got == [("1", "a"), ("1", "b"), ("2", "new"), ("4", "f"), ("None", "none")]
+    assert written == ["batch"]
