@@ -10,6 +10,7 @@ from clauselake.operators import redact as R
 from clauselake.operators import redline as RL
 from clauselake.plans import entities as E
 from clauselake.plans import fixtures as X
+from clauselake.session import stored
 
 
 def _of_jobs(spark, sf_dir):
@@ -88,8 +89,11 @@ def _bundle(spark, sf_dir):
 
 def _bundle_findings(spark, sf_dir):
     done = E.jobs(spark, sf_dir).filter("state = 'done'")
+    # lines are numbered once and not for each table; the columns are those that the rows below show
+    found = E.findings(spark, sf_dir).select("flag_id", "job_id", "severity", "summary", "created_at")
+    found = stored(found, "findings")
     rows = Q.bundle_findings(
-        done, E.findings(spark, sf_dir), E.edits(spark, sf_dir), E.citations(spark, sf_dir)
+        done, found, E.edits(spark, sf_dir, found), E.citations(spark, sf_dir, found)
     )
     return rows.select(
         "job_id",

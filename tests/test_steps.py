@@ -4,9 +4,12 @@ import random
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
 from clauselake.operators import answers as M
 from clauselake.operators import findings as Q
+from clauselake.plans import entities as E
+from clauselake.plans import finding_queries
 from clauselake.sources import writes as W
 from clauselake.streaming import streams as S
 
@@ -151,3 +154,10 @@ def test_a_batch_moves_each_row_of_the_table_once(spark, tmp_path, monkeypatch):
     got = sorted((str(r.id), r.v) for r in W.read_buckets(spark, path).collect())
     assert got == [("1", "a"), ("1", "b"), ("2", "new"), ("4", "f"), ("None", "none")]
     assert written == ["batch"]
+
+
+def test_findings_of_a_bundle_are_numbered_once(spark, sf_dir, monkeypatch):
+    asked, findings = [], E.findings
+    monkeypatch.setattr(E, "findings", lambda *a: asked.append(a) or findings(*a))
+    rows = finding_queries.QUERIES["bundle_findings"](spark, sf_dir)
+    assert len(asked) == 1 and rows.filter(F.col("edits") == "").count() == 0
