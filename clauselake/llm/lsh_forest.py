@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clauselake.llm.groups import block_pairs, components, dealt, spread_roots, streamed
+from clauselake.llm.kept import release
 from clauselake.llm.shingles import shingle_sets, small_batches, text_bytes
 from clauselake.session import stored
 
@@ -162,6 +163,7 @@ def _sets(docs: DataFrame, width: int, schema: str, row) -> DataFrame:
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500)

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clauselake.llm.kept import release
 from clauselake.llm.shingles import small_batches, text_bytes
 
 PASSAGE = 512  # bytes
@@ -285,6 +286,7 @@ def score(docs: DataFrame, model: Model, carry: list[str] | None = None) -> Data
     names = [f"c{i}" for i in range(len(carry))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for i in range(0, batch.num_rows, 2000):
                 part = batch.slice(i, 2000)

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clauselake.llm.kept import keep
 from clauselake.llm.shingles import small_batches
 
 END = "</w>"
@@ -218,14 +219,9 @@ class TrieEncoder:
         return " ".join(map(self.names.__getitem__, array("I", ids)))
 
 
-_ENCODERS: dict[str, TrieEncoder] = {}
-
-
 def encoder(path: str) -> TrieEncoder:
     """The worker's encoder of a vocabulary file, kept from task to task."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = TrieEncoder(path)
-    return _ENCODERS[path]
+    return keep(path, lambda: TrieEncoder(path))
 
 
 def encode(

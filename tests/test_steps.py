@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from clauselake.llm import kept, trie_bpe
 from clauselake.operators import answers as M
 from clauselake.operators import findings as Q
 from clauselake.plans import entities as E
@@ -161,3 +162,12 @@ def test_findings_of_a_bundle_are_numbered_once(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(E, "findings", lambda *a: asked.append(a) or findings(*a))
     rows = finding_queries.QUERIES["bundle_findings"](spark, sf_dir)
     assert len(asked) == 1 and rows.filter(F.col("edits") == "").count() == 0
+
+
+def test_other_work_lets_go_of_what_a_worker_keeps(monkeypatch):
+    monkeypatch.setattr(trie_bpe, "TrieEncoder", lambda path: [path])
+    first = trie_bpe.encoder("x")
+    assert trie_bpe.encoder("x") is first
+    kept.release()
+    assert trie_bpe.encoder("x") is not first and len(kept._KEPT) == 1
+    kept.release()
