@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from clauselake.llm.groups import block_pairs, components, dealt, spread_roots, streamed
 from clauselake.llm.kept import release
 from clauselake.llm.shingles import shingle_sets, small_batches, text_bytes
-from clauselake.session import stored
+from clauselake.session import discard, stored
 
 
 def stop_depth(threshold: float, trees: int, depth: int, recall: float) -> int:
@@ -204,6 +204,7 @@ def similar_documents(
     ``sample`` sets measure how deep prefixes may be.
     """
     odd = multipliers(trees * depth, seed)
+    shelf: list[str] = []
 
     def describe(shingles: np.ndarray) -> tuple[bytes | None, bytes, bytes]:
         if not len(shingles):
@@ -218,6 +219,7 @@ def similar_documents(
     rows = stored(
         _sets(slim, width, f"doc_id {kind}, sid binary, sig binary, paths binary", describe),
         "signatures",
+        shelf,
     )
     worded = rows.filter(F.col("sid").isNotNull())
     classes = stored(
@@ -228,6 +230,7 @@ def similar_documents(
             F.first("paths").alias("paths"),
         ),
         "classes",
+        shelf,
     )
     level = min(
         stop_depth(threshold, trees, depth, recall),
@@ -268,9 +271,10 @@ def similar_documents(
     met = block_pairs(nodes, ["tree", "prefix"], "sid", walk_block)
     described = met.join(classes.select("sid", "sig", "paths"), "sid").withColumn("label", label).drop("paths")
     candidates = components(
-        dealt(described, ["tree", "prefix", "lo", "hi"], ["sid"]).mapInArrow(walk, "a binary, b binary")
+        dealt(described, ["tree", "prefix", "lo", "hi"], ["sid"]).mapInArrow(walk, "a binary, b binary"),
+        shelf,
     )
-    members = stored(candidates.select(F.col("node").alias("sid"), "component"), "members")
+    members = stored(candidates.select(F.col("node").alias("sid"), "component"), "members", shelf)
 
     chosen = members.join(classes.select("sid", "least", "copies"), "sid").select(
         F.col("sid").alias("wanted"), F.col("least").alias("doc_id"), "copies"
@@ -283,7 +287,7 @@ def similar_documents(
         .groupBy("sid")
         .agg(F.first("shingles").alias("shingles"), F.first("copies").alias("copies"))
     )
-    sets = stored(sets, "sets")
+    sets = stored(sets, "sets", shelf)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in streamed(batches, ["component", "lo", "hi"]):
@@ -316,8 +320,9 @@ def similar_documents(
             verify, "a binary, b binary, links long"
         ),
         "links",
+        shelf,
     )
-    found = components(checked.filter("links > 0"))
+    found = components(checked.filter("links > 0"), shelf)
     least = (
         found.join(classes.select(F.col("sid").alias("node"), "least"), "node")
         .groupBy("component")
@@ -335,7 +340,7 @@ def similar_documents(
             F.coalesce("class_id", "least").alias("class_id"),
         )
     )
-    return (
+    similar = stored(
         rows.select("doc_id", "sid")
         .join(whole, "sid", "left")
         .select(
@@ -343,5 +348,8 @@ def similar_documents(
             F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
             F.coalesce("class_id", "doc_id").alias("class_id"),
             (F.col("doc_id") == F.coalesce("class_id", "doc_id")).alias("kept"),
-        )
+        ),
+        "similar",
     )
+    discard(docs.sparkSession, shelf)  # signatures and sets are nearly as large as the texts
+    return similar

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clauselake.functions.running import running_total
-from clauselake.session import stored
+from clauselake.session import discard, stored
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -134,9 +134,11 @@ def mix(
         F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(doc_id).cast("string"))).alias("perm"),
     )
     # the ranges sample their input first: counted words are stored, so texts are read once
+    shelf: list[str] = []
     placed = running_total(
-        stored(rows, "sizes"), ["source"], ["perm", "doc_id", "size"], F.col("size"), "upto"
+        stored(rows, "sizes", shelf), ["source"], ["perm", "doc_id", "size"], F.col("size"), "upto"
     ).withColumn("before", F.col("upto") - F.col("size"))
+    discard(docs.sparkSession, shelf)  # the running total stands on its checkpoint
     sizes = placed.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = targets(sizes, weights, most).select(
         "*",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from clauselake.llm import lsh_forest, mil_quality, mixing, repeated_spans, trie_bpe
 from clauselake.llm.queries import vocabulary
-from clauselake.session import stored
+from clauselake.session import discard, stored
 
 
 PASSAGE = 250  # bytes of a passage that repeats: 50 words of four letters and a blank
@@ -117,8 +117,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before: list[str] = []
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
-            docs = stored(docs, name)
+            made: list[str] = []
+            docs = stored(docs, name, made)
+            discard(spark, before)
+            before = made
     return docs

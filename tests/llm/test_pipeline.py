@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from clauselake.llm import mil_quality, queries
+from clauselake.session import _own_scratch, children, stored
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _row int, _draw int, score double, kept int"
 
@@ -166,3 +167,33 @@ def test_awkward_rows_pass_every_stage(spark, sf_dir, tmp_path):
     kept.collect()
     unique = {(r.doc_id, r.text) for r in P.near_duplicates(spark, docs, sf_dir).collect()}
     assert len(unique) == len({r for r in rows}) - 1 and (2, text) not in unique
+
+
+@pytest.mark.parametrize(
+    "name, left", [("near_duplicates", ["similar"]), ("repeated_passages", ["runs"]), ("mixture", [])]
+)
+def test_stages_leave_no_working_tables(spark, sf_dir, name, left):
+    said = " ".join(f"word{i}" for i in range(200))
+    near = said.replace("word199", "end")
+    cut = " ".join(f"other{i}" for i in range(90)) + said[300:900] + " tail"
+    rows = [(1, said), (2, said), (3, near), (4, cut), (5, "quite alone here"), (None, None)]
+    docs = spark.createDataFrame([(i, t, None, "s", 0, 1, 2, 0.0, 1) for i, t in rows], SCHEMA)
+    docs = stored(docs, "input")
+    there = set(children(spark, _own_scratch(spark)))
+    found = dict(P.STAGES)[name](spark, docs, sf_dir)
+    first = sorted(map(str, found.collect()))
+    made = set(children(spark, _own_scratch(spark))) - there
+    assert sorted(m.rpartition("-")[0] for m in made) == left
+    assert first and sorted(map(str, found.collect())) == first  # the result reads nothing that is gone
+    if name == "near_duplicates":
+        assert {r["doc_id"] for r in found.collect()} == {1, 4, 5, None}
+    if name == "repeated_passages":
+        want = {(r["doc_id"], r["text"]) for r in repeated_passages(rows_of(docs))}
+        assert {(r["doc_id"], r["text"] or "") for r in found.collect()} == {(i, t or "") for i, t in want}
+
+
+def test_run_keeps_one_stage_at_a_time(spark, sf_dir):
+    there = set(children(spark, _own_scratch(spark)))
+    P.run(spark, sf_dir)
+    made = set(children(spark, _own_scratch(spark))) - there
+    assert [m.rpartition("-")[0] for m in made if m.rpartition("-")[0] in dict(P.STAGES)] == ["mixture"]
