@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import types as T
 
 from clauselake import constants as K
 from clauselake.functions.running import running_total
-from clauselake.functions.text import let
+from clauselake.functions.text import let, running_starts
 from clauselake.operators.redact_rows import redact_rows
 from clauselake.session import stored
 from clauselake.sources.lexicon import Domain
@@ -194,10 +195,118 @@ def clause_entry(ordinal: Column, heading: Column, text: Column) -> Column:
 
 
 ALL = "*"  # scope of the packing that every unmentioned domain of a version shares
+_CHUNK = 128  # neighbouring clauses of a version whose texts move as one row
+
+
+def _scope_lines() -> Column:
+    """(scope, its lines in order) of a chunk's ``_lines`` and ``_hits``, for all scopes."""
+
+    def of_domain(lines: Column, hits: Column, domain: Column) -> Column:
+        mine = F.filter(hits, lambda h: h["domain"] == domain)
+        return F.flatten(
+            F.transform(mine, lambda h: F.filter(lines, lambda x: x["ordinal"] == h["ordinal"]))
+        )
+
+    hits = F.coalesce("_hits", F.array().cast("array<struct<ordinal:bigint,domain:string>>"))
+    whole = F.array(F.struct(F.lit(ALL).alias("scope"), F.col("_lines").alias("lines")))
+    return let(
+        hits,
+        lambda h: F.concat(
+            whole,
+            F.transform(
+                F.array_distinct(h["domain"]),
+                lambda d: F.struct(d.alias("scope"), of_domain(F.col("_lines"), h, d).alias("lines")),
+            ),
+        ),
+    )
+
+
+def _scope_pieces(max_chars: int) -> Column:
+    """(segment, its lines) of a chunk's ``lines`` of one scope that begin at ``_base``."""
+
+    def segment(line: Column, start: Column) -> Column:
+        first = F.floor(start / max_chars)
+        last = F.floor((start + line["size"] - 1) / max_chars)
+        return F.when(line["size"].isNotNull(), F.when(first == last, first * 2).otherwise(first * 2 + 1))
+
+    def cut(segments: Column) -> Column:
+        placed = F.zip_with(
+            F.col("lines"), segments, lambda x, g: F.struct(x["ordinal"].alias("ordinal"), x["size"].alias("size"), g.alias("g"))
+        )
+        own = lambda rows, g: F.transform(
+            F.filter(rows, lambda r: r["g"].eqNullSafe(g)),
+            lambda r: F.struct(r["ordinal"].alias("ordinal"), r["size"].alias("size")),
+        )
+        return let(
+            placed,
+            lambda rows: F.transform(
+                F.array_distinct(segments), lambda g: F.struct(g.alias("segment"), own(rows, g).alias("lines"))
+            ),
+        )
+
+    sizes = F.transform("lines", lambda x: F.coalesce(x["size"], F.lit(0)))
+    segments = F.zip_with(F.col("lines"), running_starts(sizes), lambda x, s: segment(x, F.col("_base") + s))
+    return let(segments, cut)
+
+
+def _placed(routed: DataFrame, entries: DataFrame, max_chars: int) -> DataFrame:
+    """Which lines of a chunk go into which part: numbers alone, no text.
+
+    A row per chunk, scope and part; ``domains`` is there in the first chunk of a part, and
+    ``whole`` tells that it is the only one.
+    """
+    at = ["version_id", "_chunk"]
+    line = F.struct(F.col("ordinal").cast("bigint").alias("ordinal"), F.length("entry").cast("bigint").alias("size"))
+    sized = entries.groupBy(*at).agg(F.sort_array(F.collect_list(line)).alias("_lines"))
+    hit = F.struct(F.col("ordinal").cast("bigint").alias("ordinal"), "domain")
+    hits = (
+        routed.filter("matched AND domain IS NOT NULL")
+        .groupBy("version_id", _chunk())
+        .agg(F.sort_array(F.collect_list(hit)).alias("_hits"))
+    )
+    spread = sized.join(hits, at, "left").select(*at, F.inline(_scope_lines()))
+    # one subtotal per chunk and scope goes through the window
+    before = Window.partitionBy("version_id", "scope").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    total = F.aggregate("lines", F.lit(0).cast("bigint"), lambda s, x: s + F.coalesce(x["size"], F.lit(0)))
+    based = spread.withColumn("_size", total).withColumn("_base", F.coalesce(F.sum("_size").over(before), F.lit(0)))
+    pieces = based.select(*at, "scope", F.inline(_scope_pieces(max_chars)))
+    within = Window.partitionBy("version_id", "scope", "segment")
+    numbered = pieces.withColumns(
+        {
+            "part_no": F.dense_rank().over(Window.partitionBy("version_id", "scope").orderBy("segment")),
+            "_from": F.min("_chunk").over(within),
+            "_to": F.max("_chunk").over(within),
+        }
+    )
+    scopes = (
+        routed.select(
+            "version_id",
+            "domain",
+            F.when(F.col("matched"), F.col("domain")).otherwise(F.lit(ALL)).alias("scope"),
+        )
+        .groupBy("version_id", "scope")
+        .agg(F.array_sort(F.collect_set("domain")).alias("domains"))
+    )
+    return numbered.join(scopes, ["version_id", "scope"]).select(
+        *at,
+        "scope",
+        "part_no",
+        F.when(F.col("_chunk") == F.col("_from"), F.col("domains")).alias("domains"),
+        (F.col("_from") == F.col("_to")).alias("whole"),
+        "lines",
+    )
+
+
+def _chunk() -> Column:
+    return F.floor(F.col("ordinal") / _CHUNK).alias("_chunk")
 
 
 def pack_context(
-    routed: DataFrame, clauses: DataFrame, max_chars: int = K.MAX_CONTEXT_CHARS, shared: bool = False
+    routed: DataFrame,
+    clauses: DataFrame,
+    max_chars: int = K.MAX_CONTEXT_CHARS,
+    shared: bool = False,
+    beside: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Clause texts per version and domain, in parts of at most ``max_chars``.
 
@@ -205,73 +314,76 @@ def pack_context(
     characters. Those inside a segment are a part, and a clause that lies across a cut is
     a part of its own; only a clause longer than ``max_chars`` makes a longer part, which
     is marked ``oversized``. Nothing is left out. The clauses of a version are packed once
-    for all domains that it does not mention. Parts are numbered by sizes alone; a text moves
-    to its parts and no further. ``shared`` leaves a row per packed text, with the
-    array ``domains`` in place of ``domain``.
+    for all domains that it does not mention. Parts are numbered by sizes alone.
+
+    Texts move once, in chunks of neighbouring clauses, and a part is joined where its chunk
+    is; only the pieces of a part that lies in several chunks move again. ``shared`` leaves a
+    row per packed text, with the array ``domains`` in place of ``domain``. ``beside`` gets
+    the parts' ``version_id, part_no`` and returns them with further columns, which come to
+    the chunks and so to the texts; parts that it does not return are left out, as by a join.
     """
-    entries = clauses.select(
+    at = ["version_id", "_chunk"]
+    entries = clauses.filter("version_id IS NOT NULL AND ordinal IS NOT NULL").select(
         "version_id",
+        _chunk(),
         "ordinal",
         clause_entry(F.col("ordinal"), F.col("heading_path"), F.col("text")).alias("entry"),
     )
-    # texts are read for their sizes once, whatever the running total does with its input
-    sizes = stored(entries.select("version_id", "ordinal", F.length("entry").alias("_size")), "sizes")
-    matched = routed.filter("matched").select("version_id", "ordinal", F.col("domain").alias("scope"))
-    listed = sizes.join(matched, ["version_id", "ordinal"]).unionByName(
-        sizes.withColumn("scope", F.lit(ALL))
-    )
-    filled = running_total(listed, ["version_id", "scope"], ["ordinal"], F.col("_size"), "_end")
-    first = F.floor((F.col("_end") - F.col("_size")) / max_chars)
-    last = F.floor((F.col("_end") - 1) / max_chars)
-    segment = F.when(first == last, first * 2).otherwise(first * 2 + 1)
-    rows = filled.filter("ordinal IS NOT NULL").select(
-        "version_id", "ordinal", "scope", "_size", segment.alias("_segment")
-    )
-    scopes = (
-        routed.select(
-            "version_id",
-            "domain",
-            F.when(F.col("matched"), F.col("domain")).otherwise(F.lit(ALL)).alias("scope"),
+    places = stored(_placed(routed, entries, max_chars), "places")
+    text = F.struct(F.col("ordinal").cast("bigint").alias("ordinal"), "entry")
+    rows = entries.groupBy(*at).agg(F.collect_list(text).alias("_texts")).join(
+        places.groupBy(*at).agg(F.collect_list(F.struct("scope", "part_no", "domains", "whole", "lines")).alias("_places")),
+        at,
+    )
+    given, more = [], []
+    if beside is not None:
+        spots = places.filter("domains IS NOT NULL").select("version_id", "part_no", "_chunk").distinct()
+        brought = beside(spots.select("version_id", "part_no").distinct())
+        more = [c for c in brought.columns if c not in ("version_id", "part_no")]
+        brought = spots.join(brought, ["version_id", "part_no"])
+        brought = brought.groupBy(*at).agg(F.collect_list(F.struct("part_no", *more)).alias("_beside"))
+        rows = rows.join(brought, at, "left")
+        mine = F.filter("_beside", lambda b: b["part_no"] == F.col("part_no"))
+        given = [F.when(F.col("domains").isNotNull(), mine).alias("_given")]  # once a part, in its first chunk
+    carried = ["_texts", *(["_beside"] if given else [])]
+
+    def parts(wanted: Callable[[Column], Column]) -> DataFrame:
+        found = rows.select("version_id", *carried, F.inline(F.filter("_places", wanted)))
+        pairs = F.flatten(
+            F.transform(
+                "lines",
+                lambda x: F.transform(
+                    F.filter("_texts", lambda t: t["ordinal"] == x["ordinal"]),
+                    lambda t: F.struct(t["ordinal"].alias("ordinal"), t["entry"].alias("entry"), x["size"].alias("size")),
+                ),
+            )
         )
-        .groupBy("version_id", "scope")
-        .agg(F.array_sort(F.collect_set("domain")).alias("domains"))
-    )
-    order = Window.partitionBy("version_id", "scope").orderBy("_segment")
-    parts = (
-        rows.groupBy("version_id", "scope", "_segment")
-        .agg(F.min("ordinal").alias("_first"))
-        .withColumn("part_no", F.row_number().over(order))
-        .join(scopes, ["version_id", "scope"])
-        .withColumnsRenamed({"version_id": "_version", "scope": "_scope", "_segment": "_of"})
-    )
-    same = (
-        (F.col("version_id") == F.col("_version"))
-        & (F.col("scope") == F.col("_scope"))
-        & F.col("_segment").eqNullSafe(F.col("_of"))
-    )
-    # a clause meets its text once, with all the places that it takes (one a domain at most);
-    # the first clause of a part brings the part's domains
-    domains = F.when(F.col("ordinal") == F.col("_first"), F.col("domains")).alias("domains")
-    place = F.struct("scope", "part_no", domains)
-    placed = rows.join(parts, same).groupBy("version_id", "ordinal", "_size").agg(F.collect_list(place).alias("_places"))
-    packed = (
-        placed.join(entries, ["version_id", "ordinal"])
-        .select("version_id", "ordinal", "_size", "entry", F.inline("_places"))
+        return found.select("version_id", "scope", "part_no", "domains", pairs.alias("_p"), *given)
+
+    whole = parts(lambda p: p["whole"]).withColumn("_p", F.sort_array("_p"))
+    split = (
+        parts(lambda p: ~p["whole"])
         .groupBy("version_id", "scope", "part_no")
         .agg(
-            F.array_sort(F.collect_list(F.struct("ordinal", "entry"))).alias("_p"),
-            F.sum("_size").alias("_chars"),
             F.max("domains").alias("domains"),
+            F.sort_array(F.flatten(F.collect_list("_p"))).alias("_p"),
+            *[F.flatten(F.collect_list("_given")).alias("_given") for _ in given],
         )
     )
-    return packed.select(
+    chars = F.aggregate("_p.size", F.lit(0).cast("bigint"), lambda s, x: s + F.coalesce(x, F.lit(0)))
+    packed = whole.unionByName(split).select(
         "version_id",
         "domains" if shared else F.explode("domains").alias("domain"),
         "part_no",
-        F.array_join(F.transform("_p", lambda p: p["entry"]), "\n\n").alias("context"),
+        F.array_join("_p.entry", "\n\n").alias("context"),
         F.size("_p").alias("entries"),
-        (F.col("_chars") > max_chars).alias("oversized"),
+        F.when(F.exists("_p.size", lambda x: x.isNotNull()), chars > max_chars).alias("oversized"),
+        *[F.col("_given") for _ in given],
     )
+    if not given:
+        return packed
+    at_once = F.inline(F.transform("_given", lambda g: F.struct(*[g[c].alias(c) for c in more])))
+    return packed.select(*[c for c in packed.columns if c != "_given"], at_once)
 
 
 def summary_sample(clauses: DataFrame, max_chars: int = K.MAX_SUMMARY_CHARS) -> DataFrame:
