@@ -506,12 +506,29 @@ def batch_changes(diffs: DataFrame, size: int = K.DIFF_BATCH) -> DataFrame:
     )
 
 
+def sections_beside(
+    versions: DataFrame, summaries: DataFrame, comments: DataFrame
+) -> Callable[[DataFrame], DataFrame]:
+    """What joins ``summary`` and ``comments`` to parts of known versions, a row per summary."""
+    at = ["version_id", "part_no"]
+
+    def beside(spots: DataFrame) -> DataFrame:
+        return (
+            spots.join(versions.select("version_id").distinct(), "version_id", "left_semi")
+            .join(summaries.select("version_id", "summary"), "version_id", "left")
+            .join(comments.select(*at, "comments"), at, "left")
+        )
+
+    return beside
+
+
 def build_requests(
     versions: DataFrame,
     lexicon: list[Domain],
     contexts: DataFrame,
     summaries: DataFrame,
     comments: DataFrame,
+    sections: bool = False,
 ) -> DataFrame:
     """``version_id, domain, part_no, request``: as many requests as the parts ask for.
 
@@ -520,7 +537,11 @@ def build_requests(
     when there is no clause. The domain list is a constant array, so versions are
     multiplied by a generator. ``contexts`` are as ``pack_context`` gives them, a row per
     domain or ``shared``: a text meets the summary and comments of its version and part
-    first, and is multiplied by its domains last.
+    first, and is multiplied by its domains last. Contexts packed with ``sections_beside``
+    have met them and do not move.
+
+    ``sections`` leaves the sections that requests are joined from, ``version_id, part_no,
+    text, times``: what several requests of a part share comes once, with their number.
     """
     labels = F.array(
         *[
@@ -533,47 +554,66 @@ def build_requests(
         ]
     )
     at = ["version_id", "part_no"]
-    head = versions.select("version_id").distinct()
+    beside = sections_beside(versions, summaries, comments)
     if "domains" not in contexts.columns:
         contexts = contexts.withColumn("domains", F.array("domain"))
-    texts = contexts.select(*at, "domains", "context")
-    blocks = comments.select(*at, "comments", F.lit(True).alias("_block"))
-    covered = texts.select(*at, F.explode("domains").alias("_d")).groupBy(*at).agg(F.collect_set("_d").alias("_covered"))
-    spots = (
-        head.withColumn("part_no", F.lit(1))
-        .unionByName(covered.select(*at))
-        .unionByName(blocks.select(*at))
-        .distinct()
-        .join(head, "version_id", "left_semi")
-    )
-    given = stored(
-        spots.join(summaries.select("version_id", "summary"), "version_id", "left")
-        .join(blocks, at, "left")
-        .join(covered, at, "left"),
-        "parts",
-    )
-    shown = texts.join(given.drop("_covered", "_block"), at).select(
-        *at, "summary", "comments", "context", F.inline(F.filter(labels, lambda d: F.array_contains("domains", d["domain"])))
+    covered = (
+        contexts.select(*at, F.explode("domains").alias("_d")).groupBy(*at).agg(F.collect_set("_d").alias("_covered"))
+    )
+    if "comments" not in contexts.columns:
+        contexts = contexts.join(beside(covered.select(*at)), at)
+    shown = contexts.select(
+        *at,
+        "summary",
+        "comments",
+        "context",
+        F.filter(labels, lambda d: F.array_contains("domains", d["domain"])).alias("_labels"),
     )
     # domains without a clause in a part: in the first part, and where there are comments
     bare = F.filter(
         labels, lambda d: ~F.coalesce(F.array_contains("_covered", d["domain"]), F.lit(False))
     )
-    rest = given.filter("part_no = 1 OR _block").select(
-        *at, "summary", "comments", F.lit(None).cast("string").alias("context"), F.inline(bare)
+    spots = versions.select("version_id").distinct().withColumn("part_no", F.lit(1)).unionByName(comments.select(*at))
+    rest = (
+        beside(spots.distinct())
+        .join(covered, at, "left")
+        .select(*at, "summary", "comments", F.lit(None).cast("string").alias("context"), bare.alias("_labels"))
     )
     wide = shown.unionByName(rest)
     filled = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
     summary = F.when(
         filled("summary"), F.concat(F.lit(K.SUMMARY_HEADER + "\n"), "summary")
     ).otherwise(F.lit(K.NO_SUMMARY))
-    body = F.coalesce("context", F.when(F.col("part_no") == 1, F.col("nothing")))
-    clauses = F.concat(F.lit(K.CLAUSES_HEADER + " '"), "name", F.lit("':\n"), body)
+    heading = lambda name: F.concat(F.lit(K.CLAUSES_HEADER + " '"), name, F.lit("':\n"))
     bubbles = F.when(filled("comments"), F.concat(F.lit(K.COMMENTS_HEADER + "\n"), "comments"))
-    task = F.concat(F.lit(K.TASK_LINE + " "), "name", F.lit(" (key: "), "domain", F.lit(")"))
-    return wide.select(
-        "version_id", "domain", "part_no", F.concat_ws("\n\n", summary, clauses, bubbles, task).alias("request")
+    task = lambda name, domain: F.concat(
+        F.lit(K.TASK_LINE + " "), name, F.lit(" (key: "), domain, F.lit(")")
+    )
+    body = lambda nothing: F.coalesce("context", F.when(F.col("part_no") == 1, nothing))
+    if not sections:
+        return wide.select(*at, "summary", "comments", "context", F.inline("_labels")).select(
+            "version_id",
+            "domain",
+            "part_no",
+            F.concat_ws(
+                "\n\n", summary, F.concat(heading(F.col("name")), body(F.col("nothing"))), bubbles, task(F.col("name"), F.col("domain"))
+            ).alias("request"),
+        )
+    section = lambda text, times: F.struct(text.alias("text"), times.alias("times"))
+    # a context follows its heading on the next line, where no domain has a word in it
+    own = F.transform(
+        "_labels",
+        lambda d: section(
+            F.concat_ws(
+                "\n\n",
+                F.when(body(d["nothing"]).isNotNull(), F.concat(heading(d["name"]), F.when(F.col("context").isNull(), d["nothing"]).otherwise(""))),
+                task(d["name"], d["domain"]),
+            ),
+            F.lit(1),
+        ),
     )
+    common = F.array(*[section(t, F.size("_labels")) for t in (summary, F.col("context"), bubbles)])
+    return wide.select(*at, F.inline(F.concat(common, own))).filter("text IS NOT NULL AND times > 0")
 
 
 def request_budget(requests: DataFrame) -> DataFrame:

@@ -103,7 +103,7 @@ def _comments(spark, sf_dir):
     return D.pack_comments(comments(spark, sf_dir))
 
 
-def _requests(spark, sf_dir, clauses, mapping=None):
+def _requests(spark, sf_dir, clauses, mapping=None, sections=False):
     versions = X.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("version_id"))
     summaries = versions.select(
         "version_id",
@@ -112,9 +112,10 @@ def _requests(spark, sf_dir, clauses, mapping=None):
             F.concat(F.lit("Dokumen nomor "), F.col("version_id").cast("string")),
         ).alias("summary"),
     )
-    contexts = D.pack_context(D.route_clauses(clauses, LEXICON), clauses, shared=True)
-    bubbles = D.pack_comments(comments(spark, sf_dir), mapping)
-    return D.build_requests(versions, LEXICON, contexts, summaries, bubbles)
+    bubbles = stored(D.pack_comments(comments(spark, sf_dir), mapping), "blocks")
+    beside = D.sections_beside(versions, summaries, bubbles)
+    contexts = D.pack_context(D.route_clauses(clauses, LEXICON), clauses, shared=True, beside=beside)
+    return D.build_requests(versions, LEXICON, contexts, summaries, bubbles, sections)
 
 
 def requests(spark, sf_dir):

@@ -181,3 +181,66 @@ def test_a_packed_text_is_one_row_for_all_its_domains(spark):
     ]
     assert both[0] == both[1] and {r[0] for r in both[0]} == {1, 2}
     assert sum(r[:3] == (1, "exclusivity", 1) for r in both[0]) == 2  # one a summary
+
+
+def test_parts_across_chunks_and_what_stands_beside_them(spark):
+    """Parts that lie in several chunks are whole, and bring summary and comments along."""
+    lexicon = lexicon_from_rows([("exclusivity", "pay"), ("non_compete", "zz"), ("moral_rights", "qq")])
+    texts = [f"{'pay ' * (i % 7)}clause {i}" + (" zz" if i % 50 == 0 else "") for i in range(300)]
+    rows = [(v, i + 1, None, t) for v in (1, 2) for i, t in enumerate(texts)]
+    clauses = spark.createDataFrame(rows, CLAUSES)
+    versions = spark.createDataFrame([(1,)], "version_id int")
+    summaries = spark.createDataFrame([(1, "s")], "version_id int, summary string")
+    blocks = spark.createDataFrame([(1, 2, "c")], "version_id int, part_no int, comments string")
+    beside = D.sections_beside(versions, summaries, blocks)
+    routed = D.route_clauses(clauses, lexicon)
+    found = D.pack_context(routed, clauses, max_chars=500).collect()
+    for domain, wanted in (("exclusivity", "pay"), ("non_compete", "zz"), ("moral_rights", "")):
+        parts = sorted((r.part_no, r) for r in found if r.domain == domain and r.version_id == 2)
+        entries = "\n\n".join(r.context for _, r in parts).split("\n\n")
+        assert entries == [f"[Klausul {i + 1}]\n{t}" for i, t in enumerate(texts) if wanted in t]
+        assert [p for p, _ in parts] == list(range(1, len(parts) + 1))
+    near = D.pack_context(routed, clauses, max_chars=500, shared=True, beside=beside)
+    assert {(r.version_id, r.summary, r.comments) for r in near.filter("part_no = 2").collect()} == {(1, "s", "c")}
+    plain = D.pack_context(routed, clauses, max_chars=500, shared=True)
+    requests = [
+        sorted(tuple(r) for r in D.build_requests(versions, lexicon, c, summaries, blocks).collect()) for c in (near, plain)
+    ]
+    assert requests[0] == requests[1]
+    assert len(requests[0]) == sum(r.version_id == 1 for r in found) + 1  # a block of comments alone
+
+
+def test_an_audit_of_sections_counts_every_request(spark):
+    """A section that requests share is searched once and counts for each of them."""
+    from clauselake.operators import redact as R
+
+    lexicon = lexicon_from_rows([("exclusivity", "pay"), ("moral_rights", "zz1"), ("non_compete", "zz2")])
+    clauses = _clauses(spark, ["pay a@b.org 08", "12 3456 and jalan x", "c@d.org 0812-3456-77"])
+    versions = spark.createDataFrame([(1,), (2,)], "version_id int")
+    summaries = spark.createDataFrame([(1, "call 0812"), (2, None)], "version_id int, summary string")
+    notes = spark.createDataFrame([(2, 1, "e@f.org"), (2, 2, "g@h.org"), (1, 1, "77 no")], "version_id int, part_no int, comments string")
+    contexts = D.pack_context(D.route_clauses(clauses, lexicon), clauses, shared=True)
+    whole = D.build_requests(versions, lexicon, contexts, summaries, notes)
+    parts = D.build_requests(versions, lexicon, contexts, summaries, notes, sections=True)
+
+    def counts(texts):
+        left = R.residual_pii_audit(texts).groupBy("version_id", "type").agg(F.sum("matches"))
+        return sorted(tuple(r) for r in left.collect())
+
+    got = counts(parts)
+    assert got == counts(whole.select("version_id", F.col("request").alias("text")))
+    assert (2, "EMAIL", 6) in got and parts.count() < 3 * whole.count()
+
+
+def test_a_stored_table_leaves_no_shuffle_behind(spark):
+    from clauselake.session import stored
+
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        return {x for x in manager.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in x}
+
+    before = shuffled()
+    kept = stored(spark.range(2000).repartition(7, "id"), "numbers")
+    assert not shuffled() - before
+    assert kept.count() == 2000
