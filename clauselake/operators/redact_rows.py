@@ -12,13 +12,15 @@ pattern can match inside an index, and the length of an address counts its chara
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clauselake.functions.running import running_total
 from clauselake.functions.text import every_second, let, matches_in_turn
-from clauselake.operators.redact import _java, patterns
-from clauselake.session import stored
+from clauselake.operators.redact import _java, may_hold, patterns
+from clauselake.session import discard, stored
 
 _STAGES = (("NIK", "NPWP", "EMAIL"), ("PHONE", "BANK"), ("ADDR",))
 _MARK = "\ue000"  # private use: stands between type and number until the token is known
@@ -94,30 +96,39 @@ def _numbered(hits: DataFrame, known: DataFrame) -> DataFrame:
     )
 
 
-def redact_rows(rows: DataFrame, mapping: DataFrame, strict_phone: bool = False) -> tuple[DataFrame, DataFrame]:
+def redact_rows(
+    rows: DataFrame, mapping: DataFrame, strict_phone: bool = False, keep: Sequence[str] = ()
+) -> tuple[DataFrame, DataFrame]:
     """Redacted ``version_id, place, text`` and the mapping that they extend.
 
     ``place`` is a row's place in its version (unique there, and what orders new tokens);
     ``mapping`` is ``version_id, token, original``. An original that has a token keeps it,
     the first by name if it has several; new ones are numbered per type from the highest
-    index on, in the order of their first places. A null text counts as empty. Both
-    results are stored tables.
+    index on, in the order of their first places. A null text counts as empty. Columns to
+    ``keep`` come along with their rows, before the text. Both results are stored tables;
+    what is stored on the way goes when the next step is stored.
     """
+    spark = rows.sparkSession
     cascade = dict(patterns(strict_phone))
     text = F.coalesce("text", F.lit(""))
     personal = F.lit(False)
-    for pattern in cascade.values():
-        personal = personal | F.regexp_like(F.col("text"), F.lit(_java(pattern)))
-    rows = rows.select("version_id", "place", F.replace(text, F.lit(_MARK), F.lit(_OWN)).alias("text"))
-    known = mapping.select("version_id", "token", "original")
+    for kind, pattern in cascade.items():
+        personal = personal | (may_hold(F.col("text"), kind) & F.regexp_like(F.col("text"), F.lit(_java(pattern))))
+    own = ["version_id", "place", *keep]
+    rows = rows.select(*own, F.replace(text, F.lit(_MARK), F.lit(_OWN)).alias("text"))
+    given, before, names = [], [], []
+    known = stored(mapping.select("version_id", "token", "original"), "mapping", names)
     # where no pattern matches the text itself, none matches later: such rows stay as they are
-    state = stored(rows.withColumn("_personal", personal), "rows")
+    state = stored(rows.withColumn("_personal", personal), "rows", given)
     plain, state = state.filter("NOT _personal").drop("_personal"), state.filter("_personal").drop("_personal")
     for stage in _STAGES:
-        cut = state.select("version_id", "place", _marked(F.col("text"), [(k, cascade[k]) for k in stage]).alias("_s"))
-        cut = stored(cut.select("version_id", "place", "_s.text", "_s.found"), "marked")
+        past, before, old = before, [], names
+        names = []
+        cut = state.select(*own, _marked(F.col("text"), [(k, cascade[k]) for k in stage]).alias("_s"))
+        cut = stored(cut.select(*own, "_s.text", "_s.found"), "marked", before)
         hits = cut.select("version_id", "place", F.inline("found"))
-        known = stored(known.unionByName(_numbered(hits, known)), "mapping")
+        known = stored(known.unionByName(_numbered(hits, known)), "mapping", names)
+        discard(spark, past + old)
         first = known.groupBy("version_id", "original").agg(F.min("token").alias("token"))
         entry = F.struct(F.concat("kind", F.col("no").cast("string")).alias("k"), F.col("token").alias("t"))
         tokens = (
@@ -126,24 +137,24 @@ def redact_rows(rows: DataFrame, mapping: DataFrame, strict_phone: bool = False)
             .agg(F.map_from_entries(F.collect_list(entry)).alias("_tokens"))  # one row's matches
         )
         state = cut.join(tokens, ["version_id", "place"], "left").select(
-            "version_id",
-            "place",
+            *own,
             F.when(F.col("_tokens").isNull(), F.col("text"))
             .otherwise(_with_tokens(F.col("text"), F.col("_tokens")))
             .alias("text"),
         )
     as_was = lambda c: F.replace(c, F.lit(_OWN), F.lit(_MARK)).alias(c)
-    done = plain.unionByName(state).select("version_id", "place", as_was("text"))
-    return stored(done, "redacted"), known.select("version_id", "token", as_was("original"))
+    done = stored(plain.unionByName(state).select(*own, as_was("text")), "redacted")
+    discard(spark, given + before)
+    return done, known.select("version_id", "token", as_was("original"))
 
 
 def redact_clauses(
-    clauses: DataFrame, mapping: DataFrame, strict_phone: bool = False
+    clauses: DataFrame, mapping: DataFrame, strict_phone: bool = False, keep: Sequence[str] = ()
 ) -> tuple[DataFrame, DataFrame]:
     """``version_id, ordinal, redacted_text`` of clauses, and the version's extended mapping.
 
     A personal datum that only shows up inside a clause gets a token that no other clause of
-    the version uses. ``ordinal`` is unique in a version.
+    the version uses. ``ordinal`` is unique in a version. Columns to ``keep`` come along.
     """
-    texts, known = redact_rows(clauses.withColumnRenamed("ordinal", "place"), mapping, strict_phone)
-    return texts.toDF("version_id", "ordinal", "redacted_text"), known
+    texts, known = redact_rows(clauses.withColumnRenamed("ordinal", "place"), mapping, strict_phone, keep)
+    return texts.toDF("version_id", "ordinal", *keep, "redacted_text"), known

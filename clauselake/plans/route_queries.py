@@ -122,31 +122,28 @@ def requests(spark, sf_dir):
     return _requests(spark, sf_dir, G.clause_table(spark, sf_dir))
 
 
-def outbound_requests(spark, sf_dir):
+def outbound_requests(spark, sf_dir, sections=False):
     """Requests as they leave: clauses and comments of a version share one mapping.
 
     The mapping of the whole text is extended by the clauses in order, and that again by
     the comments, so a token stands for one original in every channel of a version.
     """
-    clauses = G.clause_table(spark, sf_dir)
     known = R.assign_tokens(X.contract_texts(spark, sf_dir))
-    texts, extended = RR.redact_clauses(clauses, known)
-    clean = stored(
-        clauses.drop("text").join(texts.withColumnRenamed("redacted_text", "text"), ["version_id", "ordinal"]),
-        "clauses",
-    )
-    return _requests(spark, sf_dir, clean, extended)
+    texts, extended = RR.redact_clauses(G.clauses(spark, sf_dir), known, keep=["heading_path"])
+    return _requests(spark, sf_dir, texts.withColumnRenamed("redacted_text", "text"), extended, sections)
 
 
 def _audit(spark, sf_dir):
     """What the patterns still find in outbound requests, per type, zeros included.
 
     The requests' own numbering (clause numbers and headings in brackets, the number in
-    the summary) is no personal data and is blanked first.
+    the summary) is no personal data and is blanked first. No pattern matches across the
+    words that part two sections, so a section that requests share is searched once and
+    its matches count for each of them.
     """
     own = r"\[Klausul \d+( \([^\n]*\))?\]|Dokumen nomor \d+"
-    out = outbound_requests(spark, sf_dir).select(
-        "version_id", F.regexp_replace("request", own, "").alias("text")
+    out = outbound_requests(spark, sf_dir, sections=True).select(
+        "version_id", "times", F.regexp_replace("text", own, "").alias("text")
     )
     left = R.residual_pii_audit(out).groupBy("type").agg(F.sum("matches").alias("matches"))
     kinds = X.read(spark, sf_dir, "documents").select(
