@@ -7,7 +7,7 @@ before_text, after_text``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -336,38 +336,81 @@ def choose_diff_source(pairs: DataFrame, revisions: DataFrame, text_diff: DataFr
     return label(tracked, "tracked_changes").unionByName(label(compared, "text_diff"))
 
 
+_BLOCKS = 16  # blocks of runs that lie in one row
+
+
 def anchor_comments(ranges: DataFrame, runs: DataFrame, bucket: int = 64) -> DataFrame:
     """Text inside each comment's range; an open or empty range stays unresolved.
 
     ``ranges``: ``doc_id, comment_id, start_pos, end_pos``. Runs are packed into blocks of
-    ``bucket`` positions, each with its whole visible text; a range lists the blocks it
-    touches, takes inner blocks whole and looks at single runs only in the blocks at its
-    two ends. Deleted runs carry no visible text. A range that is given twice comes once.
+    ``bucket`` positions, each with its whole visible text, and neighbouring blocks into a
+    row. A range comes to the rows it touches, takes inner blocks whole and looks at single
+    runs only in the blocks at its two ends; so its text is made where the runs are, and only
+    the pieces of a range that touches several rows move. Deleted runs carry no visible text.
+    A range that is given twice comes once.
     """
+    span = bucket * _BLOCKS
     closed = F.coalesce(F.col("end_pos") >= F.col("start_pos"), F.lit(False))
-    first, last = F.floor(F.col("start_pos") / bucket), F.floor(F.col("end_pos") / bucket)
-    touched = ranges.select(
-        "*", F.explode_outer(F.when(closed, F.sequence(first, last))).alias("_b")
+    first, last = F.floor(F.col("start_pos") / span), F.floor(F.col("end_pos") / span)
+    # an open range has no text and may come to any row
+    somewhere = F.coalesce(first, F.pmod(F.xxhash64(*ranges.columns), F.lit(span)))
+    fields = [c for c in ranges.columns if c != "doc_id"]
+    touched = (
+        ranges.select("doc_id", F.struct(*fields).alias("_r"), F.explode(F.when(closed, F.sequence(first, last)).otherwise(F.array(somewhere))).alias("_row"))
+        .groupBy("doc_id", "_row")
+        .agg(F.collect_set("_r").alias("_ranges"))
     )
-    visible = F.struct("pos", "text")
+    at = ["doc_id", "_row"]
     blocks = (
         runs.filter(~F.col("kind").eqNullSafe("del"))
-        .groupBy("doc_id", F.floor(F.col("pos") / bucket).alias("_b"))
-        .agg(F.array_sort(F.collect_list(visible)).alias("_r"))
-        .withColumn("_whole", F.array_join("_r.text", ""))
+        .select("doc_id", F.floor(F.col("pos") / span).alias("_row"), "pos", F.coalesce("text", F.lit("")).alias("text"))
+        # small numbers beside the words: less moves than with a row a run
+        .groupBy(*at)
+        .agg(
+            F.collect_list((F.col("pos") - F.col("_row") * span).cast("smallint" if span < 1 << 15 else "int")).alias("pos"),
+            F.collect_list("text").alias("text"),
+        )
+        .select(*at, F.inline(F.arrays_zip("pos", "text")))
+        .select(*at, (F.col("pos") + F.col("_row") * span).alias("pos"), "text")
+        .groupBy(*at, F.floor(F.col("pos") / bucket).alias("_b"))
+        .agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("_runs"))
+        .withColumn("_whole", F.array_join("_runs.text", ""))
+        .groupBy(*at)
+        .agg(F.sort_array(F.collect_list(F.struct("_b", "_whole", "_runs"))).alias("_blocks"))
     )
-    inside = F.filter("_r", lambda r: r["pos"].between(F.col("start_pos"), F.col("end_pos")))
-    edge = (F.col("_b") == first) | (F.col("_b") == last)
-    part = F.when(edge, F.array_join(F.transform(inside, lambda r: r["text"]), "")).otherwise(
-        F.col("_whole")
+    found = touched.join(blocks, at, "left")
+
+    def text(r: Column) -> Column:
+        start, end = F.floor(r["start_pos"] / bucket), F.floor(r["end_pos"] / bucket)
+        inside = lambda runs: F.filter(runs, lambda x: x["pos"].between(r["start_pos"], r["end_pos"]))
+        part = lambda b: F.when(
+            (b["_b"] == start) | (b["_b"] == end), F.array_join(F.transform(inside(b["_runs"]), lambda x: x["text"]), "")
+        ).otherwise(b["_whole"])
+        parts = F.transform(F.filter("_blocks", lambda b: b["_b"].between(start, end)), part)
+        return F.coalesce(F.array_join(parts, ""), F.lit(""))
+
+    def is_closed(r: Column) -> Column:
+        return F.coalesce(r["end_pos"] >= r["start_pos"], F.lit(False))
+
+    def is_split(r: Column) -> Column:
+        return is_closed(r) & (F.floor(r["start_pos"] / span) < F.floor(r["end_pos"] / span))
+
+    def pieces(wanted: Callable[[Column], Column]) -> DataFrame:
+        rows = F.transform(
+            F.filter("_ranges", wanted),
+            lambda r: F.struct(*[r[c].alias(c) for c in fields], F.when(is_closed(r), text(r)).alias("_text")),
+        )
+        return found.select("doc_id", "_row", F.inline(rows))
+
+    split = (
+        pieces(is_split)
+        .groupBy(*ranges.columns)
+        .agg(F.array_sort(F.collect_list(F.struct("_row", "_text"))).alias("_t"))
+        .select(*ranges.columns, F.array_join("_t._text", "").alias("_text"))
     )
-    parts = touched.join(blocks, ["doc_id", "_b"], "left").withColumn("_part", part)
-    gathered = parts.groupBy(*ranges.columns).agg(
-        F.array_sort(F.collect_set(F.struct("_b", "_part"))).alias("_t")
+    return pieces(lambda r: ~F.coalesce(is_split(r), F.lit(False))).drop("_row").unionByName(split).select(
+        *ranges.columns, strip(F.col("_text")).alias("anchor_text")
     )
-    text = strip(F.array_join(F.transform("_t", lambda t: t["_part"]), ""))
-    closed_row = F.coalesce(F.col("end_pos") >= F.col("start_pos"), F.lit(False))
-    return gathered.select(*ranges.columns, F.when(closed_row, text).alias("anchor_text"))
 
 
 def order_comments(comments: DataFrame) -> DataFrame:

@@ -220,3 +220,36 @@ def test_unknown_materiality_needs_review(spark):
         "materiality string, classification_status string",
     )
     assert [r.bucket for r in V.display_bucket(df).collect()] == ["material", "immaterial"] + ["needs_review"] * 3
+
+
+def test_anchors_move_less_than_their_texts(spark):
+    """Overlapping ranges get their texts where the runs are; pieces of split ones are joined."""
+    import random
+
+    draw = random.Random(3)
+    words = ["".join(draw.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=9)) + " " for _ in range(5000)]
+    runs = spark.createDataFrame(
+        [(1, i, "del" if i % 9 == 4 else None, w) for i, w in enumerate(words)], "doc_id long, pos int, kind string, text string"
+    )
+    spans = [(1, str(i), i, i + (i * 7) % 300) for i in range(0, 5000, 2)]
+    spans += [(1, "open", 3, None), (1, "none", None, 5), (1, "back", 9, 2), (2, "far", 0, 3), (1, "whole", 0, 5000), spans[7]]
+    ranges = spark.createDataFrame(spans, "doc_id long, comment_id string, start_pos int, end_pos int")
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        import os
+
+        found = manager.getAllFiles().mkString("\n").split("\n")
+        return {x: os.path.getsize(x) for x in found if "/shuffle_" in x and x.endswith(".data")}
+
+    before = shuffled()
+    got = {r.comment_id: r.anchor_text for r in V.anchor_comments(ranges, runs).collect()}
+    moved = sum(n for x, n in shuffled().items() if x not in before)
+    want = {
+        c: "".join(w for i, w in enumerate(words) if d == 1 and s <= i <= e and i % 9 != 4).strip()
+        if s is not None and e is not None and e >= s
+        else None
+        for d, c, s, e in spans
+    }
+    assert got == want
+    assert moved < sum(len(t or "") for t in want.values()) / 4
